@@ -51,7 +51,7 @@ def generate_rules(df: DataFrame, columns: Sequence[str], max_values: int = 100)
     first = stats.first()
 
     def kind(c: str) -> str:
-        if kinds[c] in ("date", "timestamp"):
+        if kinds[c] in ("date", "timestamp", "timestamp_ntz"):
             return "date"
         return "categorical" if kinds[c] in ("string", "boolean") or first[f"{c}__card"] < max_values else "numeric"
 
