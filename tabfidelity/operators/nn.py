@@ -62,6 +62,7 @@ def knn_join(a: DataFrame, b: DataFrame, k: int, metric: str = "euclidean", excl
     na, nb = a.count(), b.count()
     blocks_a, blocks_b = max(1, -(-na // block_rows)), max(1, -(-nb // block_rows))
     left = a.withColumn("ba", F.pmod(F.xxhash64("id"), F.lit(blocks_a)).cast("int")).withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(blocks_b - 1))))
+    b = b.select(F.col("id").alias("id"), F.col("v").alias("v"))  # columns of its own, as a and b may be one table
     right = b.withColumn("bb", F.pmod(F.xxhash64("id"), F.lit(blocks_b)).cast("int")).withColumn("ba", F.explode(F.sequence(F.lit(0), F.lit(blocks_a - 1))))
     found = left.groupBy("ba", "bb").cogroup(right.groupBy("ba", "bb")).applyInPandas(_block_best(k, metric, exclude_self), "id long, neighbour long, distance double")
     w = Window.partitionBy("id").orderBy("distance", "neighbour")
@@ -83,6 +84,7 @@ def within_radius(a: DataFrame, balls: DataFrame, block_rows: int = 5000) -> Dat
     na, nb = a.count(), balls.count()
     blocks_a, blocks_b = max(1, -(-na // block_rows)), max(1, -(-nb // block_rows))
     left = a.withColumn("ba", F.pmod(F.xxhash64("id"), F.lit(blocks_a)).cast("int")).withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(blocks_b - 1))))
+    balls = balls.select(*[F.col(c).alias(c) for c in ("id", "v", "radius")])
     right = balls.withColumn("bb", F.pmod(F.xxhash64("id"), F.lit(blocks_b)).cast("int")).withColumn("ba", F.explode(F.sequence(F.lit(0), F.lit(blocks_a - 1))))
 
     def count(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
