@@ -138,7 +138,8 @@ def detections(docs: DataFrame) -> DataFrame:
     keywords = F.array(*[F.lit(k) for k in sorted({k for _, k, _ in LICENSES} | {k for _, k, *_ in NOTICES})])
     gated = docs.where(F.col("text").rlike(GATE)).select(*row_key(), words_of(lower_ascii(F.col("text")), ALNUM_WORD).alias("words")).distinct()
     plain = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-    asked = gated.select("doc_id", "text_digest", plain.alias("plain"), F.explode(F.array_intersect(keywords, "words")).alias("keyword"))
+    gated = gated.select("doc_id", "text_digest", plain.alias("plain"), F.array_intersect(keywords, "words").alias("keywords"))
+    asked = gated.select("doc_id", "text_digest", "plain", F.explode("keywords").alias("keyword"))
     found = asked.join(F.broadcast(ruled), "keyword").where(F.expr("rlike(plain, pattern)"))  # a few hundred rules at any size of docs
     found = found.select("doc_id", "text_digest", "label", "priority", "confidence", F.inline(_places(F.col("plain"), F.col("pattern"))))
     doc = ("doc_id", "text_digest")
