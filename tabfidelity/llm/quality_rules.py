@@ -87,7 +87,9 @@ def _lines(docs: DataFrame) -> DataFrame:
     """A row per line of a document: key, source, signature, hash of the normalised line, words."""
     words = words_of(F.col("text"), SPACE_WORD)
     signature = F.coalesce(F.array_min(let(words, window_hashes)), F.xxhash64("text"))
-    rows = docs.where("text is not null").select(*row_key(), "source", signature.alias("signature"), F.explode(normalised_lines(F.col("text"))).alias("line"))
+    rows = docs.where("text is not null").select(*row_key(), "source", signature.alias("signature"), normalised_lines(F.col("text")).alias("lines"))
+    # A select of its own: beside explode() the signature would be worked out anew for every line.
+    rows = rows.select("doc_id", "text_digest", "source", "signature", F.explode("lines").alias("line"))
     return rows.select("doc_id", "text_digest", "source", "signature", F.xxhash64("line").alias("line"), F.regexp_count("line", F.lit(SPACE_WORD)).cast("long").alias("words"))
 
 
