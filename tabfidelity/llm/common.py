@@ -84,31 +84,37 @@ def sized_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if small_enough(df, most_rows) else df
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def settled(df: DataFrame, rows_each: int = 200_000) -> tuple[DataFrame, int]:
+    """(df checkpointed and in partitions of about rows_each rows, its number of rows)."""
+    df = checkpointed(df)
+    n = df.count()
+    most = max(1, -(-n // rows_each))
+    return df.coalesce(most), n
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", broadcast_rows: int = 400_000) -> DataFrame:
     """(node, component): the smallest node reachable over edges. Nodes without edges don't occur.
 
-    Each round takes the smallest label among the neighbours and then jumps to that label's own
-    label; every round is checkpointed to the shared folder, and only a change count reaches the driver.
+    By contraction: each node points to its smallest neighbour, pointers are followed a step further, and
+    the edges are redrawn between what they point to, until none is left. Each round is checkpointed to
+    the shared folder; only row counts reach the driver. Pointers are broadcast up to broadcast_rows (16 bytes
+    each), and joined by a shuffle beyond.
     """
-    both = checkpointed(
-        edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-        .unionAll(edges.select(F.col(b).alias("u"), F.col(a).alias("v")))
-        .where("u != v")
-        .distinct()
-    )
-    labels = checkpointed(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("component")))
-    while True:
-        near = (
-            both.join(labels.select(F.col("node").alias("v"), "component"), "v")
-            .groupBy(F.col("u").alias("node"))
-            .agg(F.min("component").alias("near"))
-        )
-        stepped = labels.join(near, "node").select("node", F.col("component").alias("before"), F.least("component", "near").alias("component"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        after = checkpointed(
-            stepped.join(jump, "component").select("node", "before", F.least("component", "further").alias("component"))
-        )
-        changed = after.where("before != component").limit(1).count()
-        labels = after.select("node", "component")
-        if not changed:
-            return labels
+    left, n = settled(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u != v").distinct())
+    labels = None
+    while n:
+        both = left.unionAll(left.select("v", "u"))
+        near, nodes = settled(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("to")))
+        small = F.broadcast if nodes <= broadcast_rows else (lambda df: df)
+        near = near.join(small(near.select(F.col("node").alias("to"), F.col("to").alias("further"))), "to").select("node", F.col("further").alias("to"))
+        ends = [small(near.select(F.col("node").alias(x), F.col("to").alias(f"{x}_to"))) for x in "uv"]
+        moved = left.join(ends[0], "u").join(ends[1], "v")
+        left, n = settled(moved.select(F.least("u_to", "v_to").alias("u"), F.greatest("u_to", "v_to").alias("v")).where("u != v").distinct())
+        if labels is None:
+            labels = checkpointed(near.select("node", F.col("to").alias("component")))
+        else:
+            step = small(near.select(F.col("node").alias("component"), "to"))
+            labels = checkpointed(labels.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+    if labels is None:
+        return left.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return labels
