@@ -95,8 +95,8 @@ def settled(df: DataFrame, rows_each: int = 200_000) -> tuple[DataFrame, int]:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", broadcast_rows: int = 400_000) -> DataFrame:
     """(node, component): the smallest node reachable over edges. Nodes without edges don't occur.
 
-    By contraction: each node points to its smallest neighbour, pointers are followed a step further, and
-    the edges are redrawn between what they point to, until none is left. Each round is checkpointed to
+    By contraction: each node points to its smallest neighbour, pointers are followed to their ends by doubling, and
+    the edges are redrawn between those ends, until none is left. Each round is checkpointed to
     the shared folder; only row counts reach the driver. Pointers are broadcast up to broadcast_rows (16 bytes
     each), and joined by a shuffle beyond.
     """
@@ -106,10 +106,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", broadcast
         both = left.unionAll(left.select("v", "u"))
         near, nodes = settled(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("to")))
         small = F.broadcast if nodes <= broadcast_rows else (lambda df: df)
-        near = near.join(small(near.select(F.col("node").alias("to"), F.col("to").alias("further"))), "to").select("node", F.col("further").alias("to"))
+        moved = True
+        while moved:
+            near = near.join(small(near.select(F.col("node").alias("to"), F.col("to").alias("further"))), "to").select("node", F.col("further").alias("to"))
+            ahead = small(near.select(F.col("node").alias("to"), F.col("to").alias("further")))
+            near, _ = settled(near.join(ahead, "to").select("node", F.col("further").alias("to"), (F.col("further") != F.col("to")).alias("moved")))
+            moved = near.where("moved").limit(1).count()
+            near = near.select("node", "to")
         ends = [small(near.select(F.col("node").alias(x), F.col("to").alias(f"{x}_to"))) for x in "uv"]
-        moved = left.join(ends[0], "u").join(ends[1], "v")
-        left, n = settled(moved.select(F.least("u_to", "v_to").alias("u"), F.greatest("u_to", "v_to").alias("v")).where("u != v").distinct())
+        redrawn = left.join(ends[0], "u").join(ends[1], "v")
+        left, n = settled(redrawn.select(F.least("u_to", "v_to").alias("u"), F.greatest("u_to", "v_to").alias("v")).where("u != v").distinct())
         if labels is None:
             labels = checkpointed(near.select("node", F.col("to").alias("component")))
         else:
