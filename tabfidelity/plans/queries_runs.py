@@ -190,7 +190,7 @@ def one(spark, sf):
     return runs(spark, sf).where("metric = 'click' AND NOT (generation = dseed + 3 AND mseed = 1)").select("dseed", "mseed", "generation", "value")
 
 
-@query(f"SELECT * FROM ({ONE}) WHERE mseed <> 1 OR generation < dseed + 3")
+@query(f"SELECT dseed, mseed, generation, value FROM (SELECT *, row_number() OVER (PARTITION BY dseed, mseed ORDER BY generation) - 1 AS place FROM ({ONE})) WHERE place = generation")
 def exp2_chain(spark, sf):
     return experiments.chain(one(spark, sf), ["dseed", "mseed"])
 
@@ -203,7 +203,7 @@ def exp3_cumulative_time(spark, sf):
 WIDE = f"SELECT dseed, mseed, generation, max(value) FILTER (metric = 'click') AS click, max(value) FILTER (metric = 'view' AND dseed <> 2) AS view, max(value) FILTER (metric = 'purchase') AS purchase FROM ({RUNS}) GROUP BY 1, 2, 3"
 
 
-@query(f"SELECT dseed, mseed, generation, round((coalesce(click, 0) + coalesce(view, 0)) / ((click IS NOT NULL)::INTEGER + (view IS NOT NULL)::INTEGER), 6) AS average, round(purchase / 100.0, 6) AS purchase_rate FROM ({WIDE})")
+@query(f"SELECT dseed, mseed, generation, round((coalesce(click, 0) + coalesce(view, 0)) / nullif((click IS NOT NULL)::INTEGER + (view IS NOT NULL)::INTEGER, 0), 6) AS average, round(purchase / 100.0, 6) AS purchase_rate FROM ({WIDE})")
 def exp4_derived_metrics(spark, sf):
     wide = runs(spark, sf).groupBy("dseed", "mseed", "generation").agg(*[F.max(F.when(c, F.col("value"))).alias(n) for n, c in (("click", F.col("metric") == "click"), ("view", (F.col("metric") == "view") & (F.col("dseed") != 2)), ("purchase", F.col("metric") == "purchase"))])
     out = experiments.derived_metrics(wide, {"average": ["click", "view"]}, {"purchase_rate": "purchase"})
@@ -223,19 +223,19 @@ def exp6_dseed_average(spark, sf):
     return rounded(experiments.dseed_average(runs(spark, sf)), "value")
 
 
-#: The quantile for five degrees of freedom, as six data seeds have.
-T5 = experiments.t_quantile(0.975, 5)
-CI = f"SELECT generation, metric, avg(value) AS mean, stddev_samp(value) AS std, count(*) AS n, cast(sum(n_mseeds) AS BIGINT) AS total_obs, cast(count(*) - 1 AS INTEGER) AS df, cast({T5} AS DOUBLE) AS t_crit, stddev_samp(value) / sqrt(count(*)) AS se FROM ({AVERAGED}) GROUP BY 1, 2"
+#: The quantile by degrees of freedom, for up to six data seeds.
+T_SQL = "CASE greatest(count(*) - 1, 1) " + " ".join(f"WHEN {d} THEN cast({experiments.t_quantile(0.975, d)} AS DOUBLE)" for d in range(1, 6)) + " END"
+CI = f"SELECT *, std / sqrt(n) AS se, CASE WHEN n > 1 THEN t_crit ELSE 0 END AS half FROM (SELECT generation, metric, avg(value) AS mean, coalesce(stddev_samp(value), 0) AS std, count(*) AS n, cast(sum(n_mseeds) AS BIGINT) AS total_obs, cast(count(*) - 1 AS INTEGER) AS df, {T_SQL} AS t_crit FROM ({AVERAGED}) GROUP BY 1, 2)"
 _R = lambda *cs: ", ".join(f"round({x}, 6) AS {n}" for x, n in cs)
 
 
-@query(f"SELECT generation, metric, n, total_obs, df, {_R(('mean', 'mean'), ('std', 'std'), ('t_crit', 't_crit'), ('se', 'se'), ('mean - t_crit * se', 'ci_lower'), ('mean + t_crit * se', 'ci_upper'))} FROM ({CI})")
+@query(f"SELECT generation, metric, n, total_obs, df, {_R(('mean', 'mean'), ('std', 'std'), ('t_crit', 't_crit'), ('se', 'se'), ('mean - half * se', 'ci_lower'), ('mean + half * se', 'ci_upper'))} FROM ({CI})")
 def exp7_stratified_ci(spark, sf):
     ci = experiments.stratified_ci(experiments.dseed_average(runs(spark, sf)))
     return rounded(ci, "mean", "std", "t_crit", "se", "ci_lower", "ci_upper")
 
 
-@query(f"SELECT generation, metric, {_R(('mean - t_crit * std * sqrt(1 + 1.0 / n)', 'pi_lower'), ('mean + t_crit * std * sqrt(1 + 1.0 / n)', 'pi_upper'))} FROM ({CI})")
+@query(f"SELECT generation, metric, {_R(('mean - half * std * sqrt(1 + 1.0 / n)', 'pi_lower'), ('mean + half * std * sqrt(1 + 1.0 / n)', 'pi_upper'))} FROM ({CI})")
 def exp8_prediction_interval(spark, sf):
     ci = experiments.stratified_ci(experiments.dseed_average(runs(spark, sf)))
     return rounded(experiments.prediction_interval(ci).select("generation", "metric", "pi_lower", "pi_upper"), "pi_lower", "pi_upper")
