@@ -40,11 +40,12 @@ def normalised_lines(text: Column) -> Column:
 
 
 def window_hashes(words: Column) -> Column:
-    """A hash for each three-word window."""
-    return F.when(
-        F.size(words) >= 3,
-        F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))),
-    ).otherwise(F.array().cast("array<bigint>"))
+    """A hash for each three-word window; words are hashed once each, and windows from their words' hashes."""
+
+    def of_three(h: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(h) - 3), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)))
+
+    return F.when(F.size(words) >= 3, let(F.transform(words, lambda w: F.xxhash64(w)), of_three)).otherwise(F.array().cast("array<bigint>"))
 
 
 def repeated_words(hashes: Column) -> Column:
@@ -76,7 +77,7 @@ def base_statistics(docs: DataFrame) -> DataFrame:
         "source",
         F.size("words").cast("long").alias("n_words"),
         F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc + F.char_length(w)).alias("word_chars"),
-        (F.char_length("text") - F.char_length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        (F.char_length("text") - F.char_length(F.regexp_replace("text", "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         let(window_hashes(F.col("words")), repeated_words).cast("long").alias("n_repeat_words"),
     )
