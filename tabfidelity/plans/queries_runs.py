@@ -168,16 +168,16 @@ def rep5_repair_categories(spark, sf):
 
 # Experiments
 
-MODEL = "SELECT *, concat('lib_ctgan_net_', substr(md5(cast(dseed AS VARCHAR)), 1, 8), '_', substr(md5('r'), 1, 8), '_', substr(md5(cast(generation AS VARCHAR)), 1, 8), '_gen_', cast(generation AS VARCHAR), '_base_name_', substr(md5('c'), 1, 8), '_', cast(mseed AS VARCHAR)) AS model_id FROM ({})"
+MODEL = "SELECT *, concat('lib_two_part_', substr(md5(cast(dseed AS VARCHAR)), 1, 8), '_', substr(md5('r'), 1, 8), '_', substr(md5(cast(generation AS VARCHAR)), 1, 8), '_gen_', cast(generation AS VARCHAR), '_base_name_', substr(md5('c'), 1, 8), '_', cast(mseed AS VARCHAR)) AS model_id FROM ({})"
 
 
 def models(spark, sf):
     h = lambda c: F.substring(F.md5(c), 1, 8)
-    text = F.concat(F.lit("lib_ctgan_net_"), h(F.col("dseed").cast("string")), F.lit("_"), h(F.lit("r")), F.lit("_"), h(F.col("generation").cast("string")), F.lit("_gen_"), F.col("generation").cast("string"), F.lit("_base_name_"), h(F.lit("c")), F.lit("_"), F.col("mseed").cast("string"))
+    text = F.concat(F.lit("lib_two_part_"), h(F.col("dseed").cast("string")), F.lit("_"), h(F.lit("r")), F.lit("_"), h(F.col("generation").cast("string")), F.lit("_gen_"), F.col("generation").cast("string"), F.lit("_base_name_"), h(F.lit("c")), F.lit("_"), F.col("mseed").cast("string"))
     return runs(spark, sf).withColumn("model_id", text)
 
 
-@query(f"SELECT DISTINCT model_id, 'lib' AS library, 'ctgan_net' AS model, substr(md5(cast(dseed AS VARCHAR)), 1, 8) AS ref_hash, substr(md5('r'), 1, 8) AS root_hash, substr(md5(cast(generation AS VARCHAR)), 1, 8) AS training_hash, generation, 'base_name' AS name, substr(md5('c'), 1, 8) AS config_hash, cast(mseed AS INTEGER) AS seed FROM ({MODEL.format(RUNS)})")
+@query(f"SELECT DISTINCT model_id, 'lib' AS library, 'two_part' AS model, substr(md5(cast(dseed AS VARCHAR)), 1, 8) AS ref_hash, substr(md5('r'), 1, 8) AS root_hash, substr(md5(cast(generation AS VARCHAR)), 1, 8) AS training_hash, generation, 'base_name' AS name, substr(md5('c'), 1, 8) AS config_hash, cast(mseed AS INTEGER) AS seed FROM ({MODEL.format(RUNS)})")
 def exp1_parse_model_id(spark, sf):
     return experiments.parse_model_id(models(spark, sf).select("model_id").distinct(), "model_id")
 
