@@ -1,11 +1,15 @@
 """LM scoring by cross-entropy difference: matched target and background n-gram models over one vocabulary.
 
-Both models are interpolated bigram models with the same vocabulary (the most frequent words, all others as one
-unknown word), the same smoothing and the same table size; they differ only in the texts they count. Counts cover
-every document: each task counts its share, Spark sums the counts by word and by bigram bucket. Bigrams are hashed
-into a fixed number of buckets, so that the models which every task holds have a proven size
-(8 bytes a bucket and model) at any size of the corpus. A document's score is the mean over its tokens of
-the target loss minus the background loss; the lower, the more it resembles the target.
+Both models are interpolated bigram models with the same vocabulary (all words, or the most frequent ones and all
+others as one unknown word) and the same smoothing; they differ only in the texts they count. Counts cover every
+document and are exact: tasks count their share, Spark sums the counts by word and by pair of words, so the models
+grow with the corpus and stay on the executors. A pair's losses join the distinct pairs of each document by a
+shuffle; the most frequent pairs are broadcast instead, which changes no result and leaves no key with more than
+1 / hot_pairs of the tokens to the shuffle. A document's score is the mean over its tokens of the target loss minus the
+background loss; the lower, the more it resembles the target.
+
+Words travel as 64-bit digests; that no two words of the corpus share one is checked, and another seed is taken
+otherwise. Losses are summed in units of 2^-32, so that sums don't depend on their order.
 
 Defined results: null and wordless texts have no tokens and null losses and score; an empty target scores with its
 smoothing alone; rows that repeat a doc_id are scored each; a document counts for the target if its
@@ -17,31 +21,41 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sized_broadcast, table
+from .common import row_key, sized_broadcast, table, written
 
 _LOW = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+#: Stand for the unknown word and the boundary before a text; no word has them as its digest.
+UNKNOWN, BOUNDARY = 0, 1
+UNIT = float(1 << 32)
 
 
 @dataclass(frozen=True)
 class LmParams:
-    #: Words with an id of their own. The vocabulary is broadcast, about 100 bytes a word.
-    vocabulary: int = 50_000
-    #: Buckets of bigram counts, a power of two.
-    buckets: int = 1 << 18
+    #: The most frequent words that have an id of their own; None: all words.
+    vocabulary: int | None = None
+    #: Has no effect: counts are exact and not in buckets. Accepted for older callers.
+    buckets: int | None = None
     #: Weight of the bigram estimate.
     mix: float = 0.6
     #: Added to each word's count in both models.
     add: float = 0.1
     #: Target documents whose ids (about 30 bytes each) are broadcast; a shuffled join beyond.
     broadcast_ids: int = 500_000
-    #: Distinct words that a counting task holds before it hands them on.
+    #: Distinct words that a task holds before it hands them on or forgets them.
     most_words: int = 500_000
+    #: The most frequent pairs, whose losses (40 bytes each) are broadcast; all others are joined.
+    hot_pairs: int = 300_000
+    #: Words with more than this share of all tokens are salted where pairs meet their words' counts.
+    hot_share: float = 1e-4
+    salts: int = 32
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -49,23 +63,63 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_LOW).split()
 
 
-def bucket(first: np.ndarray, second: np.ndarray, p: LmParams) -> np.ndarray:
-    mixed = (first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (second.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (mixed >> np.uint64(40)).astype(np.int64) & (p.buckets - 1)
+def word_digest(word: bytes, seed: int) -> int:
+    """64 bits as a signed number, neither UNKNOWN nor BOUNDARY."""
+    d = int.from_bytes(blake2b(word, digest_size=8, salt=seed.to_bytes(8, "big")).digest(), "big", signed=True)
+    return d if d not in (UNKNOWN, BOUNDARY) else d + 2
+
+
+class Words:
+    """Numbers words as they come, and holds their digests: the boundary is number 0. known: digests that are not unknown, or None."""
+
+    def __init__(self, seed: int, known: frozenset[int] | None, most: int):
+        self.seed, self.known, self.most = seed, known, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers: dict[bytes, int] = {}
+        self.digests = [BOUNDARY, UNKNOWN]
+
+    def pairs(self, text: str | None) -> np.ndarray:
+        """The text's pairs of numbers in order, first << 32 | second."""
+        words = tokens(text)
+        numbers, digests = self.numbers, self.digests
+        for w in words:
+            if w not in numbers:
+                d = word_digest(w, self.seed)
+                if self.known is None or d in self.known:
+                    numbers[w] = len(digests)
+                    digests.append(d)
+                else:
+                    numbers[w] = 1
+        ids = np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words))
+        return np.concatenate([[0], ids[:-1]]).astype(np.int64) << 32 | ids if len(ids) else ids
 
+    def digests_of(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = np.array(self.digests, dtype=np.int64)
+        return d[pairs >> 32], d[pairs & 0xFFFFFFFF]
 
-def _count_words(p: LmParams):
-    """(text, target) -> (word, n, n_target)."""
+    def batch_ended(self) -> None:
+        if len(self.numbers) > self.most:
+            self.clear()
+
+
+def _batches(columns: dict[str, np.ndarray], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+    yield from pa.table(columns).to_batches(max_chunksize=rows)
+
+
+def _count_words(p: LmParams, seed: int):
+    """(text, target) -> (word, digest, n, n_target)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every, inside = Counter(), Counter()
 
-        def out() -> pa.RecordBatch:
+        def out() -> Iterator[pa.RecordBatch]:
             words = list(every)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([w.decode() for w in words], pa.string()), pa.array([every[w] for w in words], pa.int64()), pa.array([inside[w] for w in words], pa.int64())], ["word", "n", "n_target"]
-            )
+            yield from pa.table({
+                "word": pa.array([w.decode() for w in words], pa.string()), "digest": pa.array([word_digest(w, seed) for w in words], pa.int64()),
+                "n": pa.array([every[w] for w in words], pa.int64()), "n_target": pa.array([inside[w] for w in words], pa.int64()),
+            }).to_batches(max_chunksize=100_000)
 
         for b in batches:
             for text, target in zip(b.column("text"), b.column("target").to_pylist(), strict=True):
@@ -74,95 +128,150 @@ def _count_words(p: LmParams):
                 if target:
                     inside.update(words)
                 if len(every) > p.most_words:
-                    yield out()
+                    yield from out()
                     every.clear()
                     inside.clear()
-        yield out()
+        yield from out()
 
     return run
 
 
-def _ids(words: list[bytes], known: dict[bytes, int], unknown: int) -> np.ndarray:
-    return np.fromiter((known.get(w, unknown) for w in words), dtype=np.int64, count=len(words))
-
-
-def _count_bigrams(p: LmParams, vocabulary):
-    """(text, target) -> (bucket, n, n_target). The boundary before a text is the id after the unknown word's."""
+def _count_pairs(p: LmParams, seed: int, known):
+    """(text, target) -> (first, second, n, n_target)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary.value
-        unknown = len(known)
-        every, inside = np.zeros(p.buckets, dtype=np.int64), np.zeros(p.buckets, dtype=np.int64)
+        words = Words(seed, known and known.value, p.most_words)
         for b in batches:
+            every, inside = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
             for text, target in zip(b.column("text"), b.column("target").to_pylist(), strict=True):
-                ids = _ids(tokens(text.as_py()), known, unknown)
-                at, n = np.unique(bucket(np.concatenate([[unknown + 1], ids[:-1]]), ids, p), return_counts=True)
-                every[at] += n
+                every.append(words.pairs(text.as_py()))
                 if target:
-                    inside[at] += n
-        at = np.flatnonzero(every)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(every[at]), pa.array(inside[at])], ["bucket", "n", "n_target"])
+                    inside.append(every[-1])
+            pairs, n = np.unique(np.concatenate(every), return_counts=True)
+            chosen, n_chosen = np.unique(np.concatenate(inside), return_counts=True)
+            n_target = np.zeros(len(pairs), dtype=np.int64)
+            n_target[np.searchsorted(pairs, chosen)] = n_chosen
+            first, second = words.digests_of(pairs)
+            yield from _batches({"first": first, "second": second, "n": n.astype(np.int64), "n_target": n_target})
+            words.batch_ended()
 
     return run
 
 
-@dataclass(frozen=True)
-class NgramModel:
-    """Probabilities from counts: words (the unknown one last), contexts (those and the boundary), bigram buckets."""
+def _mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    mixed = (first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (second.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+class HotPairs:
+    """Losses of the most frequent pairs, found by bisection; of two pairs that share a place, one is not found."""
+
+    def __init__(self, found: pa.Table):
+        self.first, self.second, *losses = (found[c].to_numpy() for c in ("first", "second", "target_loss", "background_loss"))
+        self.mixed = _mixed(self.first, self.second)
+        order = np.argsort(self.mixed, kind="stable")
+        self.first, self.second, self.mixed = self.first[order], self.second[order], self.mixed[order]
+        self.losses = [x[order] for x in losses]
+
+    def find(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether a pair is there, its place)."""
+        if not len(self.mixed):
+            return np.zeros(len(first), dtype=bool), np.zeros(len(first), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.mixed, _mixed(first, second)), len(self.mixed) - 1)
+        return (self.first[at] == first) & (self.second[at] == second), at
+
+
+PARTS = "doc_id long, text_digest long, first long, second long, times long, copies long, n_tokens long, target_sum long, background_sum long"
 
-    words: np.ndarray
-    contexts: np.ndarray
-    bigrams: np.ndarray
 
-    def losses(self, ids: np.ndarray, p: LmParams) -> np.ndarray:
-        """-ln P of each id after the one before it."""
-        single = (self.words[ids] + p.add) / (self.words.sum() + p.add * len(self.words))
-        before = np.concatenate([[len(self.words)], ids[:-1]])
-        seen = self.contexts[before]
-        pair = np.minimum(self.bigrams[bucket(before, ids, p)], seen) / np.maximum(seen, 1)
-        return -np.log(np.where(seen > 0, p.mix * pair + (1 - p.mix) * single, single))
+def _parts(p: LmParams, seed: int, known, hot):
+    """(doc_id, text_digest, text) -> PARTS: a row per document with the sums over its hot pairs, and one for each other distinct pair.
 
+    The document's own row has times 0 and a key of its own in place of a pair, so those rows spread over all tasks of the join.
+    """
 
-def _score(p: LmParams, vocabulary, models):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary.value
-        target, background = models.value
+        words, losses = Words(seed, known and known.value, p.most_words), hot.value
         for b in batches:
-            out = []
-            for text in b.column("text"):
-                ids = _ids(tokens(text.as_py()), known, len(known))
-                out.append((len(ids), float(target.losses(ids, p).mean()), float(background.losses(ids, p).mean())) if len(ids) else (0, None, None))
-            n, inside, outside = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(inside, pa.float64()), pa.array(outside, pa.float64())], ["doc_id", "n_tokens", "target_loss", "background_loss"])
+            texts, doc_ids, digests = b.column("text"), b.column("doc_id"), b.column("text_digest").to_numpy()
+            for start in range(0, len(texts), 500):
+                rows = range(start, min(start + 500, len(texts)))
+                tokenised = [words.pairs(texts[i].as_py()) for i in rows]
+                distinct = [np.unique(x, return_counts=True) for x in tokenised]
+                pairs, times = np.concatenate([x for x, _ in distinct]), np.concatenate([n for _, n in distinct]).astype(np.int64)
+                row = np.repeat(np.arange(len(rows)), [len(x) for x, _ in distinct])
+                first, second = words.digests_of(pairs)
+                there, at = losses.find(first, second)
+                sums = [np.zeros(len(rows), dtype=np.int64) for _ in range(2)]
+                for total, loss in zip(sums, losses.losses, strict=True):
+                    np.add.at(total, row[there], times[there] * loss[at[there]])
+                ids, own, none = doc_ids.slice(start, len(rows)), digests[start : start + len(rows)], np.zeros(len(rows), dtype=np.int64)
+                head = (ids, own, own, np.arange(len(rows)), none, none + 1, np.array([len(x) for x in tokenised], dtype=np.int64), *sums)
+                cold, zero = row[~there], np.zeros(int((~there).sum()), dtype=np.int64)
+                tail = (ids.take(pa.array(cold)), own[cold], first[~there], second[~there], times[~there], zero, zero, zero, zero)
+                for part in (head, tail):
+                    yield from _batches({c.split()[0]: x for c, x in zip(PARTS.split(", "), part, strict=True)})
+            words.batch_ended()
 
     return run
 
 
+def pair_losses(pairs: DataFrame, words: DataFrame, totals: dict[str, int], p: LmParams) -> DataFrame:
+    """(first, second, n, target_loss, background_loss) of each pair; losses in units. words: (digest, n, n_target), with the boundary and the unknown word."""
+    common = words.where(F.col("n") > p.hot_share * totals["n"])  # 1 / hot_share words at most
+    salted = words.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > p.hot_share * totals["n"], F.lit(p.salts - 1)).otherwise(F.lit(0)))))
+
+    def with_counts(df: DataFrame, side: str, other: str) -> DataFrame:
+        flagged = df.join(F.broadcast(common.select(F.col("digest").alias(side), F.lit(True).alias("common"))), side, "left")
+        dealt = flagged.withColumn("salt", F.when(F.col("common"), F.pmod(F.xxhash64(other), F.lit(p.salts)).cast("int")).otherwise(F.lit(0))).drop("common")
+        return dealt.join(salted.select(F.col("digest").alias(side), "salt", *[F.col(c).alias(f"{side}_{c}") for c in ("n", "n_target")]), [side, "salt"]).drop("salt")
+
+    both = with_counts(with_counts(pairs, "first", "second"), "second", "first")
+
+    def loss(column: str) -> Column:
+        single = (F.col(f"second_{column}") + p.add) / (totals[column] + p.add * totals["words"])
+        seen = F.col(f"first_{column}")
+        mean = F.when(seen > 0, p.mix * F.col(column) / seen + (1 - p.mix) * single).otherwise(single)
+        return F.round(-F.log(mean) * UNIT).cast("long")
+
+    return both.select("first", "second", "n", loss("n_target").alias("target_loss"), loss("n").alias("background_loss"))
+
+
 def score(docs: DataFrame, target_ids: DataFrame, p: LmParams = LmParams()) -> DataFrame:
     """A row per row of docs: doc_id, n_tokens, target_loss, background_loss, score. target_ids: the doc_id of the target's documents."""
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
+    sc = spark.sparkContext
+    sums = [F.sum("n").alias("n"), F.sum("n_target").alias("n_target")]
     chosen = sized_broadcast(target_ids.select(F.col("doc_id").alias("chosen")).where("chosen is not null").distinct(), p.broadcast_ids)
     marked = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("chosen"), "left").select("text", F.col("chosen").isNotNull().alias("target"))
 
-    counts = marked.mapInArrow(_count_words(p), "word string, n long, n_target long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-    counts = counts.persist()
-    totals = counts.agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(p.vocabulary).toArrow()
-    counts.unpersist()
-    vocabulary = sc.broadcast({w.encode(): i for i, w in enumerate(top["word"].to_pylist())})
-    pairs = marked.mapInArrow(_count_bigrams(p, vocabulary), "bucket long, n long, n_target long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-    found = pairs.toArrow()  # p.buckets rows at most
-    n_docs = marked.agg(F.count_if(F.col("text").rlike(r"[^\x20\x09-\x0D]")).alias("n"), F.count_if(F.col("target") & F.col("text").rlike(r"[^\x20\x09-\x0D]")).alias("n_target")).first()
-
-    def model(column: str) -> NgramModel:
-        known = top[column].to_numpy().astype(np.float64)
-        words = np.append(known, (totals[column] or 0) - known.sum())
-        bigrams = np.zeros(p.buckets, dtype=np.float32)
-        bigrams[found["bucket"].to_numpy()] = found[column].to_numpy()
-        return NgramModel(words, np.append(words, n_docs[column] or 0), bigrams)
-
-    models = sc.broadcast((model("n_target"), model("n")))
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(p, vocabulary, models), "doc_id long, n_tokens long, target_loss double, background_loss double")
+    for seed in count():
+        counted = marked.mapInArrow(_count_words(p, seed), "word string, digest long, n long, n_target long").groupBy("word", "digest").agg(*sums)
+        counts = written(counted, "words")
+        if not counts.groupBy("digest").count().where("count > 1").limit(1).count():
+            break
+    totals = {k: v or 0 for k, v in counts.agg(*sums, F.count("*").alias("words")).first().asDict().items()}
+    has_words = F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    n_docs = marked.agg(F.count_if(has_words).alias("n"), F.count_if(F.col("target") & has_words).alias("n_target")).first()
+    words, known, others = counts.select("digest", "n", "n_target"), None, (0, 0)
+    if p.vocabulary is not None and p.vocabulary < totals["words"]:
+        top = counts.orderBy(F.desc("n"), "word").limit(p.vocabulary).drop("word").toArrow()
+        known = sc.broadcast(frozenset(top["digest"].to_pylist()))
+        others = [totals[c] - sum(top[c].to_pylist()) for c in ("n", "n_target")]
+        words, totals["words"] = spark.createDataFrame(top), len(top)
+    totals["words"] += 1  # the unknown word
+    words = words.unionAll(spark.createDataFrame([(UNKNOWN, *map(int, others)), (BOUNDARY, n_docs["n"], n_docs["n_target"])], words.schema))
+
+    pairs = marked.mapInArrow(_count_pairs(p, seed, known), "first long, second long, n long, n_target long").groupBy("first", "second").agg(*sums)
+    losses = written(pair_losses(pairs, words, totals, p), "pairs")
+    hot = sc.broadcast(HotPairs(losses.orderBy(F.desc("n"), "first", "second").limit(p.hot_pairs).drop("n").toArrow()))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(*row_key(), "text")
+    parts = keyed.mapInArrow(_parts(p, seed, known, hot), PARTS).join(losses.drop("n"), ["first", "second"], "left")
+    total = [F.sum(F.col(f"{m}_sum") + F.col("times") * F.coalesce(f"{m}_loss", F.lit(0))).alias(f"{m}_sum") for m in ("target", "background")]
+    # Equal rows are one group: their sums hold as many copies as there are rows.
+    rows = parts.groupBy("doc_id", "text_digest").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("copies").alias("copies"), *total)
+    mean = [F.when(F.col("n_tokens") > 0, F.col(f"{m}_sum") / UNIT / F.col("n_tokens")).alias(f"{m}_loss") for m in ("target", "background")]
+    scored = rows.select("doc_id", (F.col("n_tokens") / F.col("copies")).cast("long").alias("n_tokens"), *mean, F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_one")).drop("_one")
     return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 

@@ -395,6 +395,20 @@ def test_lm_scoring_of_odd_and_empty_tables(spark, odd):
     assert lm_scoring.score(odd.limit(0), odd.select("doc_id"), p).count() == 0
 
 
+def test_scores_use_all_words_and_pairs(spark):
+    """One-word chains: each pair and word occurs once, far more of them than any fixed vocabulary or table of buckets holds apart."""
+    rows = [(i, " ".join(f"d{i}x{k}" for k in range(3000))) for i in range(40)] + [(900, "hello"), (900, "hello")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    p = lm_scoring.LmParams(most_words=5000)
+    n, v, add = 120_002, 120_002, p.add
+    want_first = -np.log(p.mix * 1 / 42 + (1 - p.mix) * (1 + add) / (n + add * v))
+    want_other = -np.log(p.mix * 1 / 1 + (1 - p.mix) * (1 + add) / (n + add * v))
+    for hot in (0, 1000):
+        got = lm_scoring.score(docs, docs.where("doc_id < 2").select("doc_id"), lm_scoring.LmParams(most_words=5000, hot_pairs=hot)).collect()
+        assert len(got) == 42 and sum(r.doc_id == 900 and r.n_tokens == 1 for r in got) == 2
+        assert all(r.background_loss == pytest.approx((want_first + 2999 * want_other) / 3000, rel=1e-7) for r in got if r.doc_id != 900)
+
+
 # Pipeline
 
 
