@@ -3,9 +3,8 @@
 Lines are normalised and hashed; for each host the documents that hold a line are counted, lines above
 the host's limit are removed, and a document that loses too much is rejected.
 
-Copies: a document counts once per *content signature*, the smallest hash among its three-word windows.
-Copies and nearly all near copies share it, so that a text does not turn into boilerplate by being
-copied; documents that merely share a passage don't share it.
+Copies: documents count by their distinct texts, so that a text does not turn into boilerplate by being
+copied exactly; documents that differ anywhere count each, however much they share.
 
 Defined results: a null or empty text has no words (base_failed, not kept); a null host is a host of its
 own; rows that repeat a doc_id are judged each by their own text; extra columns pass through untouched.
@@ -85,29 +84,26 @@ def base_statistics(docs: DataFrame) -> DataFrame:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """A row per line of a document: key, source, signature, hash of the normalised line, words."""
-    words = words_of(F.col("text"), SPACE_WORD)
-    signature = F.coalesce(F.array_min(let(words, window_hashes)), F.xxhash64("text"))
-    rows = docs.where("text is not null").select(*row_key(), "source", signature.alias("signature"), normalised_lines(F.col("text")).alias("lines"))
-    # A select of its own: beside explode() the signature would be worked out anew for every line.
-    rows = rows.select("doc_id", "text_digest", "source", "signature", F.explode("lines").alias("line"))
-    return rows.select("doc_id", "text_digest", "source", "signature", F.xxhash64("line").alias("line"), F.regexp_count("line", F.lit(SPACE_WORD)).cast("long").alias("words"))
+    """A row per line of a document: key, source, hash of the normalised line, words."""
+    rows = docs.where("text is not null").select(*row_key(), "source", normalised_lines(F.col("text")).alias("lines"))
+    # A select of its own: beside explode() the digest would be worked out anew for every line.
+    rows = rows.select("doc_id", "text_digest", "source", F.explode("lines").alias("line"))
+    return rows.select("doc_id", "text_digest", "source", F.xxhash64("line").alias("line"), F.regexp_count("line", F.lit(SPACE_WORD)).cast("long").alias("words"))
 
 
 def frequent_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """(source, line, documents): the hashes of lines above their host's limit.
 
-    The distinct signatures are dealt by (host, line, signature) and summed afterwards, so a line that
+    The distinct texts are dealt by (host, line, text) and summed afterwards, so a line that
     most documents share is spread over all tasks.
     """
     lines = _lines(docs)
-    counts = lines.groupBy("source", "line").agg(F.count_distinct("signature").alias("documents")).where(F.col("documents") > rules.min_documents)
-    words = words_of(F.col("text"), SPACE_WORD)
+    counts = lines.groupBy("source", "line").agg(F.count_distinct("text_digest").alias("documents")).where(F.col("documents") > rules.min_documents)
     hosts = (
         docs.where("text is not null")
-        .select("source", F.coalesce(F.array_min(let(words, window_hashes)), F.xxhash64("text")).alias("signature"))
-        .groupBy(F.col("source").alias("host"))
-        .agg(F.count_distinct("signature").alias("host_documents"))
+        .select(F.col("source").alias("host"), F.xxhash64("text").alias("text_digest"))
+        .groupBy("host")
+        .agg(F.count_distinct("text_digest").alias("host_documents"))
     )
     return (
         counts.join(hosts, F.col("source").eqNullSafe(F.col("host")))

@@ -82,6 +82,17 @@ def test_frequent_lines_go_and_depleted_documents(spark):
     assert cleaned[0] == body[0] and 300 not in cleaned
 
 
+def test_documents_of_a_template_count_each(spark):
+    """100 of 1,000 documents are nine tenths template: its line is in 10 % of them, so it goes, and they with it."""
+    template = " ".join(f"t{i}" for i in range(90))
+    letters = str.maketrans("0123456789", "abcdefghij")  # digits are one in normalised lines
+    own = [" ".join(f"x{i}y{k}".translate(letters) for k in range(10 if i < 100 else 100)) for i in range(1000)]
+    docs = spark.createDataFrame([(i, f"{template}\n{t}" if i < 100 else t, "a") for i, t in enumerate(own)], "doc_id long, text string, source string")
+    assert [r.documents for r in quality_rules.frequent_lines(docs).collect()] == [100]
+    got = {r.doc_id: r for r in quality_rules.judge_lines(docs).collect()}
+    assert all((r.removed_words, r.kept) == ((90, False) if i < 100 else (0, True)) for i, r in got.items()) and len(got) == 1000
+
+
 def test_quality_rules_on_odd_and_empty_tables(odd):
     got = quality_rules.judge_lines(odd)
     assert got.agg(F.sum("copies")).first()[0] == len(TEXTS)
