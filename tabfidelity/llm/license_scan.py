@@ -1,7 +1,7 @@
 """License scans (JVM-side only): ordered signature rules over the words of a text.
 
-A keyword prefilter picks the texts that can hold a license line and the rules whose keyword occurs in them; only
-those regexes run. Each detection is an interval with the rule's priority; one that lies within an interval of
+A prefilter picks the rules whose keyword and whose template's cue occur among a text's words; only those regexes
+run. It follows from the rules: whatever a regex matches holds both as whole words. Each detection is an interval with the rule's priority; one that lies within an interval of
 higher priority, or within a longer one of the same priority, is suppressed. What remains gives the labels.
 
 Defined results: null and wordless texts have no detections, no places and empty labels; equal intervals of one
@@ -10,6 +10,7 @@ priority all stay; rows that repeat a doc_id are scanned each by their own text;
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,13 +76,13 @@ LICENSES = (
     ("python-2.0", "psf", "psf"),
     ("ecl-2.0", "educational", "educational community(?: license)?(?: version| v)?(?: 2 0)?"),
 )
-#: How a license is spoken of: template, priority, confidence. {} stands for the name.
+#: How a license is spoken of: template, priority, confidence, cues (words, of which each match holds one). {} stands for the name.
 TEMPLATES = (
-    ("spdx license identifier {}(?: only| or later)?", 4, 0.99),
-    ("(?:licensed|released|distributed|published|available|provided|covered|redistributed) (?:to you )?under (?:the )?(?:terms of )?(?:the )?{}(?: licen[cs]e)?(?: version [1-4](?: [0-9])?)?", 3, 0.95),
-    ("(?:subject to|governed by|according to|terms of|under) (?:the )?(?:terms of )?(?:the )?{}(?: licen[cs]e)?", 2, 0.85),
-    ("licen[cs]e {}", 2, 0.8),
-    ("{} licen[cs]e(?: version [1-4](?: [0-9])?)?", 1, 0.7),
+    ("spdx license identifier {}(?: only| or later)?", 4, 0.99, ("license",)),
+    ("(?:licensed|released|distributed|published|available|provided|covered|redistributed) (?:to you )?under (?:the )?(?:terms of )?(?:the )?{}(?: licen[cs]e)?(?: version [1-4](?: [0-9])?)?", 3, 0.95, ("under",)),
+    ("(?:subject to|governed by|according to|terms of|under) (?:the )?(?:terms of )?(?:the )?{}(?: licen[cs]e)?", 2, 0.85, ("subject", "governed", "according", "terms", "under")),
+    ("licen[cs]e {}", 2, 0.8, ("license", "licence")),
+    ("{} licen[cs]e(?: version [1-4](?: [0-9])?)?", 1, 0.7, ("license", "licence")),
 )
 #: Rules without a license's name: label, keyword, regex, priority, confidence.
 NOTICES = (
@@ -97,18 +98,27 @@ NOTICES = (
     ("copyleft", "copyleft", "copyleft", 1, 0.5),
 )
 PRIORITIES = (1, 2, 3, 4)
-#: A text without any of these holds no license line.
-GATE = r"(?i)licen[cs]e|spdx|rights reserved|public domain|copyright|warranty|redistribut|reproduced|proprietary|permission is|copyleft"
 BASE_CONFIDENCE = 0.6
 
 
+def spellings(keyword: str, pattern: str) -> list[str]:
+    """The words that stand for a keyword: itself, and with a version's digit after it where the pattern takes that."""
+    glued = [f"{keyword}{d}" for d in range(10) if any(re.fullmatch(pattern, f"{keyword}{d}{rest}") for rest in ("", " 0", " 1"))]
+    return [keyword, *glued]
+
+
+def _rule_rows() -> list[tuple[list[str], list[str], str, str, int, float]]:
+    """(keywords, cues, regex, label, priority, confidence)."""
+    rows = [(spellings(key, name), [*cues], text.replace("{}", f"(?:{name})"), label, priority, sure) for label, key, name in LICENSES for text, priority, sure, cues in TEMPLATES]
+    return rows + [([key], [key], text, label, priority, sure) for label, key, text, priority, sure in NOTICES]
+
+
 def rules(spark: SparkSession) -> DataFrame:
-    """(keyword, pattern, label, priority, confidence): every template with every name, and the notices."""
-    rows = [(key, text.replace("{}", f"(?:{name})"), label, priority, sure) for label, key, name in LICENSES for text, priority, sure in TEMPLATES]
-    rows += [(key, text, label, priority, sure) for label, key, text, priority, sure in NOTICES]
+    """(keywords, cues, pattern, label, priority, confidence): every template with every name, and the notices."""
+    words = lambda x: F.array(*map(F.lit, x))
     structs = [
-        F.struct(F.lit(k).alias("keyword"), F.lit(f"(?<= )(?:{t})(?= )").alias("pattern"), F.lit(label).alias("label"), F.lit(n).alias("priority"), F.lit(float(c)).alias("confidence"))
-        for k, t, label, n, c in rows
+        F.struct(words(k).alias("keywords"), words(cues).alias("cues"), F.lit(f"(?<= )(?:{t})(?= )").alias("pattern"), F.lit(label).alias("label"), F.lit(n).alias("priority"), F.lit(float(c)).alias("confidence"))
+        for k, cues, t, label, n, c in _rule_rows()
     ]
     return spark.range(1, numPartitions=1).select(F.inline(F.array(*structs)))
 
@@ -129,19 +139,26 @@ def _places(text: Column, pattern: Column) -> Column:
     return let(F.struct(F.slice(F.split(text, pattern, -1), 1, F.size(whole)).alias("gap"), whole.alias("whole")), folded)
 
 
-def detections(docs: DataFrame) -> DataFrame:
+def detections(docs: DataFrame, prefilter: bool = True) -> DataFrame:
     """(doc_id, text_digest, start, end, label, priority, confidence): what no other detection contains.
 
-    Places count characters of the text's lower-cased words with single spaces between and around them.
+    Places count characters of the text's lower-cased words with single spaces between and around them. Without
+    prefilter all rules run on all texts, with the same result.
     """
     ruled = rules(docs.sparkSession)
-    keywords = F.array(*[F.lit(k) for k in sorted({k for _, k, _ in LICENSES} | {k for _, k, *_ in NOTICES})])
-    gated = docs.where(F.col("text").rlike(GATE)).select(*row_key(), words_of(lower_ascii(F.col("text")), ALNUM_WORD).alias("words")).distinct()
-    plain = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-    gated = gated.select("doc_id", "text_digest", plain.alias("plain"), F.array_intersect(keywords, "words").alias("keywords"))
-    asked = gated.select("doc_id", "text_digest", "plain", F.explode("keywords").alias("keyword"))
-    found = asked.join(F.broadcast(ruled), "keyword").where(F.expr("rlike(plain, pattern)"))  # a few hundred rules at any size of docs
+    read = docs.where("text is not null").select(*row_key(), words_of(lower_ascii(F.col("text")), ALNUM_WORD).alias("words"))
+    plain = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("plain")
+    if prefilter:
+        keys, cues = (F.array(*[F.lit(k) for k in sorted({k for row in _rule_rows() for k in row[at]})]) for at in (0, 1))
+        held = read.select("doc_id", "text_digest", "words", F.array_intersect(cues, "words").alias("held_cues"), F.array_intersect(keys, "words").alias("held"))
+        held = held.where((F.size("held_cues") > 0) & (F.size("held") > 0)).select("doc_id", "text_digest", plain, "held_cues", F.explode("held").alias("keyword"))
+        named = ruled.withColumn("keyword", F.explode("keywords"))
+        asked = held.join(F.broadcast(named), "keyword").where(F.arrays_overlap("held_cues", "cues"))  # a few hundred rules at any size of docs
+    else:
+        asked = read.select("doc_id", "text_digest", plain).crossJoin(F.broadcast(ruled))
+    found = asked.where(F.expr("rlike(plain, pattern)"))
     found = found.select("doc_id", "text_digest", "label", "priority", "confidence", F.inline(_places(F.col("plain"), F.col("pattern"))))
+    found = found.distinct()  # of equal rows, and of rules found by two of their keywords
     doc = ("doc_id", "text_digest")
     upto = Window.partitionBy(*doc).orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     own = Window.partitionBy(*doc, "priority").orderBy("start")

@@ -1,6 +1,7 @@
 """Each operator against brute force, on odd rows and on the smallest test tables."""
 
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -290,6 +291,54 @@ def test_license_rules(spark):
     assert len(license_scan.LICENSES) * len(license_scan.TEMPLATES) + len(license_scan.NOTICES) > 200
 
 
+def said_by(pattern, pick):
+    """A text that the pattern matches; pick chooses from a list."""
+
+    def said(nodes):
+        out = ""
+        for op, arg in nodes:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(arg)
+            elif name == "IN":
+                out += pick([chr(c) for kind, x in arg for c in ([x] if str(kind) == "LITERAL" else range(x[0], x[1] + 1))])
+            elif name == "BRANCH":
+                out += said(pick(arg[1]))
+            elif name == "SUBPATTERN":
+                out += said(arg[-1])
+            else:
+                low, high, inner = arg
+                out += "".join(said(inner) for _ in range(pick(list(range(low, high + 1)))))
+        return out
+
+    return said(re._parser.parse(pattern))
+
+
+def test_license_prefilter_loses_nothing(spark):
+    named = {
+        1: ("Released under GPLv3.", "gpl-3.0"), 2: ("distributed under the terms of the Apache 2.0", "apache-2.0"), 3: ("governed by the BSD", "bsd"), 4: ("All rights\n* reserved", "all-rights-reserved"),
+        5: ("in the public\ndomain", "public-domain"), 6: ("under GPL2", "gpl-2.0"), 7: ("license: MPL2", "mpl-2.0"), 8: ("available under LGPL3", "lgpl"), 9: ("Apache2 license", "apache-2.0"), 10: ("the terms of GPL3", "gpl-3.0"),
+    }
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame([(i, t) for i, (t, _) in named.items()], "doc_id long, text string")).collect()}
+    assert {i: x for i, (_, x) in named.items() if x not in got[i]["labels"].split(",") or not got[i].score} == {}
+    pick = random.Random(9).choice
+    patterns = [t.replace("{}", f"(?:{name})") for _, _, name in license_scan.LICENSES for t, *_ in license_scan.TEMPLATES] + [x[2] for x in license_scan.NOTICES]
+    rows = [(n, f"so {said_by(x, how)} it") for n, (x, how) in enumerate((x, how) for x in patterns for how in (min_of, max_of, pick, pick))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).persist()
+    columns = ("doc_id", "start", "end", "label", "priority", "confidence")
+    gated = pairs(license_scan.detections(docs), *columns)
+    assert gated == pairs(license_scan.detections(docs, prefilter=False), *columns)
+    assert {r[0] for r in gated} == set(range(len(rows)))
+
+
+def min_of(choices):
+    return choices[0]
+
+
+def max_of(choices):
+    return choices[-1]
+
+
 def test_license_scan_of_odd_rows(odd):
     assert license_scan.scan(odd).count() == len(TEXTS) and license_scan.scan(odd.limit(0)).count() == 0
 
