@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
-#: Java patterns of the two kinds of words.
-SPACE_WORD = r"[^\x20\x09-\x0D]+"
-ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words as ALNUM_WORD in a text whose case is kept.
-ALNUM_WORD_CASED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Java patterns of the two kinds of words: without the ASCII white space, and without all ASCII but letters and digits
+#: (which is [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ in a text whose A-Z are lower-cased). Classes by name are looked up in a table.
+SPACE_WORD = r"\S+"
+ALNUM_WORD = r"[\p{Alnum}\P{ASCII}]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

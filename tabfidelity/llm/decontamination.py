@@ -1,7 +1,12 @@
-"""Benchmark decontamination (JVM-side only): a hash set of normalised test n-grams is scanned for in every
-window of the training texts; hits are verified word by word, then spans or documents are removed.
+"""Benchmark decontamination (JVM-side only): a hash set of normalised test n-grams is scanned for in the
+windows of the training texts; hits are verified word by word, then spans or documents are removed.
 
-The n-grams are broadcast up to a checked number of rows; beyond it the windows meet them in a shuffled join.
+The scan reads each text once and splits it into words once. A window of L consecutive words, wherever it starts,
+holds a whole part of L - s + 1 words whose place is a multiple of s = L // 2. So the parts at those places are looked up in the
+broadcast hash set of the parts of all test n-grams; only texts with a part in common go on to have every window compared. Parts are
+lower-cased in full, which joins more than the contract's A-Z and loses none.
+
+Parts and n-grams are broadcast up to a checked number of rows; beyond it they meet the texts' in a shuffled join.
 
 Defined results: null and wordless texts and items have no windows; an item of fewer words than a window is one
 window; items that repeat a text are all reported, null item_ids are not named; rows that repeat a doc_id
@@ -10,12 +15,13 @@ are scanned each by their own text; extra columns are ignored, or kept by the re
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, ALNUM_WORD_CASED, checkpointed, lower_ascii, row_key, small_enough, table, words_of
+from .common import ALNUM_WORD, checkpointed, let, lower_ascii, row_key, sized_broadcast, small_enough, table, words_of, written
 
 
 @dataclass(frozen=True)
@@ -23,6 +29,8 @@ class Contamination:
     window: int = 10
     #: N-grams (about 200 bytes each) up to which they are broadcast.
     broadcast_rows: int = 200_000
+    #: Parts of n-grams (a number each), and keys of documents that go on, up to which they are broadcast.
+    broadcast_keys: int = 1_000_000
     #: remove(): documents with more than this share of their words hit go, the others lose the hit words.
     max_hit_share: float = 0.5
 
@@ -37,16 +45,50 @@ def item_windows(benchmark: DataFrame, p: Contamination) -> DataFrame:
     )
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, p: Contamination = Contamination()) -> DataFrame:
-    """A row per document with hits: doc_id, text_digest, places (sorted numbers of hit words, from 0), items (distinct)."""
+def _stride(length: int) -> int:
+    return max(1, length // 2)
+
+
+def _parts(length: int, step: int) -> Callable[[Column], Column]:
+    """words -> hashes of the parts for windows of that length, at every step-th place."""
+    size = length - _stride(length) + 1
+
+    def of(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(words) - size + 1, F.lit(step))
+        return F.when(F.size(words) >= length, F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, F.lit(size))))).otherwise(F.array().cast("array<bigint>"))
+
+    return of
+
+
+@dataclass(frozen=True)
+class Scan:
+    #: A row per row of the documents: doc_id, text_digest, n_words.
+    rows: DataFrame
+    #: A row per document with hits: doc_id, text_digest, places (sorted numbers of hit words, from 0), items (distinct).
+    found: DataFrame
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, p: Contamination = Contamination()) -> Scan:
     grams = checkpointed(item_windows(benchmark, p))
-    lengths = sorted(r["length"] for r in grams.select("length").distinct().collect())  # at most p.window numbers
-    if not lengths:
-        lengths = [p.window]
+    lengths = sorted(r["length"] for r in grams.select("length").distinct().collect()) or [p.window]  # at most p.window numbers
+
+    words = words_of(F.lower("text"), ALNUM_WORD)
+    summary = let(words, lambda w: F.struct(F.size(w).alias("n_words"), F.array_distinct(F.concat(*[_parts(n, _stride(n))(w) for n in lengths])).alias("parts")))
+    rows = docs.select(*row_key(), summary.alias("summary")).select("doc_id", "text_digest", "summary.*")
+    rows = written(rows, "text-parts")
+    lowered = F.transform("gram", lambda w: F.lower(w))
+    item_parts = F.coalesce(*[F.when(F.col("length") == n, let(lowered, _parts(n, 1))) for n in lengths])
+    item_parts = checkpointed(grams.select(F.explode(item_parts).alias("part")).distinct())
+    near = rows.select("doc_id", "text_digest", F.explode("parts").alias("part")).join(sized_broadcast(item_parts, p.broadcast_keys), "part", "left_semi")
+    near = checkpointed(near.select("doc_id", "text_digest").distinct())
+    keys = sized_broadcast(near.select(F.col("doc_id").alias("near_id"), F.col("text_digest").alias("near_digest")), p.broadcast_keys)
+    keyed = docs.select(*row_key(), "text").where("text is not null")
+    texts = keyed.join(keys, F.col("doc_id").eqNullSafe(F.col("near_id")) & (F.col("text_digest") == F.col("near_digest")), "left_semi")
+
     broadcast = small_enough(grams, p.broadcast_rows)
     grams = grams.select("hash", F.col("gram").alias("item_gram"), "items")
     grams = F.broadcast(grams) if broadcast else grams
-    words = docs.select(*row_key(), words_of(lower_ascii(F.col("text")), ALNUM_WORD).alias("words"))
+    words = texts.select("doc_id", "text_digest", words_of(lower_ascii(F.col("text")), ALNUM_WORD).alias("words"))
     found = None
     for length in lengths:
         starts = words.where(F.size("words") >= length).select("doc_id", "text_digest", "words", F.explode(F.sequence(F.lit(1), F.size("words") - length + 1)).alias("start"))
@@ -57,22 +99,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, p: Contamination = Contamination
             met = starts.select("doc_id", "text_digest", "start", gram.alias("gram")).join(grams, (F.xxhash64("gram") == F.col("hash")) & (F.col("gram") == F.col("item_gram")))
         part = met.select("doc_id", "text_digest", (F.col("start") - 1).alias("at"), F.lit(length).alias("length"), "items")
         found = part if found is None else found.unionAll(part)
-    return (
-        found.groupBy("doc_id", "text_digest")
-        .agg(
-            F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("at", "length")), lambda h: F.sequence(h["at"], h["at"] + h["length"] - 1))))).alias("places"),
-            F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
-        )
+    found = found.groupBy("doc_id", "text_digest").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("at", "length")), lambda h: F.sequence(h["at"], h["at"] + h["length"] - 1))))).alias("places"),
+        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
     )
+    return Scan(rows.select("doc_id", "text_digest", F.col("n_words").cast("long").alias("n_words")), found)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, p: Contamination = Contamination()) -> DataFrame:
     """A row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    rows = docs.select(*row_key(), F.coalesce(F.regexp_count(lower_ascii(F.col("text")), F.lit(ALNUM_WORD)), F.lit(0)).cast("long").alias("n_words"))
-    found = hits(docs, benchmark, p).select(
-        F.col("doc_id").alias("hit_id"), F.col("text_digest").alias("hit_digest"), F.size("places").cast("long").alias("n_hit"), "items"
-    )
-    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_digest") == F.col("hit_digest")), "left")
+    scanned = hits(docs, benchmark, p)
+    found = scanned.found.select(F.col("doc_id").alias("hit_id"), F.col("text_digest").alias("hit_digest"), F.size("places").cast("long").alias("n_hit"), "items")
+    joined = scanned.rows.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_digest") == F.col("hit_digest")), "left")
     names = F.coalesce(F.array_sort(F.transform("items", lambda i: i.cast("string"))), F.array().cast("array<string>"))
     return joined.select(
         "doc_id",
@@ -86,18 +124,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, p: Contamination = Contamination
 
 def _without(text: Column, places: Column) -> Column:
     """text without the words at places; what stands between words stays."""
-    gaps = F.split(text, ALNUM_WORD_CASED, -1)
-    left = F.transform(words_of(text, ALNUM_WORD_CASED), lambda w, i: F.when(F.array_contains(places, i), F.lit("")).otherwise(w))
+    gaps = F.split(text, ALNUM_WORD, -1)
+    left = F.transform(words_of(text, ALNUM_WORD), lambda w, i: F.when(F.array_contains(places, i), F.lit("")).otherwise(w))
     return F.array_join(F.zip_with(gaps, left, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, p: Contamination = Contamination()) -> DataFrame:
     """docs without the hit words, and without documents that are mostly hits. Columns as they are (n_chars, if there, renewed)."""
-    found = hits(docs, benchmark, p).select(F.col("doc_id").alias("__hit_id"), F.col("text_digest").alias("__hit_digest"), F.col("places").alias("__places"))
+    found = hits(docs, benchmark, p).found.select(F.col("doc_id").alias("__hit_id"), F.col("text_digest").alias("__hit_digest"), F.col("places").alias("__places"))
     joined = docs.join(
         found, F.col("doc_id").eqNullSafe(F.col("__hit_id")) & (F.coalesce(F.xxhash64("text"), F.lit(0)) == F.col("__hit_digest")), "left"
     )
-    n_words = F.regexp_count("text", F.lit(ALNUM_WORD_CASED))
+    n_words = F.regexp_count("text", F.lit(ALNUM_WORD))
     kept = joined.where(F.col("__places").isNull() | (F.size("__places") <= p.max_hit_share * n_words))
     out = kept.withColumn("text", F.when(F.col("__places").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("__places"))))
     if "n_chars" in docs.columns:

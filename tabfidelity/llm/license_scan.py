@@ -191,7 +191,7 @@ def scan(docs: DataFrame) -> DataFrame:
     low = lower_ascii(F.col("text"))
     nothing = F.array().cast("array<struct<start:int,label:string>>")
     base = F.when(F.coalesce(low, F.lit("")).contains("license"), let(words_of(low, ALNUM_WORD), _base_places)).otherwise(nothing)
-    rows = docs.select(*row_key(), F.coalesce(F.regexp_count(low, F.lit(ALNUM_WORD)), F.lit(0)).cast("long").alias("n_words"), base.alias("base"))
+    rows = docs.select(*row_key(), F.coalesce(F.regexp_count("text", F.lit(ALNUM_WORD)), F.lit(0)).cast("long").alias("n_words"), base.alias("base"))
     found = (
         detections(docs)
         .groupBy(F.col("doc_id").alias("d_id"), F.col("text_digest").alias("d_digest"))

@@ -160,6 +160,18 @@ def test_contamination(spark, odd, texts, limit):
     assert got == sorted(want, key=repr)
 
 
+def test_items_of_every_length_at_every_place(spark):
+    """Parts are looked up at some places only; no window may slip between them."""
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in range(1, 14)]
+    rows = [(100 * n + at, " ".join([f"w{k}" for k in range(at)] + [t.upper()] + ["end"] * (at % 3))) for n, t in items for at in range(13)]
+    rows += [(5000 + n, " ".join(t.split()[1:])) for n, t in items]
+    docs, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontamination.scan(docs, b).collect()}
+    for d, t in rows:
+        n, hit, found = brute.contamination(t, items)
+        assert got[d] == (n, len(hit), len(found)), d
+
+
 def test_removing_hits(spark):
     b = spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "Start! A b, c d e f g h i j K end; " + "pad " * 20, 9), (2, "a b c d e f g h i j", 9), (3, None, None), (4, "clean text", 10)], "doc_id long, text string, n_chars long")
