@@ -91,7 +91,7 @@ def settled(df: DataFrame, rows_each: int = 200_000) -> tuple[DataFrame, int]:
     return df.coalesce(most), n
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", broadcast_rows: int = 400_000) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", broadcast_rows: int = 50_000) -> DataFrame:
     """(node, component): the smallest node reachable over edges. Nodes without edges don't occur.
 
     By contraction: each node points to its smallest neighbour, pointers are followed to their ends by doubling, and

@@ -104,8 +104,8 @@ def test_quality_rules_on_odd_and_empty_tables(odd):
 # Jaccard join
 
 
-@pytest.mark.parametrize(("block", "broadcast"), [(4000, 400_000), (4, 2)])
-def test_components_match_brute_force(spark, texts, block, broadcast):
+@pytest.mark.parametrize(("block", "broadcast", "hot"), [(1_000_000, 50_000, 32), (300, 2, 2)])
+def test_components_match_brute_force(spark, texts, block, broadcast, hot):
     made = [(d, t) for d, t in TEXTS if d not in (None, 5)] + [(5, LONG)] + [(1000 + i, " ".join(rng.sample(NEAR[i % 12].split(), 118))) for i in range(4)]
     for i in range(40):  # chains of edits around the threshold
         words = BASE[:60]
@@ -113,7 +113,7 @@ def test_components_match_brute_force(spark, texts, block, broadcast):
         made.append((2000 + i, " ".join(words)))
     made += list(texts.items())[:0]
     docs = spark.createDataFrame(made, "doc_id long, text string")
-    p = jaccard_join.JoinParams(block=block, broadcast_rows=broadcast)
+    p = jaccard_join.JoinParams(block_shingles=block, broadcast_rows=broadcast, hot=hot, probes=3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.components(docs, p).collect()}
     assert got == brute.components(made)
 
@@ -129,13 +129,24 @@ def test_one_document_of_each_group(spark, odd):
     ids = [r.doc_id for r in kept.collect()]
     assert set(ids) >= {None, 1, 2, 3, 4, 5, 6, 20} and not set(ids) & {7, *range(21, 32)}
     assert jaccard_join.components(odd.limit(0)).count() == 0
+    assert jaccard_join.one_of_each(odd.limit(0)).count() == 0
+
+
+def test_one_row_of_equal_ones_and_of_null_ids(spark):
+    text = " ".join(BASE)
+    rows = [(None, text), (None, text), (5, text), (5, NEAR[0]), (9, text), (None, "alone w1 w2 w3 w4"), (None, "alone w1 w2 w3 w4"), (None, ""), (None, "")]
+    kept = pairs(jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "text")
+    assert [r for r in kept if r[0] is not None] in ([(5, text)], [(5, NEAR[0])])
+    assert [r for r in kept if r[0] is None] == sorted([(None, "alone w1 w2 w3 w4"), (None, ""), (None, "")], key=repr)
 
 
 def test_search_by_dividing_lists():
     sets = [np.arange(0, 100), np.arange(3, 100), np.arange(50, 150), np.arange(0, 97)]
-    links = jaccard_join.search([s.astype(np.int64) for s in sets], np.arange(4), np.ones(4, bool), jaccard_join.JoinParams())
-    joined = {frozenset(x) for x in links}
-    assert joined <= {frozenset(x) for x in ((0, 1), (0, 3), (1, 3))} and len(joined) == 2
+    for heap in (0, 2_000):
+        links, of = jaccard_join.search([s.astype(np.int64) for s in sets], np.arange(4), np.ones(4, bool), jaccard_join.JoinParams(heap_entries=heap))
+        joined = {frozenset(x) for x in links}
+        assert joined <= {frozenset(x) for x in ((0, 1), (0, 3), (1, 3))} and len(joined) == 2
+        assert of[0] == of[1] == of[3] != of[2]
 
 
 # Decontamination
