@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame
@@ -143,16 +144,43 @@ def _confidence(n: Column) -> Column:
     return F.when(n >= 1000, "high").when(n >= 500, "medium").when(n >= 50, "low").otherwise("very low")
 
 
+#: Rules in order, the first that holds gives the reading: least real and below real, below synthetic (and least), least and below quality; None: any.
+#: (reading, real from, real below, synthetic from, synthetic below, quality from, quality below)
+FLAGS = (
+    ("✓", 0.70, None, None, None, 0.80, None),
+    ("✓", None, 0.30, None, 0.30, None, None),
+    ("✓", 0.50, None, None, None, 0.65, None),
+    ("✗", 0.70, None, None, None, None, 0.60),
+)
+DIAGNOSES = (
+    ("Strong correlation well preserved", 0.80, None, None, None, 0.85, None),
+    ("Strong correlation preserved", 0.70, None, None, None, 0.75, None),
+    ("Weak correlation correctly reproduced", None, 0.25, None, 0.25, None, None),
+    ("Model failed to capture strong trend", 0.70, None, None, None, None, 0.50),
+    ("Synthetic created spurious correlation", None, 0.40, 0.70, None, None, 0.50),
+    ("Moderate correlation preserved", 0.50, None, None, None, 0.65, None),
+    ("Weak correlation correctly reproduced", None, 0.30, None, None, None, None),
+)
+
+
+def _reading(rules: Sequence[tuple], missing: str, otherwise: str) -> Column:
+    """The first rule that holds, over real_association, synthetic_association and quality."""
+    names = ("real_association", "synthetic_association", "quality")
+    unknown = reduce(Column.__or__, [F.col(n).isNull() | F.isnan(n) for n in names])
+    out = F.when(unknown, missing)
+    for reading, *ends in rules:
+        held = [c for n, low, high in zip(names, ends[::2], ends[1::2], strict=True) for c in (low is not None and F.col(n) >= low, high is not None and F.col(n) < high) if c is not False]
+        out = out.when(reduce(Column.__and__, held), reading)
+    return out.otherwise(otherwise)
+
+
 def pair_diagnostics(real: DataFrame, synthetic: DataFrame, categorical: Sequence[str], numeric: Sequence[str]) -> DataFrame:
     """A row per pair: real and synthetic association, n, quality, flag, confidence, diagnosis."""
     key = ["column_1", "column_2"]
     r = association_matrix(real, categorical, numeric).select(*key, "kind", F.col("value").alias("real_association"), F.col("n"))
     s = association_matrix(synthetic, categorical, numeric).select(*key, F.col("value").alias("synthetic_association"))
     out = r.join(s, key).join(pair_trends(real, synthetic, categorical, numeric).withColumnRenamed("score", "quality"), key, "left")
-    q, gap = F.col("quality"), F.col("synthetic_association") - F.col("real_association")
-    flag = F.when(q.isNull(), "-").when(q >= 0.9, "ok").when(q >= 0.7, "warning").otherwise("bad")
-    diagnosis = F.when(q.isNull(), "not comparable").when(F.col("n") < 50, "too few rows").when(q >= 0.9, "kept").when(gap > 0.1, "association too strong").when(gap < -0.1, "association too weak").otherwise("different shape")
-    return out.withColumns({"flag": flag, "confidence": _confidence(F.col("n")), "diagnosis": diagnosis})
+    return out.withColumns({"flag": _reading(FLAGS, "-", "⚠"), "confidence": _confidence(F.col("n")), "diagnosis": _reading(DIAGNOSES, "Insufficient data", "Mixed quality")})
 
 
 def extreme_pairs(diagnostics: DataFrame, n: int = 10) -> DataFrame:

@@ -57,18 +57,19 @@ def optimal_threshold(scored: DataFrame, metric: str = "f1") -> DataFrame:
 
 
 def screening_report(confusion: DataFrame) -> DataFrame:
-    """Rates of a screening test; NULL where a denominator is 0."""
+    """Percentages of a screening test, 0 where a denominator is; number_needed_to_screen is infinite without a hit."""
     tp, fp, fn, tn = (F.col(n) for n in ("tp", "fp", "fn", "tn"))
+    percent = lambda part, whole: F.coalesce(100 * ratio(part, whole), F.lit(0.0))
     return confusion.select(
         "threshold",
-        ratio(tp, tp + fn).alias("catch_rate"),
-        ratio(fn, tp + fn).alias("miss_rate"),
-        ratio(tp, tp + fp).alias("hit_rate"),
-        ratio(fp, fp + tn).alias("false_alarm_rate"),
-        ratio(tp + fp, tp).alias("number_needed_to_screen"),
-        ratio(tn, tn + fp).alias("specificity"),
-        ratio(tn, tn + fn).alias("npv"),
-        ratio(tp, tp + fp).alias("ppv"),
+        percent(tp, tp + fn).alias("catch_rate"),
+        percent(fn, tp + fn).alias("miss_rate"),
+        percent(tp, tp + fp).alias("hit_rate"),
+        percent(fp, tp + fp).alias("false_alarm_rate"),
+        F.coalesce(ratio(tp + fp, tp), F.lit(float("inf"))).alias("number_needed_to_screen"),
+        percent(tn, tn + fp).alias("specificity"),
+        percent(tn, tn + fn).alias("npv"),
+        percent(tp, tp + fp).alias("ppv"),
     )
 
 

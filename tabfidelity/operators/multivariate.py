@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,10 +71,39 @@ def alpha_precision_naive(real: DataFrame, synthetic: DataFrame, d: int, steps:
     return one.select((1 - gap(lambda i: F.col(f"a{i}"))).alias("delta_precision_alpha"), (1 - gap(lambda i: F.col(f"c{i}") / F.col("n"))).alias("delta_coverage_beta"), "authenticity")
 
 
-def mmd_linear(real: DataFrame, synthetic: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row: the squared distance of the means."""
-    m = real.agg(*[F.avg(c).alias(f"r_{c}") for c in columns]).crossJoin(F.broadcast(synthetic.agg(*[F.avg(c).alias(f"s_{c}") for c in columns])))
-    return m.select(sum((F.pow(F.col(f"r_{c}") - F.col(f"s_{c}"), F.lit(2.0)) for c in columns), F.lit(0.0)).alias("mmd"))
+def mmd_linear(real: DataFrame, synthetic: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one for each run of by: the squared distance of the means."""
+    means = [df.groupBy(*by).agg(*[F.avg(c).alias(f"{side}_{c}") for c in columns]) for side, df in (("r", real), ("s", synthetic))]
+    m = means[0].join(means[1], [*by]) if by else means[0].crossJoin(F.broadcast(means[1]))  # one row each
+    return m.select(*by, sum((F.pow(F.col(f"r_{c}") - F.col(f"s_{c}"), F.lit(2.0)) for c in columns), F.lit(0.0)).alias("mmd"))
+
+
+def _moments(df: DataFrame, side: str) -> DataFrame:
+    """(i, <side>): sums over the vectors v: 1, then v, then the products of all pairs. Tasks add up their own rows, so few numbers are shuffled."""
+
+    def run(batches):
+        total = None
+        for b in batches:
+            flat = b.column("v").flatten().to_numpy(zero_copy_only=False)
+            if len(b):
+                x = flat.reshape(len(b), -1)
+                part = np.concatenate([[float(len(x))], x.sum(axis=0), (x.T @ x).ravel()])
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int64)), pa.array(total)], ["i", "x"])
+
+    return df.select("v").where("v is not null").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias(side))
+
+
+def mmd_polynomial_vectors(real: DataFrame, synthetic: DataFrame, gamma: float = 1.0, coef: float = 1.0) -> DataFrame:
+    """mmd_polynomial() over vectors v of one length, of any number of dimensions."""
+    both = _moments(real, "r").join(_moments(synthetic, "s"), "i")
+    n = both.where("i = 0").select(F.col("r").alias("n_r"), F.col("s").alias("n_s"))
+    size = F.col("dims")
+    dims = both.agg(((F.sqrt(4.0 * F.count("*") - 3) - 1) / 2).cast("long").alias("dims"))
+    gap = F.pow(F.col("r") / F.col("n_r") - F.col("s") / F.col("n_s"), F.lit(2.0))
+    weight = F.when(F.col("i") == 0, 0.0).when(F.col("i") <= size, 2 * gamma * coef).otherwise(gamma**2)
+    return both.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(dims)).agg(F.sum(weight * gap).alias("mmd"))  # one row each
 
 
 def mmd_polynomial(real: DataFrame, synthetic: DataFrame, columns: Sequence[str], gamma: float = 1.0, coef: float = 1.0) -> DataFrame:

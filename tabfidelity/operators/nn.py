@@ -57,14 +57,31 @@ def _block_best(k: int, metric: str, exclude_self: bool):
     return run
 
 
-def knn_join(a: DataFrame, b: DataFrame, k: int, metric: str = "euclidean", exclude_self: bool = False, block_rows: int = 5000) -> DataFrame:
-    """(id, rank, neighbour, distance): the k nearest rows of b for each row of a, ties by id. Both are (id, v)."""
-    na, nb = a.count(), b.count()
-    blocks_a, blocks_b = max(1, -(-na // block_rows)), max(1, -(-nb // block_rows))
+def _dealt(a: DataFrame, b: DataFrame, block_rows: int):
+    """Both sides grouped by (block of a, block of b)."""
+    blocks_a, blocks_b = (max(1, -(-df.count() // block_rows)) for df in (a, b))
     left = a.withColumn("ba", F.pmod(F.xxhash64("id"), F.lit(blocks_a)).cast("int")).withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(blocks_b - 1))))
-    b = b.select(F.col("id").alias("id"), F.col("v").alias("v"))  # columns of its own, as a and b may be one table
+    b = b.select(*[F.col(c).alias(c) for c in b.columns])  # columns of its own, as a and b may be one table
     right = b.withColumn("bb", F.pmod(F.xxhash64("id"), F.lit(blocks_b)).cast("int")).withColumn("ba", F.explode(F.sequence(F.lit(0), F.lit(blocks_a - 1))))
-    found = left.groupBy("ba", "bb").cogroup(right.groupBy("ba", "bb")).applyInPandas(_block_best(k, metric, exclude_self), "id long, neighbour long, distance double")
+    return left.groupBy("ba", "bb").cogroup(right.groupBy("ba", "bb"))
+
+
+def pair_distances(a: DataFrame, b: DataFrame, block_rows: int = 2000) -> DataFrame:
+    """(id, other, distance): every row of a against every row of b, exact. For what needs the whole order, by definition."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"id": [], "other": [], "distance": []}).astype({"id": "int64", "other": "int64", "distance": "float64"})
+        x, y = np.stack(left["v"]).astype(float), np.stack(right["v"]).astype(float)
+        d = np.concatenate([_distances(x[i : i + 200], y, "euclidean") for i in range(0, len(x), 200)])
+        return pd.DataFrame({"id": np.repeat(left["id"].to_numpy(), len(y)), "other": np.tile(right["id"].to_numpy(), len(x)), "distance": d.ravel()})
+
+    return _dealt(a, b, block_rows).applyInPandas(run, "id long, other long, distance double")
+
+
+def knn_join(a: DataFrame, b: DataFrame, k: int, metric: str = "euclidean", exclude_self: bool = False, block_rows: int = 5000) -> DataFrame:
+    """(id, rank, neighbour, distance): the k nearest rows of b for each row of a, ties by id. Both are (id, v)."""
+    found = _dealt(a, b, block_rows).applyInPandas(_block_best(k, metric, exclude_self), "id long, neighbour long, distance double")
     w = Window.partitionBy("id").orderBy("distance", "neighbour")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "rank", "neighbour", "distance")
 
@@ -81,12 +98,6 @@ def approximate_knn(a: DataFrame, b: DataFrame, k: int, radius: float, bucket: f
 
 def within_radius(a: DataFrame, balls: DataFrame, block_rows: int = 5000) -> DataFrame:
     """(id, inside): for each row of a, how many balls (id, v, radius) it lies in. Rows without any are left out."""
-    na, nb = a.count(), balls.count()
-    blocks_a, blocks_b = max(1, -(-na // block_rows)), max(1, -(-nb // block_rows))
-    left = a.withColumn("ba", F.pmod(F.xxhash64("id"), F.lit(blocks_a)).cast("int")).withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(blocks_b - 1))))
-    balls = balls.select(*[F.col(c).alias(c) for c in ("id", "v", "radius")])
-    right = balls.withColumn("bb", F.pmod(F.xxhash64("id"), F.lit(blocks_b)).cast("int")).withColumn("ba", F.explode(F.sequence(F.lit(0), F.lit(blocks_a - 1))))
-
     def count(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         out: Iterator | list = []
         if len(x) and len(y):
@@ -96,5 +107,5 @@ def within_radius(a: DataFrame, balls: DataFrame, block_rows: int = 5000) -> Dat
                 out.append(pd.DataFrame({"id": x["id"].to_numpy()[i : i + 1000], "inside": inside}))
         return pd.concat(out) if out else pd.DataFrame({"id": pd.Series(dtype="int64"), "inside": pd.Series(dtype="int64")})
 
-    part = left.groupBy("ba", "bb").cogroup(right.groupBy("ba", "bb")).applyInPandas(count, "id long, inside long")
+    part = _dealt(a, balls.select("id", "v", "radius"), block_rows).applyInPandas(count, "id long, inside long")
     return part.groupBy("id").agg(F.sum("inside").alias("inside")).where("inside > 0")

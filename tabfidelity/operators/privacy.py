@@ -58,11 +58,11 @@ def k_ratios(roles: Mapping[str, DataFrame], quasi: Sequence[str], zero_as_infin
 
 
 def interpret_k(k: Column) -> Column:
-    return F.when(k >= 10, "strong").when(k >= 5, "good").when(k >= 3, "moderate").otherwise("weak")
+    return F.when(k >= 10, "Excellent").when(k >= 5, "Good").when(k >= 3, "Moderate").otherwise("Poor")
 
 
 def interpret_ratio(r: Column) -> Column:
-    return F.when(r >= 1.5, "much better").when(r >= 1.1, "better").when(r >= 0.9, "similar").when(r >= 0.7, "worse").otherwise("much worse")
+    return F.when(r > 1.5, "Much better privacy").when(r > 1.1, "Better privacy").when(r > 0.9, "Similar privacy").when(r > 0.7, "Worse privacy").otherwise("Much worse privacy")
 
 
 def qi_check(roles: Mapping[str, DataFrame | None], quasi: Sequence[str], required: Sequence[str] = ("population", "reference", "synthetic")) -> dict[str, str]:

@@ -23,8 +23,11 @@ def missing_by_column(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long_form(df, columns).groupBy("column").agg(F.count_if(F.col("value").isNull()).alias("missing"), F.avg(F.col("value").isNull().cast("double")).alias("missing_rate"))
 
 
-def validity(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row: infinite, extreme (beyond the 1st and 99th percentile by ten times their distance), columns_with_issues, validity."""
+def validity(df: DataFrame, columns: Sequence[str], of_columns: int | None = None) -> DataFrame:
+    """One row: infinite, extreme (beyond the 1st and 99th percentile by ten times their distance), issues, validity.
+
+    columns are the numeric ones; each has two possible issues, of twice the number of all columns of the table.
+    """
     bounds = df.agg(*[F.percentile(c, F.array(F.lit(0.01), F.lit(0.99))).alias(f"{c}__q") for c in columns])
     low, high = {c: F.get(f"{c}__q", F.lit(0)) for c in columns}, {c: F.get(f"{c}__q", F.lit(1)) for c in columns}
     far = {c: (F.col(c) < low[c] - 10 * (high[c] - low[c])) | (F.col(c) > high[c] + 10 * (high[c] - low[c])) for c in columns}
@@ -33,7 +36,7 @@ def validity(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
     add = lambda n: sum((F.col(f"{c}__{n}") for c in columns), F.lit(0))
     issues = sum((F.when(F.col(f"{c}__{n}") > 0, 1).otherwise(0) for c in columns for n in ("inf", "far")), F.lit(0))
-    return counted.select(add("inf").alias("infinite"), add("far").alias("extreme"), issues.alias("issues"), (1 - issues / F.lit(2.0 * len(columns))).alias("validity"))
+    return counted.select(add("inf").alias("infinite"), add("far").alias("extreme"), issues.alias("issues"), (1 - issues / F.lit(2.0 * (of_columns if of_columns is not None else len(df.columns)))).alias("validity"))
 
 
 def uniqueness(df: DataFrame) -> DataFrame:
@@ -62,9 +65,9 @@ def consistency(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def quality_score(df: DataFrame, columns: Sequence[str], numeric: Sequence[str], text: Sequence[str]) -> DataFrame:
-    """One row: the four scores and their mean."""
-    mixed = consistency(df, text).agg((1 - F.coalesce(F.avg(F.col("mixed").cast("double")), F.lit(0.0))).alias("consistency"))
-    parts = [completeness(df, columns).select("completeness"), validity(df, numeric).select("validity"), uniqueness(df.select(*columns)).select("uniqueness"), mixed]
+    """One row: the four scores and their mean. Validity and consistency are shares of all columns."""
+    mixed = consistency(df, text).agg((1 - F.count_if("mixed") / F.lit(float(len(columns)))).alias("consistency"))
+    parts = [completeness(df, columns).select("completeness"), validity(df, numeric, len(columns)).select("validity"), uniqueness(df.select(*columns)).select("uniqueness"), mixed]
     out = parts[0]
     for p in parts[1:]:
         out = out.crossJoin(F.broadcast(p))  # one row each

@@ -85,20 +85,35 @@ def repair_knn(synthetic: DataFrame, real: DataFrame, column: str, others: Seque
     return repair_weighted(out, real, column, key, seed)
 
 
-def repair_categories(synthetic: DataFrame, real: DataFrame, columns: Sequence[str], key: Sequence[str], method: str = "knn", k: int = 5, seed: int = 0) -> DataFrame:
-    """The columns in order, each with the ones before it repaired."""
+def repair_categories(synthetic: DataFrame, real: DataFrame, columns: Sequence[str], key: Sequence[str], method: str = "knn", k: int = 5, seed: int = 0, fallback: str = "weighted") -> DataFrame:
+    """The columns in order, each with the ones before it repaired. A column of which every row is invalid goes to fallback; method none repairs nothing."""
+    known = ("random", "weighted", "knn")
+    if method == "none":
+        return synthetic
+    for m in (method, fallback):
+        if m not in known:
+            raise ValueError(f"unknown method {m}; known: {', '.join(known)}, none")
+    rates = {r["column"]: r["invalid_rate"] for r in repair_report(synthetic, real, columns).collect()}  # a row for each column
     for c in columns:
-        if method == "random":
+        if c not in rates:
+            continue
+        chosen = fallback if rates[c] > 1 - 1e-9 else method
+        if chosen == "random":
             synthetic = repair_random(synthetic, real, c, key, seed)
-        elif method == "weighted":
+        elif chosen == "weighted":
             synthetic = repair_weighted(synthetic, real, c, key, seed)
-        elif method == "knn":
-            synthetic = repair_knn(synthetic, real, c, [x for x in columns if x != c], key, k, seed)
         else:
-            raise ValueError(f"unknown method {method}; known: random, weighted, knn")
+            synthetic = repair_knn(synthetic, real, c, [x for x in columns if x != c], key, k, seed)
     return synthetic
 
 
+def fixed_counts(before: DataFrame, after: DataFrame, real: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, fixed): how many invalid values of each column are gone; columns without any are left out."""
+    left = repair_report(after, real, columns).select("column", F.col("invalid_rows").alias("left"))
+    gone = F.col("invalid_rows") - F.coalesce("left", F.lit(0))
+    return repair_report(before, real, columns).join(left, "column", "left").select("column", gone.alias("fixed")).where("fixed > 0")
+
+
 def repair_report(before: DataFrame, real: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, invalid_values, invalid_rows, invalid_rate)."""
     bad = invalid_categories(before, real, columns)

@@ -20,6 +20,7 @@ class Categorical:
 @dataclass(frozen=True)
 class Range:
     column: str
+    #: None: open.
     low: object
     high: object
     #: numeric or date.
@@ -80,10 +81,12 @@ def check_categorical(rule: Categorical) -> Column:
 
 
 def check_range(rule: Range) -> Column:
+    """An end that is None is no condition; a value that can't be read fails each end that is one."""
     kind = "timestamp" if rule.data_type == "date" else "double"
     value = F.col(rule.column).try_cast(kind)
-    inside = F.coalesce((value >= F.lit(rule.low).cast(kind)) & (value <= F.lit(rule.high).cast(kind)), F.lit(False))
-    return F.when(F.col(rule.column).isNull(), F.lit(rule.allow_null)).otherwise(inside)
+    ends = [value >= F.lit(rule.low).cast(kind)] * (rule.low is not None) + [value <= F.lit(rule.high).cast(kind)] * (rule.high is not None)
+    inside = reduce(Column.__and__, [F.coalesce(x, F.lit(False)) for x in ends], F.lit(True))
+    return F.when(F.col(rule.column).isNull(), F.lit(True if rule.allow_null else not ends)).otherwise(inside)
 
 
 def check_combination(df: DataFrame, rule: Combination, population: DataFrame | None = None) -> DataFrame:

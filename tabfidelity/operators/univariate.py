@@ -19,15 +19,17 @@ from .prep import long_form, long_numeric
 CELLS = 64
 
 
-def _both(real: DataFrame, synthetic: DataFrame, columns: Sequence[str], numeric: bool) -> DataFrame:
-    make = long_numeric if numeric else long_form
-    return make(real, columns).withColumn("side", F.lit("r")).unionAll(make(synthetic, columns).withColumn("side", F.lit("s")))
+def _long(df: DataFrame, columns: Sequence[str], numeric: bool, by: Sequence[str] = ()) -> DataFrame:
+    """(column, value). With run columns by, the column is a struct of them and its name, so that every run's columns go through one job."""
+    out = (long_numeric if numeric else long_form)(df, columns, [*by])
+    return out.select(F.struct(*by, "column").alias("column"), "value") if by else out
 
 
-def value_table(real: DataFrame, synthetic: DataFrame, columns: Sequence[str], numeric: bool = True) -> DataFrame:
+def value_table(real: DataFrame, synthetic: DataFrame, columns: Sequence[str], numeric: bool = True, by: Sequence[str] = ()) -> DataFrame:
     """(column, value, r, s): how often each value occurs on either side."""
+    both = _long(real, columns, numeric, by).withColumn("side", F.lit("r")).unionAll(_long(synthetic, columns, numeric, by).withColumn("side", F.lit("s")))
     one = lambda side: F.count_if(F.col("side") == side).alias(side)
-    return _both(real, synthetic, columns, numeric).groupBy("column", "value").agg(one("r"), one("s"))
+    return both.groupBy("column", "value").agg(one("r"), one("s"))
 
 
 def ecdf(values: DataFrame) -> DataFrame:
@@ -63,14 +65,14 @@ def ecdf(values: DataFrame) -> DataFrame:
     )
 
 
-def ks_complement(real: DataFrame, synthetic: DataFrame, columns: Sequence[str]) -> DataFrame:
+def ks_complement(real: DataFrame, synthetic: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """column, score: one less the largest distance of the two distribution functions; NULLs are ignored."""
-    return ecdf(value_table(real, synthetic, columns)).groupBy("column").agg((1 - F.max(F.abs(F.col("fr") - F.col("fs")))).alias("score"))
+    return ecdf(value_table(real, synthetic, columns, by=by)).groupBy("column").agg((1 - F.max(F.abs(F.col("fr") - F.col("fs")))).alias("score"))
 
 
-def wasserstein_1d(real: DataFrame, synthetic: DataFrame, columns: Sequence[str]) -> DataFrame:
+def wasserstein_1d(real: DataFrame, synthetic: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """column, distance: the area between the distribution functions, in units of the real range."""
-    e = ecdf(value_table(real, synthetic, columns))
+    e = ecdf(value_table(real, synthetic, columns, by=by))
     width = F.nullif(F.max(F.when(F.col("r") > 0, F.col("value"))) - F.min(F.when(F.col("r") > 0, F.col("value"))), F.lit(0.0))
     area = F.coalesce(F.sum(F.abs(F.col("fr") - F.col("fs")) * (F.col("following") - F.col("value"))), F.lit(0.0))
     return e.groupBy("column").agg((area / F.coalesce(width, F.lit(1.0))).alias("distance"))
@@ -82,20 +84,20 @@ def shares(values: DataFrame, by: Sequence[str] = ("column",)) -> DataFrame:
     return values.withColumns({"p": ratio(F.col("r"), F.sum("r").over(w)), "q": ratio(F.col("s"), F.sum("s").over(w))})
 
 
-def tv_complement(real: DataFrame, synthetic: DataFrame, columns: Sequence[str]) -> DataFrame:
+def tv_complement(real: DataFrame, synthetic: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """column, score: one less half the summed differences of shares; NULL counts as a category."""
-    return shares(value_table(real, synthetic, columns, numeric=False)).groupBy("column").agg((1 - F.sum(F.abs(F.col("p") - F.col("q"))) / 2).alias("score"))
+    return shares(value_table(real, synthetic, columns, numeric=False, by=by)).groupBy("column").agg((1 - F.sum(F.abs(F.col("p") - F.col("q"))) / 2).alias("score"))
 
 
-def boundary_adherence(real: DataFrame, synthetic: DataFrame, columns: Sequence[str]) -> DataFrame:
+def boundary_adherence(real: DataFrame, synthetic: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """column, score: share of synthetic values within the real ends; NULLs are ignored."""
-    ends = long_numeric(real, columns).groupBy("column").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    return long_numeric(synthetic, columns).join(ends, "column").groupBy("column").agg(F.avg(F.col("value").between(F.col("low"), F.col("high")).cast("double")).alias("score"))
+    ends = _long(real, columns, True, by).groupBy("column").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    return _long(synthetic, columns, True, by).join(ends, "column").groupBy("column").agg(F.avg(F.col("value").between(F.col("low"), F.col("high")).cast("double")).alias("score"))
 
 
-def category_adherence(real: DataFrame, synthetic: DataFrame, columns: Sequence[str]) -> DataFrame:
+def category_adherence(real: DataFrame, synthetic: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """column, score: share of synthetic values that occur among the real ones; NULL is a category."""
-    counts = value_table(real, synthetic, columns, numeric=False)
+    counts = value_table(real, synthetic, columns, numeric=False, by=by)
     return counts.groupBy("column").agg(ratio(F.sum(F.when(F.col("r") > 0, F.col("s")).otherwise(0)), F.sum("s")).alias("score"))
 
 
@@ -116,9 +118,9 @@ def _binned(values: DataFrame, edges: DataFrame, drop_outside: bool) -> DataFram
     return joined.groupBy("column", b.alias("value")).agg(F.sum("r").alias("r"), F.sum("s").alias("s"))
 
 
-def jsd_equal_width(real: DataFrame, synthetic: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
+def jsd_equal_width(real: DataFrame, synthetic: DataFrame, columns: Sequence[str], bins: int = 10, by: Sequence[str] = ()) -> DataFrame:
     """column, distance over equal-width bins between the ends of both sides."""
-    values = value_table(real, synthetic, columns)
+    values = value_table(real, synthetic, columns, by=by)
     edges = values.groupBy("column").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.lit(bins).cast("long").alias("bins"))
     return _divergence(shares(_binned(values, edges, False)))
 
@@ -130,22 +132,22 @@ def doane_bins(n: Column, skew_g1_adjusted: Column) -> Column:
     return F.least(F.greatest(F.coalesce(count, F.lit(10)), F.lit(10)), F.lit(50)).cast("long")
 
 
-def jsd_adaptive(real: DataFrame, synthetic: DataFrame, columns: Sequence[str]) -> DataFrame:
+def jsd_adaptive(real: DataFrame, synthetic: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """column, distance with Doane's bins between the real ends; synthetic values outside are left out."""
     n = F.count("value")
     adjusted = F.skewness("value") * F.sqrt(n * (n - 1.0)) / (n - 2.0)
-    edges = long_numeric(real, columns).groupBy("column").agg(F.min("value").alias("low"), F.max("value").alias("high"), doane_bins(n, adjusted).alias("bins"))
-    return _divergence(shares(_binned(value_table(real, synthetic, columns), edges, True)))
+    edges = _long(real, columns, True, by).groupBy("column").agg(F.min("value").alias("low"), F.max("value").alias("high"), doane_bins(n, adjusted).alias("bins"))
+    return _divergence(shares(_binned(value_table(real, synthetic, columns, by=by), edges, True)))
 
 
-def jsd_categorical(real: DataFrame, synthetic: DataFrame, columns: Sequence[str]) -> DataFrame:
+def jsd_categorical(real: DataFrame, synthetic: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """column, distance over the union of categories; NULLs are left out."""
-    return _divergence(shares(value_table(real, synthetic, columns, numeric=False).where("value is not null")))
+    return _divergence(shares(value_table(real, synthetic, columns, numeric=False, by=by).where("value is not null")))
 
 
-def jsd_mixed(real: DataFrame, synthetic: DataFrame, columns: Sequence[str], threshold: int = 10, bins: int = 10) -> DataFrame:
+def jsd_mixed(real: DataFrame, synthetic: DataFrame, columns: Sequence[str], threshold: int = 10, bins: int = 10, by: Sequence[str] = ()) -> DataFrame:
     """column, distance: columns with more than threshold values in both sides together are binned, others compared value by value."""
-    values = value_table(real, synthetic, columns)
+    values = value_table(real, synthetic, columns, by=by)
     edges = values.groupBy("column").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("distinct"), F.lit(bins).cast("long").alias("bins"))
     few = values.join(edges.where(F.col("distinct") <= threshold).select("column"), "column", "left_semi")
     many = _binned(values, edges.where(F.col("distinct") > threshold), False).withColumn("value", F.col("value").cast("double"))

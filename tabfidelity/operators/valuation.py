@@ -7,26 +7,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.keys import ratio
+from ..functions.ranks import ranked_within
+from .nn import pair_distances
 
 #: Normal quantiles for two-sided levels.
 Z = {0.90: 1.6448536269514722, 0.95: 1.959963984540054, 0.99: 2.5758293035489004}
 
 
-def knn_shapley(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
+def knn_shapley(train: DataFrame, test: DataFrame, k: int = 5, block_rows: int = 2000) -> DataFrame:
     """(id, test_id, value): each training row's share in classifying each test row. Both are (id, v, label).
 
-    Every test row ranks all training rows (Spark sorts within a test row), and the recursion from the farthest row is
-    a running sum: s_i = s_{i+1} + (1[y_i = y] - 1[y_{i+1} = y]) / k * min(k, i) / i. Work is rows times rows by definition;
-    give a bounded test table.
+    Every test row ranks all training rows, by definition: work is rows times rows. Distances come block by block. With y_i
+    whether the i-th nearest row has the test row's label and c_i = min(k, i) / i, the recursion s_i = s_{i+1} + (y_i - y_{i+1}) c_i / k from the
+    farthest row inwards is s_i = (y_i c_i + sum of y_j (c_j - c_{j-1}) over j > i) / k, a sum that goes by ranges of rows first, so
+    no task holds a test row's whole order. With fewer than k training rows, all are neighbours.
     """
-    t = test.select(F.col("id").alias("test_id"), F.col("v").alias("tv"), F.col("label").alias("ty"))
-    square = F.aggregate(F.zip_with("v", "tv", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    pairs = t.join(train.select("id", "v", "label")).select("test_id", "id", square.alias("d"), (F.col("label") == F.col("ty")).cast("double").alias("same"))
-    by = Window.partitionBy("test_id").orderBy("d", "id")
-    ranked = pairs.withColumns({"i": F.row_number().over(by), "after": F.lead("same").over(by), "n": F.count("*").over(Window.partitionBy("test_id"))})
-    step = F.when(F.col("after").isNull(), F.col("same") / F.col("n")).otherwise((F.col("same") - F.col("after")) / k * F.least(F.lit(k), F.col("i")) / F.col("i"))
-    far = Window.partitionBy("test_id").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ranked.withColumn("step", step).select("id", "test_id", F.sum("step").over(far).alias("value"))
+    n = train.count()
+    k = max(1, min(k, n))
+    labels = [df.select(F.col("id").alias(name), F.col("label").alias(f"{name}_label")) for df, name in ((test, "test_id"), (train, "id"))]
+    met = pair_distances(test.select("id", "v"), train.select("id", "v"), block_rows).select(F.col("id").alias("test_id"), F.col("other").alias("id"), "distance")
+    rows = met.join(labels[0], "test_id").join(labels[1], "id").select("test_id", "id", "distance", (F.col("id_label") == F.col("test_id_label")).cast("double").alias("same"))
+    ranked = ranked_within(rows, ["test_id"], ["distance", "id"], "i")
+    c = lambda i: F.least(F.lit(k), i) / i
+    here = F.col("same") * c(F.col("i"))
+    gain = F.when(F.col("i") > 1, F.col("same") * (c(F.col("i")) - c(F.greatest(F.col("i") - 1, F.lit(1))))).otherwise(0.0)
+    gained = ranked.withColumns({"here": here, "gain": gain})
+    later = Window.partitionBy("test_id").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = gained.groupBy("test_id", "part").agg(F.sum("gain").alias("sum")).withColumn("after", F.coalesce(F.sum("sum").over(later), F.lit(0.0))).drop("sum")
+    within = Window.partitionBy("test_id", "part").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = F.coalesce(F.sum("gain").over(within), F.lit(0.0))
+    return gained.withColumn("beyond", beyond).join(parts, ["test_id", "part"]).select("id", "test_id", ((F.col("here") + F.col("beyond") + F.col("after")) / k).alias("value"))
 
 
 def valuation_uncertainty(contributions: DataFrame, key: str = "id", value: str = "value") -> DataFrame:
@@ -59,9 +69,8 @@ def valuation_summary(values: DataFrame) -> DataFrame:
 
 
 def rank_by_value(values: DataFrame, df: DataFrame, key: str = "id") -> DataFrame:
-    """df with value and its rank, most harmful first; ties by key. The order is global: it is what is asked for."""
-    joined = df.join(values.select(key, "value"), key)
-    return joined.withColumn("rank", F.row_number().over(Window.orderBy("value", key)))
+    """df with value and its rank, most harmful first; ties by key."""
+    return ranked_within(df.join(values.select(key, "value"), key), [], ["value", key], "rank").drop("part")
 
 
 def drop_most_harmful(values: DataFrame, df: DataFrame, share: float, key: str = "id") -> DataFrame:

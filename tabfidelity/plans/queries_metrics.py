@@ -216,10 +216,12 @@ def asc7_quality_report(spark, sf):
     return rounded(a.quality_report(*pair(spark, sf), CAT, NUM), "column_shapes", "column_pair_trends", "overall")
 
 
-DIAG = f"""SELECT *, CASE WHEN quality IS NULL THEN '-' WHEN quality >= 0.9 THEN 'ok' WHEN quality >= 0.7 THEN 'warning' ELSE 'bad' END AS flag,
+_R, _S, _Q = "real_association", "synthetic_association", "quality"
+DIAG = f"""SELECT *, CASE WHEN {_R} IS NULL OR {_S} IS NULL OR {_Q} IS NULL THEN '-' WHEN {_R} >= 0.7 AND {_Q} >= 0.8 THEN '✓' WHEN {_R} < 0.3 AND {_S} < 0.3 THEN '✓' WHEN {_R} >= 0.5 AND {_Q} >= 0.65 THEN '✓' WHEN {_R} >= 0.7 AND {_Q} < 0.6 THEN '✗' ELSE '⚠' END AS flag,
 CASE WHEN n >= 1000 THEN 'high' WHEN n >= 500 THEN 'medium' WHEN n >= 50 THEN 'low' ELSE 'very low' END AS confidence,
-CASE WHEN quality IS NULL THEN 'not comparable' WHEN n < 50 THEN 'too few rows' WHEN quality >= 0.9 THEN 'kept' WHEN synthetic_association - real_association > 0.1 THEN 'association too strong'
-WHEN synthetic_association - real_association < -0.1 THEN 'association too weak' ELSE 'different shape' END AS diagnosis FROM (
+CASE WHEN {_R} IS NULL OR {_S} IS NULL OR {_Q} IS NULL THEN 'Insufficient data' WHEN {_R} >= 0.8 AND {_Q} >= 0.85 THEN 'Strong correlation well preserved' WHEN {_R} >= 0.7 AND {_Q} >= 0.75 THEN 'Strong correlation preserved'
+WHEN {_R} < 0.25 AND {_S} < 0.25 THEN 'Weak correlation correctly reproduced' WHEN {_R} >= 0.7 AND {_Q} < 0.5 THEN 'Model failed to capture strong trend' WHEN {_S} >= 0.7 AND {_R} < 0.4 AND {_Q} < 0.5 THEN 'Synthetic created spurious correlation'
+WHEN {_R} >= 0.5 AND {_Q} >= 0.65 THEN 'Moderate correlation preserved' WHEN {_R} < 0.3 THEN 'Weak correlation correctly reproduced' ELSE 'Mixed quality' END AS diagnosis FROM (
 SELECT r.column_1, r.column_2, r.kind, r.value AS real_association, r.n, s.value AS synthetic_association, t.score AS quality FROM ({assoc_sql('reference')}) r JOIN ({assoc_sql('synthetic')}) s USING (column_1, column_2) LEFT JOIN (({CORR_SIM}) UNION ALL ({CONT_SIM})) t USING (column_1, column_2))"""
 
 
@@ -282,14 +284,13 @@ def mv3_mmd_linear(spark, sf):
     return rounded(multivariate.mmd_linear(*pair(spark, sf), NUM), "mmd")
 
 
-_E4 = ", ".join(f"cast(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(4))
-_KERNEL = "pow(" + " + ".join(f"a.x{i} * b.x{i}" for i in range(4)) + " + 1, 2)"
+_KERNEL = "pow(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) + 1, 2)"
 
 
-@query(f"WITH r AS (SELECT {_E4} FROM embeddings WHERE vec_id % 2 = 0), s AS (SELECT {_E4} FROM embeddings WHERE vec_id % 2 = 1) SELECT round((SELECT avg({_KERNEL}) FROM r a, r b) + (SELECT avg({_KERNEL}) FROM s a, s b) - 2 * (SELECT avg({_KERNEL}) FROM r a, s b), 6) + 0.0 AS mmd")
+@query(f"WITH r AS ({R}), s AS ({S}) SELECT round((SELECT avg({_KERNEL}) FROM r a, r b) + (SELECT avg({_KERNEL}) FROM s a, s b) - 2 * (SELECT avg({_KERNEL}) FROM r a, s b), 6) + 0.0 AS mmd")
 def mv4_mmd_polynomial(spark, sf):
-    r, s = (x.select(*[F.get("v", F.lit(i)).alias(f"x{i}") for i in range(4)]) for x in embedded(spark, sf))
-    return rounded(multivariate.mmd_polynomial(r, s, [f"x{i}" for i in range(4)]), "mmd")
+    r, s = embedded(spark, sf)
+    return rounded(multivariate.mmd_polynomial_vectors(r.select("v"), s.select("v")), "mmd")
 
 
 @query()
@@ -312,10 +313,11 @@ def mv7_dcr(spark, sf):
 
 @query()
 def mv8_dcr_protection(spark, sf):
-    r, s = (x.select("id", *[F.get("v", F.lit(i)).alias(f"x{i}") for i in range(8)]) for x in embedded(spark, sf))
-    columns = [f"x{i}" for i in range(8)]
-    base = multivariate.uniform_baseline(r, columns, s.count())
-    return multivariate.dcr_baseline_protection(*[nn.vectors(x, "id", columns) for x in (r, s, base)])
+    r, s = embedded(spark, sf)
+    size = r.select(F.max(F.size("v"))).first()[0]
+    columns = [f"x{i}" for i in range(size)]
+    base = multivariate.uniform_baseline(r.select(*[F.get("v", F.lit(i)).alias(c) for i, c in enumerate(columns)]), columns, s.count())
+    return multivariate.dcr_baseline_protection(r.select("id", "v"), s.select("id", "v"), nn.vectors(base, "id", columns))
 
 
 # Privacy
@@ -355,7 +357,7 @@ def prv3_k_ratios(spark, sf):
     return privacy.k_ratios(customer_roles(spark, sf), QI)
 
 
-@query(f"SELECT numerator, denominator, CASE WHEN numerator_k >= 10 THEN 'strong' WHEN numerator_k >= 5 THEN 'good' WHEN numerator_k >= 3 THEN 'moderate' ELSE 'weak' END AS k_reading, CASE WHEN r >= 1.5 THEN 'much better' WHEN r >= 1.1 THEN 'better' WHEN r >= 0.9 THEN 'similar' WHEN r >= 0.7 THEN 'worse' ELSE 'much worse' END AS ratio_reading FROM (SELECT *, cast(numerator_k AS DOUBLE) / denominator_k AS r FROM ({RATIOS_SQL}))")
+@query(f"SELECT numerator, denominator, CASE WHEN numerator_k >= 10 THEN 'Excellent' WHEN numerator_k >= 5 THEN 'Good' WHEN numerator_k >= 3 THEN 'Moderate' ELSE 'Poor' END AS k_reading, CASE WHEN r > 1.5 THEN 'Much better privacy' WHEN r > 1.1 THEN 'Better privacy' WHEN r > 0.9 THEN 'Similar privacy' WHEN r > 0.7 THEN 'Worse privacy' ELSE 'Much worse privacy' END AS ratio_reading FROM (SELECT *, cast(numerator_k AS DOUBLE) / denominator_k AS r FROM ({RATIOS_SQL}))")
 def prv4_interpretation(spark, sf):
     out = privacy.k_ratios(customer_roles(spark, sf), QI)
     return out.select("numerator", "denominator", privacy.interpret_k(F.col("numerator_k")).alias("k_reading"), privacy.interpret_ratio(F.col("ratio")).alias("ratio_reading"))
@@ -420,7 +422,15 @@ def det5_ensemble(spark, sf):
     return rounded(detect.ensemble_detection(by), "auc")
 
 
+@query()
+def det5_ensemble_of_detectors(spark, sf):
+    """Linear and mixture detectors over the roles, put together."""
+    data = detect_data(spark, sf)
+    found = detect.detect_linear(data, "row", folds=3).withColumn("method", F.lit("linear")).unionByName(detect.detect_gmm(data, "row", folds=3, components=2).withColumn("method", F.lit("mixture")))
+    return detect.ensemble_detection(found)
+
+
 @query()
 def exp14_evaluate(spark, sf):
-    names = ["ks_complement", "tv_complement", "boundary_adherence", "category_adherence", "jsd_equal_width", "wasserstein_1d", "correlation_similarity", "contingency_similarity", "mmd_linear", "k_anonymity", "absent"]
-    return evaluate(lineitem_roles(spark, sf), Columns(CATEGORICAL, NUMERIC), names)
+    names = ["ks_complement", "tv_complement", "boundary_adherence", "category_adherence", "jsd_equal_width", "wasserstein_1d", "correlation_similarity", "contingency_similarity", "jsd_adaptive", "jsd_categorical", "jsd_mixed", "mmd_linear", "mmd_polynomial", "mmd_rbf", "sliced_wasserstein", "new_row_synthesis", "structure", "k_anonymity", "absent"]
+    return evaluate(lineitem_roles(spark, sf), Columns(CATEGORICAL, NUMERIC, "l_orderkey * 10 + l_linenumber"), names)

@@ -156,14 +156,14 @@ def set14_complexity(spark, sf):
     return m.complexity(narrow(spark, sf)[0], KEYS).withColumns({c: F.round(c, 6) for c in ("contribution", "share")})
 
 
-NEW_ROWS = "SELECT {cols} FROM lineitem WHERE l_orderkey % {n} = {k}"
-_NC = "l_returnflag, l_linestatus, l_extendedprice, l_quantity"
+#: Reference and synthetic rows by their order keys, as the roles have them, with another price column.
+NEW_ROWS = "SELECT l_returnflag, l_linestatus, l_extendedprice, l_quantity FROM lineitem WHERE l_orderkey % 10 IN ({})"
 
 
-@query(f"WITH r AS ({NEW_ROWS.format(cols=_NC, n=5, k=1)}), s AS ({NEW_ROWS.format(cols=_NC, n=50, k=2)}), u AS (SELECT count(*) AS total, count(*) FILTER (EXISTS (SELECT 1 FROM r WHERE r.l_returnflag = s.l_returnflag AND r.l_linestatus = s.l_linestatus AND abs(r.l_extendedprice - s.l_extendedprice) <= 0.01 * abs(s.l_extendedprice) AND abs(r.l_quantity - s.l_quantity) <= 0.01 * abs(s.l_quantity))) AS matched FROM s) SELECT total, matched, total - matched AS new_rows, cast(total - matched AS DOUBLE) / total AS score FROM u")
+@query(f"WITH r AS ({NEW_ROWS.format('4, 5')}), s AS ({NEW_ROWS.format('3, 4, 5, 8, 9')}), u AS (SELECT count(*) AS total, count(*) FILTER (EXISTS (SELECT 1 FROM r WHERE r.l_returnflag = s.l_returnflag AND r.l_linestatus = s.l_linestatus AND abs(r.l_extendedprice - s.l_extendedprice) <= 0.01 * abs(s.l_extendedprice) AND abs(r.l_quantity - s.l_quantity) <= 0.01 * abs(s.l_quantity))) AS matched FROM s) SELECT total, matched, total - matched AS new_rows, cast(total - matched AS DOUBLE) / total AS score FROM u")
 def set15_new_row_synthesis(spark, sf):
     li = table(spark, sf, "lineitem")
-    return m.new_row_synthesis(li.where("l_orderkey % 5 = 1"), li.where("l_orderkey % 50 = 2"), ["l_returnflag", "l_linestatus"], ["l_extendedprice", "l_quantity"])
+    return m.new_row_synthesis(li.where("l_orderkey % 10 IN (4, 5)"), li.where("l_orderkey % 10 IN (3, 4, 5, 8, 9)"), ["l_returnflag", "l_linestatus"], ["l_extendedprice", "l_quantity"])
 
 
 # Rules
@@ -187,6 +187,15 @@ RULES = [
 ]
 
 
+#: Ranges with an open end or two; NULLs fail where there is an end.
+OPEN = [rules.Range("l_quantity", 10, None), rules.Range("l_quantity", None, 40), rules.Range("l_quantity", None, None), rules.Range("l_quantity", 10, 40, allow_null=True)]
+
+
+@query(with_roles("SELECT l_orderkey, l_linenumber, coalesce(l_quantity >= 10, false) AS low, coalesce(l_quantity <= 40, false) AS high, true AS neither, l_quantity IS NULL OR l_quantity BETWEEN 10 AND 40 AS nullable FROM synthetic"))
+def pla3_open_ranges(spark, sf):
+    return lineitem_roles(spark, sf).synthetic.select("l_orderkey", "l_linenumber", *[rules.check_range(r).alias(n) for r, n in zip(OPEN, ("low", "high", "neither", "nullable"), strict=True)])
+
+
 @query(with_roles("SELECT l_orderkey, l_linenumber, coalesce(l_returnflag IN ('A', 'N', 'R'), false) AS ok FROM synthetic"))
 def pla2_check_categorical(spark, sf):
     return lineitem_roles(spark, sf).synthetic.select("l_orderkey", "l_linenumber", rules.check_categorical(RULES[0]).alias("ok"))
@@ -246,17 +255,17 @@ def dq1_missing_by_column(spark, sf):
     return quality.missing_by_column(lineitem_roles(spark, sf).synthetic, KEYS)
 
 
-def _valid(columns, source: str) -> str:
+def _valid(columns, source: str, of: int) -> str:
     qs = ", ".join(f"quantile_cont({c}, 0.01) AS {c}_1, quantile_cont({c}, 0.99) AS {c}_9" for c in columns)
     far = {c: f"count(*) FILTER ({c} < {c}_1 - 10 * ({c}_9 - {c}_1) OR {c} > {c}_9 + 10 * ({c}_9 - {c}_1))" for c in columns}
     inf = {c: f"count(*) FILTER (isinf(cast({c} AS DOUBLE)))" for c in columns}
     issues = " + ".join(f"CASE WHEN {x} > 0 THEN 1 ELSE 0 END" for x in [*far.values(), *inf.values()])
-    return f"SELECT {' + '.join(inf.values())} AS infinite, {' + '.join(far.values())} AS extreme, cast({issues} AS INTEGER) AS issues, 1 - ({issues}) / {2.0 * len(columns)} AS validity FROM {source}, (SELECT {qs} FROM {source})"
+    return f"SELECT {' + '.join(inf.values())} AS infinite, {' + '.join(far.values())} AS extreme, cast({issues} AS INTEGER) AS issues, 1 - ({issues}) / {2.0 * of} AS validity FROM {source}, (SELECT {qs} FROM {source})"
 
 
-@query(_valid(["value", "user_id"], "events"))
+@query(_valid(["value", "user_id"], "(SELECT event_type, value, user_id FROM events)", 3))
 def dq2_validity(spark, sf):
-    return quality.validity(table(spark, sf, "events"), ["value", "user_id"])
+    return quality.validity(table(spark, sf, "events").select("event_type", "value", "user_id"), ["value", "user_id"])
 
 
 UNIQUE = f"SELECT cast(sum(n) AS BIGINT) AS \"rows\", count(*) AS distinct_rows, cast(sum(n) - count(*) AS BIGINT) AS duplicate_rows, cast(count(*) AS DOUBLE) / sum(n) AS uniqueness FROM (SELECT {LIST}, count(*) AS n FROM {{role}} GROUP BY ALL)"
@@ -277,8 +286,25 @@ def dq4_consistency(spark, sf):
     return quality.consistency(e, ["dirty", "event_type"]).withColumns({c: F.round(c, 6) for c in ("avg_length", "std_length")})
 
 
+#: A text column in which numbers and other texts are mixed.
+_DIRTY = "concat(cast(l_linenumber AS VARCHAR), CASE WHEN l_orderkey % 19 = 0 THEN 'x' ELSE '' END)"
+SCORED_KEYS = [*KEYS, "dirty"]
+
+
+def dirty(df):
+    return df.withColumn("dirty", F.concat(F.col("l_linenumber").cast("string"), F.when(F.col("l_orderkey") % 19 == 0, "x").otherwise("")))
+
+
 def _scores(role: str) -> str:
-    return (f"SELECT c.completeness, v.validity, u.uniqueness, cast(1.0 AS DOUBLE) AS consistency, (c.completeness + v.validity + u.uniqueness + 1.0) / 4 AS quality FROM ({COMPLETE.format(role=role)}) c, ({_valid(NUMERIC, role)}) v, ({UNIQUE.format(role=role)}) u")
+    source, n = f"(SELECT *, {_DIRTY} AS dirty FROM {role})", len(SCORED_KEYS)
+    complete = complete_sql(source, SCORED_KEYS)
+    unique = f"SELECT cast(count(*) AS DOUBLE) / sum(n) AS uniqueness FROM (SELECT {', '.join(SCORED_KEYS)}, count(*) AS n FROM {source} GROUP BY ALL)"
+    mixed = " + ".join(f"(SELECT cast(count(*) FILTER (regexp_matches({c}, '^-?\\d+\\.?\\d*$')) > 0 AND count(*) FILTER (NOT regexp_matches({c}, '^-?\\d+\\.?\\d*$')) > 0 AS INTEGER) FROM {source})" for c in (*CATEGORICAL, "dirty"))
+    return f"SELECT *, (completeness + validity + uniqueness + consistency) / 4 AS quality FROM (SELECT c.completeness, v.validity, u.uniqueness, 1 - ({mixed}) / {float(n)} AS consistency FROM ({complete}) c, ({_valid(NUMERIC, source, n)}) v, ({unique}) u)"
+
+
+def complete_sql(source: str, columns) -> str:
+    return f"SELECT 1 - sum({' + '.join(f'CASE WHEN {c} IS NULL THEN 1 ELSE 0 END' for c in columns)}) / cast(count(*) * {len(columns)} AS DOUBLE) AS completeness FROM {source}"
 
 
 _R6 = ", ".join(f"round({c}, 6) AS {c}" for c in ("completeness", "validity", "uniqueness", "consistency", "quality"))
@@ -286,14 +312,14 @@ _R6 = ", ".join(f"round({c}, 6) AS {c}" for c in ("completeness", "validity", "u
 
 @query(with_roles(f"SELECT {_R6} FROM ({_scores('synthetic')})"))
 def dq5_quality_score(spark, sf):
-    out = quality.quality_score(lineitem_roles(spark, sf).synthetic, KEYS, NUMERIC, CATEGORICAL)
+    out = quality.quality_score(dirty(lineitem_roles(spark, sf).synthetic), SCORED_KEYS, NUMERIC, [*CATEGORICAL, "dirty"])
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
 @query(with_roles(f"WITH a AS ({_scores('reference')}), b AS ({_scores('synthetic')}) " + union_sql([f"SELECT '{x}' AS measure, round(a.{x}, 6) AS original, round(b.{x}, 6) AS other, round(b.{x} - a.{x}, 6) + 0.0 AS difference, round(b.{x} / a.{x}, 6) AS preservation FROM a, b" for x in ("completeness", "validity", "uniqueness", "consistency", "quality")])))
 def dq6_compare_quality(spark, sf):
     r = lineitem_roles(spark, sf)
-    out = quality.compare_quality(r.reference, r.synthetic, KEYS, NUMERIC, CATEGORICAL)
+    out = quality.compare_quality(dirty(r.reference), dirty(r.synthetic), SCORED_KEYS, NUMERIC, [*CATEGORICAL, "dirty"])
     return out.select("measure", *[(F.round(c, 6) + 0.0).alias(c) for c in out.columns[1:]])
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scratch import scratch_path
-from ..operators import downstream, experiments, generate, privacy, repair, univariate, valuation
+from ..operators import detect, downstream, experiments, generate, repair, univariate, valuation
 from .base import query, table, union_sql
-from .queries_metrics import SCORED, embedded, rounded, scored
+from .queries_metrics import AUC, SCORED, embedded, rounded, scored
 from .queries_tables import RUNS, runs
+from .registry import Columns, evaluate_runs
 from .roles import CATEGORICAL, NUMERIC, lineitem_roles, with_roles
 
 # Downstream
@@ -51,22 +52,34 @@ def _share(x, y):
     return f"{x} / nullif(cast({y} AS DOUBLE), 0)"
 
 
-@query(f"SELECT threshold, {_share('tp', '(tp + fn)')} AS catch_rate, {_share('fn', '(tp + fn)')} AS miss_rate, {_share('tp', '(tp + fp)')} AS hit_rate, {_share('fp', '(fp + tn)')} AS false_alarm_rate, {_share('(tp + fp)', 'tp')} AS number_needed_to_screen, {_share('tn', '(tn + fp)')} AS specificity, {_share('tn', '(tn + fn)')} AS npv, {_share('tp', '(tp + fp)')} AS ppv FROM ({CM_ALL})")
+def _percent(x, y):
+    return f"coalesce(100 * {_share(x, y)}, 0)"
+
+
+@query(f"SELECT threshold, {_percent('tp', '(tp + fn)')} AS catch_rate, {_percent('fn', '(tp + fn)')} AS miss_rate, {_percent('tp', '(tp + fp)')} AS hit_rate, {_percent('fp', '(tp + fp)')} AS false_alarm_rate, coalesce({_share('(tp + fp)', 'tp')}, cast('inf' AS DOUBLE)) AS number_needed_to_screen, {_percent('tn', '(tn + fp)')} AS specificity, {_percent('tn', '(tn + fn)')} AS npv, {_percent('tp', '(tp + fp)')} AS ppv FROM ({CM_ALL})")
 def dwn4_screening_report(spark, sf):
     return downstream.screening_report(downstream.confusion_at(unit(spark, sf)))
 
 
-@query(f"SELECT threshold, accuracy - precision AS gap, CASE WHEN accuracy - precision < 0.05 THEN 'excellent' WHEN accuracy - precision < 0.15 THEN 'good' WHEN accuracy - precision < 0.25 THEN 'moderate' ELSE 'poor' END AS band FROM ({CM_ALL})")
+_HALVES = f"SELECT lang, doc_id % 2 AS half, score, label FROM ({SCORED})"
+_HALF_AUC = "SELECT lang, half, (rp - p * (p + 1) / 2.0) / nullif(cast(p AS DOUBLE) * n, 0) AS auc FROM (" + AUC.format(by="lang, half,", part="lang, half", src=_HALVES, group="GROUP BY lang, half") + ")"
+_GAP = "max(auc) FILTER (half = 0) - max(auc) FILTER (half = 1)"
+
+
+@query(f"SELECT lang, round(gap, 6) + 0.0 AS gap, CASE WHEN gap < 0.05 THEN 'excellent' WHEN gap < 0.15 THEN 'good' WHEN gap < 0.25 THEN 'moderate' ELSE 'poor' END AS band FROM (SELECT lang, {_GAP} AS gap FROM ({_HALF_AUC}) GROUP BY 1)")
 def dwn5_transfer_gap(spark, sf):
-    gap, band = downstream.transfer_gap(F.col("accuracy"), F.col("precision"))
-    return downstream.confusion_at(unit(spark, sf)).select("threshold", gap.alias("gap"), band.alias("band"))
+    """A score's AUC on one half of the documents against that on the other, by language."""
+    aucs = detect.auroc(scored(spark, sf).withColumn("half", F.col("doc_id") % 2), "score", "label", by=["lang", "half"])
+    both = aucs.groupBy("lang").agg(*[F.max(F.when(F.col("half") == h, F.col("auc"))).alias(f"auc_{h}") for h in (0, 1)])
+    gap, band = downstream.transfer_gap(F.col("auc_0"), F.col("auc_1"))
+    return rounded(both.select("lang", gap.alias("gap"), band.alias("band")), "gap")
 
 
 # Valuation
 
 LABELLED = "SELECT vec_id AS id, list_transform(embedding, lambda x: cast(x AS DOUBLE)) AS v, label FROM embeddings WHERE vec_id % 2 = {}"
 #: The recursion from the farthest training row inwards.
-SHAPLEY = f"""WITH RECURSIVE d AS (SELECT t.id AS test_id, a.id, a.label = t.label AS same, list_sum(list_transform(list_zip(a.v, t.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dist FROM ({LABELLED.format(0)}) a, (SELECT * FROM ({LABELLED.format(1)}) WHERE id < 60) t),
+SHAPLEY = f"""WITH RECURSIVE d AS (SELECT t.id AS test_id, a.id, a.label = t.label AS same, list_sum(list_transform(list_zip(a.v, t.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dist FROM ({LABELLED.format(0)}) a, ({LABELLED.format(1)}) t),
 k AS (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY dist, id) AS i, count(*) OVER (PARTITION BY test_id) AS n FROM d),
 s AS (SELECT test_id, id, i, same, cast(same AS INTEGER) / cast(n AS DOUBLE) AS value FROM k WHERE i = n
 UNION ALL SELECT k.test_id, k.id, k.i, k.same, s.value + (cast(k.same AS INTEGER) - cast(s.same AS INTEGER)) / 5.0 * least(5, k.i) / k.i FROM s JOIN k ON k.test_id = s.test_id AND k.i = s.i - 1)
@@ -75,7 +88,7 @@ SELECT test_id, id, value FROM s"""
 
 def shapley(spark, sf):
     train, test = embedded(spark, sf)
-    return valuation.knn_shapley(train, test.where("id < 60"))
+    return valuation.knn_shapley(train, test)
 
 
 @query(f"SELECT test_id, id, round(value, 6) + 0.0 AS value FROM ({SHAPLEY})")
@@ -166,6 +179,24 @@ def rep5_repair_categories(spark, sf):
     return before.join(after.withColumnsRenamed({c: f"{c}_after" for c in after.columns[1:]}), "column", "left")
 
 
+#: A column of which no value is real, so that its fallback is used.
+_HOPELESS = "SELECT * REPLACE (concat('no ', l_linestatus) AS l_linestatus) FROM synthetic"
+_LINE_CUTS = CUTS.replace("l_returnflag", "l_linestatus")
+
+
+@query(with_roles(f"WITH h AS ({_HOPELESS}), cuts AS ({_LINE_CUTS}), u AS (SELECT l_orderkey, l_linenumber, {HASHED.format(c='l_linestatus', seed=0)} AS u FROM h) SELECT l_orderkey, l_linenumber, c AS l_linestatus FROM u JOIN cuts ON u >= lo AND u < hi"))
+def rep5_fallback(spark, sf):
+    r = lineitem_roles(spark, sf)
+    hopeless = r.synthetic.withColumn("l_linestatus", F.concat(F.lit("no "), F.col("l_linestatus")))
+    return repair.repair_categories(hopeless, r.reference, ["l_linestatus"], ROW, method="knn", fallback="weighted").select(*ROW, "l_linestatus")
+
+
+@query(with_roles(f"SELECT \"column\", fixed FROM (SELECT 'l_returnflag' AS \"column\", count(*) FILTER (l_returnflag NOT IN (SELECT l_returnflag FROM reference)) AS fixed FROM synthetic UNION ALL SELECT 'l_linestatus', count(*) FILTER (l_linestatus NOT IN (SELECT l_linestatus FROM reference)) FROM synthetic) WHERE fixed > 0"))
+def rep5_fixed_counts(spark, sf):
+    r = lineitem_roles(spark, sf)
+    return repair.fixed_counts(r.synthetic, repair.repair_categories(r.synthetic, r.reference, CATEGORICAL, ROW), r.reference, CATEGORICAL)
+
+
 # Experiments
 
 MODEL = "SELECT *, concat('lib_two_part_', substr(md5(cast(dseed AS VARCHAR)), 1, 8), '_', substr(md5('r'), 1, 8), '_', substr(md5(cast(generation AS VARCHAR)), 1, 8), '_gen_', cast(generation AS VARCHAR), '_base_name_', substr(md5('c'), 1, 8), '_', cast(mseed AS VARCHAR)) AS model_id FROM ({})"
@@ -212,7 +243,7 @@ def exp4_derived_metrics(spark, sf):
 
 @query()
 def exp5_bootstrap_ci(spark, sf):
-    return experiments.bootstrap_ci(runs(spark, sf), ["generation", "metric"], "value", ["dseed", "mseed"], replicates=400)
+    return experiments.bootstrap_ci(runs(spark, sf), ["generation", "metric"], "value", ["dseed", "mseed"], replicates=10_000)
 
 
 AVERAGED = f"SELECT generation, dseed, metric, avg(value) AS value, count(DISTINCT mseed) AS n_mseeds FROM ({RUNS}) GROUP BY 1, 2, 3"
@@ -265,10 +296,33 @@ def exp12_latest_checkpoint(spark, sf):
     return experiments.latest_checkpoint(models(spark, sf).where("metric = 'click'"), ["dseed", "mseed"])
 
 
-@query("SELECT run, min(members) AS k, count(*) AS classes FROM (SELECT c_custkey % 5 AS run, c_nationkey, c_mktsegment, count(*) AS members FROM customer GROUP BY 1, 2, 3) GROUP BY 1")
+#: Runs of the synthetic table: one for each line number, all against the same reference.
+BY_RUN = ("ks_complement", "tv_complement", "boundary_adherence", "category_adherence", "wasserstein_1d", "mmd_linear", "k_anonymity")
+_NUMBERS = union_sql([f"SELECT {{run}} AS run, '{c}' AS \"column\", cast({c} AS DOUBLE) AS value FROM {{role}} WHERE {c} IS NOT NULL" for c in NUMERIC])
+_TEXTS = union_sql([f"SELECT {{run}} AS run, '{c}' AS \"column\", {c} AS value FROM {{role}}" for c in CATEGORICAL])
+_ALL = "reference, (SELECT DISTINCT l_linenumber AS run FROM synthetic)"
+_BOTH = "SELECT run, \"column\", value, count(*) FILTER (side = 'r') AS r, count(*) FILTER (side = 's') AS s FROM (SELECT *, 'r' AS side FROM ({r}) UNION ALL SELECT *, 's' FROM ({s})) GROUP BY 1, 2, 3"
+_NUM2, _CAT2 = (_BOTH.format(r=x.format(run="run", role=_ALL), s=x.format(run="l_linenumber", role="synthetic")) for x in (_NUMBERS, _TEXTS))
+_BY = "PARTITION BY run, \"column\""
+_FIRST = union_sql([f"SELECT run, '{c}' AS \"column\", {c} AS r FROM (SELECT run, {', '.join(f'avg({x}) AS {x}' for x in NUMERIC)} FROM {_ALL} GROUP BY 1)" for c in NUMERIC])
+_SECOND = union_sql([f"SELECT run, '{c}' AS \"column\", {c} AS s FROM (SELECT l_linenumber AS run, {', '.join(f'avg({x}) AS {x}' for x in NUMERIC)} FROM synthetic GROUP BY 1)" for c in NUMERIC])
+EXP13_SQL = f"""WITH num AS ({_NUM2}), cat AS ({_CAT2}),
+e AS (SELECT *, sum(r) OVER w / sum(r) OVER ({_BY}) AS fr, sum(s) OVER w / sum(s) OVER ({_BY}) AS fs, lead(value) OVER w AS following FROM num WINDOW w AS ({_BY} ORDER BY value)),
+p AS (SELECT *, r / sum(r) OVER ({_BY}) AS p, s / sum(s) OVER ({_BY}) AS q FROM cat), ends AS (SELECT run, "column", min(value) AS low, max(value) AS high FROM num WHERE r > 0 GROUP BY 1, 2)
+SELECT run AS l_linenumber, metric, "column", round(value, 6) + 0.0 AS value FROM (
+SELECT run, 'ks_complement' AS metric, "column", 1 - max(abs(fr - fs)) AS value FROM e GROUP BY run, "column"
+UNION ALL SELECT run, 'wasserstein_1d', "column", sum(abs(fr - fs) * (following - value)) / (max(value) FILTER (r > 0) - min(value) FILTER (r > 0)) FROM e GROUP BY run, "column"
+UNION ALL SELECT run, 'tv_complement', "column", 1 - sum(abs(p - q)) / 2 FROM p GROUP BY run, "column"
+UNION ALL SELECT run, 'category_adherence', "column", sum(CASE WHEN r > 0 THEN s ELSE 0 END) / sum(s) FROM cat GROUP BY run, "column"
+UNION ALL SELECT run, 'boundary_adherence', "column", sum(CASE WHEN value BETWEEN low AND high THEN s ELSE 0 END) / sum(s) FROM num JOIN ends USING (run, "column") GROUP BY run, "column"
+UNION ALL SELECT run, 'mmd_linear', NULL, sum(pow(r - s, 2)) FROM ({_FIRST}) JOIN ({_SECOND}) USING (run, "column") GROUP BY run
+UNION ALL SELECT run, 'k_anonymity', NULL, min(n) FROM (SELECT l_linenumber AS run, count(*) AS n FROM synthetic GROUP BY l_linenumber, {', '.join(CATEGORICAL)}) GROUP BY run)"""
+
+
+@query(with_roles(EXP13_SQL))
 def exp13_evaluate_runs(spark, sf):
-    c = table(spark, sf, "customer").withColumn("run", F.col("c_custkey") % 5)
-    return privacy.class_sizes(c, ["run", "c_nationkey", "c_mktsegment"]).groupBy("run").agg(F.min("members").alias("k"), F.count("*").alias("classes"))
+    r = lineitem_roles(spark, sf)
+    return rounded(evaluate_runs(r.reference.drop("l_linenumber"), r.synthetic, Columns(CATEGORICAL, NUMERIC), ["l_linenumber"], BY_RUN), "value")
 
 
 # Generators
@@ -277,13 +331,13 @@ def exp13_evaluate_runs(spark, sf):
 @query()
 def gen1_marginal_sampler(spark, sf):
     p = table(spark, sf, "part").select("p_brand", "p_type", "p_size")
-    return univariate.tv_complement(p, generate.marginal_sampler(p, 3000, seed=1), ["p_brand", "p_type", "p_size"])
+    return univariate.tv_complement(p, generate.marginal_sampler(p, seed=1), ["p_brand", "p_type", "p_size"])
 
 
 @query()
 def gen2_gaussian_copula(spark, sf):
     r = lineitem_roles(spark, sf).reference.select(*NUMERIC, "l_returnflag")
-    return univariate.ks_complement(r, generate.gaussian_copula_sampler(r, 3000, seed=1), NUMERIC)
+    return univariate.ks_complement(r, generate.gaussian_copula_sampler(r, seed=1), NUMERIC)
 
 
 @query()

@@ -42,22 +42,38 @@ def runs(spark, sf, text=RUNS):
     return spark.sql(text.replace("FROM events", "FROM {events}"), events=table(spark, sf, "events"))
 
 
-@query()
+@query(f"SELECT cast(generation AS INTEGER) AS generation, metric, round(value, 6) AS value, cast(dseed AS INTEGER) AS dseed, cast(mseed AS INTEGER) AS mseed FROM ({RUNS})")
 def src4_metric_tables(spark, sf):
     path = scratch_path(spark, "metrics")
-    for d, m in ((0, 1), (1, 2)):
-        rows = runs(spark, sf).where((F.col("dseed") == d) & (F.col("mseed") == m)).select("generation", "metric", "value")
-        rows.write.option("header", True).csv(f"{path}/run_dseed{d}_x_mseed{m}")
-    return tables.read_metric_tables(spark, f"{path}/*", ["generation", "metric"])
+    name = F.concat(F.lit("lib_dseed"), F.col("dseed"), F.lit("_x_mseed"), F.col("mseed"))
+    runs(spark, sf).select("generation", "metric", "value", name.alias("run")).write.partitionBy("run").option("header", True).csv(path)
+    found = tables.read_metric_tables(spark, f"{path}/*", ["generation", "metric"])
+    return found.select("generation", "metric", F.round(F.col("value").cast("double"), 6).alias("value"), "dseed", "mseed")
 
 
-@query()
+_JSON = f"SELECT concat_ws('_', dseed, mseed, generation) AS model_id, max(value) FILTER (metric = 'click') AS a, max(value) FILTER (metric = 'view') AS b, max(value) FILTER (metric = 'purchase') AS c FROM ({RUNS}) GROUP BY 1"
+
+
+@query("SELECT model_id, metric, round(value, 6) AS value FROM (" + " UNION ALL ".join(f"SELECT model_id, '{n}' AS metric, {x} AS value FROM j WHERE {w}" for n, x, w in (
+    ("alpha_authenticity_OC", "a", "a > 45"), ("prdc_precision", "a", "true"), ("prdc_recall", "b", "true"), ("prdc_avg", "(coalesce(a, 0) + coalesce(b, 0)) / 4", "true"), ("tv_complement", "c", "true"), ("k_ratio_synthetic_reference", "b", "true"),
+    ("detection_gmm", "b", "true"), ("detection_avg", "b", "true"), ("factual_total", "c / 100", "true"), ("training_time", "a", "true"))) .replace("FROM j", f"FROM ({_JSON})") + ") WHERE value IS NOT NULL")
 def src5_metric_json(spark, sf):
+    """A JSON document for each run and generation, a file each, in the nested layouts of the metric files."""
     path = scratch_path(spark, "metrics-json")
-    metric = F.struct(F.when(F.col("value") > 40, "success").otherwise("error").alias("status"), "value", F.lit(0.5).alias("execution_time"))
-    rows = runs(spark, sf).withColumn("model_id", F.concat_ws("_", "dseed", "mseed", "generation")).groupBy("model_id").agg(F.map_from_entries(F.collect_list(F.struct("metric", metric))).alias("metrics"))
-    rows.write.json(path)
-    return spark.read.schema(tables.METRIC_JSON).json(path).select("model_id", F.explode("metrics").alias("metric", "m")).where("m.status = 'success'").select("model_id", "metric", "m.value")
+    value = lambda m: F.max(F.when(F.col("metric") == m, F.col("value")))
+    wide = runs(spark, sf).groupBy(F.concat_ws("_", "dseed", "mseed", "generation").alias("model_id")).agg(value("click").alias("a"), value("view").alias("b"), value("purchase").alias("c"))
+    ok, bad = F.lit("success"), F.lit("error")
+    metrics = F.struct(
+        F.struct(F.when(F.col("a") > 45, ok).otherwise(bad).alias("status"), F.struct(F.col("a").alias("authenticity_OC")).alias("scores")).alias("alpha_precision"),
+        F.struct(ok.alias("status"), F.col("a").alias("precision"), F.col("b").alias("recall")).alias("prdc_score"),
+        F.struct(ok.alias("status"), F.col("c").alias("aggregate_score")).alias("tv_complement"),
+        F.struct(ok.alias("status"), F.create_map(F.lit("Synthetic / Reference"), F.struct(F.col("b").alias("ratio"))).alias("k_ratios")).alias("k_anonymization"),
+    )
+    scores = F.struct(F.struct(ok.alias("status"), F.col("b").alias("auc_score")).alias("detection_gmm"), F.struct(bad.alias("status")).alias("detection_mlp"))
+    matrix = F.struct(F.struct(F.col("c").alias("rate_pct")).alias("total_factual"))
+    doc = F.struct("model_id", metrics.alias("metrics"), scores.alias("individual_scores"), matrix.alias("quality_matrix_2x2"), F.col("a").alias("training_time"))
+    wide.select(F.to_json(doc).alias("value"), F.col("model_id").alias("run")).write.partitionBy("run").text(path)
+    return tables.read_metric_json(spark, f"{path}/*").select("model_id", "metric", F.round("value", 6).alias("value"))
 
 
 @query("SELECT c_custkey, c_mktsegment, c_acctbal FROM customer")

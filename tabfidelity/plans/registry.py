@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import association, multivariate, privacy, univariate
+from ..operators import association, detect, membership, multivariate, nn, prep, privacy, schema_cmp, univariate
 from .roles import Roles
 
 
@@ -17,6 +20,8 @@ from .roles import Roles
 class Columns:
     categorical: tuple[str, ...]
     numeric: tuple[str, ...]
+    #: SQL expression of a whole number that tells rows apart; metrics over single rows need it.
+    key: str | None = None
 
 
 @dataclass(frozen=True)
@@ -39,6 +44,30 @@ def _two(f, which):
     return lambda r, c: f(r.reference, r.synthetic, *which(c)).select("column_1", "column_2", F.col("score").alias("value"))
 
 
+def _pair_vectors(r: Roles, c: Columns) -> list[DataFrame]:
+    """(id, v) of reference and synthetic, scaled to the reference's ends."""
+    if c.key is None:
+        raise ValueError("the metric needs a key of the rows")
+    scaled = [prep.minmax_scale(df.withColumn("__key", F.expr(c.key)).na.drop(subset=[*c.numeric]), c.numeric, r.reference) for df in (r.reference, r.synthetic)]
+    return [nn.vectors(df, "__key", c.numeric) for df in scaled]
+
+
+def _named_values(df: DataFrame) -> DataFrame:
+    """The columns of a table of one row as (column_1, value)."""
+    return df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_1"), F.col(c).cast("double").alias("value")) for c in df.columns])))
+
+
+def _detection(r: Roles, c: Columns) -> DataFrame:
+    if c.key is None:
+        raise ValueError("the metric needs a key of the rows")
+    data = detect.labelled(*[df.withColumn("__key", F.expr(c.key)) for df in (r.reference, r.synthetic)], [*c.numeric], "__key")
+    return detect.detect_linear(data, "__key").agg(F.avg("auc").alias("value"))
+
+
+def _scaled(r: Roles, c: Columns) -> list[DataFrame]:
+    return [prep.minmax_scale(df.select(*c.numeric).na.drop(), c.numeric, r.reference) for df in (r.reference, r.synthetic)]
+
+
 METRICS: dict[str, Metric] = {
     "ks_complement": Metric(_one("ks_complement", "score", True), True, 1.0),
     "tv_complement": Metric(_one("tv_complement", "score", False), True, 1.0),
@@ -53,25 +82,71 @@ METRICS: dict[str, Metric] = {
     "contingency_similarity": Metric(_two(association.contingency_similarity, lambda c: (c.categorical, c.numeric)), True, 1.0),
     "mmd_linear": Metric(lambda r, c: multivariate.mmd_linear(r.reference, r.synthetic, c.numeric).select(F.col("mmd").alias("value")), False, 0.0),
     "mmd_polynomial": Metric(lambda r, c: multivariate.mmd_polynomial(r.reference, r.synthetic, c.numeric).select(F.col("mmd").alias("value")), False, 0.0),
+    "mmd_rbf": Metric(lambda r, c: multivariate.mmd_rbf_features(*_scaled(r, c), c.numeric).select(F.col("mmd").alias("value")), False, 0.0),
+    "sliced_wasserstein": Metric(lambda r, c: multivariate.sliced_wasserstein(*_scaled(r, c), c.numeric).select(F.col("distance").alias("value")), False, 0.0),
+    "prdc": Metric(lambda r, c: _named_values(multivariate.prdc(*_pair_vectors(r, c))), True, 1.0),
+    "alpha_precision": Metric(lambda r, c: _named_values(multivariate.alpha_precision_naive(*_pair_vectors(r, c), len(c.numeric))), True, 1.0),
+    "dcr_median": Metric(lambda r, c: multivariate.dcr(*_pair_vectors(r, c)[::-1]).agg(F.median("distance").alias("value")), True, float("inf")),
+    "new_row_synthesis": Metric(lambda r, c: membership.new_row_synthesis(r.reference, r.synthetic, c.categorical, c.numeric).select(F.col("score").alias("value")), True, 1.0),
+    "detection_linear": Metric(_detection, False, 0.5),
+    "structure": Metric(lambda r, c: schema_cmp.structure_score(schema_cmp.table_structure(r.reference, r.synthetic)).select(F.col("score").alias("value")), True, 1.0),
     "k_anonymity": Metric(lambda r, c: privacy.k_anonymity(r.synthetic, c.categorical).select(F.col("k").cast("double").alias("value")), True, float("inf")),
 }
 
 
+RESULT = "metric string, column_1 string, column_2 string, value double, status string, message string"
+
+
 def evaluate(roles: Roles, columns: Columns, names: Sequence[str]) -> DataFrame:
-    """(metric, column_1, column_2, value, status, message): a metric that can't be planned is a row of its own, not a failure of all."""
-    out = None
+    """(metric, column_1, column_2, value, status, message).
+
+    Each metric runs on its own; one that fails, in planning or while it runs, is a row of its own, not a failure of all. What is gathered are
+    the results, a row for each column or pair of columns.
+    """
+    rows = []
     for name in names:
         try:
             found = METRICS[name].run(roles, columns)
-            text = lambda c, df=found: (F.col(c) if c in df.columns else F.lit(None)).cast("string").alias(c)
-            part = found.select(F.lit(name).alias("metric"), text("column_1"), text("column_2"), "value", F.lit("success").alias("status"), F.lit(None).cast("string").alias("message"))
-        except (PySparkException, KeyError, ValueError) as e:
-            none = F.lit(None).cast("string")
-            part = roles.synthetic.sparkSession.range(1, numPartitions=1).select(F.lit(name).alias("metric"), none.alias("column_1"), none.alias("column_2"), F.lit(None).cast("double").alias("value"), F.lit("error").alias("status"), F.lit(str(e)[:300]).alias("message"))
-        out = part if out is None else out.unionAll(part)
-    return out
-
-
-def evaluate_runs(df: DataFrame, by: Sequence[str], measure: Callable[[DataFrame, Sequence[str]], DataFrame]) -> DataFrame:
-    """One job for all runs: measure gets the whole table and the run columns to group by."""
-    return measure(df, by)
+            there = [F.col(c).cast("string").alias(c) if c in found.columns else F.lit(None).cast("string").alias(c) for c in ("column_1", "column_2")]
+            rows += [(name, r[0], r[1], r[2], "success", None) for r in found.select(*there, F.col("value").cast("double").alias("value")).collect()]
+        except (PySparkException, Py4JError, KeyError, ValueError, np.linalg.LinAlgError) as e:
+            rows.append((name, None, None, None, "error", str(e)[:300]))
+    return roles.synthetic.sparkSession.createDataFrame(rows, RESULT)
+
+
+def _by_column(name: str, score: str, numeric: bool):
+    def run(real: DataFrame, synthetic: DataFrame, c: Columns, by: Sequence[str]) -> DataFrame:
+        found = getattr(univariate, name)(real, synthetic, c.numeric if numeric else c.categorical, by=by)
+        return found.select(*[F.col(f"column.{b}").alias(b) for b in by], F.col("column.column").alias("column"), F.col(score).alias("value"))
+
+    return run
+
+
+def _by_run(f):
+    """f gives (by..., value)."""
+    return lambda real, synthetic, c, by: f(real, synthetic, c, by).select(*by, F.lit(None).cast("string").alias("column"), "value")
+
+
+#: Metrics that take run columns: (real, synthetic, columns, by) -> (by..., column, value).
+METRICS_BY_RUN: dict[str, Callable[[DataFrame, DataFrame, Columns, Sequence[str]], DataFrame]] = {
+    **{n: _by_column(n, "score", True) for n in ("ks_complement", "boundary_adherence")},
+    **{n: _by_column(n, "score", False) for n in ("tv_complement", "category_adherence")},
+    **{n: _by_column(n, "distance", True) for n in ("jsd_equal_width", "jsd_adaptive", "jsd_mixed", "wasserstein_1d")},
+    "jsd_categorical": _by_column("jsd_categorical", "distance", False),
+    "mmd_linear": _by_run(lambda real, s, c, by: multivariate.mmd_linear(real, s, c.numeric, by).withColumnRenamed("mmd", "value")),
+    "k_anonymity": _by_run(lambda real, s, c, by: privacy.class_sizes(s, [*by, *c.categorical]).groupBy(*by).agg(F.min("members").cast("double").alias("value"))),
+}
+
+
+def evaluate_runs(real: DataFrame, synthetic: DataFrame, columns: Columns, by: Sequence[str], names: Sequence[str] = tuple(METRICS_BY_RUN), most_runs: int = 10_000) -> DataFrame:
+    """(by..., metric, column, value) of all runs in one job: the synthetic table holds the rows of every run, told apart by the run columns.
+
+    A real table without the run columns serves every run: the runs (at most most_runs, which is checked) are broadcast to it.
+    """
+    if not set(by) <= set(real.columns):
+        runs = synthetic.select(*by).distinct()
+        if runs.limit(most_runs + 1).count() > most_runs:
+            raise ValueError(f"more than {most_runs} runs: give the real rows of each run")
+        real = real.drop(*by).crossJoin(F.broadcast(runs))
+    parts = [METRICS_BY_RUN[n](real, synthetic, columns, by).select(*by, F.lit(n).alias("metric"), "column", "value") for n in names]
+    return reduce(DataFrame.unionByName, parts)

@@ -126,14 +126,72 @@ def read_metric_tables(spark: SparkSession, paths: str | Sequence[str], required
     return out.withColumn("generation", F.col("generation").cast("int"))
 
 
-METRIC_JSON = "model_id string, metrics map<string, struct<status: string, value: double, execution_time: double>>"
-
-
-def read_metric_json(spark: SparkSession, path: str | Sequence[str], schema: str = METRIC_JSON) -> DataFrame:
-    """(model_id, metric, value): the successful metrics of nested JSON files, one document a file."""
-    docs = spark.read.schema(schema).option("multiLine", True).json(path)
-    long = docs.select("model_id", F.explode("metrics").alias("metric", "m"))
-    return long.where(F.col("m.status") == "success").select("model_id", "metric", F.col("m.value").alias("value"))
+#: Metric, where its number stands in a run's JSON, and where its status stands (None: it has none). The files' layouts differ by kind of metric.
+METRIC_PATHS = (
+    ("alpha_delta_precision_OC", "metrics.alpha_precision.scores.delta_precision_alpha_OC", "metrics.alpha_precision.status"),
+    ("alpha_delta_coverage_OC", "metrics.alpha_precision.scores.delta_coverage_beta_OC", "metrics.alpha_precision.status"),
+    ("alpha_authenticity_OC", "metrics.alpha_precision.scores.authenticity_OC", "metrics.alpha_precision.status"),
+    ("alpha_delta_precision_naive", "metrics.alpha_precision.scores.delta_precision_alpha_naive", "metrics.alpha_precision.status"),
+    ("alpha_delta_coverage_naive", "metrics.alpha_precision.scores.delta_coverage_beta_naive", "metrics.alpha_precision.status"),
+    ("alpha_authenticity_naive", "metrics.alpha_precision.scores.authenticity_naive", "metrics.alpha_precision.status"),
+    ("prdc_precision", "metrics.prdc_score.precision", "metrics.prdc_score.status"),
+    ("prdc_recall", "metrics.prdc_score.recall", "metrics.prdc_score.status"),
+    ("prdc_density", "metrics.prdc_score.density", "metrics.prdc_score.status"),
+    ("prdc_coverage", "metrics.prdc_score.coverage", "metrics.prdc_score.status"),
+    ("wasserstein_dist", "metrics.wasserstein_distance.joint_distance", "metrics.wasserstein_distance.status"),
+    ("mmd", "metrics.maximum_mean_discrepancy.joint_distance", "metrics.maximum_mean_discrepancy.status"),
+    ("jsd_synthcity", "metrics.jensenshannon_synthcity.distance_score", "metrics.jensenshannon_synthcity.status"),
+    ("jsd_syndat", "metrics.jensenshannon_syndat.distance_score", "metrics.jensenshannon_syndat.status"),
+    ("jsd_nannyml", "metrics.jensenshannon_nannyml.distance_score", "metrics.jensenshannon_nannyml.status"),
+    ("tv_complement", "metrics.tv_complement.aggregate_score", "metrics.tv_complement.status"),
+    ("ks_complement", "metrics.ks_complement.aggregate_score", "metrics.ks_complement.status"),
+    ("new_row_synthesis", "metrics.new_row_synthesis.score", "metrics.new_row_synthesis.status"),
+    ("sdmetrics_column_shapes", "metrics.sdmetrics_quality.property_scores.column_shapes", "metrics.sdmetrics_quality.status"),
+    ("sdmetrics_column_pair_trends", "metrics.sdmetrics_quality.property_scores.column_pair_trends", "metrics.sdmetrics_quality.status"),
+    ("sdmetrics_overall", "metrics.sdmetrics_quality.score", "metrics.sdmetrics_quality.status"),
+    ("k_anonymity_reference", "metrics.k_anonymization.k_values.reference.k", "metrics.k_anonymization.status"),
+    ("k_anonymity_synthetic", "metrics.k_anonymization.k_values.synthetic.k", "metrics.k_anonymization.status"),
+    ("k_ratio_synthetic_reference", "metrics.k_anonymization.k_ratios['Synthetic / Reference'].ratio", "metrics.k_anonymization.status"),
+    ("complexity_population", "complexity_metrics.population.total_complexity", None),
+    ("complexity_training", "complexity_metrics.training.total_complexity", None),
+    ("complexity_reference", "complexity_metrics.reference.total_complexity", None),
+    ("complexity_synthetic", "complexity_metrics.synthetic.total_complexity", None),
+    ("complexity_ratio_vs_population", "complexity_metrics.comparisons.synthetic_vs_population_ratio", None),
+    ("complexity_ratio_vs_training", "complexity_metrics.comparisons.synthetic_vs_training_ratio", None),
+    ("complexity_ratio_vs_reference", "complexity_metrics.comparisons.synthetic_vs_reference_ratio", None),
+    ("training_time", "training_time", None),
+)
+#: Numbers that stand as percentages.
+PERCENT_PATHS = (
+    ("factual_total", "quality_matrix_2x2.total_factual.rate_pct"),
+    ("ddr_novel_factual", "quality_matrix_2x2.novel_factual.rate_pct"),
+    ("plausible_total", "quality_matrix_2x2.total_plausible.rate_pct"),
+    ("plausible_novel", "quality_matrix_2x2.novel_plausible.rate_pct"),
+    ("category_ddr", "ddr_metrics.unique.rate_pct"),
+    ("category_train_copy_valid", "training_copy_valid_metrics.unique.rate_pct"),
+    ("category_train_copy_prop", "training_copy_propagation_metrics.unique.rate_pct"),
+    ("category_new_halluc", "new_hallucination_metrics.unique.rate_pct"),
+)
+DETECTOR = "map<string, struct<status: string, auc_score: double>>"
+
+
+def read_metric_json(spark: SparkSession, path: str | Sequence[str], id_path: str = "model_id") -> DataFrame:
+    """(model_id, metric, value): the successful metrics of nested JSON files, one document a file, whatever their kind.
+
+    Averages follow from their parts: prdc_avg, and detection_avg over the detectors, each of which is a metric of its own name.
+    """
+    docs = spark.read.option("wholetext", True).text([path] if isinstance(path, str) else [*path])
+    at = lambda p: F.get_json_object("value", f"$.{p}")
+    good = lambda p: F.lit(True) if p is None else F.coalesce(at(p) == "success", F.lit(False))
+    plain = [F.struct(F.lit(n).alias("metric"), F.when(good(status), at(p).try_cast("double")).alias("value")) for n, p, status in METRIC_PATHS]
+    percent = [F.struct(F.lit(n).alias("metric"), (at(p).try_cast("double") / 100).alias("value")) for n, p in PERCENT_PATHS]
+    detectors = F.map_entries(F.from_json(at("individual_scores"), DETECTOR))
+    worked = F.filter(F.coalesce(detectors, F.array().cast("array<struct<key: string, value: struct<status: string, auc_score: double>>>")), lambda d: d["value"]["status"] == "success")
+    found = F.concat(F.array(*plain, *percent), F.transform(worked, lambda d: F.struct(d["key"].alias("metric"), d["value"]["auc_score"].alias("value"))))
+    mean = F.try_divide(F.aggregate(worked, F.lit(0.0), lambda x, d: x + d["value"]["auc_score"]), F.size(worked))
+    prdc = sum((F.coalesce(at(f"metrics.prdc_score.{n}").try_cast("double"), F.lit(0.0)) for n in ("precision", "recall", "density", "coverage")), F.lit(0.0)) / 4
+    averages = F.array(F.struct(F.lit("detection_avg").alias("metric"), mean.alias("value")), F.struct(F.lit("prdc_avg").alias("metric"), F.when(good("metrics.prdc_score.status"), prdc).alias("value")))
+    return docs.select(at(id_path).alias("model_id"), F.inline(F.concat(found, averages))).where("value is not null")
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", overwrite: bool = False) -> None:

@@ -171,3 +171,50 @@ def test_copula_keeps_the_correlation(spark):
 
 def test_k_anonymity_of_a_constant(spark):
     assert privacy.k_anonymity(spark.range(7).select(F.lit(1).alias("q")), ["q"]).first()["k"] == 7
+
+
+def test_readings_at_their_thresholds(spark):
+    from tabfidelity.operators import downstream
+
+    rows = [(0.70, 0.0, 0.80), (0.69, 0.0, 0.80), (0.29, 0.29, 0.1), (0.30, 0.29, 0.1), (0.70, 0.9, 0.59), (0.70, 0.9, 0.60), (None, 0.5, 0.5), (0.80, 0.8, 0.85), (0.39, 0.70, 0.49), (0.40, 0.70, 0.49)]
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, real_association double, synthetic_association double, quality double")
+    got = d.select("i", association._reading(association.FLAGS, "-", "⚠").alias("f"), association._reading(association.DIAGNOSES, "Insufficient data", "Mixed quality").alias("d")).orderBy("i").collect()
+    assert [r.f for r in got] == ["✓", "✓", "✓", "⚠", "✗", "⚠", "-", "✓", "⚠", "⚠"]
+    assert [r.d for r in got][6:] == ["Insufficient data", "Strong correlation well preserved", "Synthetic created spurious correlation", "Mixed quality"]
+    ratios = spark.createDataFrame([(x,) for x in (1.5, 1.51, 1.1, 0.9, 0.7, 0.71)], "r double").select(privacy.interpret_ratio(F.col("r"))).collect()
+    assert [r[0].split(" privacy")[0] for r in ratios] == ["Better", "Much better", "Similar", "Worse", "Much worse", "Worse"]
+    none = downstream.screening_report(spark.createDataFrame([(0.5, 3, 0, 2, 0)], "threshold double, tn long, fp long, fn long, tp long")).first()
+    assert none.number_needed_to_screen == math.inf and none.false_alarm_rate == 0 and none.miss_rate == 100
+
+
+def test_ranks_and_shapley_values(spark):
+    from tabfidelity.functions.ranks import ranked_within
+    from tabfidelity.operators import valuation
+
+    d = spark.createDataFrame([(i, i % 2, float((i * 7) % 10)) for i in range(50)], "id long, g long, x double")
+    got = {r.id: r.rank for r in ranked_within(d, ["g"], ["x", "id"], "rank").collect()}
+    for g in (0, 1):
+        order = sorted((float((i * 7) % 10), i) for i in range(50) if i % 2 == g)
+        assert [got[i] for _, i in order] == list(range(1, 26))
+    train = spark.createDataFrame([(i, [float(i)], i % 3) for i in range(12)], "id long, v array<double>, label long")
+    test = spark.createDataFrame([(100, [2.2], 2), (101, [9.0], 0)], "id long, v array<double>, label long")
+    found = {(r.test_id, r.id): r.value for r in valuation.knn_shapley(train, test, 3, block_rows=5).collect()}
+    for t, v, y in ((100, 2.2, 2), (101, 9.0, 0)):
+        order = sorted(range(12), key=lambda i: (abs(i - v), i))
+        same, value = [float(i % 3 == y) for i in order], {}
+        value[order[-1]] = same[-1] / 12
+        for j in range(10, -1, -1):
+            value[order[j]] = value[order[j + 1]] + (same[j] - same[j + 1]) / 3 * min(3, j + 1) / (j + 1)
+        assert all(found[t, i] == pytest.approx(x) for i, x in value.items())
+
+
+def test_vector_metrics_by_name_and_errors_as_rows(spark):
+    from tabfidelity.plans.registry import Columns, evaluate
+
+    rows = [(i, "ab"[i % 2], float(i % 7), float(i % 5)) for i in range(60)]
+    d = spark.createDataFrame(rows, "id long, c string, x double, y double")
+    names = ["prdc", "alpha_precision", "dcr_median", "detection_linear", "structure", "absent"]
+    got = evaluate(Roles(d, d, d.where("id % 2 = 0"), d.where("id % 2 = 1")), Columns(("c",), ("x", "y"), "id"), names).collect()
+    assert {r.metric for r in got if r.status == "success"} == set(names[:-1]) and [r.metric for r in got if r.status == "error"] == ["absent"]
+    keyless = evaluate(Roles(d, d, d, d), Columns(("c",), ("x", "y")), ["prdc"]).collect()
+    assert [r.status for r in keyless] == ["error"]

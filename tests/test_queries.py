@@ -32,7 +32,7 @@ def test_same_as_sql(spark, duck, name):
 
 
 #: Rows-only queries that fit models run in test_operators.py on smaller data.
-SLOW = {"det1_linear", "det2_boosted", "det3_mlp", "det4_gmm", "dwn1_train_on_synthetic", "prv2_k_anonymity_clustered", "gen2_gaussian_copula", "mv2_alpha_precision"}
+SLOW = {"det5_ensemble_of_detectors", "det1_linear", "det2_boosted", "det3_mlp", "det4_gmm", "dwn1_train_on_synthetic", "prv2_k_anonymity_clustered", "gen2_gaussian_copula", "mv2_alpha_precision"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - SLOW))
