@@ -1,9 +1,11 @@
 """Lexical retrieval packing: training sequences filled with documents that resemble each other.
 
-Documents are dealt by hash into shards of a bounded size. Each shard builds a BM25 inverted index over its token
-ids; for a seed document the index returns unused neighbours, best first, which greedily fill the seed's
-window. What fills the window only in part is cut, and the rest opens the next window as its seed. The last,
-unfilled window of a shard is cut into sequences whose lengths are powers of two, which need no padding.
+Documents are tokenized once and dealt by content: ordered by their characteristic tokens (frequent in the document, and long in
+coming in the tokenizer's merges, so rare), cut into ranges, and each range into shards of a bounded size. Each shard builds
+a BM25 inverted index over its token ids, with document frequencies and mean length of the whole table; for a seed document the index returns
+unused neighbours, best first, by all of the seed's terms, which greedily fill the seed's window. What fills the
+window only in part is cut, and the rest opens the next window as its seed. The last, unfilled window of a shard is cut into
+sequences whose lengths are powers of two, which need no padding.
 
 Defined results: null and empty texts are one document token (the separator); rows that repeat a doc_id are packed
 each; null doc_ids stay null; an empty table gives no pieces; extra columns are ignored.
@@ -17,10 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import row_key, table, written
 from .tokens import encoder
 
 
@@ -29,10 +32,10 @@ class Packing:
     tokenizer: str
     window: int = 2048
     separator: int = 1
-    #: Bytes of text a shard holds on average; bounds a task's memory.
-    shard_bytes: int = 3_000_000
-    #: Of a seed's terms, so many with the highest weight are looked up.
-    query_terms: int = 24
+    #: Tokens of a shard, at most (but for a longer document); bounds a task's memory.
+    shard_tokens: int = 1_200_000
+    #: Shards in a range, on average.
+    range_shards: int = 2
     k1: float = 1.2
     b: float = 0.75
 
@@ -40,7 +43,7 @@ class Packing:
 class Bm25:
     """Inverted lists of one shard: term -> documents and their weights."""
 
-    def __init__(self, ids: list[np.ndarray], k1: float, b: float):
+    def __init__(self, ids: list[np.ndarray], p: Packing, idf: np.ndarray, mean_size: float):
         n = len(ids)
         sizes = np.array([len(x) for x in ids], dtype=np.int64)
         key = np.repeat(np.arange(n, dtype=np.int64), sizes) << 32 | np.concatenate(ids).astype(np.int64)
@@ -48,37 +51,37 @@ class Bm25:
         heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         counts = np.diff(np.concatenate([heads, [len(key)]]))
         docs, terms = key[heads] >> 32, key[heads] & 0xFFFFFFFF
-        vocabulary, term, seen = np.unique(terms, return_inverse=True, return_counts=True)
-        idf = np.log(1 + (n - seen + 0.5) / (seen + 0.5))
-        weight = idf[term] * counts * (k1 + 1) / (counts + k1 * (1 - b + b * sizes[docs] / sizes.mean()))
+        _, term, seen = np.unique(terms, return_inverse=True, return_counts=True)
+        weight = idf[terms] * counts * (p.k1 + 1) / (counts + p.k1 * (1 - p.b + p.b * sizes[docs] / mean_size))
         order = np.argsort(term, kind="stable")
-        self.docs, self.weights = docs[order], weight[order].astype(np.float32)
+        self.docs, self.weights = docs[order], weight[order]
         self.starts = np.concatenate([[0], np.cumsum(seen)])
         self.by_doc = np.concatenate([[0], np.cumsum(np.bincount(docs, minlength=n))])
-        self.term_of, self.weight_of, self.idf = term, weight, idf
-        self.n = n
+        self.term_of = term
+        self.n = self.unused = n
 
-    def neighbours(self, seed: int, terms: int, used: np.ndarray) -> np.ndarray:
+    def neighbours(self, seed: int, used: np.ndarray) -> list[int]:
         """Unused documents that share a term with the seed, best first; ties by their number."""
-        own = slice(self.by_doc[seed], self.by_doc[seed + 1])
-        best = self.term_of[own]
-        if len(best) > terms:
-            best = best[np.argpartition(-self.weight_of[own], terms)[:terms]]
-        scores = np.zeros(self.n, dtype=np.float32)
-        for t in best:
-            at = slice(self.starts[t], self.starts[t + 1])
-            scores[self.docs[at]] += self.weights[at]
+        left = self.n - int(used.sum())
+        if left < self.unused // 2:  # used documents leave the lists
+            kept = ~used[self.docs]
+            self.starts = np.concatenate([[0], np.cumsum(kept)])[self.starts]
+            self.docs, self.weights, self.unused = self.docs[kept], self.weights[kept], left
+        own = self.term_of[self.by_doc[seed] : self.by_doc[seed + 1]]
+        starts, lengths = self.starts[own], self.starts[own + 1] - self.starts[own]
+        at = np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        scores = np.bincount(self.docs[at], weights=self.weights[at], minlength=self.n)
         scores[used] = 0
         found = np.flatnonzero(scores > 0)
-        return found[np.argsort(-scores[found], kind="stable")]
+        return found[np.argsort(-scores[found], kind="stable")].tolist()
 
 
-def fill_windows(ids: list[np.ndarray], p: Packing) -> Iterator[list[tuple[int, int, int]]]:
+def fill_windows(ids: list[np.ndarray], p: Packing, idf: np.ndarray, mean_size: float) -> Iterator[list[tuple[int, int, int]]]:
     """The sequences of a shard, each a list of (document, start, length)."""
     if not ids:
         return
     sizes = [len(x) for x in ids]
-    index = Bm25(ids, p.k1, p.b)
+    index = Bm25(ids, p, idf, mean_size)
     used = np.zeros(len(ids), dtype=bool)
     fresh = 0
     rest: tuple[int, int] | None = None  # a cut document and where it goes on
@@ -95,14 +98,14 @@ def fill_windows(ids: list[np.ndarray], p: Packing) -> Iterator[list[tuple[int,
         rest = (seed, start + take) if start + take < sizes[seed] else None
         while room:
             first_cut = -1
-            for d in index.neighbours(seed, p.query_terms, used):
+            for d in index.neighbours(seed, used):
                 if sizes[d] <= room:
-                    pieces.append((int(d), 0, sizes[d]))
+                    pieces.append((d, 0, sizes[d]))
                     used[d], room = True, room - sizes[d]
                     if not room:
                         break
                 elif first_cut < 0:
-                    first_cut = int(d)
+                    first_cut = d
             if room and first_cut < 0:  # no neighbour is left: the next unused document follows
                 while fresh < len(ids) and used[fresh]:
                     fresh += 1
@@ -145,34 +148,87 @@ def _powers(pieces: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int,
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _pack_shard(p: Packing):
-    def run(rows: pa.Table) -> pa.Table:
-        order = np.lexsort((rows["text_digest"].to_numpy(), rows["doc_id"].fill_null(-1).to_numpy()))
-        doc_ids = rows["doc_id"].to_pylist()
-        texts = rows["text"]
-        encode = encoder(p.tokenizer).encode
-        end = np.array([p.separator], dtype="<u4").tobytes()
-        ids = [np.frombuffer(encode(texts[int(i)].as_py()) + end, dtype="<u4") for i in order]
-        shard = rows["shard"][0].as_py() << 32
-        out = [
-            (doc_ids[order[d]], start, length, zlib.crc32(ids[d][start : start + length]), len(ids[d]), shard + k, offset)
-            for k, pieces in enumerate(fill_windows(ids, p))
-            for (d, start, length), offset in zip(pieces, np.cumsum([0, *(x[2] for x in pieces)]).tolist())
-        ]
-        names = [x.split()[0] for x in PIECES.split(", ")]
-        return pa.table({name: pa.array([r[i] for r in out], type=pa.int64()) for i, name in enumerate(names)})
+TOKENISED = "doc_id long, text_digest long, key_1 int, key_2 int, key_3 int, ids binary, n_tokens long, terms array<int>, documents array<long>"
+
+
+def _tokenised(p: Packing):
+    """mapInArrow: (doc_id, text_digest, text) -> TOKENISED: a row per document, and one for each batch (ids null) with the terms of its documents and in how many they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, end = encoder(p.tokenizer).encode, np.array([p.separator], dtype="<u4").tobytes()
+        for b in batches:
+            blobs, keys, tokens, terms = [], [], [], []
+            for t in b.column("text"):
+                ids = np.frombuffer(encode(t.as_py()) + end, dtype="<u4")
+                own, counts = np.unique(ids, return_counts=True)
+                strength = np.sqrt(counts) * (1.0 + own)
+                best = own[np.argsort(-strength, kind="stable")[:3]].tolist()
+                keys.append(best + [-1] * (3 - len(best)))
+                terms.append(own)
+                tokens.append(len(ids))
+                blobs.append((ids.astype("<u2") if own[-1] < 1 << 16 else ids).tobytes())
+            seen, documents = np.unique(np.concatenate(terms), return_counts=True) if terms else (np.zeros(0, int), np.zeros(0, int))
+            n, key = len(blobs), np.array(keys, dtype=np.int32).reshape(-1, 3)
+            none = lambda kind: pa.nulls(1, kind)
+            columns = [
+                pa.concat_arrays([b.column("doc_id"), none(pa.int64())]), pa.concat_arrays([b.column("text_digest"), none(pa.int64())]),
+                *[pa.array([*key[:, i].tolist(), None], pa.int32()) for i in range(3)], pa.array([*blobs, None], pa.binary()), pa.array([*tokens, None], pa.int64()),
+                pa.array([None] * n + [seen.astype(np.int32)], pa.list_(pa.int32())), pa.array([None] * n + [documents.astype(np.int64)], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in TOKENISED.split(", ")])
+
+    return run
+
+
+def _pack_range(p: Packing, idf, mean_size: float):
+    """mapInArrow over a range in order: cuts it into shards and packs each."""
+    names = [x.split()[0] for x in PIECES.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
+
+        def shards() -> Iterator[tuple[list, list[np.ndarray]]]:
+            doc_ids, ids, size = [], [], 0
+            for b in batches:
+                for doc_id, blob, n in zip(b.column("doc_id").to_pylist(), b.column("ids"), b.column("n_tokens").to_pylist(), strict=True):
+                    if ids and size + n > p.shard_tokens:
+                        yield doc_ids, ids
+                        doc_ids, ids, size = [], [], 0
+                    raw = blob.as_buffer()
+                    ids.append(np.frombuffer(raw, dtype="<u4" if raw.size == 4 * n else "<u2").astype("<u4"))
+                    doc_ids.append(doc_id)
+                    size += n
+            if ids:
+                yield doc_ids, ids
+
+        for doc_ids, ids in shards():
+            out = []
+            for pieces in fill_windows(ids, p, idf.value, mean_size):
+                offset = 0
+                for d, start, length in pieces:
+                    out.append((doc_ids[d], start, length, zlib.crc32(ids[d][start : start + length]), len(ids[d]), number, offset))
+                    offset += length
+                number += 1
+            yield from pa.table({name: pa.array([r[i] for r in out], type=pa.int64()) for i, name in enumerate(names)}).to_batches()
 
     return run
 
 
 def pack(docs: DataFrame, p: Packing) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    size = docs.select(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("rows")).first()
-    # Empty texts count as well, so a table of them is dealt out too.
-    shards = max(1, -(-((size["bytes"] or 0) + 100 * size["rows"]) // p.shard_bytes))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_digest"))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text_digest"), F.lit(shards)))
-    return rows.groupBy("shard").applyInArrow(_pack_shard(p), PIECES)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(*row_key(), "text")
+    rows = written(keyed.mapInArrow(_tokenised(p), TOKENISED), "tokens")
+    total = rows.agg(F.count("ids").alias("documents"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
+    # A row for each token of the vocabulary, at most.
+    seen = rows.where("ids is null").select(F.inline(F.arrays_zip("terms", "documents"))).groupBy("terms").agg(F.sum("documents").alias("documents")).toArrow()
+    terms, documents = (seen[c].to_numpy() for c in ("terms", "documents"))
+    frequency = np.zeros(int(terms.max(initial=0)) + 1)
+    frequency[terms] = documents
+    idf = docs.sparkSession.sparkContext.broadcast(np.log(1 + (total["documents"] - frequency + 0.5) / (frequency + 0.5)))
+    ranges = max(1, -(-total["tokens"] // (p.shard_tokens * p.range_shards)))
+    order = ["key_1", "key_2", "key_3", "doc_id", "text_digest"]
+    dealt = rows.where("ids is not null").select(*order, "ids", "n_tokens").repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    return dealt.select("doc_id", "ids", "n_tokens").mapInArrow(_pack_range(p, idf, total["tokens"] / max(1, total["documents"])), PIECES)
 
 
 def default_tokenizer() -> str:

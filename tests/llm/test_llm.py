@@ -256,7 +256,7 @@ def check_packing(df, docs, library):
 
 
 def test_packing_is_whole(spark, odd, small, texts, library):
-    p = packing.Packing(packing.default_tokenizer(), shard_bytes=100_000)
+    p = packing.Packing(packing.default_tokenizer(), shard_tokens=30_000)
     check_packing(packing.pack(small, p), texts.items(), library)
     distinct = odd.dropDuplicates(["doc_id"])
     check_packing(packing.pack(distinct, p), [(r.doc_id, r.text) for r in distinct.collect()], library)
@@ -265,10 +265,23 @@ def test_packing_is_whole(spark, odd, small, texts, library):
 
 def test_neighbours_are_alike():
     ids = [np.array(x) for x in ([1, 2, 3, 4], [9, 8, 7], [1, 2, 3, 5], [9, 8, 6])]
-    index = packing.Bm25(ids, 1.2, 0.75)
-    used = np.array([True, False, False, False])
-    assert index.neighbours(0, 24, used).tolist() == [2]
-    assert index.neighbours(1, 24, np.zeros(4, bool)).tolist()[:2] == [1, 3]
+    index = packing.Bm25(ids, packing.Packing(""), np.ones(10), 4.0)
+    assert index.neighbours(0, np.array([True, False, False, False])) == [2]
+    assert index.neighbours(1, np.zeros(4, bool))[:2] == [1, 3]
+    used = np.array([True, True, True, False])
+    assert index.neighbours(1, used) == [3] and index.neighbours(0, used) == []  # used ones have left the lists
+
+
+def test_packing_of_repeated_rows_and_shards_by_content(spark, odd):
+    p = packing.Packing(packing.default_tokenizer(), shard_tokens=3_000, range_shards=1)
+    rows = packing.pack(odd, p).collect()
+    assert sum(r.length for r in rows if r.doc_id == 5) == 2 * next(r.doc_tokens for r in rows if r.doc_id == 5)
+    words = [[f"{a}{i}" for i in range(40)] for a in ("alpha", "river", "stone", "cloud")]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words[i % 4]) for _ in range(200))) for i in range(80)], "doc_id long, text string")
+    met = defaultdict(set)
+    for r in packing.pack(docs, packing.Packing(packing.default_tokenizer(), shard_tokens=15_000, range_shards=1)).collect():
+        met[r.sequence_id].add(r.doc_id % 4)
+    assert np.mean([len(x) for x in met.values()]) < 2  # documents of one kind meet
 
 
 def test_token_counts_and_cache(spark, odd, texts, library):
