@@ -1,7 +1,7 @@
 """URL filters (JVM-side only): path rules, and a logistic regression on hashed character n-grams of host and path.
 
 The regression learns from a small table of labelled URLs; at most `max_labelled` of them, the ones with the
-smallest hash. Where no table is given, the URLs that rules decide are the labelled ones.
+smallest hash. Where no table is given, it is the one of labelled_urls().
 
 Defined results: a null URL and one without :// have an empty host and path, fit no rule, and get the
 regression's verdict for no n-grams; if the labelled URLs are of one kind or none, the verdict beside the rules
@@ -18,7 +18,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, LOWER, checkpointed, table
+from .common import LOWER, UPPER, checkpointed, table
+from .labelled_urls import labelled_urls
 
 #: The rules of the contract.
 RULES = (
@@ -77,7 +78,7 @@ def judge(pages: DataFrame, rules=RULES, p: UrlParams = UrlParams(), labelled: D
     """A row per row of pages: page_id, host, path, rule, verdict, score. labelled: (url, label), 1 for block."""
     ruled = with_rules(pages.select("page_id", "url"), rules)
     if labelled is None:
-        labelled = ruled.where("ruled is not null").select("url", (F.col("ruled") == "block").cast("double").alias("label"))
+        labelled = labelled_urls(pages.sparkSession)
     small = labelled.where("url is not null").dropDuplicates(["url", "label"]).orderBy(F.xxhash64("url"), "url", "label").limit(p.max_labelled)
     host, path = parts(F.col("url"))
     tf = HashingTF(numFeatures=p.features, binary=True, inputCol="grams", outputCol="features")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tabfidelity.llm import decontamination, jaccard_join, license_scan, lm_scoring, packing, quality_classifier, quality_rules, queries, secret_scan, token_counts, url_filter
 from tabfidelity.llm.common import connected_components, new_path
+from tabfidelity.llm.labelled_urls import labelled_urls
 from tabfidelity.llm.tokens import ChunkEncoder
 
 from ..conftest import SMALL
@@ -414,6 +415,19 @@ def test_url_model_learns(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_url_model_on_held_out_labels(spark):
+    """Every third labelled URL is held out; then very long, repeated and odd ones are judged."""
+    labelled = labelled_urls(spark).withColumn("fold", F.abs(F.crc32("url")) % 3)
+    held = labelled.where("fold = 0").select(F.monotonically_increasing_id().alias("page_id"), "url", "label")
+    judged = url_filter.judge(held, rules=(), labelled=labelled.where("fold <> 0").drop("fold")).join(held.select("page_id", "label"), "page_id").collect()
+    right = np.mean([(r.verdict == "block") == (r.label == 1) for r in judged])
+    print("held out:", len(judged), "right:", right)
+    assert len(judged) > 15 and right >= 0.8
+    odd = [(1, "http://www.cheap-pills.example.net/de/" + "x" * 50_000), (1, "http://www.cheap-pills.example.net/de/"), (1, "http://www.cheap-pills.example.net/de/"), (None, None), (2, "://"), (3, "")]
+    got = url_filter.judge(spark.createDataFrame(odd, "page_id long, url string")).collect()
+    assert len(got) == len(odd) and all(r.verdict in ("allow", "block") for r in got) and sum(r.page_id == 1 for r in got) == 3
+
+
 # Classifier
 
 
