@@ -1,12 +1,15 @@
 """LM scoring by cross-entropy difference: matched target and background n-gram models over one vocabulary.
 
-Both models are interpolated bigram models with the same vocabulary (all words, or the most frequent ones and all
+Both models are interpolated bigram models with the same vocabulary (the most frequent words, 2^18 by default, and all
 others as one unknown word) and the same smoothing; they differ only in the texts they count. Counts cover every
-document and are exact: tasks count their share, Spark sums the counts by word and by pair of words, so the models
-grow with the corpus and stay on the executors. A pair's losses join the distinct pairs of each document by a
-shuffle; the most frequent pairs are broadcast instead, which changes no result and leaves no key with more than
-1 / hot_pairs of the tokens to the shuffle. A document's score is the mean over its tokens of the target loss minus the
-background loss; the lower, the more it resembles the target.
+document and are exact: the pairs grow with the corpus and stay on the executors. A document's score is the mean over its
+tokens of the target loss minus the background loss; the lower, the more it resembles the target.
+
+1. Words are counted by tasks and summed by Spark; the vocabulary's counts (24 bytes a word) are broadcast.
+2. Pairs of very frequent words are counted in a dense table of bounded size, which is broadcast with its losses. What is
+   left has a word that is not very frequent in each pair, so no pair is a hot key.
+3. Every document's other distinct pairs are dealt by pair, once: a window sums them to the pair's counts right where its
+   rows are, each row gets its losses, and a document's rows are summed up again.
 
 Words travel as 64-bit digests; that no two words of the corpus share one is checked, and another seed is taken
 otherwise. Losses are summed in units of 2^-32, so that sums don't depend on their order.
@@ -26,21 +29,25 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import row_key, sized_broadcast, table, written
+from .common import sized_broadcast, table, written
 
 _LOW = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-#: Stand for the unknown word and the boundary before a text; no word has them as its digest.
-UNKNOWN, BOUNDARY = 0, 1
+#: Numbers of the boundary before a text and of the unknown word; the vocabulary follows, the most frequent word first.
+BOUNDARY, UNKNOWN, FIRST = 0, 1, 2
 UNIT = float(1 << 32)
+#: A pair is first << SHIFT | second.
+SHIFT = 24
 
 
 @dataclass(frozen=True)
 class LmParams:
-    #: The most frequent words that have an id of their own; None: all words.
-    vocabulary: int | None = None
+    #: The most frequent words that have a number of their own; bounds what is broadcast.
+    vocabulary: int = 1 << 18
     #: Has no effect: counts are exact and not in buckets. Accepted for older callers.
     buckets: int | None = None
     #: Weight of the bigram estimate.
@@ -51,11 +58,13 @@ class LmParams:
     broadcast_ids: int = 500_000
     #: Distinct words that a task holds before it hands them on or forgets them.
     most_words: int = 500_000
-    #: The most frequent pairs, whose losses (40 bytes each) are broadcast; all others are joined.
-    hot_pairs: int = 300_000
-    #: Words with more than this share of all tokens are salted where pairs meet their words' counts.
-    hot_share: float = 1e-4
-    salts: int = 32
+    #: Cells of the dense table, whose losses (16 bytes each) are broadcast.
+    hot_pairs: int = 1 << 18
+
+    @property
+    def dense(self) -> int:
+        """Words on either side of the dense table."""
+        return int(self.hot_pairs**0.5)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -64,48 +73,9 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def word_digest(word: bytes, seed: int) -> int:
-    """64 bits as a signed number, neither UNKNOWN nor BOUNDARY."""
+    """64 bits as a signed number."""
     d = int.from_bytes(blake2b(word, digest_size=8, salt=seed.to_bytes(8, "big")).digest(), "big", signed=True)
-    return d if d not in (UNKNOWN, BOUNDARY) else d + 2
-
-
-class Words:
-    """Numbers words as they come, and holds their digests: the boundary is number 0. known: digests that are not unknown, or None."""
-
-    def __init__(self, seed: int, known: frozenset[int] | None, most: int):
-        self.seed, self.known, self.most = seed, known, most
-        self.clear()
-
-    def clear(self) -> None:
-        self.numbers: dict[bytes, int] = {}
-        self.digests = [BOUNDARY, UNKNOWN]
-
-    def pairs(self, text: str | None) -> np.ndarray:
-        """The text's pairs of numbers in order, first << 32 | second."""
-        words = tokens(text)
-        numbers, digests = self.numbers, self.digests
-        for w in words:
-            if w not in numbers:
-                d = word_digest(w, self.seed)
-                if self.known is None or d in self.known:
-                    numbers[w] = len(digests)
-                    digests.append(d)
-                else:
-                    numbers[w] = 1
-        ids = np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words))
-        return np.concatenate([[0], ids[:-1]]).astype(np.int64) << 32 | ids if len(ids) else ids
-
-    def digests_of(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        d = np.array(self.digests, dtype=np.int64)
-        return d[pairs >> 32], d[pairs & 0xFFFFFFFF]
-
-    def batch_ended(self) -> None:
-        if len(self.numbers) > self.most:
-            self.clear()
-
-
-def _batches(columns: dict[str, np.ndarray], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
-    yield from pa.table(columns).to_batches(max_chunksize=rows)
+    return d
 
 
 def _count_words(p: LmParams, seed: int):
@@ -136,105 +106,101 @@ def _count_words(p: LmParams, seed: int):
     return run
 
 
-def _count_pairs(p: LmParams, seed: int, known):
-    """(text, target) -> (first, second, n, n_target)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(seed, known and known.value, p.most_words)
-        for b in batches:
-            every, inside = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-            for text, target in zip(b.column("text"), b.column("target").to_pylist(), strict=True):
-                every.append(words.pairs(text.as_py()))
-                if target:
-                    inside.append(every[-1])
-            pairs, n = np.unique(np.concatenate(every), return_counts=True)
-            chosen, n_chosen = np.unique(np.concatenate(inside), return_counts=True)
-            n_target = np.zeros(len(pairs), dtype=np.int64)
-            n_target[np.searchsorted(pairs, chosen)] = n_chosen
-            first, second = words.digests_of(pairs)
-            yield from _batches({"first": first, "second": second, "n": n.astype(np.int64), "n_target": n_target})
-            words.batch_ended()
-
-    return run
+class Vocabulary:
+    """digest -> number, with counts; sorted by digest for the search."""
 
+    def __init__(self, digests: np.ndarray, seed: int):
+        self.order = np.argsort(digests, kind="stable")
+        self.sorted, self.seed = digests[self.order], seed
 
-def _mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    mixed = (first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (second.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    return (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    def number(self, digest: int) -> int:
+        at = int(np.searchsorted(self.sorted, digest))
+        return int(self.order[at]) + FIRST if at < len(self.sorted) and self.sorted[at] == digest else UNKNOWN
 
 
-class HotPairs:
-    """Losses of the most frequent pairs, found by bisection; of two pairs that share a place, one is not found."""
+class Numbers(dict):
+    """word -> its number; bounded."""
 
-    def __init__(self, found: pa.Table):
-        self.first, self.second, *losses = (found[c].to_numpy() for c in ("first", "second", "target_loss", "background_loss"))
-        self.mixed = _mixed(self.first, self.second)
-        order = np.argsort(self.mixed, kind="stable")
-        self.first, self.second, self.mixed = self.first[order], self.second[order], self.mixed[order]
-        self.losses = [x[order] for x in losses]
+    def __init__(self, vocabulary: Vocabulary, most: int):
+        super().__init__()
+        self.vocabulary, self.most = vocabulary, most
 
-    def find(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(whether a pair is there, its place)."""
-        if not len(self.mixed):
-            return np.zeros(len(first), dtype=bool), np.zeros(len(first), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.mixed, _mixed(first, second)), len(self.mixed) - 1)
-        return (self.first[at] == first) & (self.second[at] == second), at
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > self.most:
+            self.clear()
+        out = self[word] = self.vocabulary.number(word_digest(word, self.vocabulary.seed))
+        return out
 
+    def pairs(self, text: str | None) -> np.ndarray:
+        words = tokens(text)
+        ids = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        return np.concatenate([[BOUNDARY], ids[:-1]]).astype(np.int64) << SHIFT | ids if len(ids) else ids
 
-PARTS = "doc_id long, text_digest long, first long, second long, times long, copies long, n_tokens long, target_sum long, background_sum long"
 
+def _dense_cells(pairs: np.ndarray, dense: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which pairs are of two very frequent words, their cells)."""
+    first, second = pairs >> SHIFT, pairs & ((1 << SHIFT) - 1)
+    there = (first < dense) & (second < dense)
+    return there, first[there] * dense + second[there]
 
-def _parts(p: LmParams, seed: int, known, hot):
-    """(doc_id, text_digest, text) -> PARTS: a row per document with the sums over its hot pairs, and one for each other distinct pair.
 
-    The document's own row has times 0 and a key of its own in place of a pair, so those rows spread over all tasks of the join.
-    """
+def _count_dense(p: LmParams, vocabulary):
+    """mapInArrow: (text, target) -> (cell, n, n_target): a task's own sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, losses = Words(seed, known and known.value, p.most_words), hot.value
+        numbers, size = Numbers(vocabulary.value, p.most_words), p.dense**2
+        sums = np.zeros((2, size), dtype=np.int64)
         for b in batches:
-            texts, doc_ids, digests = b.column("text"), b.column("doc_id"), b.column("text_digest").to_numpy()
-            for start in range(0, len(texts), 500):
-                rows = range(start, min(start + 500, len(texts)))
-                tokenised = [words.pairs(texts[i].as_py()) for i in rows]
-                distinct = [np.unique(x, return_counts=True) for x in tokenised]
-                pairs, times = np.concatenate([x for x, _ in distinct]), np.concatenate([n for _, n in distinct]).astype(np.int64)
-                row = np.repeat(np.arange(len(rows)), [len(x) for x, _ in distinct])
-                first, second = words.digests_of(pairs)
-                there, at = losses.find(first, second)
-                sums = [np.zeros(len(rows), dtype=np.int64) for _ in range(2)]
-                for total, loss in zip(sums, losses.losses, strict=True):
-                    np.add.at(total, row[there], times[there] * loss[at[there]])
-                ids, own, none = doc_ids.slice(start, len(rows)), digests[start : start + len(rows)], np.zeros(len(rows), dtype=np.int64)
-                head = (ids, own, own, np.arange(len(rows)), none, none + 1, np.array([len(x) for x in tokenised], dtype=np.int64), *sums)
-                cold, zero = row[~there], np.zeros(int((~there).sum()), dtype=np.int64)
-                tail = (ids.take(pa.array(cold)), own[cold], first[~there], second[~there], times[~there], zero, zero, zero, zero)
-                for part in (head, tail):
-                    yield from _batches({c.split()[0]: x for c, x in zip(PARTS.split(", "), part, strict=True)})
-            words.batch_ended()
+            for text, target in zip(b.column("text"), b.column("target").to_pylist(), strict=True):
+                cells = _dense_cells(numbers.pairs(text.as_py()), p.dense)[1]
+                for side in range(1 + bool(target)):
+                    np.add.at(sums[side], cells, 1)
+        there = np.flatnonzero(sums[0])
+        yield from pa.table({"cell": there, "n": sums[0][there], "n_target": sums[1][there]}).to_batches(max_chunksize=100_000)
 
     return run
 
 
-def pair_losses(pairs: DataFrame, words: DataFrame, totals: dict[str, int], p: LmParams) -> DataFrame:
-    """(first, second, n, target_loss, background_loss) of each pair; losses in units. words: (digest, n, n_target), with the boundary and the unknown word."""
-    common = words.where(F.col("n") > p.hot_share * totals["n"])  # 1 / hot_share words at most
-    salted = words.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > p.hot_share * totals["n"], F.lit(p.salts - 1)).otherwise(F.lit(0)))))
+ROWS = "row long, pair long, times long, target boolean, head struct<doc_id: long, n_tokens: long, target_sum: long, background_sum: long>"
 
-    def with_counts(df: DataFrame, side: str, other: str) -> DataFrame:
-        flagged = df.join(F.broadcast(common.select(F.col("digest").alias(side), F.lit(True).alias("common"))), side, "left")
-        dealt = flagged.withColumn("salt", F.when(F.col("common"), F.pmod(F.xxhash64(other), F.lit(p.salts)).cast("int")).otherwise(F.lit(0))).drop("common")
-        return dealt.join(salted.select(F.col("digest").alias(side), "salt", *[F.col(c).alias(f"{side}_{c}") for c in ("n", "n_target")]), [side, "salt"]).drop("salt")
 
-    both = with_counts(with_counts(pairs, "first", "second"), "second", "first")
+def _rows(p: LmParams, vocabulary, losses):
+    """mapInArrow: (doc_id, text, target) -> ROWS: a row for each distinct pair outside the dense table, and one for the document, with the sums over its dense pairs and a pair of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, (target_loss, background_loss) = Numbers(vocabulary.value, p.most_words), losses.value
+        number = TaskContext.get().partitionId() << 40
+        for b in batches:
+            for start in range(0, b.num_rows, 500):
+                part = b.slice(start, 500)
+                found, heads = [], []
+                for text in part.column("text"):
+                    pairs = numbers.pairs(text.as_py())
+                    there, cells = _dense_cells(pairs, p.dense)
+                    heads.append((len(pairs), int(target_loss[cells].sum()), int(background_loss[cells].sum())))
+                    found.append(np.unique(pairs[~there], return_counts=True))
+                sizes = [len(x) for x, _ in found]
+                rows = number + np.arange(len(found))
+                number += len(found)
+                target = part.column("target").to_numpy(zero_copy_only=False)
+                n = int(sum(sizes))
+                columns = {
+                    "row": np.concatenate([np.repeat(rows, sizes), rows]), "pair": np.concatenate([*[x for x, _ in found], -1 - rows]),
+                    "times": np.concatenate([*[t.astype(np.int64) for _, t in found], np.zeros(len(found), dtype=np.int64)]), "target": np.concatenate([np.repeat(target, sizes), target]),
+                }
+                head = pa.StructArray.from_arrays([part.column("doc_id"), *[pa.array([h[i] for h in heads], pa.int64()) for i in range(3)]], ["doc_id", "n_tokens", "target_sum", "background_sum"])
+                arrays = [pa.array(x) for x in columns.values()]
+                yield from pa.table([*arrays, pa.concat_arrays([pa.nulls(n, head.type), head])], [*columns, "head"]).to_batches(max_chunksize=50_000)
+
+    return run
 
-    def loss(column: str) -> Column:
-        single = (F.col(f"second_{column}") + p.add) / (totals[column] + p.add * totals["words"])
-        seen = F.col(f"first_{column}")
-        mean = F.when(seen > 0, p.mix * F.col(column) / seen + (1 - p.mix) * single).otherwise(single)
-        return F.round(-F.log(mean) * UNIT).cast("long")
 
-    return both.select("first", "second", "n", loss("n_target").alias("target_loss"), loss("n").alias("background_loss"))
+def _losses(p: LmParams, pair: np.ndarray, context: np.ndarray, single: np.ndarray, total: int, words: int) -> np.ndarray:
+    """In units, for the dense table."""
+    one = (single + p.add) / (total + p.add * words)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean = np.where(context > 0, p.mix * pair / np.maximum(context, 1) + (1 - p.mix) * one, one)
+        return np.rint(-np.log(mean) * UNIT).astype(np.int64)
 
 
 def score(docs: DataFrame, target_ids: DataFrame, p: LmParams = LmParams()) -> DataFrame:
@@ -243,36 +209,48 @@ def score(docs: DataFrame, target_ids: DataFrame, p: LmParams = LmParams()) -> D
     sc = spark.sparkContext
     sums = [F.sum("n").alias("n"), F.sum("n_target").alias("n_target")]
     chosen = sized_broadcast(target_ids.select(F.col("doc_id").alias("chosen")).where("chosen is not null").distinct(), p.broadcast_ids)
-    marked = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("chosen"), "left").select("text", F.col("chosen").isNotNull().alias("target"))
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, F.col("doc_id") == F.col("chosen"), "left").select("doc_id", "text", F.col("chosen").isNotNull().alias("target"))
 
     for seed in count():
-        counted = marked.mapInArrow(_count_words(p, seed), "word string, digest long, n long, n_target long").groupBy("word", "digest").agg(*sums)
+        counted = marked.select("text", "target").mapInArrow(_count_words(p, seed), "word string, digest long, n long, n_target long").groupBy("word", "digest").agg(*sums)
         counts = written(counted, "words")
         if not counts.groupBy("digest").count().where("count > 1").limit(1).count():
             break
-    totals = {k: v or 0 for k, v in counts.agg(*sums, F.count("*").alias("words")).first().asDict().items()}
-    has_words = F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    totals = {k: v or 0 for k, v in counts.agg(*sums).first().asDict().items()}
+    has_words = F.col("text").rlike(r"\S")
     n_docs = marked.agg(F.count_if(has_words).alias("n"), F.count_if(F.col("target") & has_words).alias("n_target")).first()
-    words, known, others = counts.select("digest", "n", "n_target"), None, (0, 0)
-    if p.vocabulary is not None and p.vocabulary < totals["words"]:
-        top = counts.orderBy(F.desc("n"), "word").limit(p.vocabulary).drop("word").toArrow()
-        known = sc.broadcast(frozenset(top["digest"].to_pylist()))
-        others = [totals[c] - sum(top[c].to_pylist()) for c in ("n", "n_target")]
-        words, totals["words"] = spark.createDataFrame(top), len(top)
-    totals["words"] += 1  # the unknown word
-    words = words.unionAll(spark.createDataFrame([(UNKNOWN, *map(int, others)), (BOUNDARY, n_docs["n"], n_docs["n_target"])], words.schema))
-
-    pairs = marked.mapInArrow(_count_pairs(p, seed, known), "first long, second long, n long, n_target long").groupBy("first", "second").agg(*sums)
-    losses = written(pair_losses(pairs, words, totals, p), "pairs")
-    hot = sc.broadcast(HotPairs(losses.orderBy(F.desc("n"), "first", "second").limit(p.hot_pairs).drop("n").toArrow()))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(*row_key(), "text")
-    parts = keyed.mapInArrow(_parts(p, seed, known, hot), PARTS).join(losses.drop("n"), ["first", "second"], "left")
-    total = [F.sum(F.col(f"{m}_sum") + F.col("times") * F.coalesce(f"{m}_loss", F.lit(0))).alias(f"{m}_sum") for m in ("target", "background")]
-    # Equal rows are one group: their sums hold as many copies as there are rows.
-    rows = parts.groupBy("doc_id", "text_digest").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("copies").alias("copies"), *total)
-    mean = [F.when(F.col("n_tokens") > 0, F.col(f"{m}_sum") / UNIT / F.col("n_tokens")).alias(f"{m}_loss") for m in ("target", "background")]
-    scored = rows.select("doc_id", (F.col("n_tokens") / F.col("copies")).cast("long").alias("n_tokens"), *mean, F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_one")).drop("_one")
-    return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    top = counts.select("n", F.substring("word", 1, 32).alias("begins"), "digest", "n_target").orderBy(F.desc("n"), "begins", "digest").limit(p.vocabulary).drop("begins").toArrow()
+    vocabulary = sc.broadcast(Vocabulary(top["digest"].to_numpy(), seed))
+    known = {c: top[c].to_numpy() for c in ("n", "n_target")}
+    single = {c: np.concatenate([[n_docs[c], totals[c] - known[c].sum()], known[c]]).astype(np.int64) for c in known}
+    n_words = len(top) + 1  # and the unknown word
+
+    cells = marked.select("text", "target").mapInArrow(_count_dense(p, vocabulary), "cell long, n long, n_target long").groupBy("cell").agg(*sums).toArrow()
+    dense, tables = p.dense, []
+    for c in ("n_target", "n"):
+        pair = np.zeros(dense * dense, dtype=np.int64)
+        pair[cells["cell"].to_numpy()] = cells[c].to_numpy()
+        own = np.zeros(dense, dtype=np.int64)
+        own[: len(single[c])] = single[c][:dense]
+        tables.append(_losses(p, pair, np.repeat(own, dense), np.tile(own, dense), totals[c], n_words))
+    rows = marked.mapInArrow(_rows(p, vocabulary, sc.broadcast(tables)), ROWS)
+
+    same = Window.partitionBy("pair")
+    counted = rows.withColumns({"n": F.sum("times").over(same), "n_target": F.sum(F.when(F.col("target"), F.col("times")).otherwise(0)).over(same)})
+    numbered = spark.createDataFrame(pa.table({"number": np.arange(len(single["n"])), **single}))
+    for side, number in (("first", F.shiftright("pair", SHIFT)), ("second", F.col("pair").bitwiseAND((1 << SHIFT) - 1))):
+        counted = counted.join(F.broadcast(numbered.select(F.col("number").alias(f"{side}_number"), *[F.col(c).alias(f"{side}_{c}") for c in single])), number == F.col(f"{side}_number"), "left")  # the vocabulary
+
+    def loss(column: str) -> Column:
+        one = (F.col(f"second_{column}") + p.add) / (totals[column] + p.add * n_words)
+        seen = F.col(f"first_{column}")
+        mean = F.when(seen > 0, p.mix * F.col(column) / seen + (1 - p.mix) * one).otherwise(one)
+        return F.when(F.col("times") > 0, F.round(-F.log(mean) * UNIT).cast("long") * F.col("times")).otherwise(0)
+
+    total = [F.sum(loss(c) + F.coalesce(f"head.{m}_sum", F.lit(0))).alias(m) for m, c in (("target", "n_target"), ("background", "n"))]
+    done = counted.groupBy("row").agg(F.max("head.doc_id").alias("doc_id"), F.max("head.n_tokens").alias("n_tokens"), *total)
+    mean = [F.when(F.col("n_tokens") > 0, F.col(m) / UNIT / F.col("n_tokens")).alias(f"{m}_loss") for m in ("target", "background")]
+    return done.select("doc_id", "n_tokens", *mean).withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
 def op1_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
