@@ -24,11 +24,11 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from hashlib import blake2b
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,8 +74,8 @@ def tokens(text: str | None) -> list[bytes]:
 
 def word_digest(word: bytes, seed: int) -> int:
     """64 bits as a signed number."""
-    d = int.from_bytes(blake2b(word, digest_size=8, salt=seed.to_bytes(8, "big")).digest(), "big", signed=True)
-    return d
+    d = xxhash.xxh3_64_intdigest(word, seed)
+    return d - (1 << 64) if d >> 63 else d
 
 
 def _count_words(p: LmParams, seed: int):
@@ -106,35 +106,36 @@ def _count_words(p: LmParams, seed: int):
     return run
 
 
-class Vocabulary:
-    """digest -> number, with counts; sorted by digest for the search."""
+class Numbers:
+    """Words to their numbers in the vocabulary, which is given by its digests in order; what is known of words is bounded."""
 
-    def __init__(self, digests: np.ndarray, seed: int):
+    def __init__(self, digests: np.ndarray, seed: int, most: int):
         self.order = np.argsort(digests, kind="stable")
-        self.sorted, self.seed = digests[self.order], seed
-
-    def number(self, digest: int) -> int:
-        at = int(np.searchsorted(self.sorted, digest))
-        return int(self.order[at]) + FIRST if at < len(self.sorted) and self.sorted[at] == digest else UNKNOWN
-
-
-class Numbers(dict):
-    """word -> its number; bounded."""
-
-    def __init__(self, vocabulary: Vocabulary, most: int):
-        super().__init__()
-        self.vocabulary, self.most = vocabulary, most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > self.most:
-            self.clear()
-        out = self[word] = self.vocabulary.number(word_digest(word, self.vocabulary.seed))
-        return out
-
-    def pairs(self, text: str | None) -> np.ndarray:
-        words = tokens(text)
-        ids = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-        return np.concatenate([[BOUNDARY], ids[:-1]]).astype(np.int64) << SHIFT | ids if len(ids) else ids
+        self.sorted, self.seed, self.most = digests[self.order], seed, most
+        self.of: dict[bytes, int] = {}
+
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.of) > self.most:
+            self.of.clear()
+        missing = list(words.difference(self.of))
+        digests = np.fromiter((word_digest(w, self.seed) for w in missing), dtype=np.int64, count=len(missing))
+        at = np.searchsorted(self.sorted, digests)
+        found = np.append(self.sorted, 0)[at] == digests
+        found &= at < len(self.sorted)
+        numbers = np.where(found, np.append(self.order, 0)[at] + FIRST, UNKNOWN)
+        self.of.update(zip(missing, numbers.tolist(), strict=True))
+
+    def pairs(self, texts: Iterator[pa.Scalar]) -> tuple[np.ndarray, np.ndarray]:
+        """(the texts' pairs, one text after another; how many each text has)."""
+        split = [tokens(t.as_py()) for t in texts]
+        words = list(chain.from_iterable(split))
+        self._learn(set(words))
+        second = np.fromiter(map(self.of.__getitem__, words), dtype=np.int64, count=len(words))
+        lengths = np.array([len(x) for x in split], dtype=np.int64)
+        first = np.concatenate([[BOUNDARY], second[:-1]])[: len(second)]
+        starts = np.cumsum(lengths) - lengths
+        first[starts[lengths > 0]] = BOUNDARY
+        return first << SHIFT | second, lengths
 
 
 def _dense_cells(pairs: np.ndarray, dense: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,17 +145,24 @@ def _dense_cells(pairs: np.ndarray, dense: int) -> tuple[np.ndarray, np.ndarray]
     return there, first[there] * dense + second[there]
 
 
-def _count_dense(p: LmParams, vocabulary):
+def _slices(batches: Iterator[pa.RecordBatch], texts: int = 500) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for start in range(0, b.num_rows, texts):
+            yield b.slice(start, texts)
+
+
+def _count_dense(p: LmParams, vocabulary, seed: int):
     """mapInArrow: (text, target) -> (cell, n, n_target): a task's own sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, size = Numbers(vocabulary.value, p.most_words), p.dense**2
+        numbers, size = Numbers(vocabulary.value, seed, p.most_words), p.dense**2
         sums = np.zeros((2, size), dtype=np.int64)
-        for b in batches:
-            for text, target in zip(b.column("text"), b.column("target").to_pylist(), strict=True):
-                cells = _dense_cells(numbers.pairs(text.as_py()), p.dense)[1]
-                for side in range(1 + bool(target)):
-                    np.add.at(sums[side], cells, 1)
+        for b in _slices(batches):
+            pairs, lengths = numbers.pairs(b.column("text"))
+            there, cells = _dense_cells(pairs, p.dense)
+            inside = np.repeat(b.column("target").to_numpy(zero_copy_only=False), lengths)[there]
+            for side, own in enumerate((cells, cells[inside])):
+                sums[side] += np.bincount(own, minlength=size)
         there = np.flatnonzero(sums[0])
         yield from pa.table({"cell": there, "n": sums[0][there], "n_target": sums[1][there]}).to_batches(max_chunksize=100_000)
 
@@ -164,33 +172,29 @@ def _count_dense(p: LmParams, vocabulary):
 ROWS = "row long, pair long, times long, target boolean, head struct<doc_id: long, n_tokens: long, target_sum: long, background_sum: long>"
 
 
-def _rows(p: LmParams, vocabulary, losses):
+def _rows(p: LmParams, vocabulary, seed: int, losses):
     """mapInArrow: (doc_id, text, target) -> ROWS: a row for each distinct pair outside the dense table, and one for the document, with the sums over its dense pairs and a pair of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, (target_loss, background_loss) = Numbers(vocabulary.value, p.most_words), losses.value
+        numbers, tables = Numbers(vocabulary.value, seed, p.most_words), losses.value
         number = TaskContext.get().partitionId() << 40
-        for b in batches:
-            for start in range(0, b.num_rows, 500):
-                part = b.slice(start, 500)
-                found, heads = [], []
-                for text in part.column("text"):
-                    pairs = numbers.pairs(text.as_py())
-                    there, cells = _dense_cells(pairs, p.dense)
-                    heads.append((len(pairs), int(target_loss[cells].sum()), int(background_loss[cells].sum())))
-                    found.append(np.unique(pairs[~there], return_counts=True))
-                sizes = [len(x) for x, _ in found]
-                rows = number + np.arange(len(found))
-                number += len(found)
-                target = part.column("target").to_numpy(zero_copy_only=False)
-                n = int(sum(sizes))
-                columns = {
-                    "row": np.concatenate([np.repeat(rows, sizes), rows]), "pair": np.concatenate([*[x for x, _ in found], -1 - rows]),
-                    "times": np.concatenate([*[t.astype(np.int64) for _, t in found], np.zeros(len(found), dtype=np.int64)]), "target": np.concatenate([np.repeat(target, sizes), target]),
-                }
-                head = pa.StructArray.from_arrays([part.column("doc_id"), *[pa.array([h[i] for h in heads], pa.int64()) for i in range(3)]], ["doc_id", "n_tokens", "target_sum", "background_sum"])
-                arrays = [pa.array(x) for x in columns.values()]
-                yield from pa.table([*arrays, pa.concat_arrays([pa.nulls(n, head.type), head])], [*columns, "head"]).to_batches(max_chunksize=50_000)
+        for b in _slices(batches):
+            n, target = b.num_rows, b.column("target").to_numpy(zero_copy_only=False)
+            pairs, lengths = numbers.pairs(b.column("text"))
+            there, cells = _dense_cells(pairs, p.dense)
+            text = np.repeat(np.arange(n), lengths)
+            # Whole numbers below 2^53, so these sums are exact.
+            sums = [np.bincount(text[there], weights=t[cells], minlength=n).astype(np.int64) for t in tables]
+            found, times = np.unique(text[~there] << (2 * SHIFT) | pairs[~there], return_counts=True)
+            own, rows = found >> (2 * SHIFT), number + np.arange(n)
+            number += n
+            columns = {
+                "row": np.concatenate([rows[own], rows]), "pair": np.concatenate([found & ((1 << 2 * SHIFT) - 1), -1 - rows]),
+                "times": np.concatenate([times.astype(np.int64), np.zeros(n, dtype=np.int64)]), "target": np.concatenate([target[own], target]),
+            }
+            head = pa.StructArray.from_arrays([b.column("doc_id"), *map(pa.array, (lengths, *sums))], ["doc_id", "n_tokens", "target_sum", "background_sum"])
+            arrays = [pa.array(x) for x in columns.values()]
+            yield from pa.table([*arrays, pa.concat_arrays([pa.nulls(len(found), head.type), head])], [*columns, "head"]).to_batches(max_chunksize=50_000)
 
     return run
 
@@ -220,12 +224,12 @@ def score(docs: DataFrame, target_ids: DataFrame, p: LmParams = LmParams()) -> D
     has_words = F.col("text").rlike(r"\S")
     n_docs = marked.agg(F.count_if(has_words).alias("n"), F.count_if(F.col("target") & has_words).alias("n_target")).first()
     top = counts.select("n", F.substring("word", 1, 32).alias("begins"), "digest", "n_target").orderBy(F.desc("n"), "begins", "digest").limit(p.vocabulary).drop("begins").toArrow()
-    vocabulary = sc.broadcast(Vocabulary(top["digest"].to_numpy(), seed))
+    vocabulary = sc.broadcast(top["digest"].to_numpy())
     known = {c: top[c].to_numpy() for c in ("n", "n_target")}
     single = {c: np.concatenate([[n_docs[c], totals[c] - known[c].sum()], known[c]]).astype(np.int64) for c in known}
     n_words = len(top) + 1  # and the unknown word
 
-    cells = marked.select("text", "target").mapInArrow(_count_dense(p, vocabulary), "cell long, n long, n_target long").groupBy("cell").agg(*sums).toArrow()
+    cells = marked.select("text", "target").mapInArrow(_count_dense(p, vocabulary, seed), "cell long, n long, n_target long").groupBy("cell").agg(*sums).toArrow()
     dense, tables = p.dense, []
     for c in ("n_target", "n"):
         pair = np.zeros(dense * dense, dtype=np.int64)
@@ -233,7 +237,7 @@ def score(docs: DataFrame, target_ids: DataFrame, p: LmParams = LmParams()) -> D
         own = np.zeros(dense, dtype=np.int64)
         own[: len(single[c])] = single[c][:dense]
         tables.append(_losses(p, pair, np.repeat(own, dense), np.tile(own, dense), totals[c], n_words))
-    rows = marked.mapInArrow(_rows(p, vocabulary, sc.broadcast(tables)), ROWS)
+    rows = marked.mapInArrow(_rows(p, vocabulary, seed, sc.broadcast(tables)), ROWS)
 
     same = Window.partitionBy("pair")
     counted = rows.withColumns({"n": F.sum("times").over(same), "n_target": F.sum(F.when(F.col("target"), F.col("times")).otherwise(0)).over(same)})
