@@ -176,3 +176,28 @@ def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = judge_lines(docs)
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
     return rows.select(*columns, F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_one")).drop("_one")
+
+
+#: The same in DuckDB, for tables whose doc_ids are unique: lines and windows are compared as text.
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, text IS NULL AS missing, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D\x20]+') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x09-\x0D\x20]')) AS lines FROM documents
+), places AS (SELECT doc_id, i, words[i:i + 2] AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM d WHERE len(words) >= 3)),
+repeated AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS times FROM places) WHERE times > 1) GROUP BY 1
+), base AS (
+  SELECT doc_id, cast(len(words) AS BIGINT) AS n_words, cast(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, cast(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, cast(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN repeated USING (doc_id)
+), plain AS (
+  SELECT doc_id, source, text, trim(regexp_replace(unnest(string_split(regexp_replace(lower(text), '[0-9]', '0', 'g'), chr(10))), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), ' ') AS line FROM d WHERE NOT missing
+), lines AS (SELECT *, len(regexp_extract_all(line, '[^\x09-\x0D\x20]+')) AS words FROM plain WHERE line <> ''),
+hosts AS (SELECT source, count(DISTINCT text) AS documents FROM d WHERE NOT missing GROUP BY 1),
+bad AS (
+  SELECT l.source, line FROM (SELECT source, line, count(DISTINCT text) AS documents FROM lines GROUP BY 1, 2) l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
+  WHERE l.documents > 20 AND l.documents > 0.05 * h.documents
+), lost AS (SELECT doc_id, sum(words) AS n FROM lines l JOIN bad b ON l.line = b.line AND l.source IS NOT DISTINCT FROM b.source GROUP BY 1),
+judged AS (SELECT b.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, cast(coalesce(n, 0) AS BIGINT) AS removed_words FROM base b LEFT JOIN lost USING (doc_id))
+SELECT *, NOT base_failed AND n_words - removed_words >= 0.3 * n_words AS kept FROM judged
+"""

@@ -8,7 +8,7 @@ from .license_scan import op10_license_scan
 from .lm_scoring import op1_cross_entropy
 from .packing import op2_retrieval_packing
 from .quality_classifier import op6_quality_discriminant
-from .quality_rules import op8_line_frequency
+from .quality_rules import OP8_SQL, op8_line_frequency
 from .secret_scan import op7_secret_scan
 from .token_counts import op9_token_counts
 from .url_filter import op4_url_filter
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": OP3_SQL, "op8_line_frequency": OP8_SQL}
