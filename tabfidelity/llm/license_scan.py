@@ -1,7 +1,8 @@
 """License scans (JVM-side only): ordered signature rules over the words of a text.
 
-A prefilter picks the rules whose keyword and whose template's cue occur among a text's words; only those regexes
-run. It follows from the rules: whatever a regex matches holds both as whole words. Each detection is an interval with the rule's priority; one that lies within an interval of
+The rules (license_rules.py) are written by hand. A prefilter picks those whose keyword and cue occur among a text's
+words; only their regexes run. Whatever a regex matches holds both as whole words, so the prefilter loses nothing.
+Each detection is an interval with the rule's priority; one that lies within an interval of
 higher priority, or within a longer one of the same priority, is suppressed. What remains gives the labels.
 
 Defined results: null and wordless texts have no detections, no places and empty labels; equal intervals of one
@@ -10,7 +11,6 @@ priority all stay; rows that repeat a doc_id are scanned each by their own text;
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,107 +18,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import ALNUM_WORD, let, lower_ascii, row_key, table, words_of
+from .license_rules import PRIORITIES, rule_rows
 
 #: The phrases of the contract and their labels.
 BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Licenses as label, keyword that gates the rules, and regex of the name in lower-case words.
-LICENSES = (
-    ("mit", "mit", "mit"),
-    ("mit-0", "mit", "mit (?:no attribution|0)"),
-    ("apache-2.0", "apache", "apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?"),
-    ("apache-1.1", "apache", "apache(?: software)?(?: license)?(?: version| v)? ?1 1"),
-    ("apache", "apache", "apache(?: software)?"),
-    ("gpl-2.0", "general", "(?:gnu )?general public license(?: version| v)? ?2(?: 0)?"),
-    ("gpl-3.0", "general", "(?:gnu )?general public license(?: version| v)? ?3(?: 0)?"),
-    ("gpl", "general", "(?:gnu )?general public"),
-    ("gpl-2.0", "gpl", "gpl(?: version| v)? ?2(?: 0)?"),
-    ("gpl-3.0", "gpl", "gpl(?: version| v)? ?3(?: 0)?"),
-    ("gpl-2.0", "gplv2", "gplv2"),
-    ("gpl-3.0", "gplv3", "gplv3"),
-    ("lgpl-2.1", "lesser", "(?:gnu )?lesser general public license(?: version| v)? ?2 1"),
-    ("lgpl-3.0", "lesser", "(?:gnu )?lesser general public license(?: version| v)? ?3(?: 0)?"),
-    ("lgpl", "lesser", "(?:gnu )?lesser general public"),
-    ("lgpl", "lgpl", "lgpl(?: version| v)? ?[23](?: [01])?"),
-    ("agpl-3.0", "affero", "(?:gnu )?affero general public license(?: version| v)? ?3(?: 0)?"),
-    ("agpl", "affero", "(?:gnu )?affero general public"),
-    ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd)"),
-    ("bsd-3-clause", "bsd", "(?:bsd 3 clause|3 clause bsd|(?:modified|new) bsd)"),
-    ("bsd", "bsd", "bsd"),
-    ("mpl-1.1", "mozilla", "mozilla public license(?: version| v)? ?1 1"),
-    ("mpl-2.0", "mozilla", "mozilla public license(?: version| v)? ?2(?: 0)?"),
-    ("mpl-2.0", "mpl", "mpl(?: version| v)? ?2(?: 0)?"),
-    ("epl-1.0", "eclipse", "eclipse public license(?: version| v)? ?1(?: 0)?"),
-    ("epl-2.0", "eclipse", "eclipse public license(?: version| v)? ?2(?: 0)?"),
-    ("eupl-1.2", "european", "european union public license(?: version| v)? ?1 2"),
-    ("cc0-1.0", "cc0", "cc0(?: 1 0)?"),
-    ("cc0-1.0", "creative", "creative commons (?:zero|cc0)"),
-    ("cc-by", "cc", "cc by(?: [1-4] [05])?"),
-    ("cc-by-sa", "cc", "cc by sa(?: [1-4] [05])?"),
-    ("cc-by-nc", "cc", "cc by nc(?: [1-4] [05])?"),
-    ("cc-by-nd", "cc", "cc by nd(?: [1-4] [05])?"),
-    ("cc-by-nc-sa", "cc", "cc by nc sa(?: [1-4] [05])?"),
-    ("cc-by-nc-nd", "cc", "cc by nc nd(?: [1-4] [05])?"),
-    ("cc-by", "creative", "creative commons attribution(?: [1-4] [05])?"),
-    ("cc-by-sa", "creative", "creative commons attribution share ?alike(?: [1-4] [05])?"),
-    ("cc-by-nc", "creative", "creative commons attribution non ?commercial(?: [1-4] [05])?"),
-    ("cc-by-nd", "creative", "creative commons attribution no ?deriv(?:atives|s)(?: [1-4] [05])?"),
-    ("isc", "isc", "isc"),
-    ("zlib", "zlib", "zlib"),
-    ("boost-1.0", "boost", "boost software(?: license)?(?: version| v)? ?1(?: 0)?"),
-    ("artistic-2.0", "artistic", "artistic license(?: version| v)? ?2(?: 0)?"),
-    ("ofl-1.1", "sil", "sil open font(?: license)?(?: version| v)?(?: 1 1)?"),
-    ("unlicense", "unlicense", "unlicense"),
-    ("wtfpl", "wtfpl", "wtfpl"),
-    ("odbl-1.0", "odbl", "odbl(?: 1 0)?"),
-    ("odbl-1.0", "database", "open database(?: license)?(?: version| v)?(?: 1 0)?"),
-    ("postgresql", "postgresql", "postgresql"),
-    ("python-2.0", "psf", "psf"),
-    ("ecl-2.0", "educational", "educational community(?: license)?(?: version| v)?(?: 2 0)?"),
-)
-#: How a license is spoken of: template, priority, confidence, cues (words, of which each match holds one). {} stands for the name.
-TEMPLATES = (
-    ("spdx license identifier {}(?: only| or later)?", 4, 0.99, ("license",)),
-    ("(?:licensed|released|distributed|published|available|provided|covered|redistributed) (?:to you )?under (?:the )?(?:terms of )?(?:the )?{}(?: licen[cs]e)?(?: version [1-4](?: [0-9])?)?", 3, 0.95, ("under",)),
-    ("(?:subject to|governed by|according to|terms of|under) (?:the )?(?:terms of )?(?:the )?{}(?: licen[cs]e)?", 2, 0.85, ("subject", "governed", "according", "terms", "under")),
-    ("licen[cs]e {}", 2, 0.8, ("license", "licence")),
-    ("{} licen[cs]e(?: version [1-4](?: [0-9])?)?", 1, 0.7, ("license", "licence")),
-)
-#: Rules without a license's name: label, keyword, regex, priority, confidence.
-NOTICES = (
-    ("all-rights-reserved", "reserved", "(?:copyright (?:c )?(?:[0-9]{4} )?(?:by )?)?all rights reserved", 1, 0.8),
-    ("no-redistribution", "redistribute", "(?:you )?may not (?:copy or )?redistribute", 2, 0.8),
-    ("no-reproduction", "reproduced", "(?:may|must) not be reproduced", 2, 0.8),
-    ("proprietary", "proprietary", "proprietary and confidential", 2, 0.9),
-    ("public-domain", "domain", "(?:released|dedicated|placed) (?:in|into|to) the public domain", 3, 0.95),
-    ("public-domain", "domain", "in the public domain", 1, 0.6),
-    ("no-warranty", "warranty", "provided as is without (?:any )?warranty", 1, 0.6),
-    ("redistribution-permitted", "redistribution", "redistribution and use in source and binary forms", 2, 0.8),
-    ("permission-granted", "permission", "permission is hereby granted free of charge", 3, 0.9),
-    ("copyleft", "copyleft", "copyleft", 1, 0.5),
-)
-PRIORITIES = (1, 2, 3, 4)
 BASE_CONFIDENCE = 0.6
 
 
-def spellings(keyword: str, pattern: str) -> list[str]:
-    """The words that stand for a keyword: itself, and with a version's digit after it where the pattern takes that."""
-    glued = [f"{keyword}{d}" for d in range(10) if any(re.fullmatch(pattern, f"{keyword}{d}{rest}") for rest in ("", " 0", " 1"))]
-    return [keyword, *glued]
-
-
-def _rule_rows() -> list[tuple[list[str], list[str], str, str, int, float]]:
-    """(keywords, cues, regex, label, priority, confidence)."""
-    rows = [(spellings(key, name), [*cues], text.replace("{}", f"(?:{name})"), label, priority, sure) for label, key, name in LICENSES for text, priority, sure, cues in TEMPLATES]
-    return rows + [([key], [key], text, label, priority, sure) for label, key, text, priority, sure in NOTICES]
-
-
 def rules(spark: SparkSession) -> DataFrame:
-    """(keywords, cues, pattern, label, priority, confidence): every template with every name, and the notices."""
+    """(keywords, cues, pattern, label, priority, confidence) of every rule."""
     words = lambda x: F.array(*map(F.lit, x))
     structs = [
         F.struct(words(k).alias("keywords"), words(cues).alias("cues"), F.lit(f"(?<= )(?:{t})(?= )").alias("pattern"), F.lit(label).alias("label"), F.lit(n).alias("priority"), F.lit(float(c)).alias("confidence"))
-        for k, cues, t, label, n, c in _rule_rows()
+        for k, cues, t, label, n, c in rule_rows()
     ]
     return spark.range(1, numPartitions=1).select(F.inline(F.array(*structs)))
 
@@ -149,7 +62,7 @@ def detections(docs: DataFrame, prefilter: bool = True) -> DataFrame:
     read = docs.where("text is not null").select(*row_key(), words_of(lower_ascii(F.col("text")), ALNUM_WORD).alias("words"))
     plain = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("plain")
     if prefilter:
-        keys, cues = (F.array(*[F.lit(k) for k in sorted({k for row in _rule_rows() for k in row[at]})]) for at in (0, 1))
+        keys, cues = (F.array(*[F.lit(k) for k in sorted({k for row in rule_rows() for k in row[at]})]) for at in (0, 1))
         held = read.select("doc_id", "text_digest", "words", F.array_intersect(cues, "words").alias("held_cues"), F.array_intersect(keys, "words").alias("held"))
         held = held.where((F.size("held_cues") > 0) & (F.size("held") > 0)).select("doc_id", "text_digest", plain, "held_cues", F.explode("held").alias("keyword"))
         named = ruled.withColumn("keyword", F.explode("keywords"))

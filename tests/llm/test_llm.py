@@ -325,7 +325,7 @@ def test_license_rules(spark):
     got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame([(i, t) for i, (t, _) in rows.items()], "doc_id long, text string")).collect()}
     assert {i: got[i]["labels"] for i in rows} == {i: x for i, (_, x) in rows.items()}
     assert got[6].score == 0 and 0 < got[2].score <= 1
-    assert len(license_scan.LICENSES) * len(license_scan.TEMPLATES) + len(license_scan.NOTICES) > 200
+    assert len({x for _, _, x, *_ in license_scan.rule_rows()}) > 200
 
 
 def said_by(pattern, pick):
@@ -351,6 +351,25 @@ def said_by(pattern, pick):
     return said(re._parser.parse(pattern))
 
 
+def test_license_gates_follow_from_the_rules():
+    pick = random.Random(8).choice
+    for keywords, cues, regex, *_ in license_scan.rule_rows():
+        for how in (min_of, max_of, *[pick] * 40):
+            said = f" so {said_by(regex, how)} it "
+            assert {*keywords} & {*said.split()} and {*cues} & {*said.split()} and re.search(f"(?<= )(?:{regex})(?= )", said), (regex, said)
+
+
+def test_license_forms(spark):
+    rows = {
+        1: ("https://opensource.org/licenses/MIT", "mit"), 2: ("http://www.apache.org/licenses/LICENSE-2.0", "apache-2.0"), 3: ("# SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note", "gpl-2.0-with-exception"),
+        4: ("https://creativecommons.org/licenses/by-nc-sa/4.0/", "cc-by-nc-sa"), 5: ("Released under CC BY 4.0 by the authors", "cc-by"), 6: ("either version 2 of the License", ""), 7: ("placed in the public\n domain", "public-domain"),
+        8: ("Permission is hereby granted, free of charge, to any person obtaining a copy", "permission-granted"), 9: ("Creative Commons Attribution-ShareAlike 3.0 Unported License", "cc-by-sa"), 10: ("a general remark on public rights, reserved seats and apache helicopters", ""),
+        11: ("MIT OR Apache-2.0, served by Apache 2 alone", "apache-2.0"), 12: ("Business Source License 1.1", "busl-1.1"), 13: ("GNU Lesser General Public License v2.1", "gpl,lgpl-2.1"),
+    }
+    got = {r.doc_id: r.labels for r in license_scan.scan(spark.createDataFrame([(i, t) for i, (t, _) in rows.items()], "doc_id long, text string")).collect()}
+    assert got == {i: x for i, (_, x) in rows.items()}
+
+
 def test_license_prefilter_loses_nothing(spark):
     named = {
         1: ("Released under GPLv3.", "gpl-3.0"), 2: ("distributed under the terms of the Apache 2.0", "apache-2.0"), 3: ("governed by the BSD", "bsd"), 4: ("All rights\n* reserved", "all-rights-reserved"),
@@ -359,7 +378,7 @@ def test_license_prefilter_loses_nothing(spark):
     got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame([(i, t) for i, (t, _) in named.items()], "doc_id long, text string")).collect()}
     assert {i: x for i, (_, x) in named.items() if x not in got[i]["labels"].split(",") or not got[i].score} == {}
     pick = random.Random(9).choice
-    patterns = [t.replace("{}", f"(?:{name})") for _, _, name in license_scan.LICENSES for t, *_ in license_scan.TEMPLATES] + [x[2] for x in license_scan.NOTICES]
+    patterns = [regex for _, _, regex, *_ in license_scan.rule_rows()]
     rows = [(n, f"so {said_by(x, how)} it") for n, (x, how) in enumerate((x, how) for x in patterns for how in (min_of, max_of, pick, pick))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).persist()
     columns = ("doc_id", "start", "end", "label", "priority", "confidence")
