@@ -297,6 +297,14 @@ def test_token_counts_and_cache(spark, odd, texts, library):
     assert token_counts.count_tokens(odd.limit(0), path).count() == 0
 
 
+def test_token_counts_of_many_copies(spark, library, monkeypatch):
+    monkeypatch.setattr(token_counts, "FREQUENT", 20)
+    rows = [(i if i % 5 else None, "copies of one text" if i % 3 == 0 else "other copies" if i % 3 == 1 else f"text {i % 250}") for i in range(600)]
+    want = sorted(((d, len(t), len(library.encode(t, add_special_tokens=False).ids)) for d, t in rows), key=repr)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert pairs(token_counts.count_tokens(docs, new_path(spark, "cache")), "doc_id", "n_bytes", "n_tokens") == want
+
+
 # Licenses
 
 
