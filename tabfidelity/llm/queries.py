@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import OP3_SQL, op3_decontamination
+from .hard_negatives import op11_hard_negatives
 from .jaccard_join import op5_ngram_jaccard
 from .license_scan import op10_license_scan
 from .lm_scoring import op1_cross_entropy
@@ -10,8 +11,10 @@ from .packing import op2_retrieval_packing
 from .quality_classifier import op6_quality_discriminant
 from .quality_rules import OP8_SQL, op8_line_frequency
 from .secret_scan import op7_secret_scan
+from .substring_dedup import op12_substring_dedup
 from .token_counts import op9_token_counts
 from .url_filter import op4_url_filter
+from .whitening import op13_embedding_whitening
 
 QUERIES = {
     "op1_cross_entropy": op1_cross_entropy,
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_line_frequency": op8_line_frequency,
     "op9_token_counts": op9_token_counts,
     "op10_license_scan": op10_license_scan,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_decontamination": OP3_SQL, "op8_line_frequency": OP8_SQL}
