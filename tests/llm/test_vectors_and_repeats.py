@@ -51,7 +51,7 @@ def mined(spark, rows, p):
 
 def test_hard_negatives_are_those_of_brute_force(spark):
     rows = vectors(400, 6)
-    odd = [(500, None, 1), (600, [0.5] * 6, None), (700, [float("nan")] * 6, 2), (800, [1.0, None, 0, 0, 0, 0], 2), (None, [0.5] * 6, 3), (900, [], 3), (1000, [0.1, 0.2], 4)]
+    odd = [(500, None, 1), (600, [0.5] * 6, None), (700, [float("nan")] * 6, 2), (800, [1.0, None, 0.0, 0.0, 0.0, 0.0], 2), (None, [0.5] * 6, 3), (900, [], 3), (1000, [0.1, 0.2], 4)]
     ties = [(2000 + i, rows[100][1], i % 3) for i in range(30)] + [(100, rows[100][1], rows[100][2])] * 3
     for p in (hard_negatives.Mining(), hard_negatives.Mining(sample=50, cell_rows=4, part_rows=40, group_codes=2, block_anchors=3)):
         got = mined(spark, rows + odd + ties, p)
@@ -59,7 +59,7 @@ def test_hard_negatives_are_those_of_brute_force(spark):
 
 
 def test_hard_negatives_of_large_components_and_of_nothing(spark):
-    rows = [(i, [float(1 << 19) * (1 + i / 1000), float(i)], i % 2) for i in range(0, 300, 20)]
+    rows = [(i, [float(np.float32((1 << 19) * (1 + i / 1000))), float(i)], i % 2) for i in range(0, 300, 20)]
     assert mined(spark, rows, hard_negatives.Mining(sample=4)) == brute_negatives(rows)
     assert mined(spark, [], hard_negatives.Mining()) == mined(spark, [(100, [1.0], 1)], hard_negatives.Mining()) == []
     with pytest.raises(ValueError):
