@@ -111,6 +111,8 @@ def _assign(d: int, books, ship: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if not b.num_rows:
+                continue
             x = matrix(b.column("x"), d).astype(np.float64)
             out = []
             for half, centres in zip((x[:, : d // 2], x[:, d // 2 :]), books, strict=True):
