@@ -12,8 +12,8 @@ the edge becomes may depend on what stands beyond. Spark's shuffles find which n
    included. Names that only one place of the corpus has can't be repeated: their windows go no further.
 3. Windows under shared names are verified: a window is repeated where the digest of its words (96 bits) also occurs earlier.
 
-Keys that a sample shows in many documents are known as shared without a shuffle, and windows under them are summed up before
-they are joined, so a passage of a third of all documents is no hot task.
+Keys that a sample shows in many documents are known as shared without a shuffle, and the first places of windows under them are
+found by sums in tasks, so a passage of a third of all documents is no hot task. Tables of keys go when windows are written.
 
 Defined results: null, empty and short texts have no windows and keep all words; documents come in the order of doc_id, null first, and those that repeat a
 doc_id in the order of a digest of their texts; rows equal in both are one document and give equal rows each; extra columns are ignored.
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import new_path, table, written
+from .common import drop_path, new_path, table, written
 
 
 @dataclass(frozen=True)
@@ -78,8 +78,8 @@ class Symbols:
     #: Whether it begins a text.
     first: np.ndarray
 
-    def runs(self, rank: int) -> tuple[Symbols, np.ndarray, np.ndarray]:
-        """(with maximal runs named by symbol and length, numbers of the runs' first symbols, each symbol's run)."""
+    def runs(self, rank: int) -> tuple[Symbols, np.ndarray]:
+        """(with maximal runs named by symbol and length, each symbol's run)."""
         head = np.ones(len(self.names), dtype=bool)
         head[1:] = (self.names[1:] != self.names[:-1]) | self.first[1:]
         at = np.flatnonzero(head)
@@ -87,7 +87,7 @@ class Symbols:
         names = self.names[at]
         long = length > 1
         names[long] = _named(names[long], length[long].astype(np.uint64), 2 * rank)
-        return Symbols(names, self.start[at], self.first[at]), at, np.cumsum(head) - 1
+        return Symbols(names, self.start[at], self.first[at]), np.cumsum(head, dtype=np.int32) - 1
 
     def pairs(self, rank: int) -> tuple[Symbols, np.ndarray, np.ndarray]:
         """(with pairs of a left and a right symbol named, which symbols are left ones, each symbol's place among the new ones)."""
@@ -98,7 +98,7 @@ class Symbols:
         names = self.names[at]
         joined = np.append(second, False)[at + 1]
         names[joined] = _named(names[joined], self.names[at[joined] + 1], 2 * rank + 1)
-        return Symbols(names, self.start[at], self.first[at]), left, np.cumsum(~second) - 1
+        return Symbols(names, self.start[at], self.first[at]), left, np.cumsum(~second, dtype=np.int32) - 1
 
 
 class Words:
@@ -142,26 +142,32 @@ class Texts:
     def keys(self, windows: np.ndarray, p: Repeats) -> tuple[np.ndarray, np.ndarray, Symbols]:
         """(each window's key, the key's first word, the symbols after the last of key_rounds)."""
         keys, begin = np.zeros(len(windows), dtype=np.uint64), np.zeros(len(windows), dtype=np.int64)
-        who, low, high, level = np.arange(len(windows)), windows.copy(), windows + p.window - 1, self.words
+        who, level = np.arange(len(windows), dtype=np.int32), self.words
+        low, high = windows.astype(np.int32), (windows + p.window - 1).astype(np.int32)
 
-        def narrowed(a: np.ndarray, b: np.ndarray, place: np.ndarray) -> None:
-            """The interiors become [a, b]; windows whose interior that ends take their key from the level before."""
+        def chosen(of: np.ndarray, at: np.ndarray) -> None:
+            keys[of], begin[of] = level.names[at], level.start[at]
+
+        def narrowed(up: np.ndarray, down: np.ndarray) -> None:
+            """Interiors become [up[low], down[high]]; windows whose interior that ends take their key from the level before."""
             nonlocal who, low, high
-            going = a <= b
-            gone = ~going
-            keys[who[gone]], begin[who[gone]] = level.names[low[gone]], level.start[low[gone]]
-            who, low, high = who[going], place[a[going]], place[b[going]]
+            new_low, new_high = up[low], down[high]
+            going = new_low <= new_high
+            if not going.all():
+                chosen(who[~going], low[~going])
+                who, new_low, new_high = who[going], new_low[going], new_high[going]
+            low, high = new_low, new_high
 
         for r in range(p.key_rounds):
             if r == 0:
-                new, at, run = level.runs(r)
-                at = np.append(at, len(level.names))
-                narrowed(at[run[low] + 1], at[run[high]] - 1, run)
+                new, run = level.runs(r)  # a run at the edge may go on beyond
+                narrowed(run + 1, run - 1)
                 level = new
-            new, left, place = level.pairs(r)
-            narrowed(low + ~left[low], high - left[high], place)
+            new, left, place = level.pairs(r)  # a right symbol at the left edge may have a partner beyond, and the other way round
+            beyond = np.append(place, place[-1] + 1)
+            narrowed(np.where(left, place, beyond[1:]), np.where(left, np.append(np.int32(-1), place[:-1]), place))
             level = new
-        keys[who], begin[who] = level.names[low], level.start[low]
+        chosen(who, low)
         return keys, begin, level
 
     def spans(self, level: Symbols, p: Repeats) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -320,15 +326,16 @@ def _kept(p: Repeats):
     return run
 
 
-def _earlier(rows: DataFrame, keys: list[str], hot: DataFrame | None = None) -> DataFrame:
-    """The rows (with doc_id, digest, start) whose keys also occur at an earlier place. hot: rows of keys that many documents have, summed up before they are joined."""
+def _earlier(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows (with doc_id, digest, start) whose keys also occur at an earlier place."""
     here = place(F.col("start"))
-    cold = rows.withColumn("first", F.min(here).over(Window.partitionBy(*keys)))
-    out = cold.where(~here.eqNullSafe(F.col("first"))).drop("first")
-    if hot is not None:
-        firsts = hot.groupBy(*keys).agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        out = out.unionByName(hot.join(firsts, keys).where(~here.eqNullSafe(F.col("first"))).drop("first"))
-    return out
+    return rows.withColumn("first", F.min(here).over(Window.partitionBy(*keys))).where(~here.eqNullSafe(F.col("first"))).drop("first")
+
+
+def _earlier_hot(rows: DataFrame) -> DataFrame:
+    """(doc_id, digest, starts): the same for windows that many documents have: their first places are summed up by tasks, and taken from each text's."""
+    first = rows.groupBy("d1", "d2").agg(F.min(F.struct(place(F.col("start")).alias("at"), "digest", "start")).alias("first")).select("first.at.doc_id", "first.digest", "first.start")
+    return _met(_by_text(rows, "starts", F.col("start")), _by_text(first, "firsts", F.col("start")), "left").select("doc_id", "digest", F.array_except("starts", F.coalesce("firsts", F.array().cast("array<bigint>"))).alias("starts"))
 
 
 def _by_text(rows: DataFrame, name: str, value: Column) -> DataFrame:
@@ -345,7 +352,7 @@ def _met(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
 def repeats(docs: DataFrame, p: Repeats = Repeats()) -> tuple[DataFrame, DataFrame]:
     """((doc_id, digest, n_words, sha) of each row, (doc_id, digest, spans, starts): what goes of each text that loses words)."""
     spark = docs.sparkSession
-    keyed = _keyed(docs)
+    keyed, repeated = _keyed(docs)
     path = new_path(spark, "symbols")
     keyed.mapInArrow(_made(p), MADE).write.partitionBy("kind").parquet(path)
     made = spark.read.schema(MADE).parquet(path)
@@ -365,29 +372,28 @@ def repeats(docs: DataFrame, p: Repeats = Repeats()) -> tuple[DataFrame, DataFra
     shared = shared.groupBy("doc_id", "digest").agg(F.collect_list(F.when(~F.col("hot"), F.col("name"))).alias("names"), F.collect_list(F.when(F.col("hot"), F.col("name"))).alias("hot_names"))
     shared = _met(_met(shared, whole, "left_anti"), spans, "left")
 
-    asked = _met(keyed.where("text is not null").dropDuplicates(["doc_id", "digest"]) if _repeated(texts) else keyed, shared, "inner")
+    asked = _met(keyed.where("text is not null").dropDuplicates(["doc_id", "digest"]) if repeated else keyed, shared, "inner")
     windows = written(asked.select("doc_id", "digest", "text", "spans", "names", "hot_names").mapInArrow(_candidates(p), CANDIDATES), "windows")
-    found = _earlier(windows.where("not hot").drop("hot"), ["d1", "d2"], windows.where("hot").drop("hot"))
-    starts = _by_text(found, "starts", F.col("start"))
-    both = spans.select("doc_id", "digest", "spans", F.lit(None).cast("array<bigint>").alias("starts")).unionByName(starts.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
-    lost = both.groupBy("doc_id", "digest").agg(F.first("spans", ignorenulls=True).alias("spans"), F.first("starts", ignorenulls=True).alias("starts"))
+    drop_path(spark, f"{path}/kind=1")
+    drop_path(spark, f"{path}/kind=2")
+    starts = _by_text(_earlier(windows.where("not hot").drop("hot"), ["d1", "d2"]), "starts", F.col("start")).unionByName(_earlier_hot(windows.where("hot").drop("hot")))
+    both = spans.select("doc_id", "digest", "spans", F.lit(None).cast("array<bigint>").alias("starts")).unionByName(starts.where(F.size("starts") > 0).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
+    lost = both.groupBy("doc_id", "digest").agg(F.first("spans", ignorenulls=True).alias("spans"), F.flatten(F.collect_list("starts")).alias("starts"))
     return texts, written(lost, "lost-words")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("digest"), "text")
-
-
-def _repeated(texts: DataFrame) -> bool:
-    """Whether rows repeat a document."""
-    return bool(texts.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count())
+def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """((doc_id, digest, text), whether rows repeat a doc_id). Where none does, no digest is needed, and it is 0."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    repeated = bool(docs.groupBy("doc_id").count().where("count > 1").limit(1).count())
+    return docs.select("doc_id", (F.coalesce(F.xxhash64("text"), F.lit(0)) if repeated else F.lit(0).cast("long")).alias("digest"), "text"), repeated
 
 
 def deduplicated(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
     """A row per row of docs: doc_id, n_words, n_removed, kept_sha256."""
     texts, lost = repeats(docs, p)
     whole = _met(texts, lost, "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
-    cut = _met(_keyed(docs), lost, "inner").select("doc_id", "text", "spans", "starts").mapInArrow(_kept(p), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    cut = _met(_keyed(docs)[0], lost, "inner").select("doc_id", "text", "spans", "starts").mapInArrow(_kept(p), "doc_id long, n_words long, n_removed long, kept_sha256 string")
     return whole.unionByName(cut)
 
 
