@@ -90,7 +90,7 @@ def codebook(half: np.ndarray, codes: int, rounds: int = 12) -> np.ndarray:
     """Lloyd's centres of the sample's halves, in the order of the centres' first direction, so that neighbours in the list are near."""
     distinct = np.unique(half, axis=0)
     centres = distinct[np.linspace(0, len(distinct) - 1, min(codes, len(distinct))).astype(int)]
-    for _ in range(rounds):
+    for _ in range(rounds if len(centres) else 0):
         own = nearest(half, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, half)
