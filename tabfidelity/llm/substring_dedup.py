@@ -12,8 +12,8 @@ the edge becomes may depend on what stands beyond. Spark's shuffles find which n
    included. Names that only one place of the corpus has can't be repeated: their windows go no further.
 3. Windows under shared names are verified: a window is repeated where the digest of its words (96 bits) also occurs earlier.
 
-Keys that a sample shows in many documents are known as shared without a shuffle, and the first places of windows under them are
-found by sums in tasks, so a passage of a third of all documents is no hot task. Tables of keys go when windows are written.
+Keys that a sample shows in many documents are known as shared without a shuffle, and windows under them are compared in salted
+parts first, so a passage of a third of all documents is no hot task. The tables of spans and keys are deleted once they are used.
 
 Defined results: null, empty and short texts have no windows and keep all words; documents come in the order of doc_id, null first, and those that repeat a
 doc_id in the order of a digest of their texts; rows equal in both are one document and give equal rows each; extra columns are ignored.
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import drop_path, new_path, table, written
+from .common import drop_paths, new_path, table, written
 
 
 @dataclass(frozen=True)
@@ -49,6 +49,8 @@ class Repeats:
     often: int = 20
     #: Keys of many documents that are broadcast.
     most_hot: int = 10_000
+    #: Parts in which windows under such keys are compared first.
+    salts: int = 64
     #: Words whose digests a task remembers, characters that it works on at a time.
     most_words: int = 500_000
     slice_chars: int = 1_500_000
@@ -332,12 +334,6 @@ def _earlier(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("first", F.min(here).over(Window.partitionBy(*keys))).where(~here.eqNullSafe(F.col("first"))).drop("first")
 
 
-def _earlier_hot(rows: DataFrame) -> DataFrame:
-    """(doc_id, digest, starts): the same for windows that many documents have: their first places are summed up by tasks, and taken from each text's."""
-    first = rows.groupBy("d1", "d2").agg(F.min(F.struct(place(F.col("start")).alias("at"), "digest", "start")).alias("first")).select("first.at.doc_id", "first.digest", "first.start")
-    return _met(_by_text(rows, "starts", F.col("start")), _by_text(first, "firsts", F.col("start")), "left").select("doc_id", "digest", F.array_except("starts", F.coalesce("firsts", F.array().cast("array<bigint>"))).alias("starts"))
-
-
 def _by_text(rows: DataFrame, name: str, value: Column) -> DataFrame:
     """(doc_id, digest, values of each text)."""
     return rows.groupBy("doc_id", "digest").agg(F.collect_list(value).alias(name))
@@ -349,6 +345,38 @@ def _met(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
     return a.join(b, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("digest") == F.col("__digest")), how).drop("__doc", "__digest")
 
 
+def _spans(made: DataFrame) -> DataFrame:
+    """(doc_id, digest, spans): the spans of each text whose symbol occurs earlier."""
+    rows = made.where("kind = 1").select("name", "content", "length", "doc_id", "digest", "start")
+    return written(_by_text(_earlier(rows, ["name", "content", "length"]), "spans", F.struct("start", "length")), "spans")
+
+
+def _shared(made: DataFrame, texts: DataFrame, spans: DataFrame, p: Repeats) -> DataFrame:
+    """(doc_id, digest, names, hot_names, spans): the keys of each text that the corpus has at several places; not of texts that a span covers as a whole."""
+    keys = made.where("kind = 2").select("doc_id", "digest", "name", (F.col("start") == 1).alias("several"))
+    sampled = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(max(1, keys.count() // p.sample))) == 0
+    often = keys.where(sampled).groupBy("name").count().where(F.col("count") >= p.often)
+    hot = F.broadcast(often.orderBy(F.desc("count"), "name").limit(p.most_hot).select(F.col("name").alias("hot_name")))  # others go the ordinary way
+    marked = keys.join(hot, F.col("name") == F.col("hot_name"), "left")
+    cold = marked.where("hot_name is null").withColumn("n", F.count("*").over(Window.partitionBy("name"))).where("n > 1 or several")
+    shared = cold.select("doc_id", "digest", "name", F.lit(False).alias("hot")).unionByName(marked.where("hot_name is not null").select("doc_id", "digest", "name", F.lit(True).alias("hot")))
+    shared = shared.groupBy("doc_id", "digest").agg(F.collect_list(F.when(~F.col("hot"), F.col("name"))).alias("names"), F.collect_list(F.when(F.col("hot"), F.col("name"))).alias("hot_names"))
+    begins = spans.select("doc_id", "digest", F.array_max(F.transform("spans", lambda s: F.when(s["start"] == 0, s["length"]))).alias("reach")).where("reach is not null")
+    whole = _met(begins, texts.select("doc_id", "digest", "n_words").distinct(), "inner").where("reach >= n_words")
+    return written(_met(_met(shared, whole, "left_anti"), spans, "left"), "shared-keys")
+
+
+def _starts(candidates: DataFrame, p: Repeats) -> DataFrame:
+    """(doc_id, digest, start) of the windows that occur earlier. Windows under frequent keys are salted by their text: the first ones of all salts are compared once more."""
+    salted = candidates.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "digest"), F.lit(p.salts))).otherwise(0).cast("int"))
+    here = place(F.col("start"))
+    first = salted.withColumn("first", F.min(here).over(Window.partitionBy("d1", "d2", "salt")))
+    later = first.select("hot", (~here.eqNullSafe(F.col("first"))).alias("later"), "d1", "d2", "doc_id", "digest", "start").where("later or hot")
+    some = written(later.select("later", *[F.when(~F.col("later"), F.col(c)).alias(c) for c in ("d1", "d2")], "doc_id", "digest", "start"), "repeated-windows")
+    text = ["doc_id", "digest", "start"]
+    return some.where("later").select(text).unionByName(_earlier(some.where("not later"), ["d1", "d2"]).select(text))
+
+
 def repeats(docs: DataFrame, p: Repeats = Repeats()) -> tuple[DataFrame, DataFrame]:
     """((doc_id, digest, n_words, sha) of each row, (doc_id, digest, spans, starts): what goes of each text that loses words)."""
     spark = docs.sparkSession
@@ -357,28 +385,13 @@ def repeats(docs: DataFrame, p: Repeats = Repeats()) -> tuple[DataFrame, DataFra
     keyed.mapInArrow(_made(p), MADE).write.partitionBy("kind").parquet(path)
     made = spark.read.schema(MADE).parquet(path)
     texts = made.where("kind = 0").select("doc_id", "digest", F.col("length").alias("n_words"), "sha")
-    spans = _earlier(made.where("kind = 1").select("name", "content", "length", "doc_id", "digest", "start"), ["name", "content", "length"])
-    spans = written(_by_text(spans, "spans", F.struct("start", "length")), "spans")
-
-    keys = made.where("kind = 2").select("doc_id", "digest", "name", (F.col("start") == 1).alias("several"))
-    n = keys.count()
-    often = keys.where(F.pmod(F.xxhash64("doc_id", "digest"), F.lit(max(1, n // p.sample))) == 0).groupBy("name").count().where(F.col("count") >= p.often)
-    hot = F.broadcast(often.orderBy(F.desc("count"), "name").limit(p.most_hot).select(F.col("name").alias("hot_name")))  # others go the ordinary way
-    marked = keys.join(hot, F.col("name") == F.col("hot_name"), "left")
-    counted = marked.where("hot_name is null").withColumn("n", F.count("*").over(Window.partitionBy("name"))).where("n > 1 or several")
-    whole = spans.where(F.exists("spans", lambda s: s["start"] == 0)).select("doc_id", "digest", F.array_max(F.transform("spans", lambda s: F.when(s["start"] == 0, s["length"]))).alias("reach"))
-    whole = _met(whole, texts.select("doc_id", "digest", "n_words").distinct(), "inner").where("reach >= n_words")
-    shared = counted.select("doc_id", "digest", "name", F.lit(False).alias("hot")).unionByName(marked.where("hot_name is not null").select("doc_id", "digest", "name", F.lit(True).alias("hot")))
-    shared = shared.groupBy("doc_id", "digest").agg(F.collect_list(F.when(~F.col("hot"), F.col("name"))).alias("names"), F.collect_list(F.when(F.col("hot"), F.col("name"))).alias("hot_names"))
-    shared = _met(_met(shared, whole, "left_anti"), spans, "left")
-
+    spans = _spans(made)
+    shared = _shared(made, texts, spans, p)
+    drop_paths(spark, f"{path}/kind=1", f"{path}/kind=2")
     asked = _met(keyed.where("text is not null").dropDuplicates(["doc_id", "digest"]) if repeated else keyed, shared, "inner")
-    windows = written(asked.select("doc_id", "digest", "text", "spans", "names", "hot_names").mapInArrow(_candidates(p), CANDIDATES), "windows")
-    drop_path(spark, f"{path}/kind=1")
-    drop_path(spark, f"{path}/kind=2")
-    starts = _by_text(_earlier(windows.where("not hot").drop("hot"), ["d1", "d2"]), "starts", F.col("start")).unionByName(_earlier_hot(windows.where("hot").drop("hot")))
-    both = spans.select("doc_id", "digest", "spans", F.lit(None).cast("array<bigint>").alias("starts")).unionByName(starts.where(F.size("starts") > 0).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
-    lost = both.groupBy("doc_id", "digest").agg(F.first("spans", ignorenulls=True).alias("spans"), F.flatten(F.collect_list("starts")).alias("starts"))
+    starts = _by_text(_starts(asked.select("doc_id", "digest", "text", "spans", "names", "hot_names").mapInArrow(_candidates(p), CANDIDATES), p), "starts", F.col("start"))
+    both = spans.select("doc_id", "digest", "spans", F.lit(None).cast("array<bigint>").alias("starts")).unionByName(starts.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
+    lost = both.groupBy("doc_id", "digest").agg(F.first("spans", ignorenulls=True).alias("spans"), F.first("starts", ignorenulls=True).alias("starts"))
     return texts, written(lost, "lost-words")
 
 
