@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,8 +60,10 @@ def drop_paths(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what has just run is let go of a moment later
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(1)
 
 
 def lower_ascii(text: Column) -> Column:

@@ -22,6 +22,7 @@ doc_id in the order of a digest of their texts; rows equal in both are one docum
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -269,11 +270,11 @@ def place(start: Column) -> Column:
 
 
 #: mapInArrow: candidates for verification.
-CANDIDATES = "hot boolean, d1 long, d2 long, doc_id long, digest long, start long"
+CANDIDATES = "salt int, d1 long, d2 long, doc_id long, digest long, start long"
 
 
 def _candidates(p: Repeats):
-    """(doc_id, digest, text, spans, names, hot_names) -> CANDIDATES: windows under the names, but those within the spans."""
+    """(doc_id, digest, text, spans, names, hot_names) -> CANDIDATES: windows under the names, but those within the spans. salt: 0, or the text's part for frequent names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(p.most_words)
@@ -285,6 +286,7 @@ def _candidates(p: Repeats):
             keys = t.keys(windows, p)[0]
             text, start = t.text[windows], windows - t.begin[t.text[windows]]
             ends = np.append(np.searchsorted(text, np.arange(b.num_rows)), len(text))
+            salts = 1 + np.array([zlib.crc32(str(d).encode()) % p.salts for d in zip(b.column("doc_id").to_pylist(), b.column("digest").to_pylist(), strict=True)])
             wanted, hot = np.zeros(len(windows), dtype=bool), np.zeros(len(windows), dtype=bool)
             for i in range(b.num_rows):
                 own = slice(ends[i], ends[i + 1])
@@ -299,7 +301,8 @@ def _candidates(p: Repeats):
                 some = at[k : k + 100_000]
                 d1, d2 = t.verified(windows[some], p.window)
                 of = pa.array(text[some])
-                yield pa.RecordBatch.from_arrays([pa.array(hot[some]), _signed(d1), pa.array(d2), b.column("doc_id").take(of), b.column("digest").take(of), pa.array(start[some])], ["hot", "d1", "d2", "doc_id", "digest", "start"])
+                salt = np.where(hot[some], salts[text[some]], 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(salt), _signed(d1), pa.array(d2), b.column("doc_id").take(of), b.column("digest").take(of), pa.array(start[some])], ["salt", "d1", "d2", "doc_id", "digest", "start"])
 
     return run
 
@@ -329,9 +332,9 @@ def _kept(p: Repeats):
 
 
 def _earlier(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows (with doc_id, digest, start) whose keys also occur at an earlier place."""
+    """The rows (with doc_id, digest, start) whose keys also occur at an earlier place. They are dealt first, so that places aren't shuffled too."""
     here = place(F.col("start"))
-    return rows.withColumn("first", F.min(here).over(Window.partitionBy(*keys))).where(~here.eqNullSafe(F.col("first"))).drop("first")
+    return rows.repartition(*keys).withColumn("first", F.min(here).over(Window.partitionBy(*keys))).where(~here.eqNullSafe(F.col("first"))).drop("first")
 
 
 def _by_text(rows: DataFrame, name: str, value: Column) -> DataFrame:
@@ -368,10 +371,9 @@ def _shared(made: DataFrame, texts: DataFrame, spans: DataFrame, p: Repeats) ->
 
 def _starts(candidates: DataFrame, p: Repeats) -> DataFrame:
     """(doc_id, digest, start) of the windows that occur earlier. Windows under frequent keys are salted by their text: the first ones of all salts are compared once more."""
-    salted = candidates.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "digest"), F.lit(p.salts))).otherwise(0).cast("int"))
     here = place(F.col("start"))
-    first = salted.withColumn("first", F.min(here).over(Window.partitionBy("d1", "d2", "salt")))
-    later = first.select("hot", (~here.eqNullSafe(F.col("first"))).alias("later"), "d1", "d2", "doc_id", "digest", "start").where("later or hot")
+    first = candidates.repartition("d1", "d2", "salt").withColumn("first", F.min(here).over(Window.partitionBy("d1", "d2", "salt")))
+    later = first.select("salt", (~here.eqNullSafe(F.col("first"))).alias("later"), "d1", "d2", "doc_id", "digest", "start").where("later or salt > 0")
     some = written(later.select("later", *[F.when(~F.col("later"), F.col(c)).alias(c) for c in ("d1", "d2")], "doc_id", "digest", "start"), "repeated-windows")
     text = ["doc_id", "digest", "start"]
     return some.where("later").select(text).unionByName(_earlier(some.where("not later"), ["d1", "d2"]).select(text))
