@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import ratio, uniform
-from .nn import knn_join, within_radius
+from ..functions.quantiles import exact_quantiles
+from ..functions.ranks import ranked_within
+from ..functions.scratch import stored
+from .nn import Metric, kernel_mean, knn_join, within_radius
 from .univariate import wasserstein_1d
 
 
@@ -55,15 +58,16 @@ def alpha_precision_naive(real: DataFrame, synthetic: DataFrame, d: int, steps:
     grid = [i / (steps - 1) for i in range(steps)]
     cr, cs = F.broadcast(centroid(real, d)), F.broadcast(centroid(synthetic, d))  # one row each
     to_r = lambda x: x.crossJoin(cr).select("id", _to_center(F.col("v"), F.col("center")).alias("dist"))
-    levels = F.broadcast(to_r(real).agg(F.percentile("dist", F.array(*[F.lit(g) for g in grid])).alias("q")))
-    inside = to_r(synthetic).crossJoin(levels).agg(*[F.avg((F.col("dist") <= F.get("q", F.lit(i))).cast("double")).alias(f"a{i}") for i in range(steps)])
+    of = lambda dist: exact_quantiles(stored(dist.select("dist"), "distances"), ["dist"], grid)["dist"] or [None] * steps
+    levels = of(to_r(real))
+    inside = to_r(synthetic).agg(*[F.avg((F.col("dist") <= F.lit(q)).cast("double")).alias(f"a{i}") for i, q in enumerate(levels)])
     to_s = synthetic.crossJoin(cs).select("id", _to_center(F.col("v"), F.col("center")).alias("dist"))
-    s_levels = F.broadcast(to_s.agg(F.percentile("dist", F.array(*[F.lit(g) for g in grid])).alias("q")))
+    s_levels = of(to_s)
     own = knn_join(real, real, 1, exclude_self=True).select("id", F.col("distance").alias("own"))
     near = knn_join(real, synthetic, 1).select("id", "neighbour", F.col("distance").alias("near"))
-    covered = near.join(own, "id").where(F.col("near") <= F.col("own")).join(to_s.select(F.col("id").alias("neighbour"), "dist"), "neighbour").crossJoin(s_levels)
+    covered = near.join(own, "id").where(F.col("near") <= F.col("own")).join(to_s.select(F.col("id").alias("neighbour"), "dist"), "neighbour")
     n_real = F.broadcast(real.agg(F.count("*").alias("n")))
-    beta = covered.agg(*[F.coalesce(F.sum((F.col("dist") <= F.get("q", F.lit(i))).cast("double")), F.lit(0.0)).alias(f"c{i}") for i in range(steps)]).crossJoin(n_real)
+    beta = covered.agg(*[F.coalesce(F.sum((F.col("dist") <= F.lit(q)).cast("double")), F.lit(0.0)).alias(f"c{i}") for i, q in enumerate(s_levels)]).crossJoin(n_real)
     back = knn_join(synthetic, real, 1).select(F.col("neighbour").alias("id"), F.col("distance").alias("back"))
     auth = back.join(own, "id").agg(F.avg((F.col("back") > F.col("own")).cast("double")).alias("authenticity"))
     one = inside.crossJoin(F.broadcast(beta)).crossJoin(F.broadcast(auth))
@@ -122,6 +126,20 @@ def mmd_polynomial(real: DataFrame, synthetic: DataFrame, columns: Sequence[str]
     return one.select((mean_kernel("r", "r") + mean_kernel("s", "s") - 2 * mean_kernel("r", "s")).alias("mmd"))
 
 
+def mmd_rbf(real: DataFrame, synthetic: DataFrame, gamma: float = 1.0, share: float = 1.0, block_rows: int = 5000, seed: int = 0) -> DataFrame:
+    """One row: the Gaussian kernel's distance, exact, over all pairs of rows (id, v), or those of a hashed share of either side.
+
+    Work is rows times rows, in blocks; mmd_rbf_features() is linear, and comes within about sqrt(8 / features) of this.
+    """
+    if share < 1:
+        real, synthetic = (x.where(uniform("id", F.lit("mmd"), seed=seed) < share) for x in (real, synthetic))
+    real, synthetic = stored(real.select("id", "v"), "real"), stored(synthetic.select("id", "v"), "synthetic")
+    one = kernel_mean(real, real, gamma, "rr", block_rows)
+    for x, y, name in ((synthetic, synthetic, "ss"), (real, synthetic, "rs")):
+        one = one.crossJoin(F.broadcast(kernel_mean(x, y, gamma, name, block_rows)))  # one row each
+    return one.select((F.col("rr") + F.col("ss") - 2 * F.col("rs")).alias("mmd"))
+
+
 def mmd_rbf_features(real: DataFrame, synthetic: DataFrame, columns: Sequence[str], gamma: float = 1.0, features: int = 64, seed: int = 0) -> DataFrame:
     """One row: the Gaussian kernel's distance through random Fourier features; linear in the rows."""
     rng = np.random.default_rng(seed)
@@ -145,20 +163,45 @@ def sliced_wasserstein(real: DataFrame, synthetic: DataFrame, columns: Sequence[
     return wasserstein_1d(project(real), project(synthetic), names).agg(F.avg("distance").alias("distance"))
 
 
-def dcr(a: DataFrame, b: DataFrame, exclude_self: bool = False) -> DataFrame:
+def mixed_vectors(df: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str], fit: DataFrame) -> DataFrame:
+    """(id, v) for the metric ("mixed", number of numeric): numbers in units of fit's range, NaN for NULL, and codes of the categories' texts.
+
+    A column of one value in fit has no range: other values are then at distance 1. Codes are 53 bits of a digest; a NULL's is -1.
+    """
+    ends = fit.agg(*[f(F.col(c).cast("double")).alias(f"{x}{i}") for i, c in enumerate(numeric) for x, f in (("low", F.min), ("high", F.max))]).first() if numeric else None
+    parts = []
+    for i, c in enumerate(numeric):
+        low, high = ends[f"low{i}"] or 0.0, ends[f"high{i}"] or 0.0
+        x = F.col(c).cast("double") - low
+        scaled = x / (high - low) if high > low else F.when(x == 0, 0.0).otherwise(2 + F.abs(x))
+        parts.append(F.coalesce(scaled, F.lit(float("nan"))))
+    parts += [F.when(F.col(c).isNull(), -1.0).otherwise(F.shiftrightunsigned(F.xxhash64(F.col(c).cast("string")), 11).cast("double")) for c in categorical]
+    return df.select(F.col(key).cast("long").alias("id"), F.array(*parts).alias("v"))
+
+
+def dcr(a: DataFrame, b: DataFrame, exclude_self: bool = False, metric: Metric = "euclidean") -> DataFrame:
     """(id, distance): to the closest record."""
-    return knn_join(a, b, 1, exclude_self=exclude_self).select("id", "distance")
+    return knn_join(a, b, 1, metric, exclude_self=exclude_self).select("id", "distance")
 
 
-def uniform_baseline(real: DataFrame, columns: Sequence[str], n: int, seed: int = 0) -> DataFrame:
-    """(id, columns): n rows drawn evenly within the real ends."""
-    ends = real.agg(*[f(c).cast("double").alias(f"{c}__{x}") for c in columns for x, f in (("low", F.min), ("high", F.max))])
-    rows = real.sparkSession.range(n).crossJoin(F.broadcast(ends))  # one row
-    return rows.select("id", *[(F.col(f"{c}__low") + (F.col(f"{c}__high") - F.col(f"{c}__low")) * uniform("id", F.lit(c), seed=seed)).alias(c) for c in columns])
+def random_baseline(real: DataFrame, numeric: Sequence[str], categorical: Sequence[str], n: int, seed: int = 0) -> DataFrame:
+    """(id, columns): n rows drawn evenly within the numbers' real ends and evenly among the categories that occur (a NULL is none)."""
+    spark = real.sparkSession
+    draw = lambda c: uniform("id", F.lit(c), seed=seed)
+    ends = real.agg(*[f(c).cast("double").alias(f"{x}{i}") for i, c in enumerate(numeric) for x, f in (("low", F.min), ("high", F.max))]).first() if numeric else None
+    numbers = [(F.lit(ends[f"low{i}"]) + F.lit((ends[f"high{i}"] or 0.0) - (ends[f"low{i}"] or 0.0)) * draw(c)).alias(c) for i, c in enumerate(numeric)]
+    rows = spark.range(n).select("id", *numbers)
+    for c in categorical:
+        values = stored(ranked_within(real.where(F.col(c).isNotNull()).select(c).distinct(), [], [c], "__at").select(c, "__at"), "categories")
+        rows = rows.withColumn("__at", (F.floor(draw(c) * values.count()) + 1).cast("int")).join(values, "__at", "left").drop("__at")
+    return rows.select("id", *numeric, *categorical)
 
 
-def dcr_baseline_protection(real: DataFrame, synthetic: DataFrame, baseline: DataFrame) -> DataFrame:
+def dcr_baseline_protection(real: DataFrame, synthetic: DataFrame, baseline: DataFrame, metric: Metric = "euclidean") -> DataFrame:
     """One row: the synthetic median distance over that of random rows, 1 at most. All three are (id, v)."""
-    s = dcr(synthetic, real).agg(F.median("distance").alias("synthetic_median"))
-    b = dcr(baseline, real).agg(F.median("distance").alias("baseline_median"))
-    return s.crossJoin(F.broadcast(b)).withColumn("protection", F.least(F.lit(1.0), ratio(F.col("synthetic_median"), F.col("baseline_median"))))  # one row each
+    medians = []
+    for side in (synthetic, baseline):
+        found = exact_quantiles(stored(dcr(side, real, metric=metric).select("distance"), "closest"), ["distance"], [0.5])["distance"]
+        medians.append(F.lit(found[0] if found else None).cast("double"))
+    one = real.sparkSession.range(1).select(medians[0].alias("synthetic_median"), medians[1].alias("baseline_median"))
+    return one.withColumn("protection", F.least(F.lit(1.0), ratio(F.col("synthetic_median"), F.col("baseline_median"))))

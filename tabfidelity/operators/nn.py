@@ -1,23 +1,33 @@
-"""Nearest neighbours, exact: the searched side travels in blocks that tasks hold one at a time.
+"""Nearest neighbours, exact: by pivots where those rule rows out, else block by block.
 
-Both sides are written as rows of vectors. The searched side is cut into blocks of at most block_rows by a hash of its id;
-each row of the asking side meets every block once, keeps its k best of the block, and the best k of all blocks are
-merged. A task holds one block and one batch, whatever the sizes. Work is rows times rows: for large
-tables ask with a sample, or use approximate_knn().
+Pivots (a bounded sample of the searched side) cut the asking side into cells of nearest pivots. With U the farthest row of a cell and
+t the distance of the pivot's k-th nearest searched row, every row of the cell has its k neighbours within U + t, so by the triangle
+inequality only searched rows within 2 U + t of the pivot can be among them: the others never travel to the cell. Cells and what they ask for
+are cut into blocks, so a task holds one block of either side, whatever the sizes; blocks' best rows are merged.
+
+What pivots would shuffle and compare is counted first. Where they rule out too little (many dimensions without
+clusters), each row of the asking side meets every block of the searched side once instead; that is work of rows times rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scratch import stored
+
+#: "euclidean", "hamming", or ("mixed", p): p numbers in units of their range (NaN for NULL), then codes of categories.
+Metric = str | tuple[str, int]
+#: A shuffled row costs about as much as so many distances.
+ROW_COST = 500
+
 
 def vectors(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """(id, v): the columns as one array of doubles; rows with a NULL among them are left out."""
@@ -27,7 +37,22 @@ def vectors(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     return df.where(there).select(F.col(key).cast("long").alias("id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
 
 
-def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+def _mixed(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
+    """The mean over columns of |difference| up to 1, and of whether categories differ; a NULL is 1 from any value and 0 from a NULL."""
+    total = np.zeros((len(a), len(b)))
+    for i in range(a.shape[1]):
+        x, y = a[:, i, None], b[None, :, i]
+        if i < p:
+            gap = np.minimum(np.abs(x - y), 1.0)
+            total += np.where(np.isnan(gap), (np.isnan(x) != np.isnan(y)).astype(float), gap)
+        else:
+            total += x != y
+    return total / max(1, a.shape[1])
+
+
+def _distances(a: np.ndarray, b: np.ndarray, metric: Metric) -> np.ndarray:
+    if isinstance(metric, tuple):
+        return _mixed(a, b, metric[1])
     if metric == "hamming":
         return (a[:, None, :] != b[None, :, :]).mean(axis=2)
     return np.sqrt(np.maximum(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2), 0)) if a.size * len(b) < 4_000_000 else _by_product(a, b)
@@ -37,7 +62,7 @@ def _by_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T, 0))
 
 
-def _block_best(k: int, metric: str, exclude_self: bool):
+def _block_best(k: int, metric: Metric, exclude_self: bool):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"id": [], "neighbour": [], "distance": []}).astype({"id": "int64", "neighbour": "int64", "distance": "float64"})
@@ -79,21 +104,154 @@ def pair_distances(a: DataFrame, b: DataFrame, block_rows: int = 2000) -> DataFr
     return _dealt(a, b, block_rows).applyInPandas(run, "id long, other long, distance double")
 
 
-def knn_join(a: DataFrame, b: DataFrame, k: int, metric: str = "euclidean", exclude_self: bool = False, block_rows: int = 5000) -> DataFrame:
-    """(id, rank, neighbour, distance): the k nearest rows of b for each row of a, ties by id. Both are (id, v)."""
-    found = _dealt(a, b, block_rows).applyInPandas(_block_best(k, metric, exclude_self), "id long, neighbour long, distance double")
-    w = Window.partitionBy("id").orderBy("distance", "neighbour")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "rank", "neighbour", "distance")
+def _matrix(b: pa.RecordBatch) -> np.ndarray:
+    return b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+
+
+def _pivots(sample: np.ndarray, most: int, metric: Metric) -> np.ndarray:
+    """Half of them as they come, the others each the farthest row of the sample from those before, so that no cluster is left without."""
+    chosen = [*range(-(-min(most, len(sample)) // 2))]
+    gap = _distances(sample, sample[chosen], metric).min(axis=1)
+    while len(chosen) < most and gap.max() > 0:
+        chosen.append(int(gap.argmax()))
+        gap = np.minimum(gap, _distances(sample, sample[chosen[-1:]], metric)[:, 0])
+    return np.unique(sample[chosen], axis=0)
+
+
+def _cells(pivots: np.ndarray, metric: Metric):
+    """mapInArrow: (id, v) -> (cell, id, v, far)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, 2000):
+                own = b.slice(start, 2000)
+                d = _distances(_matrix(own), pivots, metric)
+                cell = d.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), own.column("id"), own.column("v"), pa.array(d[np.arange(len(d)), cell])], ["cell", "id", "v", "far"])
+
+    return run
+
+
+def _nearest_to_pivots(pivots: np.ndarray, metric: Metric, k: int):
+    """mapInArrow: (id, v) -> (cell, d): each pivot's k smallest distances in the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full((len(pivots), k), np.inf)
+        for b in batches:
+            for start in range(0, b.num_rows, 2000):
+                d = _distances(_matrix(b.slice(start, 2000)), pivots, metric).T
+                best = np.sort(np.concatenate([best, d], axis=1), axis=1)[:, :k]
+        cell, at = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(best[cell, at])], ["cell", "d"])
+
+    return run
+
+
+def _asked(pivots: np.ndarray, metric: Metric, reach: np.ndarray, rows: bool):
+    """mapInArrow: (id, v) -> (cell, id, v) for every cell whose reach a row is in, or (cell, n): how many those are in the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(pivots), dtype=np.int64)
+        for b in batches:
+            for start in range(0, b.num_rows, 2000):
+                own = b.slice(start, 2000)
+                at, cell = np.nonzero(_distances(_matrix(own), pivots, metric) <= reach[None, :])
+                if rows:
+                    for i in range(0, len(at), 20_000):
+                        some = pa.array(at[i : i + 20_000])
+                        yield pa.RecordBatch.from_arrays([pa.array(cell[i : i + 20_000].astype(np.int32)), own.column("id").take(some), own.column("v").take(some)], ["cell", "id", "v"])
+                else:
+                    n += np.bincount(cell, minlength=len(n))
+        if not rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n)], ["cell", "n"])
 
+    return run
+
+
+@dataclass(frozen=True)
+class Plan:
+    """What a join by pivots needs, and what either way would cost."""
+
+    pivots: np.ndarray
+    reach: np.ndarray
+    asking: np.ndarray
+    asked: np.ndarray
+    block_rows: int
+    all_asking: int
+    all_asked: int
+
+    def blocks(self, n: np.ndarray) -> np.ndarray:
+        return np.maximum(1, -(-n // self.block_rows))
+
+    @property
+    def pivot_rows(self) -> int:
+        """Rows shuffled by pivots."""
+        return int((self.asking * self.blocks(self.asked) + self.asked * self.blocks(self.asking)).sum())
+
+    @property
+    def block_rows_total(self) -> int:
+        """Rows shuffled block by block."""
+        a, b = (max(1, -(-n // self.block_rows)) for n in (self.all_asking, self.all_asked))
+        return self.all_asking * b + self.all_asked * a
+
+    @property
+    def pairs(self) -> int:
+        """Distances by pivots."""
+        return int((self.asking * self.asked).sum())
+
+    @property
+    def by_pivots(self) -> bool:
+        return self.pairs + ROW_COST * self.pivot_rows < self.all_asking * self.all_asked + ROW_COST * self.block_rows_total
+
+
+def plan_join(a: DataFrame, b: DataFrame, k: int, metric: Metric = "euclidean", exclude_self: bool = False, block_rows: int = 5000, most_pivots: int = 512) -> tuple[Plan, DataFrame]:
+    """(the plan, a's rows with their cells). Numbers by pivot reach the driver, never rows but the pivots."""
+    n_b = b.count()
+    most = int(np.clip(n_b**0.5, 1, most_pivots))
+    sample = b.orderBy(F.xxhash64("id"), "id").limit(4 * most).toPandas()
+    pivots = _pivots(np.stack(sample["v"]).astype(float), most, metric) if len(sample) else np.zeros((0, 0))
+    if not len(pivots):
+        return Plan(pivots, np.zeros(0), np.zeros(0, dtype=int), np.zeros(0, dtype=int), block_rows, a.count(), 0), a
+    celled = a.mapInArrow(_cells(pivots, metric), "cell int, id long, v array<double>, far double")
+    radius, asking = np.zeros(len(pivots)), np.zeros(len(pivots), dtype=np.int64)
+    for r in celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():
+        radius[r["cell"]], asking[r["cell"]] = r["far"], r["n"]
+    need = k + exclude_self
+    order = Window.partitionBy("cell").orderBy("d")
+    near = b.mapInArrow(_nearest_to_pivots(pivots, metric, need), "cell int, d double").withColumn("i", F.row_number().over(order)).where(F.col("i") == need)
+    kth = np.full(len(pivots), np.inf)
+    for r in near.collect():
+        kth[r["cell"]] = r["d"]
+    reach = 2 * radius + kth
+    reach += 1e-6 * (1 + reach + np.abs(np.nan_to_num(pivots)).max(initial=0) * pivots.shape[1] ** 0.5)  # for rounding
+    reach[asking == 0] = -1
+    asked = np.zeros(len(pivots), dtype=np.int64)
+    for r in b.mapInArrow(_asked(pivots, metric, reach, False), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        asked[r["cell"]] = r["n"]
+    return Plan(pivots, reach, asking, asked, block_rows, int(asking.sum()), n_b), celled
 
-def approximate_knn(a: DataFrame, b: DataFrame, k: int, radius: float, bucket: float = 2.0, tables: int = 8, seed: int = 0) -> DataFrame:
-    """knn_join() over random projections, for large tables: neighbours within radius that share a bucket."""
-    model = BucketedRandomProjectionLSH(inputCol="x", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed)
-    x, y = (df.select("id", array_to_vector("v").alias("x")) for df in (a, b))
-    near = model.fit(y).approxSimilarityJoin(x, y, radius, "distance")
+
+def knn_join(a: DataFrame, b: DataFrame, k: int, metric: Metric = "euclidean", exclude_self: bool = False, block_rows: int = 5000, by_pivots: bool | None = None) -> DataFrame:
+    """(id, rank, neighbour, distance): the k nearest rows of b for each row of a, ties by id. Both are (id, v).
+
+    by_pivots: None chooses by what either way would shuffle and compare.
+    """
+    a, b = stored(a.select("id", "v"), "asking"), stored(b.select("id", "v"), "searched")
+    plan, celled = plan_join(a, b, k, metric, exclude_self, block_rows)
+    best, schema = _block_best(k, metric, exclude_self), "id long, neighbour long, distance double"
+    if len(plan.pivots) and (plan.by_pivots if by_pivots is None else by_pivots):
+        blocks = a.sparkSession.createDataFrame(list(zip(range(len(plan.pivots)), plan.blocks(plan.asking).tolist(), plan.blocks(plan.asked).tolist(), strict=True)), "cell int, blocks_a long, blocks_b long")
+        part = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        asked = b.mapInArrow(_asked(plan.pivots, metric, plan.reach, True), "cell int, id long, v array<double>")
+        left, right = (df.join(F.broadcast(blocks), "cell") for df in (celled, asked))  # a row for each pivot
+        left = left.withColumn("ba", part("blocks_a")).withColumn("bb", every("blocks_b")).select("cell", "ba", "bb", "id", "v")
+        right = right.withColumn("bb", part("blocks_b")).withColumn("ba", every("blocks_a")).select("cell", "ba", "bb", "id", "v")
+        found = left.groupBy("cell", "ba", "bb").cogroup(right.groupBy("cell", "ba", "bb")).applyInPandas(best, schema)
+    else:
+        found = _dealt(a, b, block_rows).applyInPandas(best, schema)
     w = Window.partitionBy("id").orderBy("distance", "neighbour")
-    rows = near.select(F.col("datasetA.id").alias("id"), F.col("datasetB.id").alias("neighbour"), "distance")
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "rank", "neighbour", "distance")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "rank", "neighbour", "distance")
 
 
 def within_radius(a: DataFrame, balls: DataFrame, block_rows: int = 5000) -> DataFrame:
@@ -109,3 +267,26 @@ def within_radius(a: DataFrame, balls: DataFrame, block_rows: int = 5000) -> Dat
 
     part = _dealt(a, balls.select("id", "v", "radius"), block_rows).applyInPandas(count, "id long, inside long")
     return part.groupBy("id").agg(F.sum("inside").alias("inside")).where("inside > 0")
+
+
+def _kernel_sums(gamma: float):
+    """Both blocks' kernel values, summed."""
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        total = 0.0
+        if len(x) and len(y):
+            a, b = np.stack(x["v"]).astype(float), np.stack(y["v"]).astype(float)
+            b2 = (b**2).sum(axis=1)
+            for i in range(0, len(a), 1000):
+                p = a[i : i + 1000]
+                total += float(np.exp(-gamma * np.maximum((p**2).sum(axis=1)[:, None] + b2[None, :] - 2 * p @ b.T, 0)).sum())
+        return pd.DataFrame({"total": [total]})
+
+    return run
+
+
+def kernel_mean(a: DataFrame, b: DataFrame, gamma: float, name: str, block_rows: int = 5000) -> DataFrame:
+    """One row: the mean of exp(-gamma |x - y|^2) over all rows x of a and y of b (id, v); a number for each pair of blocks leaves the tasks."""
+    pairs = a.count() * b.count()
+    sums = _dealt(a, b, block_rows).applyInPandas(_kernel_sums(gamma), "total double")
+    return sums.agg((F.sum("total") / F.lit(pairs or None).cast("double")).alias(name))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.quantiles import exact_quantiles
+
 
 def drop_columns(df: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Without those of the names that exist, but for the ones to keep."""
@@ -124,11 +126,10 @@ def impute(df: DataFrame, fitted: DataFrame) -> DataFrame:
     return out.withColumns({c: F.coalesce(c, f"{c}__fill") for c in columns if c in df.columns}).select(*df.columns)
 
 
-def iqr_bounds(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> DataFrame:
-    """One row: c__low and c__high."""
-    quarts = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in columns])
-    spread = {c: k * (F.get(c, F.lit(1)) - F.get(c, F.lit(0))) for c in columns}
-    return quarts.select(*[x for c in columns for x in ((F.get(c, F.lit(0)) - spread[c]).alias(f"{c}__low"), (F.get(c, F.lit(1)) + spread[c]).alias(f"{c}__high"))])
+def iqr_bounds(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> dict[str, tuple[float, float] | None]:
+    """The ends beyond which values are outliers; None for a column without values."""
+    quarts = exact_quantiles(df, columns, (0.25, 0.75))
+    return {c: q and (q[0] - k * (q[1] - q[0]), q[1] + k * (q[1] - q[0])) for c, q in quarts.items()}
 
 
 def remove_outliers_iqr(df: DataFrame, columns: Sequence[str], k: float = 1.5, fit_on: DataFrame | None = None, sequential: bool = True, keep_null: bool = True) -> DataFrame:
@@ -136,12 +137,11 @@ def remove_outliers_iqr(df: DataFrame, columns: Sequence[str], k: float = 1.5, f
     the columns before it (of df, or of fit_on filtered alike); else all come from one pass."""
     fit = df if fit_on is None else fit_on
 
-    def inside(rows: DataFrame, bounds: DataFrame, some: Sequence[str]) -> DataFrame:
-        kept = rows.crossJoin(F.broadcast(bounds))  # one row
+    def inside(rows: DataFrame, bounds: dict[str, tuple[float, float] | None], some: Sequence[str]) -> DataFrame:
         for c in some:
-            ok = F.col(c).between(F.col(f"{c}__low"), F.col(f"{c}__high"))
-            kept = kept.where(ok | F.col(c).isNull() if keep_null else ok)
-        return kept.select(*rows.columns)
+            ok = F.col(c).cast("double").between(*bounds[c]) if bounds[c] else F.lit(False)
+            rows = rows.where(ok | F.col(c).isNull() if keep_null else ok)
+        return rows
 
     if not sequential:
         return inside(df, iqr_bounds(fit, columns, k), columns)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import ratio
+from ..functions.quantiles import exact_quantiles
 from .prep import long_form
 
 
@@ -28,10 +29,9 @@ def validity(df: DataFrame, columns: Sequence[str], of_columns: int | None = Non
 
     columns are the numeric ones; each has two possible issues, of twice the number of all columns of the table.
     """
-    bounds = df.agg(*[F.percentile(c, F.array(F.lit(0.01), F.lit(0.99))).alias(f"{c}__q") for c in columns])
-    low, high = {c: F.get(f"{c}__q", F.lit(0)) for c in columns}, {c: F.get(f"{c}__q", F.lit(1)) for c in columns}
-    far = {c: (F.col(c) < low[c] - 10 * (high[c] - low[c])) | (F.col(c) > high[c] + 10 * (high[c] - low[c])) for c in columns}
-    counted = df.crossJoin(F.broadcast(bounds)).agg(  # one row
+    ends = exact_quantiles(df, columns, (0.01, 0.99))
+    far = {c: ~F.col(c).cast("double").between(q[0] - 10 * (q[1] - q[0]), q[1] + 10 * (q[1] - q[0])) if q else F.lit(False) for c, q in ends.items()}
+    counted = df.agg(
         *[F.count_if(F.abs(F.col(c).cast("double")) == float("inf")).alias(f"{c}__inf") for c in columns], *[F.count_if(far[c]).alias(f"{c}__far") for c in columns]
     )
     add = lambda n: sum((F.col(f"{c}__{n}") for c in columns), F.lit(0))

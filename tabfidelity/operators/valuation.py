@@ -2,26 +2,51 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.keys import ratio
+from ..functions.quantiles import exact_quantiles
 from ..functions.ranks import ranked_within
-from .nn import pair_distances
+from .nn import knn_join, pair_distances
 
 #: Normal quantiles for two-sided levels.
 Z = {0.90: 1.6448536269514722, 0.95: 1.959963984540054, 0.99: 2.5758293035489004}
 
 
-def knn_shapley(train: DataFrame, test: DataFrame, k: int = 5, block_rows: int = 2000) -> DataFrame:
-    """(id, test_id, value): each training row's share in classifying each test row. Both are (id, v, label).
+def knn_shapley_near(train: DataFrame, test: DataFrame, k: int = 5, epsilon: float = 0.01, block_rows: int = 5000) -> DataFrame:
+    """(id, test_id, value): knn_shapley() within epsilon, from each test row's K = max(k, 1 / epsilon) nearest training rows alone.
+
+    Rows from the K-th on count as 0; their values are at most 1 / K either way, so nearer ones are off by no more. With fewer training rows than K
+    values are exact. Pairs beyond the K nearest (value 0) are no rows.
+    """
+    n = train.count()
+    k = max(1, min(k, n))
+    most = max(k, math.ceil(1 / epsilon))
+    near = knn_join(test.select("id", "v"), train.select("id", "v"), min(most, n) or 1, block_rows=block_rows).select(F.col("id").alias("test_id"), F.col("neighbour").alias("id"), F.col("rank").alias("i"))
+    labels = [df.select(F.col("id").alias(name), F.col("label").alias(f"{name}_label")) for df, name in ((test, "test_id"), (train, "id"))]
+    rows = near.join(labels[0], "test_id").join(labels[1], "id").withColumn("same", (F.col("id_label") == F.col("test_id_label")).cast("double"))
+    order = Window.partitionBy("test_id").orderBy("i")  # at most K rows
+    next_same = F.lead("same").over(order)
+    # What the last one is worth itself: its own share where it is the farthest of all, 0 where rows were left out.
+    last = F.col("same") * F.least(F.lit(k), F.col("i")) / F.col("i") / k if n <= most else F.lit(0.0)
+    steps = rows.withColumn("step", F.when(next_same.isNull(), last).otherwise((F.col("same") - next_same) / k * F.least(F.lit(k), F.col("i")) / F.col("i")))
+    return steps.select("id", "test_id", F.sum("step").over(order.rowsBetween(0, Window.unboundedFollowing)).alias("value"))
+
+
+def knn_shapley(train: DataFrame, test: DataFrame, k: int = 5, block_rows: int = 2000, most_test_rows: int = 100_000) -> DataFrame:
+    """(id, test_id, value): each training row's share in classifying each test row, exact. Both are (id, v, label).
 
-    Every test row ranks all training rows, by definition: work is rows times rows. Distances come block by block. With y_i
+    For a test side of at most most_test_rows rows, which is checked; knn_shapley_near() is for more. Every test row ranks all training rows, by definition: work is rows times rows. Distances come block by block. With y_i
     whether the i-th nearest row has the test row's label and c_i = min(k, i) / i, the recursion s_i = s_{i+1} + (y_i - y_{i+1}) c_i / k from the
     farthest row inwards is s_i = (y_i c_i + sum of y_j (c_j - c_{j-1}) over j > i) / k, a sum that goes by ranges of rows first, so
     no task holds a test row's whole order. With fewer than k training rows, all are neighbours.
     """
+    if test.limit(most_test_rows + 1).count() > most_test_rows:
+        raise ValueError(f"more than {most_test_rows} test rows: use knn_shapley_near()")
     n = train.count()
     k = max(1, min(k, n))
     labels = [df.select(F.col("id").alias(name), F.col("label").alias(f"{name}_label")) for df, name in ((test, "test_id"), (train, "id"))]
@@ -74,7 +99,7 @@ def rank_by_value(values: DataFrame, df: DataFrame, key: str = "id") -> DataFram
 
 
 def drop_most_harmful(values: DataFrame, df: DataFrame, share: float, key: str = "id") -> DataFrame:
-    """df without the given share of rows with the lowest values; the cut is a percentile, so nothing is sorted globally."""
-    cut = values.agg(F.percentile("value", F.lit(share)).alias("__cut"))
-    kept = values.crossJoin(F.broadcast(cut)).where(F.col("value") >= F.col("__cut")).select(key)  # one row
+    """df without the given share of rows with the lowest values; the cut is a quantile, so nothing is sorted globally."""
+    cut = exact_quantiles(values, ["value"], [share])["value"]
+    kept = values.where(F.col("value") >= cut[0] if cut else F.lit(False)).select(key)
     return df.join(kept, key, "left_semi")

@@ -260,6 +260,23 @@ def nn1_knn_join(spark, sf):
     return rounded(nn.knn_join(s.select("id", "v"), r.select("id", "v"), 3, block_rows=400), "distance")
 
 
+def customers(spark, sf):
+    """Halves of the customers as points that lie in clusters: their nation and segment far apart, and the balance within."""
+    point = [F.col("c_nationkey") * 1e6, F.ascii("c_mktsegment") * 1e5, F.col("c_acctbal").cast("double")]
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.array(*[x.cast("double") for x in point]).alias("v"))
+    return c.where("id % 2 = 0"), c.where("id % 2 = 1")
+
+
+CLUSTERED = "SELECT c_custkey AS id, [c_nationkey * 1e6, ascii(c_mktsegment) * 1e5, cast(c_acctbal AS DOUBLE)] AS v FROM customer WHERE c_custkey % 2 = {}"
+
+
+@query(f"SELECT id, rank, other AS neighbour, round(d, 4) AS distance FROM ({knn_sql(CLUSTERED.format(0), CLUSTERED.format(1), 4)})")
+def nn1_knn_join_by_pivots(spark, sf):
+    """Each cell of a pivot meets only the rows that can be neighbours of its own."""
+    a_, b_ = customers(spark, sf)
+    return rounded(nn.knn_join(a_, b_, 4, block_rows=500, by_pivots=True), "distance", digits=4)
+
+
 @query(f"WITH rr AS (SELECT id, d AS radius FROM ({knn_sql(R, R, 5, True)}) WHERE rank = 5), ss AS (SELECT id, d AS radius FROM ({knn_sql(S, S, 5, True)}) WHERE rank = 5), sr AS ({ALL_PAIRS.format(a=S, b=R)}), "
        "i AS (SELECT sr.id, count(*) AS inside FROM sr JOIN rr ON sr.other = rr.id AND d <= radius GROUP BY 1), j AS (SELECT other AS id FROM sr JOIN ss ON sr.id = ss.id AND d <= radius GROUP BY 1), "
        "c AS (SELECT other, min(d) AS d FROM sr GROUP BY 1) SELECT round((SELECT count(*) FROM i) / (SELECT count(*) FROM ss), 6) AS precision, round((SELECT count(*) FROM j) / (SELECT count(*) FROM rr), 6) AS recall, "
@@ -299,6 +316,15 @@ def mv5_mmd_rbf_features(spark, sf):
     return multivariate.mmd_rbf_features(r, s, NUM)
 
 
+_RBF = "exp(-list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
+
+
+@query(f"WITH r AS ({R}), s AS ({S}) SELECT round((SELECT avg({_RBF}) FROM r a, r b) + (SELECT avg({_RBF}) FROM s a, s b) - 2 * (SELECT avg({_RBF}) FROM r a, s b), 6) + 0.0 AS mmd")
+def mv5_mmd_rbf(spark, sf):
+    """Over all pairs of rows."""
+    return rounded(multivariate.mmd_rbf(*embedded(spark, sf), block_rows=400), "mmd")
+
+
 @query()
 def mv6_sliced_wasserstein(spark, sf):
     r, s = (x.select(*NUM).na.drop() for x in pair(spark, sf))
@@ -311,13 +337,37 @@ def mv7_dcr(spark, sf):
     return rounded(multivariate.dcr(s.select("id", "v"), r.select("id", "v")), "distance")
 
 
-@query()
+def halves_of_customers(spark, sf):
+    """Real and synthetic customers of numbers and categories, some missing."""
+    c = table(spark, sf, "customer").selectExpr("c_custkey", "CASE WHEN c_custkey % 19 = 0 THEN NULL ELSE cast(c_acctbal AS DOUBLE) END AS balance", "cast(c_nationkey AS DOUBLE) AS nation", "CASE WHEN c_custkey % 23 = 0 THEN NULL ELSE c_mktsegment END AS segment")
+    return c.where("c_custkey % 2 = 0"), c.where("c_custkey % 2 = 1")
+
+
+_CUSTOMERS = "SELECT c_custkey AS id, CASE WHEN c_custkey % 19 = 0 THEN NULL ELSE cast(c_acctbal AS DOUBLE) END AS balance, cast(c_nationkey AS DOUBLE) AS nation, CASE WHEN c_custkey % 23 = 0 THEN NULL ELSE c_mktsegment END AS segment FROM customer"
+_DRAW = "cast(('0x' || substr(md5(cast(id AS VARCHAR) || '|{c}|0'), 1, 8)) AS BIGINT) / 4294967296.0"
+_MIXED_SQL = f"""real AS (SELECT * FROM ({_CUSTOMERS}) WHERE id % 2 = 0), fake AS (SELECT * FROM ({_CUSTOMERS}) WHERE id % 2 = 1),
+ends AS (SELECT min(balance) AS bl, max(balance) AS bh, min(nation) AS nl, max(nation) AS nh FROM real),
+kinds AS (SELECT segment, row_number() OVER (ORDER BY segment) - 1 AS place FROM (SELECT DISTINCT segment FROM real WHERE segment IS NOT NULL)),
+drawn AS (SELECT i.id, bl + (bh - bl) * {_DRAW.format(c='balance')} AS balance, nl + (nh - nl) * {_DRAW.format(c='nation')} AS nation, cast(floor({_DRAW.format(c='segment')} * (SELECT count(*) FROM kinds)) AS BIGINT) AS place FROM (SELECT unnest(range((SELECT count(*) FROM fake))) AS id) i, ends),
+random AS (SELECT id, balance, nation, segment FROM drawn JOIN kinds USING (place)),
+all_of AS (SELECT 's' AS side, * FROM fake UNION ALL SELECT 'b', * FROM random),
+closest AS (SELECT side, a.id, min((CASE WHEN a.balance IS NULL OR r.balance IS NULL THEN cast((a.balance IS NULL) <> (r.balance IS NULL) AS DOUBLE) ELSE least(abs(a.balance - r.balance) / (bh - bl), 1) END + least(abs(a.nation - r.nation) / (nh - nl), 1) + cast(a.segment IS DISTINCT FROM r.segment AS DOUBLE)) / 3) AS d FROM all_of a, real r, ends GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_MIXED_SQL} SELECT id, round(d, 6) + 0.0 AS distance FROM closest WHERE side = 's'")
+def mv7_dcr_mixed(spark, sf):
+    """Numbers by their range, categories by equality, a NULL far from all but a NULL."""
+    r, s = (multivariate.mixed_vectors(x, "c_custkey", ["balance", "nation"], ["segment"], halves_of_customers(spark, sf)[0]) for x in halves_of_customers(spark, sf))
+    return rounded(multivariate.dcr(s, r, metric=("mixed", 2)), "distance")
+
+
+@query(f"WITH {_MIXED_SQL}, m AS (SELECT median(d) FILTER (side = 's') AS s, median(d) FILTER (side = 'b') AS b FROM closest) SELECT round(s, 6) + 0.0 AS synthetic_median, round(b, 6) + 0.0 AS baseline_median, round(least(1, s / b), 6) AS protection FROM m")
 def mv8_dcr_protection(spark, sf):
-    r, s = embedded(spark, sf)
-    size = r.select(F.max(F.size("v"))).first()[0]
-    columns = [f"x{i}" for i in range(size)]
-    base = multivariate.uniform_baseline(r.select(*[F.get("v", F.lit(i)).alias(c) for i, c in enumerate(columns)]), columns, s.count())
-    return multivariate.dcr_baseline_protection(r.select("id", "v"), s.select("id", "v"), nn.vectors(base, "id", columns))
+    real, fake = halves_of_customers(spark, sf)
+    numeric, categorical = ["balance", "nation"], ["segment"]
+    base = multivariate.random_baseline(real, numeric, categorical, fake.count())
+    vectors = [multivariate.mixed_vectors(x, key, numeric, categorical, real) for x, key in ((real, "c_custkey"), (fake, "c_custkey"), (base, "id"))]
+    return rounded(multivariate.dcr_baseline_protection(*vectors, metric=("mixed", 2)), "synthetic_median", "baseline_median", "protection")
 
 
 # Privacy

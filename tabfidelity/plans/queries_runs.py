@@ -96,6 +96,20 @@ def val1_knn_shapley(spark, sf):
     return rounded(shapley(spark, sf), "value")
 
 
+#: The nearest 50 rows alone; the 50th counts as 0.
+SHAPLEY_NEAR = f"""WITH d AS (SELECT t.id AS test_id, a.id, cast(a.label = t.label AS INTEGER) AS same, list_sum(list_transform(list_zip(a.v, t.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dist FROM ({LABELLED.format(0)}) a, ({LABELLED.format(1)}) t),
+k AS (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY dist, id) AS i FROM d QUALIFY i <= 50),
+s AS (SELECT *, coalesce((same - lead(same) OVER (PARTITION BY test_id ORDER BY i)) / 5.0 * least(5, i) / i, 0) AS step FROM k)
+SELECT test_id, id, sum(step) OVER (PARTITION BY test_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS value FROM s"""
+
+
+@query(f"SELECT test_id, id, round(value, 6) + 0.0 AS value FROM ({SHAPLEY_NEAR})")
+def val1_knn_shapley_near(spark, sf):
+    """Values within 0.02 from each row's 50 nearest."""
+    train, test = embedded(spark, sf)
+    return rounded(valuation.knn_shapley_near(train, test, epsilon=0.02), "value")
+
+
 @query("SELECT label, round(avg(x), 6) AS value, count(x) AS m, round(coalesce(stddev_samp(x), 0), 6) AS std, round(coalesce(stddev_samp(x), 0) / sqrt(count(x)), 6) AS se, round(avg(x) - 1.96 * coalesce(stddev_samp(x), 0) / sqrt(count(x)), 6) AS ci_lower, round(avg(x) + 1.96 * coalesce(stddev_samp(x), 0) / sqrt(count(x)), 6) AS ci_upper FROM (SELECT label, cast(embedding[1] AS DOUBLE) AS x FROM embeddings) GROUP BY 1")
 def val2_uncertainty(spark, sf):
     e = table(spark, sf, "embeddings").select("label", F.get("embedding", F.lit(0)).cast("double").alias("x"))

@@ -12,6 +12,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
+from ..functions.scratch import stored
 from ..operators import association, detect, membership, multivariate, nn, prep, privacy, schema_cmp, univariate
 from .roles import Roles
 
@@ -68,6 +70,19 @@ def _scaled(r: Roles, c: Columns) -> list[DataFrame]:
     return [prep.minmax_scale(df.select(*c.numeric).na.drop(), c.numeric, r.reference) for df in (r.reference, r.synthetic)]
 
 
+def _median(distances: DataFrame) -> DataFrame:
+    found = exact_quantiles(stored(distances.select("distance"), "closest"), ["distance"], [0.5])["distance"]
+    return distances.sparkSession.range(1).select(F.lit(found[0] if found else None).cast("double").alias("value"))
+
+
+def _protection(r: Roles, c: Columns) -> DataFrame:
+    """Numbers by their range and categories by equality, against random rows as many as the synthetic ones."""
+    numbered = lambda df: df.withColumn("__id", F.monotonically_increasing_id())
+    base = multivariate.random_baseline(r.reference, c.numeric, c.categorical, r.synthetic.count())
+    vectors = [multivariate.mixed_vectors(df, key, c.numeric, c.categorical, r.reference) for df, key in ((numbered(r.reference), "__id"), (numbered(r.synthetic), "__id"), (base, "id"))]
+    return multivariate.dcr_baseline_protection(*vectors, metric=("mixed", len(c.numeric))).select(F.col("protection").alias("value"))
+
+
 METRICS: dict[str, Metric] = {
     "ks_complement": Metric(_one("ks_complement", "score", True), True, 1.0),
     "tv_complement": Metric(_one("tv_complement", "score", False), True, 1.0),
@@ -86,7 +101,8 @@ METRICS: dict[str, Metric] = {
     "sliced_wasserstein": Metric(lambda r, c: multivariate.sliced_wasserstein(*_scaled(r, c), c.numeric).select(F.col("distance").alias("value")), False, 0.0),
     "prdc": Metric(lambda r, c: _named_values(multivariate.prdc(*_pair_vectors(r, c))), True, 1.0),
     "alpha_precision": Metric(lambda r, c: _named_values(multivariate.alpha_precision_naive(*_pair_vectors(r, c), len(c.numeric))), True, 1.0),
-    "dcr_median": Metric(lambda r, c: multivariate.dcr(*_pair_vectors(r, c)[::-1]).agg(F.median("distance").alias("value")), True, float("inf")),
+    "dcr_median": Metric(lambda r, c: _median(multivariate.dcr(*_pair_vectors(r, c)[::-1])), True, float("inf")),
+    "dcr_protection": Metric(lambda r, c: _protection(r, c), True, 1.0),
     "new_row_synthesis": Metric(lambda r, c: membership.new_row_synthesis(r.reference, r.synthetic, c.categorical, c.numeric).select(F.col("score").alias("value")), True, 1.0),
     "detection_linear": Metric(_detection, False, 0.5),
     "structure": Metric(lambda r, c: schema_cmp.structure_score(schema_cmp.table_structure(r.reference, r.synthetic)).select(F.col("score").alias("value")), True, 1.0),

@@ -213,7 +213,7 @@ def test_vector_metrics_by_name_and_errors_as_rows(spark):
 
     rows = [(i, "ab"[i % 2], float(i % 7), float(i % 5)) for i in range(60)]
     d = spark.createDataFrame(rows, "id long, c string, x double, y double")
-    names = ["prdc", "alpha_precision", "dcr_median", "detection_linear", "structure", "absent"]
+    names = ["prdc", "alpha_precision", "dcr_median", "dcr_protection", "detection_linear", "structure", "absent"]
     got = evaluate(Roles(d, d, d.where("id % 2 = 0"), d.where("id % 2 = 1")), Columns(("c",), ("x", "y"), "id"), names).collect()
     assert {r.metric for r in got if r.status == "success"} == set(names[:-1]) and [r.metric for r in got if r.status == "error"] == ["absent"]
     keyless = evaluate(Roles(d, d, d, d), Columns(("c",), ("x", "y")), ["prdc"]).collect()
