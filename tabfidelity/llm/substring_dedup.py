@@ -28,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,9 +52,9 @@ class Repeats:
     most_hot: int = 10_000
     #: Parts in which windows under such keys are compared first.
     salts: int = 64
-    #: Words whose digests a task remembers, characters that it works on at a time.
-    most_words: int = 500_000
+    #: Characters of texts that a task works on at a time (a longer text alone), and bytes whose words' digests come from one running sum.
     slice_chars: int = 1_500_000
+    chunk_bytes: int = 1_000_000
 
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9], dtype=np.uint64)
@@ -104,20 +104,43 @@ class Symbols:
         return Symbols(names, self.start[at], self.first[at]), left, np.cumsum(~second, dtype=np.int32) - 1
 
 
-class Words:
-    """Texts to the digests of their words; what is remembered is bounded."""
-
-    def __init__(self, most: int):
-        self.most, self.of, self.digests = most, {}, np.zeros((2, 0), dtype=np.uint64)
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self.of) > self.most:
-            self.of, self.digests = {}, np.zeros((2, 0), dtype=np.uint64)
-        if missing := list(set(words).difference(self.of)):
-            new = [xxhash.xxh3_128_intdigest(w) for w in missing]
-            self.of.update(zip(missing, range(len(self.of), len(self.of) + len(new)), strict=True))
-            self.digests = np.concatenate([self.digests, np.array([[d >> 64 for d in new], [d & ((1 << 64) - 1) for d in new]], dtype=np.uint64)], axis=1)
-        return self.digests[:, np.fromiter(map(self.of.__getitem__, words), dtype=np.int64, count=len(words))]
+def _powers(of: int, n: int) -> np.ndarray:
+    """1, of, of^2 ... among 64-bit numbers."""
+    out = np.full(n, of, dtype=np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
+#: White space between words, and for either digest a random number for each byte.
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BYTES = np.random.default_rng(12).integers(1, 1 << 63, size=(2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def word_digests(data: np.ndarray, offsets: np.ndarray, chunk_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(two digests of each word of 64 bits, each text's number of words); data: the texts' bytes, one after another.
+
+    A digest is the sum of the bytes' numbers times powers of _BASE, from a running sum; chunks end at white space.
+    """
+    space = _SPACE[data]
+    n = len(data)
+    edge = np.zeros(n + 1, dtype=bool)
+    edge[offsets] = True
+    begin, end = ~space, ~space
+    begin[1:] &= space[:-1] | edge[1:n]
+    end[:-1] &= space[1:] | edge[1:n]
+    start, stop = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    digests = np.empty((2, len(start)), dtype=np.uint64)
+    low = 0
+    while low < len(start):
+        high = max(low + 1, int(np.searchsorted(stop, start[low] + chunk_bytes)))
+        a, b = start[low], stop[high - 1]
+        up, back = _powers(_BASE, b - a), _powers(_BACK, b - a)
+        first, last = start[low:high] - a, stop[low:high] - a
+        for side in range(2):
+            sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTES[side][data[a:b]] * up)])
+            digests[side, low:high] = _named((sums[last] - sums[first]) * back[first], (last - first).astype(np.uint64), side)
+        low = high
+    return digests, np.diff(np.searchsorted(start, offsets))
 
 
 def split(text: str | None) -> list[bytes]:
@@ -126,15 +149,17 @@ def split(text: str | None) -> list[bytes]:
 
 
 class Texts:
-    """Some texts' words, one after another, and their first round's symbols."""
+    """Some texts' words (as digests), one after another, and their first round's symbols."""
 
-    def __init__(self, texts: list[list[bytes]], words: Words):
-        self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    def __init__(self, column: pa.Array, p: Repeats):
+        column = pc.fill_null(column, "").cast(pa.large_string())
+        offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+        self.digests, self.lengths = word_digests(data, offsets - offsets[0], p.chunk_bytes)
         self.begin = np.cumsum(self.lengths) - self.lengths
-        self.digests = words([w for t in texts for w in t])
         first = np.zeros(self.digests.shape[1], dtype=bool)
         first[self.begin[self.lengths > 0]] = True
-        self.text = np.repeat(np.arange(len(texts)), self.lengths)
+        self.text = np.repeat(np.arange(len(column)), self.lengths)
         self.words = Symbols(self.digests[0].copy(), np.arange(len(first)), first)
 
     def windows(self, size: int) -> np.ndarray:
@@ -191,11 +216,9 @@ class Texts:
     def contents(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         """A digest of each span's words that doesn't depend on how they were paired."""
         n = len(self.text)
-        with np.errstate(over="ignore"):
-            up = np.cumprod(np.concatenate([[1], np.full(n, _BASE, dtype=np.uint64)]).astype(np.uint64))
-            back = np.cumprod(np.concatenate([[1], np.full(n, _BACK, dtype=np.uint64)]).astype(np.uint64))
-            sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(self.digests[1] * up[:-1], dtype=np.uint64)])
-            return (sums[start + length] - sums[start]) * back[start]
+        up, back = _powers(_BASE, n), _powers(_BACK, n)
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(self.digests[1] * up)])
+        return (sums[start + length] - sums[start]) * back[start]
 
     def verified(self, windows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """96 bits of a digest of each window's words."""
@@ -230,10 +253,8 @@ def _made(p: Repeats):
     """mapInArrow: (doc_id, digest, text) -> MADE: a row per text (kind 0: length its words), span (1) and distinct key of a text (2: start 1 if it has it at several places)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(p.most_words)
         for b in _slices(batches, p):
-            each = [split(t) for t in b.column("text").to_pylist()]
-            t = Texts(each, words)
+            t = Texts(b.column("text"), p)
 
             def rows(kind: int, text: np.ndarray, name, content, start, length, sha=None, b=b) -> pa.RecordBatch:
                 at, n = pa.array(text), len(text)
@@ -242,14 +263,14 @@ def _made(p: Repeats):
                     ["kind", "doc_id", "digest", "name", "content", "start", "length", "sha"],
                 )
 
-            yield rows(0, np.arange(len(each)), None, None, None, t.lengths, [hashlib.sha256(b" ".join(w)).hexdigest() for w in each])
+            yield rows(0, np.arange(b.num_rows), None, None, None, t.lengths, [hashlib.sha256(b" ".join(split(x))).hexdigest() for x in b.column("text").to_pylist()])
             windows = t.windows(p.window)
             if not len(windows):
                 continue
             keys, begin, level = t.keys(windows, p)
-            for name, start, length in t.spans(level, p):
-                text = t.text[start]
-                yield rows(1, text, name, t.contents(start, length), start - t.begin[text], length)
+            name, start, length = map(np.concatenate, zip(*t.spans(level, p), strict=True))
+            text = t.text[start]
+            yield rows(1, text, name, t.contents(start, length), start - t.begin[text], length)
             # Distinct keys of each text, and whether a key is at several places.
             order = np.lexsort((begin, keys, t.text[windows]))
             text, key, at = t.text[windows][order], keys[order], begin[order]
@@ -277,9 +298,8 @@ def _candidates(p: Repeats):
     """(doc_id, digest, text, spans, names, hot_names) -> CANDIDATES: windows under the names, but those within the spans. salt: 0, or the text's part for frequent names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(p.most_words)
         for b in _slices(batches, p):
-            t = Texts([split(x) for x in b.column("text").to_pylist()], words)
+            t = Texts(b.column("text"), p)
             windows = t.windows(p.window)
             if not len(windows):
                 continue

@@ -115,7 +115,7 @@ def passages(seed, texts=60):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_repeats_are_those_of_brute_force(spark, seed):
     rows = passages(seed)
-    for p in (substring_dedup.Repeats(), substring_dedup.Repeats(window=7, key_rounds=4, span_round=5, span_every=1, often=1, most_words=50, slice_chars=400)):
+    for p in (substring_dedup.Repeats(), substring_dedup.Repeats(window=7, key_rounds=4, span_round=5, span_every=1, often=1, chunk_bytes=50, slice_chars=400)):
         assert repeats(spark, rows, p) == brute_repeats(rows, p.window)
 
 
