@@ -3,8 +3,8 @@ windows of the training texts; hits are verified word by word, then spans or doc
 
 The scan reads each text once and splits it into words once. A window of L consecutive words, wherever it starts,
 holds a whole part of L - s + 1 words whose place is a multiple of s = L // 2. So the parts at those places are looked up in the
-broadcast hash set of the parts of all test n-grams; only texts with a part in common go on to have every window compared. Parts are
-lower-cased in full, which joins more than the contract's A-Z and loses none.
+broadcast hash set of the parts of all test n-grams; only texts with a part in common go on to have every window compared. Both
+sides lower-case A-Z alone and cut words the same way, as what other letters become can depend on their neighbours.
 
 Parts and n-grams are broadcast up to a checked number of rows; beyond it they meet the texts' in a shuffled join.
 
@@ -72,12 +72,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, p: Contamination = Contamination
     grams = checkpointed(item_windows(benchmark, p))
     lengths = sorted(r["length"] for r in grams.select("length").distinct().collect()) or [p.window]  # at most p.window numbers
 
-    words = words_of(F.lower("text"), ALNUM_WORD)
+    words = words_of(lower_ascii(F.col("text")), ALNUM_WORD)
     summary = let(words, lambda w: F.struct(F.size(w).alias("n_words"), F.array_distinct(F.concat(*[_parts(n, _stride(n))(w) for n in lengths])).alias("parts")))
     rows = docs.select(*row_key(), summary.alias("summary")).select("doc_id", "text_digest", "summary.*")
     rows = written(rows, "text-parts")
-    lowered = F.transform("gram", lambda w: F.lower(w))
-    item_parts = F.coalesce(*[F.when(F.col("length") == n, let(lowered, _parts(n, 1))) for n in lengths])
+    item_parts = F.coalesce(*[F.when(F.col("length") == n, _parts(n, 1)(F.col("gram"))) for n in lengths])
     item_parts = checkpointed(grams.select(F.explode(item_parts).alias("part")).distinct())
     near = rows.select("doc_id", "text_digest", F.explode("parts").alias("part")).join(sized_broadcast(item_parts, p.broadcast_keys), "part", "left_semi")
     near = checkpointed(near.select("doc_id", "text_digest").distinct())

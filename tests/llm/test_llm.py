@@ -172,6 +172,17 @@ def test_contamination(spark, odd, texts, limit):
     assert got == sorted(want, key=repr)
 
 
+def test_letters_beyond_ascii_are_kept_as_they_are(spark):
+    """What full lower-casing makes of a letter depends on its neighbours (sigma, dotted I), so it must not decide."""
+    greek, turkish = [f"ΛΟΓΟΣ{c}Σ" for c in "ΑΒΓΔΕΖΗΘΙΚ"], [f"İI{c}Iı" for c in "ABCDEFGHJK"]
+    items = [(1, " ".join(greek)), (2, ".".join(turkish)), (3, " ".join(w.lower() for w in greek))]
+    rows = [(10 * i + k, sep.join(w)) for i, w in enumerate((greek, turkish, [w.lower() for w in greek], [w.swapcase() for w in turkish])) for k, sep in enumerate((" ", ".", ". ", "-"))]
+    docs, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontamination.scan(docs, b).collect()}
+    want = {d: brute.contamination(t, items) for d, t in rows}
+    assert got == {d: (n, len(hit), len(found)) for d, (n, hit, found) in want.items()} and sum(v[1] for v in got.values()) >= 80
+
+
 def test_items_of_every_length_at_every_place(spark):
     """Parts are looked up at some places only; no window may slip between them."""
     items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in range(1, 14)]
