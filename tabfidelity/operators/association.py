@@ -141,7 +141,7 @@ def quality_report(real: DataFrame, synthetic: DataFrame, categorical: Sequence[
 
 
 def _confidence(n: Column) -> Column:
-    return F.when(n >= 1000, "high").when(n >= 500, "medium").when(n >= 50, "low").otherwise("very low")
+    return F.when(n >= 1000, "✓").when(n >= 500, "⚠").when(n >= 50, "✗").otherwise("-")
 
 
 #: Rules in order, the first that holds gives the reading: least real and below real, below synthetic (and least), least and below quality; None: any.

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.keys import shuffle_key
+from ..functions.ranks import ranked_within
 
 
 def sample_entities(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
@@ -41,15 +42,22 @@ def stratified_split(df: DataFrame, by: str, key: str, fraction: float = 0.5, se
 
 
 def split_by_group(df: DataFrame, key: str, seed: int = 0, train_rows: int | None = None, test_rows: int | None = None) -> DataFrame:
-    """df with split: each key to the half that its hash names; a side with a target is cut to that many rows in seeded order."""
-    out = df.withColumn("split", F.when(F.substring(shuffle_key(key, seed=seed), 1, 1) < "8", "train").otherwise("test"))
-    if train_rows is None and test_rows is None:
+    """df with split: the first half of the keys in seeded order is train, the others test; an odd key goes to test.
+
+    Of a side with a target, so many rows in seeded order keep the side and the others are unsampled; a side with fewer rows keeps all. A NULL key is a key.
+    """
+    keys = ranked_within(df.select(F.col(key).alias("_key")).distinct().withColumn("_order", shuffle_key("_key", seed=seed)), [], ["_order", "_key"], "_rank")
+    half = keys.agg(F.floor(F.count("*") / 2).alias("_half"))
+    sides = keys.crossJoin(F.broadcast(half)).select("_key", F.when(F.col("_rank") <= F.col("_half"), "train").otherwise("test").alias("split"))  # one row
+    out = df.join(sides, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+    targets = {side: n for side, n in (("train", train_rows), ("test", test_rows)) if n is not None}
+    if not targets:
         return out
-    parts = []
-    for side, n in (("train", train_rows), ("test", test_rows)):
-        rows = out.where(F.col("split") == side)
-        parts.append(rows if n is None else rows.orderBy(shuffle_key(*df.columns, seed=seed), *df.columns).limit(n))
-    return parts[0].unionByName(parts[1])
+    ranked = ranked_within(out.withColumn("_order", shuffle_key(*df.columns, seed=seed)), ["split"], ["_order", *df.columns], "_rank")
+    beyond = F.lit(False)
+    for side, n in targets.items():
+        beyond = beyond | ((F.col("split") == side) & (F.col("_rank") > n))
+    return ranked.select(*df.columns, F.when(beyond, "unsampled").otherwise(F.col("split")).alias("split"))
 
 
 def complement(df: DataFrame, cohort: DataFrame, key: str) -> DataFrame:
@@ -70,9 +78,9 @@ def leakage_report(splits: Mapping[str, DataFrame], keys: Sequence[str]) -> Data
 
 
 def target_rate_report(df: DataFrame, target: Column) -> DataFrame:
-    """One row for a df with split: the rates of train and test, their gap and verdict."""
-    rate = lambda side: F.avg(F.when(F.col("split") == side, target.cast("double")))
-    out = df.agg(rate("train").alias("train_rate"), rate("test").alias("test_rate")).withColumn("gap", F.abs(F.col("train_rate") - F.col("test_rate")))
+    """One row for a df with split: the rates of train, test and unsampled rows, the gap of the first two and its verdict."""
+    rate = lambda side: F.avg(F.when(F.col("split") == side, target.cast("double"))).alias(f"{side}_rate")
+    out = df.agg(*map(rate, ("train", "test", "unsampled"))).withColumn("gap", F.abs(F.col("train_rate") - F.col("test_rate")))
     return out.withColumn("verdict", F.when(F.col("gap") < 0.001, "excellent").when(F.col("gap") < 0.02, "good").otherwise("warning"))
 
 

@@ -218,7 +218,7 @@ def asc7_quality_report(spark, sf):
 
 _R, _S, _Q = "real_association", "synthetic_association", "quality"
 DIAG = f"""SELECT *, CASE WHEN {_R} IS NULL OR {_S} IS NULL OR {_Q} IS NULL THEN '-' WHEN {_R} >= 0.7 AND {_Q} >= 0.8 THEN '✓' WHEN {_R} < 0.3 AND {_S} < 0.3 THEN '✓' WHEN {_R} >= 0.5 AND {_Q} >= 0.65 THEN '✓' WHEN {_R} >= 0.7 AND {_Q} < 0.6 THEN '✗' ELSE '⚠' END AS flag,
-CASE WHEN n >= 1000 THEN 'high' WHEN n >= 500 THEN 'medium' WHEN n >= 50 THEN 'low' ELSE 'very low' END AS confidence,
+CASE WHEN n >= 1000 THEN '✓' WHEN n >= 500 THEN '⚠' WHEN n >= 50 THEN '✗' ELSE '-' END AS confidence,
 CASE WHEN {_R} IS NULL OR {_S} IS NULL OR {_Q} IS NULL THEN 'Insufficient data' WHEN {_R} >= 0.8 AND {_Q} >= 0.85 THEN 'Strong correlation well preserved' WHEN {_R} >= 0.7 AND {_Q} >= 0.75 THEN 'Strong correlation preserved'
 WHEN {_R} < 0.25 AND {_S} < 0.25 THEN 'Weak correlation correctly reproduced' WHEN {_R} >= 0.7 AND {_Q} < 0.5 THEN 'Model failed to capture strong trend' WHEN {_S} >= 0.7 AND {_R} < 0.4 AND {_Q} < 0.5 THEN 'Synthetic created spurious correlation'
 WHEN {_R} >= 0.5 AND {_Q} >= 0.65 THEN 'Moderate correlation preserved' WHEN {_R} < 0.3 THEN 'Weak correlation correctly reproduced' ELSE 'Mixed quality' END AS diagnosis FROM (

@@ -279,12 +279,24 @@ def spl2_stratified_split(spark, sf):
     return splits.stratified_split(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", "o_orderkey", seed=7)
 
 
-SPLIT = f"SELECT o_orderkey, o_custkey, CASE WHEN substr({sql_order('o_custkey', seed=7)}, 1, 1) < '8' THEN 'train' ELSE 'test' END AS split FROM orders"
+#: The first half of the customers in seeded order, then so many rows of either side in seeded order.
+SPLIT = f"""SELECT o_orderkey, o_custkey, o_orderstatus, split AS side, row_number() OVER (PARTITION BY split ORDER BY {sql_order('o_orderkey', 'o_custkey', 'o_orderstatus', seed=7)}) AS place
+FROM orders JOIN (SELECT o_custkey, CASE WHEN row_number() OVER (ORDER BY {sql_order('o_custkey', seed=7)}, o_custkey) <= floor(count(*) OVER () / 2) THEN 'train' ELSE 'test' END AS split FROM (SELECT DISTINCT o_custkey FROM orders)) USING (o_custkey)"""
+TARGETS = "CASE WHEN side = 'train' AND place > 500 OR side = 'test' AND place > 300 THEN 'unsampled' ELSE side END"
 
 
-@query(SPLIT)
+def grouped(spark, sf, **targets):
+    return splits.split_by_group(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_custkey", seed=7, **targets)
+
+
+@query(f"SELECT o_orderkey, o_custkey, o_orderstatus, side AS split FROM ({SPLIT})")
 def spl3_split_by_group(spark, sf):
-    return splits.split_by_group(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_custkey", seed=7)
+    return grouped(spark, sf)
+
+
+@query(f"SELECT o_orderkey, o_custkey, o_orderstatus, {TARGETS} AS split FROM ({SPLIT})")
+def spl3_split_to_targets(spark, sf):
+    return grouped(spark, sf, train_rows=500, test_rows=300)
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 10)")
@@ -304,10 +316,12 @@ def spl5_leakage_report(spark, sf):
     return splits.leakage_report({n: o.where(p) for n, p in PARTS.items()}, ["o_orderkey", "o_custkey"])
 
 
-@query(f"SELECT *, CASE WHEN gap < 0.001 THEN 'excellent' WHEN gap < 0.02 THEN 'good' ELSE 'warning' END AS verdict FROM (SELECT *, abs(train_rate - test_rate) AS gap FROM (SELECT avg(CASE WHEN split = 'train' THEN cast(o_orderstatus = 'F' AS INTEGER) END) AS train_rate, avg(CASE WHEN split = 'test' THEN cast(o_orderstatus = 'F' AS INTEGER) END) AS test_rate FROM (SELECT o_orderstatus, {SPLIT.split(', ', 2)[2]})))")
+_RATES = ", ".join(f"avg(CASE WHEN split = '{x}' THEN cast(o_orderstatus = 'F' AS INTEGER) END) AS {x}_rate" for x in ("train", "test", "unsampled"))
+
+
+@query(f"SELECT *, CASE WHEN gap < 0.001 THEN 'excellent' WHEN gap < 0.02 THEN 'good' ELSE 'warning' END AS verdict FROM (SELECT *, abs(train_rate - test_rate) AS gap FROM (SELECT {_RATES} FROM (SELECT o_orderstatus, {TARGETS} AS split FROM ({SPLIT}))))")
 def spl6_target_rate_report(spark, sf):
-    o = splits.split_by_group(table(spark, sf, "orders"), "o_custkey", seed=7)
-    return splits.target_rate_report(o, (F.col("o_orderstatus") == "F").cast("int"))
+    return splits.target_rate_report(grouped(spark, sf, train_rows=500, test_rows=300), (F.col("o_orderstatus") == "F").cast("int"))
 
 
 @query(with_roles("SELECT count(*) AS absent FROM (SELECT * FROM reference EXCEPT SELECT * FROM population)"))
