@@ -286,10 +286,20 @@ def mv1_prdc(spark, sf):
     return rounded(multivariate.prdc(r.select("id", "v"), s.select("id", "v")), "precision", "recall", "density", "coverage")
 
 
-@query()
+GRID = [i / 29 for i in range(30)]
+_CENTER = "SELECT list(m ORDER BY k) AS v FROM (SELECT k, avg(x) AS m FROM (SELECT unnest(v) AS x, unnest(range(len(v))) AS k FROM {0}) GROUP BY k)"
+_LEVELS = f"SELECT unnest(quantile_cont(d, {GRID})) AS q, unnest(range(30)) AS i FROM {{0}}"
+
+
+@query(f"WITH r AS ({R}), s AS ({S}), cr AS ({_CENTER.format('r')}), cs AS ({_CENTER.format('s')}), rd AS (SELECT a.id, {DIST} AS d FROM r a, cr b), srd AS (SELECT a.id, {DIST} AS d FROM s a, cr b), sd AS (SELECT a.id, {DIST} AS d FROM s a, cs b), "
+       f"rq AS ({_LEVELS.format('rd')}), sq AS ({_LEVELS.format('sd')}), own AS ({knn_sql('SELECT * FROM r', 'SELECT * FROM r', 1, True)}), near AS ({knn_sql('SELECT * FROM r', 'SELECT * FROM s', 1)}), back AS ({knn_sql('SELECT * FROM s', 'SELECT * FROM r', 1)}), "
+       "covered AS (SELECT sd.d FROM near JOIN own ON near.id = own.id AND near.d <= own.d JOIN sd ON sd.id = near.other), "
+       "a AS (SELECT 1 - sum(abs(i / 29.0 - share)) / 15 AS x FROM (SELECT i, avg(cast(d <= q AS INTEGER)) AS share FROM srd, rq GROUP BY i)), "
+       "b AS (SELECT 1 - sum(abs(i / 29.0 - share)) / 15 AS x FROM (SELECT i, (SELECT count(*) FROM covered WHERE d <= q) / cast((SELECT count(*) FROM r) AS DOUBLE) AS share FROM sq)) "
+       "SELECT round((SELECT x FROM a), 6) + 0.0 AS delta_precision_alpha, round((SELECT x FROM b), 6) + 0.0 AS delta_coverage_beta, round((SELECT avg(cast(back.d > own.d AS INTEGER)) FROM back JOIN own ON own.id = back.other), 6) + 0.0 AS authenticity")
 def mv2_alpha_precision(spark, sf):
     r, s = embedded(spark, sf)
-    return multivariate.alpha_precision_naive(r.select("id", "v"), s.select("id", "v"), 64)
+    return rounded(multivariate.alpha_precision_naive(r.select("id", "v"), s.select("id", "v"), 64), "delta_precision_alpha", "delta_coverage_beta", "authenticity")
 
 
 def _means(role: str) -> str:
