@@ -1,17 +1,20 @@
 """LM scoring by cross-entropy difference: matched target and background n-gram models over one vocabulary.
 
-Both models are interpolated bigram models with the same vocabulary (the most frequent words, 2^18 by default, and all
-others as one unknown word) and the same smoothing; they differ only in the texts they count. Counts cover every
-document and are exact: the pairs grow with the corpus and stay on the executors. A document's score is the mean over its
-tokens of the target loss minus the background loss; the lower, the more it resembles the target.
+Both models are interpolated bigram models with the same vocabulary (every word of the corpus) and the same smoothing;
+they differ only in the texts they count. Counts of words and pairs cover every document, are exact, grow with the corpus
+and stay on the executors. A document's score is the mean over its tokens of the target loss minus the background loss; the
+lower, the more it resembles the target.
 
-1. Words are counted by tasks and summed by Spark; the vocabulary's counts (24 bytes a word) are broadcast.
+1. Words are counted by tasks and summed by Spark. The most frequent ones (2^18 by default) get numbers, and their counts
+   (24 bytes a word) are broadcast; any other word is known by its digest. How many have numbers changes no result.
 2. Pairs of very frequent words are counted in a dense table of bounded size, which is broadcast with its losses. What is
-   left has a word that is not very frequent in each pair, so no pair is a hot key.
-3. Every document's other distinct pairs are dealt by pair, once: a window sums them to the pair's counts right where its
-   rows are, each row gets its losses, and a document's rows are summed up again.
+   left has a word that is not very frequent in each pair.
+3. Every document's other distinct pairs are dealt once: by pair where both words have numbers, else by the word without
+   one, which meets all its occurrences there. Windows sum a pair's count and such a word's own, right where the rows are,
+   and each row gets its losses. A pair of two words without numbers is dealt to both, and its two halves meet again
+   when a document's rows are summed up.
 
-Words travel as 64-bit digests; that no two words of the corpus share one is checked, and another seed is taken
+Words travel as 63-bit digests; that no two words of the corpus share one is checked, and another seed is taken
 otherwise. Losses are summed in units of 2^-32, so that sums don't depend on their order.
 
 Defined results: null and wordless texts have no tokens and null losses and score; an empty target scores with its
@@ -34,22 +37,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import sized_broadcast, table, written
+from .common import drop_paths, new_path, sized_broadcast, table
 
 _LOW = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-#: Numbers of the boundary before a text and of the unknown word; the vocabulary follows, the most frequent word first.
-BOUNDARY, UNKNOWN, FIRST = 0, 1, 2
+#: Numbers of the boundary before a text and of the most frequent word; the others follow by falling frequency.
+BOUNDARY, FIRST = 0, 1
 UNIT = float(1 << 32)
-#: A pair is first << SHIFT | second.
+#: A pair of numbered words is first << SHIFT | second.
 SHIFT = 24
 
 
 @dataclass(frozen=True)
 class LmParams:
-    #: The most frequent words that have a number of their own; bounds what is broadcast.
-    vocabulary: int = 1 << 18
-    #: Has no effect: counts are exact and not in buckets. Accepted for older callers.
-    buckets: int | None = None
+    #: The most frequent words, whose counts are broadcast (24 bytes each). Results don't depend on it.
+    numbered: int = 1 << 18
     #: Weight of the bigram estimate.
     mix: float = 0.6
     #: Added to each word's count in both models.
@@ -61,6 +62,10 @@ class LmParams:
     #: Cells of the dense table, whose losses (16 bytes each) are broadcast.
     hot_pairs: int = 1 << 18
 
+    def __post_init__(self) -> None:
+        if self.numbered >= (1 << SHIFT) - FIRST:
+            raise ValueError(f"numbered must be below {(1 << SHIFT) - FIRST}")
+
     @property
     def dense(self) -> int:
         """Words on either side of the dense table."""
@@ -73,13 +78,12 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def word_digest(word: bytes, seed: int) -> int:
-    """64 bits as a signed number."""
-    d = xxhash.xxh3_64_intdigest(word, seed)
-    return d - (1 << 64) if d >> 63 else d
+    """63 bits, as a negative number."""
+    return -1 - (xxhash.xxh3_64_intdigest(word, seed) >> 1)
 
 
 def _count_words(p: LmParams, seed: int):
-    """(text, target) -> (word, digest, n, n_target)."""
+    """(text, target) -> (word, digest, n, n_target); the empty word counts the texts that have words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every, inside = Counter(), Counter()
@@ -94,6 +98,8 @@ def _count_words(p: LmParams, seed: int):
         for b in batches:
             for text, target in zip(b.column("text"), b.column("target").to_pylist(), strict=True):
                 words = tokens(text.as_py())
+                if words:
+                    words.append(b"")
                 every.update(words)
                 if target:
                     inside.update(words)
@@ -107,7 +113,7 @@ def _count_words(p: LmParams, seed: int):
 
 
 class Numbers:
-    """Words to their numbers in the vocabulary, which is given by its digests in order; what is known of words is bounded."""
+    """Words to their numbers, or to their digests where they have none. Numbered words are given by their digests in order; what is known of words is bounded."""
 
     def __init__(self, digests: np.ndarray, seed: int, most: int):
         self.order = np.argsort(digests, kind="stable")
@@ -122,11 +128,11 @@ class Numbers:
         at = np.searchsorted(self.sorted, digests)
         found = np.append(self.sorted, 0)[at] == digests
         found &= at < len(self.sorted)
-        numbers = np.where(found, np.append(self.order, 0)[at] + FIRST, UNKNOWN)
+        numbers = np.where(found, np.append(self.order, 0)[at] + FIRST, digests)
         self.of.update(zip(missing, numbers.tolist(), strict=True))
 
-    def pairs(self, texts: Iterator[pa.Scalar]) -> tuple[np.ndarray, np.ndarray]:
-        """(the texts' pairs, one text after another; how many each text has)."""
+    def pairs(self, texts: Iterator[pa.Scalar]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first words, second words of the texts' pairs, one text after another; how many each text has)."""
         split = [tokens(t.as_py()) for t in texts]
         words = list(chain.from_iterable(split))
         self._learn(set(words))
@@ -135,13 +141,12 @@ class Numbers:
         first = np.concatenate([[BOUNDARY], second[:-1]])[: len(second)]
         starts = np.cumsum(lengths) - lengths
         first[starts[lengths > 0]] = BOUNDARY
-        return first << SHIFT | second, lengths
+        return first, second, lengths
 
 
-def _dense_cells(pairs: np.ndarray, dense: int) -> tuple[np.ndarray, np.ndarray]:
+def _dense_cells(first: np.ndarray, second: np.ndarray, dense: int) -> tuple[np.ndarray, np.ndarray]:
     """(which pairs are of two very frequent words, their cells)."""
-    first, second = pairs >> SHIFT, pairs & ((1 << SHIFT) - 1)
-    there = (first < dense) & (second < dense)
+    there = (first >= 0) & (first < dense) & (second >= 0) & (second < dense)
     return there, first[there] * dense + second[there]
 
 
@@ -158,8 +163,8 @@ def _count_dense(p: LmParams, vocabulary, seed: int):
         numbers, size = Numbers(vocabulary.value, seed, p.most_words), p.dense**2
         sums = np.zeros((2, size), dtype=np.int64)
         for b in _slices(batches):
-            pairs, lengths = numbers.pairs(b.column("text"))
-            there, cells = _dense_cells(pairs, p.dense)
+            first, second, lengths = numbers.pairs(b.column("text"))
+            there, cells = _dense_cells(first, second, p.dense)
             inside = np.repeat(b.column("target").to_numpy(zero_copy_only=False), lengths)[there]
             for side, own in enumerate((cells, cells[inside])):
                 sums[side] += np.bincount(own, minlength=size)
@@ -169,32 +174,55 @@ def _count_dense(p: LmParams, vocabulary, seed: int):
     return run
 
 
-ROWS = "row long, pair long, times long, target boolean, head struct<doc_id: long, n_tokens: long, target_sum: long, background_sum: long>"
+ROWS = "row long, key long, times long, target boolean, rare struct<other: long, second: boolean, slot: long>, head struct<doc_id: long, n_tokens: long, target_sum: long, background_sum: long>"
+
+
+def _distinct(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """(the distinct tuples in order, how often each occurs)."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), dtype=bool)
+    if len(order):
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    starts = np.flatnonzero(new)
+    return [c[starts] for c in columns], np.diff(np.append(starts, len(order)))
 
 
 def _rows(p: LmParams, vocabulary, seed: int, losses):
-    """mapInArrow: (doc_id, text, target) -> ROWS: a row for each distinct pair outside the dense table, and one for the document, with the sums over its dense pairs and a pair of its own."""
+    """mapInArrow: (doc_id, text, target) -> ROWS, for each document: a row a distinct pair of numbered words outside the
+    dense table; one a word without a number in any other distinct pair (key: the word, rare: the other word, whether the
+    key is the second one, and a slot for pairs of two such words); and one with a key of its own and the sums over its dense pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, tables = Numbers(vocabulary.value, seed, p.most_words), losses.value
         number = TaskContext.get().partitionId() << 40
         for b in _slices(batches):
             n, target = b.num_rows, b.column("target").to_numpy(zero_copy_only=False)
-            pairs, lengths = numbers.pairs(b.column("text"))
-            there, cells = _dense_cells(pairs, p.dense)
+            first, second, lengths = numbers.pairs(b.column("text"))
+            there, cells = _dense_cells(first, second, p.dense)
             text = np.repeat(np.arange(n), lengths)
             # Whole numbers below 2^53, so these sums are exact.
             sums = [np.bincount(text[there], weights=t[cells], minlength=n).astype(np.int64) for t in tables]
-            found, times = np.unique(text[~there] << (2 * SHIFT) | pairs[~there], return_counts=True)
-            own, rows = found >> (2 * SHIFT), number + np.arange(n)
+            rare = (first < 0) | (second < 0)
+            usual = ~there & ~rare
+            found, times = np.unique(text[usual] << (2 * SHIFT) | first[usual] << SHIFT | second[usual], return_counts=True)
+            (text, first, second), rare_times = _distinct(text[rare], first[rare], second[rare])
+            slots = np.where((first < 0) & (second < 0), np.arange(len(first)), -1)
+            halves = [(keys < 0, keys, others, is_second) for keys, others, is_second in ((second, first, True), (first, second, False))]
+
+            rows = number + np.arange(n)
             number += n
+            own = np.concatenate([found >> (2 * SHIFT), *[text[at] for at, *_ in halves], np.arange(n)])
+            keys = np.concatenate([found & ((1 << 2 * SHIFT) - 1), *[k[at] for at, k, *_ in halves], -1 - rows])
+            times = np.concatenate([times, *[rare_times[at] for at, *_ in halves], np.zeros(n, dtype=np.int64)]).astype(np.int64)
+            others = [pa.StructArray.from_arrays([pa.array(o[at]), pa.array(np.full(at.sum(), is_second)), pa.array(slots[at])], ["other", "second", "slot"]) for at, _, o, is_second in halves]
+            head = pa.StructArray.from_arrays([b.column("doc_id"), *map(pa.array, (lengths, *sums))], ["doc_id", "n_tokens", "target_sum", "background_sum"])
             columns = {
-                "row": np.concatenate([rows[own], rows]), "pair": np.concatenate([found & ((1 << 2 * SHIFT) - 1), -1 - rows]),
-                "times": np.concatenate([times.astype(np.int64), np.zeros(n, dtype=np.int64)]), "target": np.concatenate([target[own], target]),
+                "row": pa.array(rows[own]), "key": pa.array(keys), "times": pa.array(times), "target": pa.array(target[own]),
+                "rare": pa.concat_arrays([pa.nulls(len(found), others[0].type), *others, pa.nulls(n, others[0].type)]), "head": pa.concat_arrays([pa.nulls(len(own) - n, head.type), head]),
             }
-            head = pa.StructArray.from_arrays([b.column("doc_id"), *map(pa.array, (lengths, *sums))], ["doc_id", "n_tokens", "target_sum", "background_sum"])
-            arrays = [pa.array(x) for x in columns.values()]
-            yield from pa.table([*arrays, pa.concat_arrays([pa.nulls(len(found), head.type), head])], [*columns, "head"]).to_batches(max_chunksize=50_000)
+            yield from pa.table(columns).to_batches(max_chunksize=50_000)
 
     return run
 
@@ -217,17 +245,20 @@ def score(docs: DataFrame, target_ids: DataFrame, p: LmParams = LmParams()) -> D
 
     for seed in count():
         counted = marked.select("text", "target").mapInArrow(_count_words(p, seed), "word string, digest long, n long, n_target long").groupBy("word", "digest").agg(*sums)
-        counts = written(counted, "words")
+        path = new_path(spark, "words")
+        counted.write.parquet(path)
+        counts = spark.read.schema(counted.schema).parquet(path)
         if not counts.groupBy("digest").count().where("count > 1").limit(1).count():
             break
-    totals = {k: v or 0 for k, v in counts.agg(*sums).first().asDict().items()}
-    has_words = F.col("text").rlike(r"\S")
-    n_docs = marked.agg(F.count_if(has_words).alias("n"), F.count_if(F.col("target") & has_words).alias("n_target")).first()
-    top = counts.select("n", F.substring("word", 1, 32).alias("begins"), "digest", "n_target").orderBy(F.desc("n"), "begins", "digest").limit(p.vocabulary).drop("begins").toArrow()
+        drop_paths(spark, path)
+    words = counts.where("word != ''")
+    n_docs = counts.where("word = ''").agg(*sums).first().asDict()
+    totals = words.agg(*sums, F.count("*").alias("words")).first().asDict()
+    top = words.select("n", F.substring("word", 1, 32).alias("begins"), "digest", "n_target").orderBy(F.desc("n"), "begins", "digest").limit(p.numbered).drop("begins").toArrow()
     vocabulary = sc.broadcast(top["digest"].to_numpy())
-    known = {c: top[c].to_numpy() for c in ("n", "n_target")}
-    single = {c: np.concatenate([[n_docs[c], totals[c] - known[c].sum()], known[c]]).astype(np.int64) for c in known}
-    n_words = len(top) + 1  # and the unknown word
+    single = {c: np.concatenate([[n_docs[c] or 0], top[c].to_numpy()]).astype(np.int64) for c in ("n", "n_target")}
+    n_words, totals = max(1, totals["words"]), {c: totals[c] or 0 for c in single}
+    drop_paths(spark, path)
 
     cells = marked.select("text", "target").mapInArrow(_count_dense(p, vocabulary, seed), "cell long, n long, n_target long").groupBy("cell").agg(*sums).toArrow()
     dense, tables = p.dense, []
@@ -239,21 +270,34 @@ def score(docs: DataFrame, target_ids: DataFrame, p: LmParams = LmParams()) -> D
         tables.append(_losses(p, pair, np.repeat(own, dense), np.tile(own, dense), totals[c], n_words))
     rows = marked.mapInArrow(_rows(p, vocabulary, seed, sc.broadcast(tables)), ROWS)
 
-    same = Window.partitionBy("pair")
-    counted = rows.withColumns({"n": F.sum("times").over(same), "n_target": F.sum(F.when(F.col("target"), F.col("times")).otherwise(0)).over(same)})
+    # One exchange and one sort serve both windows.
+    dealt = rows.repartition("key").select("row", "key", "times", "target", "head", "rare.other", "rare.second", "rare.slot").sortWithinPartitions("key", "other", "second")
+    same_key, same_pair = Window.partitionBy("key"), Window.partitionBy("key", "other", "second")
+    times = {"n": F.col("times"), "n_target": F.when(F.col("target"), F.col("times")).otherwise(0)}
+    counted = dealt.withColumns({f"own_{c}": F.sum(F.when(F.col("second"), x)).over(same_key) for c, x in times.items()})
+    counted = counted.withColumns({c: F.sum(x).over(same_pair) for c, x in times.items()})
     numbered = spark.createDataFrame(pa.table({"number": np.arange(len(single["n"])), **single}))
-    for side, number in (("first", F.shiftright("pair", SHIFT)), ("second", F.col("pair").bitwiseAND((1 << SHIFT) - 1))):
-        counted = counted.join(F.broadcast(numbered.select(F.col("number").alias(f"{side}_number"), *[F.col(c).alias(f"{side}_{c}") for c in single])), number == F.col(f"{side}_number"), "left")  # the vocabulary
-
-    def loss(column: str) -> Column:
-        one = (F.col(f"second_{column}") + p.add) / (totals[column] + p.add * n_words)
-        seen = F.col(f"first_{column}")
-        mean = F.when(seen > 0, p.mix * F.col(column) / seen + (1 - p.mix) * one).otherwise(one)
-        return F.when(F.col("times") > 0, F.round(-F.log(mean) * UNIT).cast("long") * F.col("times")).otherwise(0)
-
-    total = [F.sum(loss(c) + F.coalesce(f"head.{m}_sum", F.lit(0))).alias(m) for m, c in (("target", "n_target"), ("background", "n"))]
-    done = counted.groupBy("row").agg(F.max("head.doc_id").alias("doc_id"), F.max("head.n_tokens").alias("n_tokens"), *total)
-    mean = [F.when(F.col("n_tokens") > 0, F.col(m) / UNIT / F.col("n_tokens")).alias(f"{m}_loss") for m in ("target", "background")]
+    of_pair = {"first": F.shiftright("key", SHIFT), "second": F.col("key").bitwiseAND((1 << SHIFT) - 1)}
+    for side, is_key in (("first", ~F.col("second")), ("second", F.col("second"))):
+        number = F.when(F.col("second").isNull(), of_pair[side]).when(~is_key, F.col("other"))
+        known = F.broadcast(numbered.select(F.col("number").alias(f"{side}_number"), *[F.col(c).alias(f"known_{c}") for c in single]))  # the numbered words
+        counted = counted.join(known, number == F.col(f"{side}_number"), "left")
+        counted = counted.withColumns({f"{side}_{c}": F.when(is_key, F.col(f"own_{c}")).otherwise(F.col(f"known_{c}")) for c in single}).drop(*[f"known_{c}" for c in single])
+
+    def loss(c: str) -> Column:
+        one = (F.col(f"second_{c}") + p.add) / (totals[c] + p.add * n_words)
+        seen = F.col(f"first_{c}")
+        mean = F.when(seen > 0, p.mix * F.col(c) / seen + (1 - p.mix) * one).otherwise(one)
+        return F.round(-F.log(mean) * UNIT).cast("long") * F.col("times")
+
+    models = (("target", "n_target"), ("background", "n"))
+    slots = counted.withColumn("slot", F.coalesce("slot", F.lit(-1)))
+    half = F.col("slot") >= 0
+    whole = [F.sum(F.when(half, 0).otherwise(F.when(F.col("times") > 0, loss(c)).otherwise(F.col(f"head.{m}_sum")))).alias(m) for m, c in models]
+    parts = [F.max(F.when(half, F.col(x))).alias(x) for x in ("times", *[f"{x}{c}" for c in single for x in ("", "first_", "second_")])]
+    joined = slots.groupBy("row", "slot").agg(F.max("head.doc_id").alias("doc_id"), F.max("head.n_tokens").alias("n_tokens"), *whole, *parts)
+    done = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), *[F.sum(F.when(half, loss(c)).otherwise(F.col(m))).alias(m) for m, c in models])
+    mean = [F.when(F.col("n_tokens") > 0, F.col(m) / UNIT / F.col("n_tokens")).alias(f"{m}_loss") for m, _ in models]
     return done.select("doc_id", "n_tokens", *mean).withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 

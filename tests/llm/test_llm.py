@@ -493,68 +493,80 @@ def test_held_out_labels_are_not_learnt(spark, small):
 # LM scoring
 
 
-def test_scores_match_brute_force(spark, odd):
-    rows = [(1, "the cat sat on the mat"), (2, "The dog ate"), (3, None), (4, ""), (5, "cat cat cat rare"), (6, "the cat")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    p = lm_scoring.LmParams(vocabulary=4, buckets=1 << 12)
-    got = {r.doc_id: r for r in lm_scoring.score(docs, spark.createDataFrame([(1,), (6,), (None,)], "doc_id long"), p).collect()}
-    count = defaultdict(int)
-    for _, t in rows:
-        for w in lm_scoring.tokens(t):
-            count[w] += 1
-    known = {w: i for i, w in enumerate(sorted(count, key=lambda w: (-count[w], w.decode()))[:4])}
-
-    def model(ids):
-        single, context, pair = defaultdict(float), defaultdict(float), defaultdict(float)
-        for d, t in rows:
-            seq = [known.get(w, 4) for w in lm_scoring.tokens(t)]
-            if d in ids:
-                for a, b in zip([5, *seq[:-1]], seq):
-                    single[b] += 1
-                    context[b] += 1
-                    pair[a, b] += 1
-                context[5] += bool(seq)
-        total = sum(single.values())
-
-        def loss(seq):
-            out = 0.0
-            for a, b in zip([5, *seq[:-1]], seq):
-                one = (single[b] + p.add) / (total + p.add * 5)
-                out -= np.log(p.mix * pair[a, b] / context[a] + (1 - p.mix) * one if context[a] else one)
-            return out / len(seq)
-
-        return loss
-
-    inside, outside = model({1, 6}), model({d for d, _ in rows})
-    for d, t in rows:
-        seq = [known.get(w, 4) for w in lm_scoring.tokens(t)]
-        assert got[d].n_tokens == len(seq)
-        if seq:
-            assert got[d].target_loss == pytest.approx(inside(seq), rel=1e-5) and got[d].background_loss == pytest.approx(outside(seq), rel=1e-5)
-            assert got[d].score == pytest.approx(inside(seq) - outside(seq), rel=1e-4, abs=1e-6)
+def lm_losses(rows, ids, p):
+    """doc_id, text -> mean loss under the model of the documents in ids, by definition."""
+    sequences = [(d, lm_scoring.tokens(t)) for d, t in rows]
+    words = len({w for _, seq in sequences for w in seq})
+    single, context, pair = defaultdict(int), defaultdict(int), defaultdict(int)
+    for d, seq in sequences:
+        if d in ids:
+            context[None] += bool(seq)
+            for a, b in zip([None, *seq], seq):
+                single[b] += 1
+                context[b] += 1
+                pair[a, b] += 1
+    total = sum(single.values())
+
+    def loss(seq):
+        out = 0.0
+        for a, b in zip([None, *seq], seq):
+            one = (single[b] + p.add) / (total + p.add * words)
+            out -= np.log(p.mix * pair[a, b] / context[a] + (1 - p.mix) * one if context[a] else one)
+        return out / len(seq)
+
+    return [loss(seq) if seq else None for _, seq in sequences]
+
+
+@pytest.mark.parametrize(("numbered", "hot"), [(0, 0), (2, 4), (4, 0), (5, 1 << 18), (1 << 18, 9), (1 << 18, 1 << 18)])
+def test_scores_match_brute_force(spark, numbered, hot):
+    """However many words have numbers, and however large the dense table is."""
+    rows = [(1, "the cat sat on the mat"), (2, "The dog ate"), (3, None), (4, ""), (5, "cat cat cat rare rare rare Rare cat rare"), (6, "the cat"), (7, "lone"), (8, "odd words odd words only here odd"), (9, "a" * 100_000 + " sat")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    p = lm_scoring.LmParams(numbered=numbered, hot_pairs=hot, most_words=5)
+    good = {1, 6, 8}
+    got = {r.doc_id: r for r in lm_scoring.score(docs, spark.createDataFrame([(x,) for x in (*good, None)], "doc_id long"), p).collect()}
+    assert len(got) == len(rows)
+    for (d, t), inside, outside in zip(rows, lm_losses(rows, good, p), lm_losses(rows, {d for d, _ in rows}, p), strict=True):
+        assert got[d].n_tokens == len(lm_scoring.tokens(t))
+        if inside is None:
+            assert got[d].target_loss is got[d].background_loss is got[d].score is None
         else:
-            assert got[d].score is None
+            assert (got[d].target_loss, got[d].background_loss, got[d].score) == pytest.approx((inside, outside, inside - outside), rel=1e-7, abs=1e-7)
     assert got[6].score < got[2].score
 
 
+def test_scores_of_a_table_match_brute_force(spark, small, texts):
+    good = {r.doc_id for r in spark.read.parquet(f"{SMALL}/labels.parquet").where("quality = 1").collect()}
+    target = spark.createDataFrame([(i,) for i in good], "doc_id long")
+    rows = list(texts.items())
+    want = dict(zip(texts, zip(lm_losses(rows, good, lm_scoring.LmParams()), lm_losses(rows, set(texts), lm_scoring.LmParams()), strict=True), strict=True))
+    for numbered in (300, 1 << 18):
+        got = {r.doc_id: (r.target_loss, r.background_loss) for r in lm_scoring.score(small, target, lm_scoring.LmParams(numbered=numbered)).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[d] == (pytest.approx(want[d], rel=1e-7) if want[d][0] is not None else want[d]) for d in want)
+
+
 def test_lm_scoring_of_odd_and_empty_tables(spark, odd):
-    p = lm_scoring.LmParams(vocabulary=50, buckets=1 << 10, most_words=20)
+    p = lm_scoring.LmParams(numbered=50, most_words=20)
     assert lm_scoring.score(odd, odd.select("doc_id"), p).count() == len(TEXTS)
     assert lm_scoring.score(odd.limit(0), odd.select("doc_id"), p).count() == 0
+    with pytest.raises(ValueError):
+        lm_scoring.LmParams(numbered=1 << 24)
 
 
 def test_scores_use_all_words_and_pairs(spark):
-    """One-word chains: each pair and word occurs once, far more of them than any fixed vocabulary or table of buckets holds apart."""
-    rows = [(i, " ".join(f"d{i}x{k}" for k in range(3000))) for i in range(40)] + [(900, "hello"), (900, "hello")]
+    """One-word chains: each pair and word occurs once, more words than have numbers by default."""
+    p = lm_scoring.LmParams(most_words=50_000)
+    rows = [(i, " ".join(f"d{i}x{k}" for k in range(7000))) for i in range(40)] + [(900, "hello"), (900, "hello")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    p = lm_scoring.LmParams(most_words=5000)
-    n, v, add = 120_002, 120_002, p.add
-    want_first = -np.log(p.mix * 1 / 42 + (1 - p.mix) * (1 + add) / (n + add * v))
-    want_other = -np.log(p.mix * 1 / 1 + (1 - p.mix) * (1 + add) / (n + add * v))
-    for hot in (0, 1000):
-        got = lm_scoring.score(docs, docs.where("doc_id < 2").select("doc_id"), lm_scoring.LmParams(most_words=5000, hot_pairs=hot)).collect()
+    v, n, add = 280_001, 280_002, p.add
+    assert v > p.numbered
+    one = (1 - p.mix) * (1 + add) / (n + add * v)
+    want = (-np.log(p.mix * 1 / 42 + one) - 6999 * np.log(p.mix + one)) / 7000
+    for hot in (0, p.hot_pairs):
+        got = lm_scoring.score(docs, docs.where("doc_id < 2").select("doc_id"), lm_scoring.LmParams(most_words=50_000, hot_pairs=hot)).collect()
         assert len(got) == 42 and sum(r.doc_id == 900 and r.n_tokens == 1 for r in got) == 2
-        assert all(r.background_loss == pytest.approx((want_first + 2999 * want_other) / 3000, rel=1e-7) for r in got if r.doc_id != 900)
+        assert all(r.background_loss == pytest.approx(want, rel=1e-7) for r in got if r.doc_id != 900)
 
 
 # Pipeline
