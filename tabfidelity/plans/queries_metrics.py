@@ -455,17 +455,17 @@ def detect_data(spark, sf):
 
 @query()
 def det1_linear(spark, sf):
-    return detect.detect_linear(detect_data(spark, sf), "row", folds=3)
+    return detect.detect_linear(detect_data(spark, sf), "row")
 
 
 @query()
 def det2_boosted(spark, sf):
-    return detect.detect_boosted(detect_data(spark, sf), "row", folds=2, rounds=5)
+    return detect.detect_boosted(detect_data(spark, sf), "row")
 
 
 @query()
 def det3_mlp(spark, sf):
-    return detect.detect_mlp(detect_data(spark, sf), "row", folds=2)
+    return detect.detect_mlp(detect_data(spark, sf), "row")
 
 
 @query()
