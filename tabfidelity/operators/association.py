@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.comoments import co_moments, correlation
 from ..functions.keys import ratio
 from .univariate import ks_complement, tv_complement
 
@@ -39,11 +40,11 @@ def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return pearson_pairs(df, columns).withColumn("value", F.abs("value"))
 
 
-def _pair_counts(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """(column_1, column_2, a, b, o): how often two values meet, NULLs left out."""
+def _pair_counts(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., column_1, column_2, a, b, o): how often two values meet, NULLs left out."""
     cells = F.array(*[F.struct(F.lit(x).alias("column_1"), F.lit(y).alias("column_2"), F.col(x).cast("string").alias("a"), F.col(y).cast("string").alias("b")) for x, y in pairs])
-    long = df.select(F.inline(cells)).where("a is not null and b is not null")
-    return long.groupBy("column_1", "column_2", "a", "b").agg(F.count("*").alias("o"))
+    long = df.select(*by, F.inline(cells)).where("a is not null and b is not null")
+    return long.groupBy(*by, "column_1", "column_2", "a", "b").agg(F.count("*").alias("o"))
 
 
 def cramers_v_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -107,6 +108,27 @@ def correlation_similarity(real: DataFrame, synthetic: DataFrame, columns: Seque
     return r.join(s, ["column_1", "column_2"]).select("column_1", "column_2", (1 - F.abs(F.col("value") - F.col("other")) / 2).alias("score"))
 
 
+def column_means(df: DataFrame, columns: Sequence[str]) -> list[float]:
+    """Shifts for co_moments(): 0 for a column without numbers."""
+    there = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    means = df.agg(*[F.avg(there(c)).alias(f"m{k}") for k, c in enumerate(columns)]).first()
+    return [x if x is not None and abs(x) < float("inf") else 0.0 for x in means]
+
+
+def correlation_similarity_by(real: DataFrame, synthetic: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """(by..., column_1, column_2, score): correlation_similarity() of every run of the synthetic table, one pass over either table.
+
+    A real table that has the run columns meets each run with its own rows, one without them serves all runs.
+    """
+    columns = sorted(columns)
+    shifts = column_means(real, columns)
+    own = [b for b in by if b in real.columns]
+    sides = [co_moments(df, columns, keys, shifts).where("i < j").select(*keys, "i", "j", correlation().alias(side)) for df, keys, side in ((real, own, "r"), (synthetic, [*by], "s"))]
+    names = F.array(*[F.lit(c) for c in columns])
+    both = sides[1].join(sides[0], [*own, "i", "j"])
+    return both.select(*by, F.get(names, F.col("i")).alias("column_1"), F.get(names, F.col("j")).alias("column_2"), (1 - F.abs(F.col("r") - F.col("s")) / 2).alias("score"))
+
+
 def discretised(df: DataFrame, fit_on: DataFrame, numeric: Sequence[str], bins: int = 10) -> DataFrame:
     """Numbers as bins between the ends of fit_on."""
     from .membership import bin_numeric, numeric_ranges
@@ -129,6 +151,27 @@ def contingency_similarity(real: DataFrame, synthetic: DataFrame, categorical: S
     return both.groupBy("column_1", "column_2").agg((1 - F.sum(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0)))) / 2).alias("score"))
 
 
+def contingency_similarity_by(real: DataFrame, synthetic: DataFrame, categorical: Sequence[str], numeric: Sequence[str], by: Sequence[str], bins: int = 10) -> DataFrame:
+    """(by..., column_1, column_2, score): contingency_similarity() of every run of the synthetic table that has rows of both columns.
+
+    The real shares are counted once, whatever the number of runs: what a run lacks of them is one less those it has. Numbers are binned by
+    the ends of all real rows. A real table that has the run columns meets each run with its own rows.
+    """
+    pair, own = ["column_1", "column_2"], [b for b in by if b in real.columns]
+    pairs = [tuple(sorted(p)) for p in [*combinations(categorical, 2), *product(categorical, numeric)]]
+    shares = []
+    for df, keys, name in ((real, own, "p"), (synthetic, [*by], "q")):
+        df = discretised(df, real, numeric, bins) if numeric else df
+        o = _pair_counts(df, pairs, keys)
+        whole = o.groupBy(*keys, *pair).agg(F.sum("o").alias("whole"))
+        shares.append(o.join(whole, [*keys, *pair]).withColumn(name, ratio(F.col("o"), F.col("whole"))).drop("o", "whole"))
+    there = shares[0].select(*own, *pair).distinct().withColumn("known", F.lit(1.0))
+    both = shares[1].join(shares[0], [*own, *pair, "a", "b"], "left")
+    p = F.coalesce("p", F.lit(0.0))
+    met = both.groupBy(*by, *pair).agg(F.sum(F.abs(p - F.col("q")) - p).alias("gap")).join(there, [*own, *pair], "left")
+    return met.select(*by, *pair, (1 - (F.col("gap") + F.coalesce("known", F.lit(0.0))) / 2).alias("score"))
+
+
 def pair_trends(real: DataFrame, synthetic: DataFrame, categorical: Sequence[str], numeric: Sequence[str]) -> DataFrame:
     return correlation_similarity(real, synthetic, numeric).unionByName(contingency_similarity(real, synthetic, categorical, numeric))
 

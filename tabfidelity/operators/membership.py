@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -200,27 +201,33 @@ def complexity(df: DataFrame, columns: Sequence[str], approximate: bool = False)
     return counts.crossJoin(F.broadcast(total)).select("column", "distinct", c.alias("contribution"), ratio(c, F.col("total")).alias("share"))
 
 
-def new_row_synthesis(real: DataFrame, synthetic: DataFrame, categorical: Sequence[str], numeric: Sequence[str], tolerance: float = 0.01) -> DataFrame:
-    """One row: total, matched, new_rows, score. A synthetic row is matched if a real one has equal categories and
-    numbers within the tolerance (relative to the synthetic one); NULL matches NULL.
+def new_row_synthesis(real: DataFrame, synthetic: DataFrame, categorical: Sequence[str], numeric: Sequence[str], tolerance: float = 0.01, by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one for each run of by: total, matched, new_rows, score. A synthetic row is matched if a real one has equal categories and
+    numbers within the tolerance (relative to the synthetic one); NULL matches NULL. A real table without the run columns serves all runs.
 
-    The first number is cut into cells a tolerance wide on a logarithmic scale, and each row is looked for in its
-    own and the neighbouring cells, so that the join has an equality on it.
+    Both sides are reduced to distinct rows first. Numbers are cut into cells a tolerance wide on a logarithmic scale, and each real row is
+    looked for in its own and the neighbouring cells of the two numbers with the most values, so that the join has an equality on both: a value
+    that most rows share is split by the other number, and rows that share both by what else they hold (they are distinct).
     """
-    real = real.select(*categorical, *numeric).distinct()
-    cuts = list(numeric[:1])
+    by, own = [*by], [b for b in by if b in real.columns]
+    columns = [*categorical, *numeric]
+    counted = synthetic.groupBy(*by, *columns).agg(F.count("*").alias("__n"))
+    real = real.select(*own, *columns).distinct()
+    spread = real.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(numeric)]).first() if len(numeric) > 2 else [0] * len(numeric)
+    cuts = [c for _, c in sorted(enumerate(numeric), key=lambda x: (-spread[x[0]], x[0]))][:2]
 
     def cell(c: str) -> Column:
         size = F.log(F.greatest(F.abs(F.col(c)), F.lit(1e-12))) / F.lit(2.1 * tolerance)
         return F.coalesce(F.floor(size) * 4 + F.signum(F.col(c)).cast("long"), F.lit(-(1 << 60)))
 
-    s = synthetic.select(*categorical, *numeric)
-    r = real.select(*[F.col(c).alias(f"r_{c}") for c in (*categorical, *numeric)], *[F.explode(F.array(cell(c) - 4, cell(c), cell(c) + 4)).alias(f"r_cell_{c}") for c in cuts])
-    s = s.withColumns({f"cell_{c}": cell(c) for c in cuts})
-    on = [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in categorical] + [F.col(f"cell_{c}") == F.col(f"r_cell_{c}") for c in cuts]
+    r = real.select(*[F.col(c).alias(f"r_{c}") for c in (*own, *columns)], *[cell(c).alias(f"__r{i}") for i, c in enumerate(cuts)])
+    for i in range(len(cuts)):
+        r = r.withColumn(f"__r{i}", F.explode(F.array(*[F.col(f"__r{i}") + d for d in (-4, 0, 4)])))
+    s = counted.withColumns({f"__s{i}": cell(c) for i, c in enumerate(cuts)})
+    on = [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in (*own, *categorical)] + [F.col(f"__s{i}") == F.col(f"__r{i}") for i in range(len(cuts))]
     on += [(F.col(c).isNull() & F.col(f"r_{c}").isNull()) | (F.abs(F.col(f"r_{c}") - F.col(c)) <= tolerance * F.abs(F.col(c))) for c in numeric]
-    condition = on[0]
-    for x in on[1:]:
-        condition = condition & x
-    new = s.join(r, condition, "left_anti").agg(F.count("*").alias("new_rows"))
-    return synthetic.agg(F.count("*").alias("total")).crossJoin(F.broadcast(new)).select("total", (F.col("total") - F.col("new_rows")).alias("matched"), "new_rows", ratio(F.col("new_rows"), F.col("total")).alias("score"))
+    new = s.join(r, reduce(Column.__and__, on), "left_anti").select(*by, "__n", F.lit(True).alias("__new"))
+    marked = counted.select(*by, "__n", F.lit(False).alias("__new")).unionAll(new)
+    add = lambda x: F.coalesce(F.sum(F.when(x, F.col("__n"))), F.lit(0))
+    one = marked.groupBy(*by).agg(add(~F.col("__new")).alias("total"), add(F.col("__new")).alias("new_rows"))
+    return one.select(*by, "total", (F.col("total") - F.col("new_rows")).alias("matched"), "new_rows", ratio(F.col("new_rows"), F.col("total")).alias("score"))

@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.comoments import co_moments, mean_product
 from ..functions.keys import ratio, uniform
 from ..functions.quantiles import exact_quantiles
 from ..functions.ranks import ranked_within
 from ..functions.scratch import stored
+from .association import column_means
 from .nn import Metric, kernel_mean, knn_join, within_radius
 from .univariate import wasserstein_1d
 
@@ -126,6 +128,23 @@ def mmd_polynomial(real: DataFrame, synthetic: DataFrame, columns: Sequence[str]
     return one.select((mean_kernel("r", "r") + mean_kernel("s", "s") - 2 * mean_kernel("r", "s")).alias("mmd"))
 
 
+def mmd_polynomial_by(real: DataFrame, synthetic: DataFrame, columns: Sequence[str], by: Sequence[str], gamma: float = 1.0, coef: float = 1.0) -> DataFrame:
+    """(by..., mmd): mmd_polynomial() of every run of the synthetic table, from one pass over either table; a real table without the run columns
+    serves all runs. A mean of a product is over the rows where both columns are there.
+    """
+    shifts = column_means(real, columns)
+    at = F.get(F.array(*[F.lit(s) for s in shifts]), F.col("i"))
+    own = [b for b in by if b in real.columns]
+    sides = []
+    for df, keys, side in ((real, own, "r"), (synthetic, [*by], "s")):
+        mean = F.col("x") / F.nullif(F.col("n"), F.lit(0)) + at
+        sides.append(co_moments(df, columns, keys, shifts).select(*keys, "i", "j", mean.alias(f"{side}_1"), mean_product(shifts).alias(f"{side}_2")))
+    first, second = (F.pow(F.col(f"r_{k}") - F.col(f"s_{k}"), F.lit(2.0)) for k in (1, 2))
+    same = F.col("i") == F.col("j")
+    gap = F.when(same, 2 * gamma * coef * first + gamma**2 * second).otherwise(2 * gamma**2 * second)
+    return sides[1].join(sides[0], [*own, "i", "j"]).groupBy(*by).agg(F.sum(gap).alias("mmd"))
+
+
 def mmd_rbf(real: DataFrame, synthetic: DataFrame, gamma: float = 1.0, share: float = 1.0, block_rows: int = 5000, seed: int = 0) -> DataFrame:
     """One row: the Gaussian kernel's distance, exact, over all pairs of rows (id, v), or those of a hashed share of either side.
 
@@ -140,27 +159,42 @@ def mmd_rbf(real: DataFrame, synthetic: DataFrame, gamma: float = 1.0, share: fl
     return one.select((F.col("rr") + F.col("ss") - 2 * F.col("rs")).alias("mmd"))
 
 
-def mmd_rbf_features(real: DataFrame, synthetic: DataFrame, columns: Sequence[str], gamma: float = 1.0, features: int = 64, seed: int = 0) -> DataFrame:
-    """One row: the Gaussian kernel's distance through random Fourier features; linear in the rows."""
+def fourier(d: int, gamma: float, features: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, shifts) of random features whose products are the Gaussian kernel's estimate."""
     rng = np.random.default_rng(seed)
-    weights, shift = rng.normal(0, np.sqrt(2 * gamma), (features, len(columns))), rng.uniform(0, 2 * np.pi, features)
+    return rng.normal(0, np.sqrt(2 * gamma), (features, d)), rng.uniform(0, 2 * np.pi, features)
+
+
+def mmd_rbf_features(real: DataFrame, synthetic: DataFrame, columns: Sequence[str], gamma: float = 1.0, features: int = 64, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one for each run of by: the Gaussian kernel's distance through random Fourier features; linear in the rows.
+
+    A real table without the run columns serves all runs.
+    """
+    weights, shift = fourier(len(columns), gamma, features, seed)
+    own = [b for b in by if b in real.columns]
 
-    def means(df: DataFrame, side: str) -> DataFrame:
+    def means(df: DataFrame, side: str, keys: Sequence[str]) -> DataFrame:
         dot = lambda i: sum((F.lit(float(weights[i, j])) * F.col(c) for j, c in enumerate(columns)), F.lit(float(shift[i])))
-        return df.agg(*[F.avg(F.cos(dot(i))).alias(f"{side}_{i}") for i in range(features)])
+        return df.groupBy(*keys).agg(*[F.avg(F.cos(dot(i))).alias(f"{side}_{i}") for i in range(features)])
 
-    one = means(real, "r").crossJoin(F.broadcast(means(synthetic, "s")))  # one row each
-    return one.select((sum((F.pow(F.col(f"r_{i}") - F.col(f"s_{i}"), F.lit(2.0)) for i in range(features)), F.lit(0.0)) * 2 / features).alias("mmd"))
+    r, s = means(real, "r", own), means(synthetic, "s", by)
+    one = s.join(r, own) if own else s.crossJoin(F.broadcast(r))  # one row
+    return one.select(*by, (sum((F.pow(F.col(f"r_{i}") - F.col(f"s_{i}"), F.lit(2.0)) for i in range(features)), F.lit(0.0)) * 2 / features).alias("mmd"))
 
 
-def sliced_wasserstein(real: DataFrame, synthetic: DataFrame, columns: Sequence[str], projections: int = 16, seed: int = 0) -> DataFrame:
-    """One row: the mean one-dimensional distance over seeded random directions; the columns are expected scaled."""
-    rng = np.random.default_rng(seed)
-    directions = rng.normal(size=(projections, len(columns)))
-    directions /= np.linalg.norm(directions, axis=1, keepdims=True)
+def directions(d: int, projections: int, seed: int) -> np.ndarray:
+    """Unit vectors."""
+    out = np.random.default_rng(seed).normal(size=(projections, d))
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
+def sliced_wasserstein(real: DataFrame, synthetic: DataFrame, columns: Sequence[str], projections: int = 16, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one for each run of by: the mean one-dimensional distance over seeded random directions; the columns are expected scaled."""
+    along = directions(len(columns), projections, seed)
     names = [f"p{i}" for i in range(projections)]
-    project = lambda df: df.select(*[sum((F.lit(float(w)) * F.col(c) for w, c in zip(directions[i], columns, strict=True)), F.lit(0.0)).alias(names[i]) for i in range(projections)])
-    return wasserstein_1d(project(real), project(synthetic), names).agg(F.avg("distance").alias("distance"))
+    project = lambda df: df.select(*by, *[sum((F.lit(float(w)) * F.col(c) for w, c in zip(along[i], columns, strict=True)), F.lit(0.0)).alias(names[i]) for i in range(projections)])
+    found = wasserstein_1d(project(real), project(synthetic), names, by=by)
+    return found.groupBy(*[F.col(f"column.{b}").alias(b) for b in by]).agg(F.avg("distance").alias("distance"))
 
 
 def mixed_vectors(df: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str], fit: DataFrame) -> DataFrame:
@@ -184,6 +218,20 @@ def dcr(a: DataFrame, b: DataFrame, exclude_self: bool = False, metric: Metric =
     return knn_join(a, b, 1, metric, exclude_self=exclude_self).select("id", "distance")
 
 
+def median_dcr_by(real: DataFrame, synthetic: DataFrame, runs: DataFrame, by: Sequence[str], metric: Metric = "euclidean") -> DataFrame:
+    """(by..., distance): each run's median distance to the closest real record. runs: (id, by...) of the synthetic rows.
+
+    A synthetic row's closest real one doesn't depend on its run, so one join serves all runs; rows are ranked by ranges of the distance.
+    """
+    found = stored(dcr(synthetic, real, metric=metric).join(runs, "id").select(*by, "distance", "id"), "closest")
+    sizes = found.groupBy(*by).agg(F.count("*").alias("__n"))
+    ranked = ranked_within(found, by, ["distance", "id"], "__rank")
+    same = [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by]
+    joined = ranked.join(sizes.select(*[F.col(b).alias(f"__{b}") for b in by], "__n"), same)
+    middle = joined.where(F.col("__rank").isin(F.floor((F.col("__n") + 1) / 2), F.floor((F.col("__n") + 2) / 2)))
+    return middle.groupBy(*by).agg(F.avg("distance").alias("distance"))
+
+
 def random_baseline(real: DataFrame, numeric: Sequence[str], categorical: Sequence[str], n: int, seed: int = 0) -> DataFrame:
     """(id, columns): n rows drawn evenly within the numbers' real ends and evenly among the categories that occur (a NULL is none)."""
     spark = real.sparkSession

@@ -123,14 +123,14 @@ def uni11_shape_interpretation(spark, sf):
 # Pairs
 
 
-def _sorted_pairs(xs):
+def sorted_pairs(xs):
     xs = sorted(xs)
     return [(x, y) for i, x in enumerate(xs) for y in xs[i + 1 :]]
 
 
 def pearson_sql(role: str, signed: bool = True) -> str:
     f = "{}" if signed else "abs({})"
-    return union_sql([f"SELECT '{x}' AS column_1, '{y}' AS column_2, {f.format(f'corr({x}, {y})')} AS value, count(*) AS n FROM {role} WHERE {x} IS NOT NULL AND {y} IS NOT NULL" for x, y in _sorted_pairs(NUM)])
+    return union_sql([f"SELECT '{x}' AS column_1, '{y}' AS column_2, {f.format(f'corr({x}, {y})')} AS value, count(*) AS n FROM {role} WHERE {x} IS NOT NULL AND {y} IS NOT NULL" for x, y in sorted_pairs(NUM)])
 
 
 @query(with_roles(f"SELECT column_1, column_2, round(value, 6) AS value, n FROM ({pearson_sql('synthetic', False)})"))
@@ -153,7 +153,7 @@ def part_cats(spark, sf):
     return table(spark, sf, "part").select("p_brand", "p_type", F.when(F.col("p_size") > 25, "big").otherwise("small").alias("big"), F.when(F.col("p_partkey") % 2 == 0, "even").otherwise("odd").alias("even"), "p_size", "p_retailprice")
 
 
-@query("SELECT column_1, column_2, round(value, 6) AS value, n FROM (" + union_sql([cramer_sql(x, y, PART) for x, y in _sorted_pairs(PART_CATS)]) + ")")
+@query("SELECT column_1, column_2, round(value, 6) AS value, n FROM (" + union_sql([cramer_sql(x, y, PART) for x, y in sorted_pairs(PART_CATS)]) + ")")
 def asc2_cramers_v(spark, sf):
     return rounded(a.cramers_v_matrix(part_cats(spark, sf), PART_CATS), "value")
 
@@ -173,7 +173,7 @@ def assoc_sql(role: str) -> str:
     return f"SELECT *, 'numeric' AS kind FROM ({pearson_sql(role, False)}) UNION ALL SELECT *, 'categorical' FROM ({cramer_sql('l_linestatus', 'l_returnflag', role)}) UNION ALL SELECT *, 'mixed' FROM ({mixed})"
 
 
-DATED = union_sql([f"SELECT '{x}' AS column_1, '{y}' AS column_2, cast(NULL AS DOUBLE) AS value, cast(0 AS BIGINT) AS n, 'datetime' AS kind" for x, y in _sorted_pairs([*CAT, *NUM, "l_shipdate"]) if "l_shipdate" in (x, y)])
+DATED = union_sql([f"SELECT '{x}' AS column_1, '{y}' AS column_2, cast(NULL AS DOUBLE) AS value, cast(0 AS BIGINT) AS n, 'datetime' AS kind" for x, y in sorted_pairs([*CAT, *NUM, "l_shipdate"]) if "l_shipdate" in (x, y)])
 
 
 @query(with_roles(f"SELECT column_1, column_2, round(value, 6) AS value, n, kind FROM ({assoc_sql('synthetic')} UNION ALL {DATED})"))
@@ -189,13 +189,13 @@ def asc5_correlation_similarity(spark, sf):
     return rounded(a.correlation_similarity(*pair(spark, sf), NUM), "score")
 
 
-def _ten(c: str) -> str:
+def binned_sql(c: str) -> str:
     low, high = f"(SELECT min({c}) FROM reference)", f"(SELECT max({c}) FROM reference)"
     return f"CASE WHEN {c} IS NULL THEN NULL ELSE least(greatest(floor(({c} - {low}) / ({high} - {low}) * 10) + 1, 1), 10) END"
 
 
 def _joint(x: str, y: str) -> str:
-    e = {c: _ten(c) if c in NUM else c for c in (x, y)}
+    e = {c: binned_sql(c) if c in NUM else c for c in (x, y)}
     side = lambda role: f"SELECT {e[x]} AS a, {e[y]} AS b, count(*) / sum(count(*)) OVER () AS p FROM {role} WHERE {x} IS NOT NULL AND {y} IS NOT NULL GROUP BY 1, 2"
     return f"SELECT '{x}' AS column_1, '{y}' AS column_2, 1 - sum(abs(coalesce(r.p, 0) - coalesce(s.p, 0))) / 2 AS score FROM ({side('reference')}) r FULL JOIN ({side('synthetic')}) s ON r.a = s.a AND r.b = s.b"
 

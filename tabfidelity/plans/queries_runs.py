@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scratch import scratch_path
-from ..operators import detect, downstream, experiments, generate, repair, univariate, valuation
+from ..operators import detect, downstream, experiments, generate, multivariate, repair, univariate, valuation
 from .base import query, table, union_sql
-from .queries_metrics import AUC, SCORED, embedded, rounded, scored
+from .queries_metrics import AUC, CAT, NUM, SCORED, binned_sql, embedded, rounded, scored, sorted_pairs
 from .queries_tables import RUNS, runs
 from .registry import Columns, evaluate_runs
 from .roles import CATEGORICAL, NUMERIC, lineitem_roles, with_roles
@@ -339,6 +339,61 @@ def exp13_evaluate_runs(spark, sf):
     return rounded(evaluate_runs(r.reference.drop("l_linenumber"), r.synthetic, Columns(CATEGORICAL, NUMERIC), ["l_linenumber"], BY_RUN), "value")
 
 
+#: Metrics of pairs and of rows, by run; the real rows serve all runs.
+PAIRS_BY_RUN = ("correlation_similarity", "contingency_similarity", "mmd_polynomial", "mmd_rbf", "sliced_wasserstein", "new_row_synthesis", "structure", "jsd_equal_width", "jsd_categorical")
+_SYN = "SELECT l_linenumber AS run, * FROM synthetic"
+_RUNS = "SELECT DISTINCT l_linenumber AS run FROM synthetic"
+
+
+def _number(x: float) -> str:
+    return f"cast('{x!r}' AS DOUBLE)"
+
+
+def _corr_by(x: str, y: str) -> str:
+    return f"SELECT run, 'correlation_similarity' AS metric, '{x} / {y}' AS \"column\", 1 - abs((SELECT corr({x}, {y}) FROM reference) - corr({x}, {y})) / 2 AS value FROM ({_SYN}) GROUP BY run"
+
+
+def _joint_by(x: str, y: str) -> str:
+    ex, ey = (binned_sql(c) if c in NUM else c for c in (x, y))
+    there = f"WHERE {x} IS NOT NULL AND {y} IS NOT NULL GROUP BY"
+    p = f"SELECT run, a, b, p FROM ({_RUNS}), (SELECT {ex} AS a, {ey} AS b, count(*) / sum(count(*)) OVER () AS p FROM reference {there} 1, 2)"
+    q = f"SELECT run, {ex} AS a, {ey} AS b, count(*) / sum(count(*)) OVER (PARTITION BY run) AS q FROM ({_SYN}) {there} 1, 2, 3"
+    return f"SELECT run, 'contingency_similarity', '{x} / {y}', 1 - sum(abs(coalesce(p, 0) - coalesce(q, 0))) / 2 FROM ({p}) FULL JOIN ({q}) USING (run, a, b) GROUP BY run"
+
+
+_PRODUCTS = [*[(f"avg({c})", 2.0) for c in NUM], *[(f"avg({x} * {y})", 1.0 if x == y else 2.0) for i, x in enumerate(NUM) for y in NUM[i:]]]
+_POLY_BY = f"SELECT run, 'mmd_polynomial', NULL, {' + '.join(f'{w} * pow({e} - (SELECT {e} FROM reference), 2)' for e, w in _PRODUCTS)} FROM ({_SYN}) GROUP BY run"
+_UNIT = ", ".join(f"({c} - (SELECT min({c}) FROM reference)) / (SELECT max({c}) - min({c}) FROM reference) AS {c}" for c in NUM)
+_WHOLE = " AND ".join(f"{c} IS NOT NULL" for c in NUM)
+_ADDED = lambda ws, first=0.0: " + ".join([_number(first), *[f"{_number(float(w))} * {c}" for w, c in zip(ws, NUM, strict=True)]])
+_WEIGHTS, _SHIFTS = multivariate.fourier(len(NUM), 1.0, 64, 0)
+_COSINES = ", ".join(f"avg(cos({_ADDED(w, float(b))})) AS f{i}" for i, (w, b) in enumerate(zip(_WEIGHTS, _SHIFTS, strict=True)))
+_RBF_BY = f"SELECT s.run, 'mmd_rbf', NULL, ({' + '.join(f'pow(r.f{i} - s.f{i}, 2)' for i in range(64))}) * 2 / 64 FROM (SELECT {_COSINES} FROM ru) r, (SELECT run, {_COSINES} FROM su GROUP BY run) s"
+_ALONG = lambda src: union_sql([f"SELECT run, 'p{i}' AS \"column\", {_ADDED(w)} AS value FROM {src}" for i, w in enumerate(multivariate.directions(len(NUM), 16, 0))])
+_MATCHED = " AND ".join([*[f"r.{c} = s.{c}" for c in CAT], *[f"abs(r.{c} - s.{c}) <= 0.01 * abs(s.{c})" for c in NUM]])
+_HALF = lambda x: f"CASE WHEN {x} > 0 THEN {x} * ln({x} / ((p + q) / 2)) ELSE 0 END"
+_JSD = f"sqrt(greatest(sum({_HALF('p')} + {_HALF('q')}) / 2, 0))"
+_SHARED = f"r / sum(r) OVER ({_BY}) AS p, s / sum(s) OVER ({_BY}) AS q"
+PAIRS_BY_RUN_SQL = f"""WITH num AS ({_NUM2}), cat AS ({_CAT2}), ru AS (SELECT {_UNIT} FROM reference WHERE {_WHOLE}), su AS (SELECT run, {_UNIT} FROM ({_SYN}) WHERE {_WHOLE}),
+along AS ({_BOTH.format(r=_ALONG(f'ru, ({_RUNS})'), s=_ALONG('su'))}),
+e AS (SELECT *, sum(r) OVER w / sum(r) OVER ({_BY}) AS fr, sum(s) OVER w / sum(s) OVER ({_BY}) AS fs, lead(value) OVER w AS following FROM along WINDOW w AS ({_BY} ORDER BY value)),
+bins AS (SELECT run, "column", least(floor((value - low) / (high - low) * 10), 9) AS bin, sum(r) AS r, sum(s) AS s FROM (SELECT *, min(value) OVER ({_BY}) AS low, max(value) OVER ({_BY}) AS high FROM num) GROUP BY 1, 2, 3)
+SELECT run, metric, "column", round(value, 6) + 0.0 AS value FROM ({union_sql([
+    *[_corr_by(x, y) for x, y in sorted_pairs(NUM)], *[_joint_by(*sorted(p)) for p in [CAT, *[(c, x) for c in CAT for x in NUM]]], _POLY_BY, _RBF_BY,
+    'SELECT run, ' + "'sliced_wasserstein', NULL, avg(d) FROM (SELECT run, sum(abs(fr - fs) * (following - value)) / (max(value) FILTER (r > 0) - min(value) FILTER (r > 0)) AS d FROM e GROUP BY run, " + '"column") GROUP BY run',
+    f"SELECT run, 'new_row_synthesis', NULL, avg(CASE WHEN EXISTS (SELECT 1 FROM reference r WHERE {_MATCHED}) THEN 0 ELSE 1 END) FROM ({_SYN}) s GROUP BY run",
+    f"SELECT run, 'structure', NULL, 1.0 FROM ({_RUNS})",
+    f'SELECT run, ' + f"'jsd_equal_width', " + f'"column", {_JSD} FROM (SELECT *, {_SHARED} FROM bins) GROUP BY run, "column"',
+    f'SELECT run, ' + f"'jsd_categorical', " + f'"column", {_JSD} FROM (SELECT *, {_SHARED} FROM cat WHERE value IS NOT NULL) GROUP BY run, "column"',
+])})"""
+
+
+@query(with_roles(PAIRS_BY_RUN_SQL))
+def exp13_pairs_and_rows_by_run(spark, sf):
+    r = lineitem_roles(spark, sf)
+    return rounded(evaluate_runs(r.reference, r.synthetic.withColumn("run", F.col("l_linenumber")), Columns(CATEGORICAL, NUMERIC), ["run"], PAIRS_BY_RUN), "value")
+
+
 # Generators
 
 

@@ -130,39 +130,96 @@ def evaluate(roles: Roles, columns: Columns, names: Sequence[str]) -> DataFrame:
     return roles.synthetic.sparkSession.createDataFrame(rows, RESULT)
 
 
+@dataclass(frozen=True)
+class Runs:
+    """Runs of a synthetic table, told apart by the columns by, and the real rows: of each run, or for all of them."""
+
+    real: DataFrame
+    synthetic: DataFrame
+    by: tuple[str, ...]
+    #: The most runs that are broadcast, which is checked.
+    most: int = 10_000
+
+    @property
+    def shared(self) -> bool:
+        return not set(self.by) <= set(self.real.columns)
+
+    @property
+    def common(self) -> DataFrame:
+        """The real rows without run columns where they serve all runs."""
+        return self.real.drop(*self.by) if self.shared else self.real
+
+    def dealt(self) -> DataFrame:
+        """The real rows with run columns, a copy of them for each run where they serve all."""
+        if not self.shared:
+            return self.real
+        runs = self.synthetic.select(*self.by).distinct()
+        if runs.limit(self.most + 1).count() > self.most:
+            raise ValueError(f"more than {self.most} runs: give the real rows of each run")
+        return self.common.crossJoin(F.broadcast(runs))
+
+    def named(self, found: DataFrame, value: str, column: str | None = None) -> DataFrame:
+        """found as (by..., column, value)."""
+        return found.select(*self.by, (F.expr(column) if column else F.lit(None)).cast("string").alias("column"), F.col(value).cast("double").alias("value"))
+
+
 def _by_column(name: str, score: str, numeric: bool):
-    def run(real: DataFrame, synthetic: DataFrame, c: Columns, by: Sequence[str]) -> DataFrame:
-        found = getattr(univariate, name)(real, synthetic, c.numeric if numeric else c.categorical, by=by)
-        return found.select(*[F.col(f"column.{b}").alias(b) for b in by], F.col("column.column").alias("column"), F.col(score).alias("value"))
+    def run(t: Runs, c: Columns) -> DataFrame:
+        found = getattr(univariate, name)(t.dealt(), t.synthetic, c.numeric if numeric else c.categorical, by=t.by)
+        return t.named(found.select("column.*", score), score, "column")
 
     return run
 
 
-def _by_run(f):
-    """f gives (by..., value)."""
-    return lambda real, synthetic, c, by: f(real, synthetic, c, by).select(*by, F.lit(None).cast("string").alias("column"), "value")
+#: What the name of a pair of columns is made of.
+PAIR = "concat(column_1, ' / ', column_2)"
+
+
+def _scaled_runs(t: Runs, c: Columns, real: DataFrame) -> list[DataFrame]:
+    """Numbers in units of the ends of all real rows, with run columns where there are any; rows with a NULL are left out."""
+    return [prep.minmax_scale(df.select(*[b for b in t.by if b in df.columns], *c.numeric).na.drop(subset=[*c.numeric]), c.numeric, t.common) for df in (real, t.synthetic)]
+
+
+def _dcr_by_run(t: Runs, c: Columns) -> DataFrame:
+    if c.key is None or not t.shared:
+        raise ValueError("the metric needs a key of the rows, and real rows that serve all runs")
+    real, synthetic = (df.withColumn("__key", F.expr(c.key).cast("long")) for df in (t.common, t.synthetic))
+    ends = real.na.drop(subset=[*c.numeric])
+    vectors = [nn.vectors(prep.minmax_scale(df.na.drop(subset=[*c.numeric]), c.numeric, ends), "__key", c.numeric) for df in (real, synthetic)]
+    return t.named(multivariate.median_dcr_by(*vectors, synthetic.select(F.col("__key").alias("id"), *t.by), t.by), "distance")
+
+
+def _structure_by_run(t: Runs, c: Columns) -> DataFrame:
+    score = schema_cmp.structure_score(schema_cmp.table_structure(t.real.drop(*t.by), t.synthetic.drop(*t.by)))
+    return t.named(t.synthetic.select(*t.by).distinct().crossJoin(F.broadcast(score)), "score")  # one row
 
 
-#: Metrics that take run columns: (real, synthetic, columns, by) -> (by..., column, value).
-METRICS_BY_RUN: dict[str, Callable[[DataFrame, DataFrame, Columns, Sequence[str]], DataFrame]] = {
+#: Metrics of all runs in one job: (by..., column, value); the column of a pair is named after both.
+METRICS_BY_RUN: dict[str, Callable[[Runs, Columns], DataFrame]] = {
     **{n: _by_column(n, "score", True) for n in ("ks_complement", "boundary_adherence")},
     **{n: _by_column(n, "score", False) for n in ("tv_complement", "category_adherence")},
     **{n: _by_column(n, "distance", True) for n in ("jsd_equal_width", "jsd_adaptive", "jsd_mixed", "wasserstein_1d")},
     "jsd_categorical": _by_column("jsd_categorical", "distance", False),
-    "mmd_linear": _by_run(lambda real, s, c, by: multivariate.mmd_linear(real, s, c.numeric, by).withColumnRenamed("mmd", "value")),
-    "k_anonymity": _by_run(lambda real, s, c, by: privacy.class_sizes(s, [*by, *c.categorical]).groupBy(*by).agg(F.min("members").cast("double").alias("value"))),
+    "correlation_similarity": lambda t, c: t.named(association.correlation_similarity_by(t.common, t.synthetic, c.numeric, t.by), "score", PAIR),
+    "contingency_similarity": lambda t, c: t.named(association.contingency_similarity_by(t.common, t.synthetic, c.categorical, c.numeric, t.by), "score", PAIR),
+    "mmd_linear": lambda t, c: t.named(multivariate.mmd_linear(t.dealt(), t.synthetic, c.numeric, t.by), "mmd"),
+    "mmd_polynomial": lambda t, c: t.named(multivariate.mmd_polynomial_by(t.common, t.synthetic, c.numeric, t.by), "mmd"),
+    "mmd_rbf": lambda t, c: t.named(multivariate.mmd_rbf_features(*_scaled_runs(t, c, t.common), c.numeric, by=t.by), "mmd"),
+    "sliced_wasserstein": lambda t, c: t.named(multivariate.sliced_wasserstein(*_scaled_runs(t, c, t.dealt()), c.numeric, by=t.by), "distance"),
+    "dcr_median": _dcr_by_run,
+    "new_row_synthesis": lambda t, c: t.named(membership.new_row_synthesis(t.common, t.synthetic, c.categorical, c.numeric, by=t.by), "score"),
+    "structure": _structure_by_run,
+    "k_anonymity": lambda t, c: t.named(privacy.class_sizes(t.synthetic, [*t.by, *c.categorical]).groupBy(*t.by).agg(F.min("members").alias("k")), "k"),
 }
 
 
-def evaluate_runs(real: DataFrame, synthetic: DataFrame, columns: Columns, by: Sequence[str], names: Sequence[str] = tuple(METRICS_BY_RUN), most_runs: int = 10_000) -> DataFrame:
+def evaluate_runs(real: DataFrame, synthetic: DataFrame, columns: Columns, by: Sequence[str], names: Sequence[str] | None = None, most_runs: int = 10_000) -> DataFrame:
     """(by..., metric, column, value) of all runs in one job: the synthetic table holds the rows of every run, told apart by the run columns.
 
-    A real table without the run columns serves every run: the runs (at most most_runs, which is checked) are broadcast to it.
+    A real table without the run columns serves every run; metrics of single columns then meet it once for each run (at most most_runs, which is
+    checked), those of pairs and rows reduce it once for all. names: those of METRICS_BY_RUN; by default all but dcr_median, which needs a key.
     """
-    if not set(by) <= set(real.columns):
-        runs = synthetic.select(*by).distinct()
-        if runs.limit(most_runs + 1).count() > most_runs:
-            raise ValueError(f"more than {most_runs} runs: give the real rows of each run")
-        real = real.drop(*by).crossJoin(F.broadcast(runs))
-    parts = [METRICS_BY_RUN[n](real, synthetic, columns, by).select(*by, F.lit(n).alias("metric"), "column", "value") for n in names]
+    t = Runs(real, synthetic, tuple(by), most_runs)
+    names = names if names is not None else [n for n in METRICS_BY_RUN if n != "dcr_median"]
+    parts = [METRICS_BY_RUN[n](t, columns).select(*by, F.lit(n).alias("metric"), "column", "value") for n in names]
     return reduce(DataFrame.unionByName, parts)
