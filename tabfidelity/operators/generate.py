@@ -10,21 +10,27 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.keys import uniform
+from ..functions.ranks import running_sum
 
 
 def value_intervals(df: DataFrame, column: str) -> DataFrame:
-    """(value, lo, hi): each distinct value's interval of [0, 1) by its share, in value order, NULL first."""
-    counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    """(value, lo, hi): each distinct value's interval of [0, 1) by its share, in value order, NULL first.
+
+    Values are ordered by ranges, so a column of as many values as rows keeps all tasks busy.
+    """
+    counts = running_sum(df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")), "value", "n", "upto")
     total = counts.agg(F.sum("n").alias("total"))
-    upto = F.sum("n").over(Window.orderBy(F.asc_nulls_first("value")).rowsBetween(Window.unboundedPreceding, Window.currentRow))  # over distinct values
-    return counts.withColumn("upto", upto).crossJoin(F.broadcast(total)).select("value", ((F.col("upto") - F.col("n")) / F.col("total")).alias("lo"), (F.col("upto") / F.col("total")).alias("hi"))  # one row
+    return counts.crossJoin(F.broadcast(total)).select("value", ((F.col("upto") - F.col("n")) / F.col("total")).alias("lo"), (F.col("upto") / F.col("total")).alias("hi"))  # one row
+
 
+def _looked_up(rows: DataFrame, intervals: DataFrame, u: str, name: str, least_cells: int = 1024) -> DataFrame:
+    """rows with the value whose interval holds u: both sides meet in cells of [0, 1], which grow in number with the values.
 
-def _looked_up(rows: DataFrame, intervals: DataFrame, u: str, name: str, cells: int = 1024) -> DataFrame:
-    """rows with the value whose interval holds u: both sides meet in cells of [0, 1]."""
+    A frequent value's rows spread over the many cells that its interval covers, and a cell holds few of the rare ones.
+    """
+    cells = max(least_cells, 1 << (intervals.count() // 4).bit_length())
     cut = intervals.select("value", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.floor(F.least(F.col("hi"), F.lit(1 - 1e-12)) * cells))).alias("cell"))
     joined = rows.withColumn("cell", F.floor(F.col(u) * cells)).join(cut, "cell").where((F.col(u) >= F.col("lo")) & (F.col(u) < F.col("hi")))
     return joined.withColumnRenamed("value", name).drop("cell", "lo", "hi", u)

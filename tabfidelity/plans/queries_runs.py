@@ -397,10 +397,45 @@ def exp13_pairs_and_rows_by_run(spark, sf):
 # Generators
 
 
-@query()
+def drawn_sql(source: str, c: str, seed: int) -> str:
+    """A column drawn from its own values: each value's interval is its share, in value order."""
+    u = f"SELECT cast(('0x' || substr(md5(concat_ws('|', cast(row_number() OVER () - 1 AS VARCHAR), '{c}', '{seed}')), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM part"
+    cut = f"SELECT {c}, (upto - n) / total AS lo, upto / total AS hi FROM (SELECT {c}, count(*) AS n, sum(count(*)) OVER (ORDER BY {c} NULLS FIRST) AS upto, sum(count(*)) OVER () AS total FROM ({source}) GROUP BY {c})"
+    return f"SELECT {c} FROM ({u}) JOIN ({cut}) ON u >= lo AND u < hi"
+
+
+def kept_sql(c: str, source: str) -> str:
+    """(column, score): how well the column's shares are kept."""
+    side = lambda t, p: f"SELECT {c}, count(*) / sum(count(*)) OVER () AS {p} FROM ({t}) GROUP BY {c}"
+    return f"SELECT '{c}' AS \"column\", round(1 - sum(abs(coalesce(p, 0) - coalesce(q, 0))) / 2, 6) + 0.0 AS score FROM ({side(f'SELECT {c} FROM part', 'p')}) FULL JOIN ({side(source, 'q')}) USING ({c})"
+
+
+def generations_sql(columns: tuple[str, ...], generations: int) -> str:
+    parts = []
+    for c in columns:
+        source = f"SELECT {c} FROM part"
+        for g in range(generations):
+            source = drawn_sql(source, c, g)
+            parts.append(f"SELECT *, {g} AS generation FROM ({kept_sql(c, source)})")
+    return union_sql(parts)
+
+
+MARGINALS = ("p_brand", "p_type", "p_size")
+
+
+@query(union_sql([kept_sql(c, drawn_sql(f"SELECT {c} FROM part", c, 1)) for c in MARGINALS]))
 def gen1_marginal_sampler(spark, sf):
-    p = table(spark, sf, "part").select("p_brand", "p_type", "p_size")
-    return univariate.tv_complement(p, generate.marginal_sampler(p, seed=1), ["p_brand", "p_type", "p_size"])
+    p = table(spark, sf, "part").select(*MARGINALS)
+    return rounded(univariate.tv_complement(p, generate.marginal_sampler(p, seed=1), [*MARGINALS]), "score")
+
+
+_PRICE = "SELECT l_extendedprice FROM lineitem"
+
+
+@query(f"SELECT l_extendedprice AS value, round((upto - n) / total, 9) + 0.0 AS lo, round(upto / total, 9) + 0.0 AS hi FROM (SELECT l_extendedprice, count(*) AS n, sum(count(*)) OVER (ORDER BY l_extendedprice NULLS FIRST) AS upto, sum(count(*)) OVER () AS total FROM ({_PRICE}) GROUP BY 1)")
+def gen1_value_intervals(spark, sf):
+    """Each price's interval of [0, 1): nearly as many values as rows."""
+    return rounded(generate.value_intervals(table(spark, sf, "lineitem"), "l_extendedprice"), "lo", "hi", digits=9)
 
 
 @query()
@@ -409,10 +444,8 @@ def gen2_gaussian_copula(spark, sf):
     return univariate.ks_complement(r, generate.gaussian_copula_sampler(r, seed=1), NUMERIC)
 
 
-@query()
+@query(generations_sql(("p_brand", "p_type"), 3))
 def gen3_recursive_generations(spark, sf):
     p = table(spark, sf, "part").select("p_brand", "p_type")
     measure = lambda real, s: univariate.tv_complement(real, s, ["p_brand", "p_type"])
-    return generate.recursive_generations(p, 3, generate.marginal_sampler, measure, scratch_path(spark, "generations"))
-
-
+    return rounded(generate.recursive_generations(p, 3, generate.marginal_sampler, measure, scratch_path(spark, "generations")), "score")

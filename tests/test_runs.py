@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabfidelity.functions.comoments import co_moments, correlation, mean_product
-from tabfidelity.operators import association, membership, multivariate, prep
+from tabfidelity.operators import association, generate, membership, multivariate, prep
 from tabfidelity.plans.registry import METRICS_BY_RUN, Columns, evaluate_runs
 
 SCHEMA = "id long, run string, c string, d string, x double, y double, z double"
@@ -96,3 +96,19 @@ def test_new_rows_where_most_rows_share_a_number(spark):
     assert (got.total, got.matched) == (300, matched) and 0 < matched < 300
     empty = spark.createDataFrame([], schema)
     assert membership.new_row_synthesis(empty, empty, ["c"], ["x"]).first().asDict() == {"total": 0, "matched": 0, "new_rows": 0, "score": None}
+
+
+def test_intervals_of_any_values(spark):
+    """NULL comes first, and no task orders more than a range."""
+    values = [None, None, -1.5, 2.0, 2.0, 2.0, *[float(x) / 7 for x in range(500)]]
+    d = spark.createDataFrame([(v,) for v in values], "x double").repartition(6)
+    got = sorted(((r.lo, r.hi, r.value) for r in generate.value_intervals(d, "x").collect()))
+    n, at = len(values), 0
+    for value in [None, *sorted({v for v in values if v is not None})]:
+        k = sum(v == value for v in values)
+        assert got[0] == (at / n, (at + k) / n, value)
+        got, at = got[1:], at + k
+    assert not got and at == n
+    drawn = generate.marginal_sampler(d, 3000, seed=4)
+    assert drawn.count() == 3000 and {r.x for r in drawn.distinct().collect()} <= set(values)
+    assert generate.value_intervals(d.where("x > 1e9"), "x").count() == 0
