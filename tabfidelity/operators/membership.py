@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import equal_width_bin, ratio, row_key
+from ..functions.scratch import stored
 
 CLASSES = ("ddr", "training_copy_valid", "training_copy_propagation", "new_hallucination")
 
@@ -80,7 +81,11 @@ def class_of(p: Column, t: Column) -> Column:
 
 def key_counts(synthetic: DataFrame, population: DataFrame, training: DataFrame) -> DataFrame:
     """By key and passes: rows (n), p and t. All three tables bring a column key, synthetic also passes."""
-    counts = synthetic.groupBy("key", "passes").agg(F.count("*").alias("n"))
+    return key_memberships(synthetic.groupBy("key", "passes").agg(F.count("*").alias("n")), population, training)
+
+
+def key_memberships(counts: DataFrame, population: DataFrame, training: DataFrame) -> DataFrame:
+    """counts (by key) with p and t: whether population and training have the key."""
     for df, flag in ((population, "p"), (training, "t")):
         counts = counts.join(df.select("key").distinct().withColumn(flag, F.lit(True)), "key", "left")
     return counts.withColumns({"p": F.coalesce("p", F.lit(False)), "t": F.coalesce("t", F.lit(False))})
@@ -110,14 +115,21 @@ def ddr_grade(rate_pct: Column) -> Column:
     return F.when(rate_pct >= 70, "EXCELLENT").when(rate_pct >= 50, "GOOD").when(rate_pct >= 30, "MODERATE").otherwise("POOR")
 
 
+def category_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(i, value): the distinct values of each column, by its place, as text; of any number. One scan, written to the scratch folder."""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("value")) for i, c in enumerate(columns)])))
+    return stored(long.where("value is not null").distinct(), "values")
+
+
 def _binned_keys(roles, spec: Spec) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The three tables with key, the synthetic one with passes as well. Population is scanned once for ranges and value sets."""
+    """(key, passes, n) of the synthetic table, and the keys of population and training.
+
+    The synthetic rows are counted by key before their categories meet the population's values (a key settles its categories), which
+    Spark broadcasts where they are few and joins by a shuffle otherwise.
+    """
     numeric, categorical = list(spec.numeric), list(spec.categorical)
     ranged = list(dict.fromkeys([*numeric, *spec.ranged]))
-    ranges = roles.population.agg(
-        *[f(c).alias(f"{c}_{n}") for c in ranged for n, f in (("min", F.min), ("max", F.max))],
-        *[F.collect_set(F.col(c).cast("string")).alias(f"{c}_values") for c in categorical],
-    )
+    ranges = numeric_ranges(roles.population, ranged) if ranged else roles.population.sparkSession.range(1).select(F.lit(0).alias("__none"))
 
     def keyed(df: DataFrame, extra: list[Column]) -> DataFrame:
         joined = df.crossJoin(F.broadcast(ranges))  # one row
@@ -125,22 +137,27 @@ def _binned_keys(roles, spec: Spec) -> tuple[DataFrame, DataFrame, DataFrame]:
         bins = [F.coalesce(equal_width_bin(F.col(c), F.col(f"{c}_min"), F.col(f"{c}_max"), spec.bins).cast("string"), F.lit("~")) for c in numeric]
         return joined.select(F.md5(F.concat_ws("|", *texts, *bins)).alias("key"), *extra)
 
-    passes = F.lit(True)
-    for c in categorical:
-        passes = passes & F.coalesce(F.array_contains(f"{c}_values", F.col(c).cast("string")), F.lit(False))
+    inside = F.lit(True)
     for c in ranged:
-        passes = passes & (F.col(c).isNull() | F.col(c).between(F.col(f"{c}_min"), F.col(f"{c}_max")))
-    return keyed(roles.synthetic, [passes.alias("passes")]), keyed(roles.population, []), keyed(roles.training, [])
+        inside = inside & (F.col(c).isNull() | F.col(c).between(F.col(f"{c}_min"), F.col(f"{c}_max")))
+    texts = [F.col(c).cast("string").alias(f"__c{i}") for i, c in enumerate(categorical)]
+    counts = keyed(roles.synthetic, [inside.alias("passes"), *texts]).groupBy("key", "passes").agg(F.count("*").alias("n"), *[F.first(f"__c{i}").alias(f"__c{i}") for i in range(len(texts))])
+    if categorical:
+        values, passes = category_values(roles.population, categorical), F.coalesce("passes", F.lit(False))
+        for i in range(len(categorical)):
+            counts = counts.join(values.where(F.col("i") == i).select(F.col("value").alias(f"__v{i}")), F.col(f"__c{i}") == F.col(f"__v{i}"), "left")
+            passes = passes & F.col(f"__v{i}").isNotNull()
+        counts = counts.select("key", passes.alias("passes"), "n").groupBy("key", "passes").agg(F.sum("n").alias("n"))
+    return counts, keyed(roles.population, []), keyed(roles.training, [])
 
 
 def validation_summary(roles, spec: Spec) -> DataFrame:
     """One row of 54 columns: sizes, four membership classes, plausibility, the 2x2 matrix and the cross-table.
 
-    A key is plausible-unique if any of its rows passes, and implausible-unique if any fails. Categorical columns
-    are taken to have few values: their sets travel in one row.
+    A key is plausible-unique if any of its rows passes, and implausible-unique if any fails.
     """
-    synthetic, population, training = _binned_keys(roles, spec)
-    c = key_counts(synthetic, population, training).withColumn("class", class_of(F.col("p"), F.col("t")))
+    counts, population, training = _binned_keys(roles, spec)
+    c = key_memberships(counts, population, training).withColumn("class", class_of(F.col("p"), F.col("t")))
     # One row for each key: rows that pass and rows that fail.
     k = c.groupBy("key", "class").agg(F.sum(F.when(F.col("passes"), F.col("n")).otherwise(0)).alias("good"), F.sum(F.when(F.col("passes"), 0).otherwise(F.col("n"))).alias("bad"))
     n = F.col("good") + F.col("bad")
@@ -183,8 +200,8 @@ def quality_matrix(roles, spec: Spec) -> DataFrame:
 
 def class_by_plausibility(roles, spec: Spec) -> DataFrame:
     """class, plausible, implausible: rows."""
-    synthetic, population, training = _binned_keys(roles, spec)
-    c = key_counts(synthetic, population, training).withColumn("class", class_of(F.col("p"), F.col("t")))
+    counts, population, training = _binned_keys(roles, spec)
+    c = key_memberships(counts, population, training).withColumn("class", class_of(F.col("p"), F.col("t")))
     add = lambda x: F.coalesce(F.sum(x), F.lit(0))
     return c.groupBy("class").agg(add(F.when(F.col("passes"), F.col("n"))).alias("plausible"), add(F.when(~F.col("passes"), F.col("n"))).alias("implausible"))
 

@@ -45,7 +45,7 @@ def generate_rules(df: DataFrame, columns: Sequence[str], max_values: int = 100)
     """A row per column: column, kind (categorical, date, numeric), low, high, has_null, cardinality, allowed (sorted).
 
     Text is categorical, and so is any other column but dates with fewer than max_values values. One aggregate gives
-    the sizes; value sets are gathered for the chosen columns alone.
+    the sizes; value sets are gathered for the chosen columns alone, each in its own row, and never broadcast.
     """
     kinds = dict(df.dtypes)
     stats = df.agg(*[f.alias(f"{c}__{n}") for c in columns for n, f in (("card", F.count_distinct(c)), ("null", F.count_if(F.col(c).isNull())), ("low", F.min(F.col(c))), ("high", F.max(F.col(c))))])
@@ -56,9 +56,6 @@ def generate_rules(df: DataFrame, columns: Sequence[str], max_values: int = 100)
             return "date"
         return "categorical" if kinds[c] in ("string", "boolean") or first[f"{c}__card"] < max_values else "numeric"
 
-    chosen = [c for c in columns if kind(c) == "categorical"]
-    values = df.agg(F.lit(0).alias("_one"), *[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(f"{c}__values") for c in chosen])
-    none = F.lit(None).cast("array<string>")
     rows = [
         F.struct(
             F.lit(c).alias("column"),
@@ -67,11 +64,34 @@ def generate_rules(df: DataFrame, columns: Sequence[str], max_values: int = 100)
             (F.lit(None) if kind(c) == "categorical" else F.col(f"{c}__high")).cast("string").alias("high"),
             (F.col(f"{c}__null") > 0).alias("has_null"),
             F.col(f"{c}__card").alias("cardinality"),
-            (F.col(f"{c}__values") if c in chosen else none).alias("allowed"),
         )
         for c in columns
     ]
-    return stats.crossJoin(F.broadcast(values)).select(F.inline(F.array(*rows)))  # one row each
+    out = df.sparkSession.createDataFrame([first], stats.schema).select(F.inline(F.array(*rows)))
+    chosen = [c for c in columns if kind(c) == "categorical"]
+    if not chosen:
+        return out.withColumn("allowed", F.lit(None).cast("array<string>"))
+    sets = allowed_values(df, chosen).groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("allowed"))
+    return out.join(sets, "column", "left").withColumn("allowed", F.when(F.col("kind") == "categorical", F.coalesce("allowed", F.array().cast("array<string>"))))
+
+
+def allowed_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value): the distinct values as text, in one scan, of any number; what generate_rules() lists in a row for each column."""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])))
+    return long.where("value is not null").distinct()
+
+
+def check_allowed(df: DataFrame, allowed: DataFrame, columns: Sequence[str], allow_null: bool = False) -> DataFrame:
+    """df with a boolean categorical_<column> for each column: whether allowed (column, value) has its value.
+
+    For sets too large for a rule's list: Spark broadcasts a column's set where it is small and joins by a shuffle otherwise.
+    """
+    out = df
+    for c in columns:
+        own = allowed.where(F.col("column") == c).select(F.col("value").alias("__allowed")).distinct()
+        held = F.when(F.col(c).isNull(), F.lit(allow_null)).otherwise(F.col("__allowed").isNotNull())
+        out = out.join(own, F.col(c).cast("string") == F.col("__allowed"), "left").withColumn(f"categorical_{c}", held).drop("__allowed")
+    return out
 
 
 def check_categorical(rule: Categorical) -> Column:

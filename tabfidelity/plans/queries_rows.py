@@ -179,6 +179,20 @@ def pla1_generate_rules(spark, sf):
     return rules.generate_rules(lineitem_roles(spark, sf).population, RULE_COLS)
 
 
+ALLOWED_COLS = ["o_custkey", "o_orderpriority"]
+_LEARNT = "(SELECT {0} FROM orders WHERE o_orderkey % 10 < 3)"
+
+
+@query("SELECT o_orderkey, " + ", ".join(f"coalesce({c} IN {_LEARNT.format(c)}, false) AS categorical_{c}" for c in ALLOWED_COLS) + " FROM (SELECT * REPLACE (CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN -o_custkey ELSE o_custkey END AS o_custkey) FROM orders)")
+def pla2_allowed_values(spark, sf):
+    """Value sets learnt from some orders, of any size, as a table; all orders are checked, some with changed customers."""
+    o = table(spark, sf, "orders")
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    changed = o.withColumn("o_custkey", F.when(key % 5 == 0, None).when(key % 7 == 0, -customer).otherwise(customer))
+    learnt = rules.allowed_values(o.where("o_orderkey % 10 < 3"), ALLOWED_COLS)
+    return rules.check_allowed(changed, learnt, ALLOWED_COLS).select("o_orderkey", *[f"categorical_{c}" for c in ALLOWED_COLS])
+
+
 RULES = [
     rules.Categorical("l_returnflag", ("A", "N", "R")),
     rules.Range("l_quantity", 1, 50),

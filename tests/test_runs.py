@@ -112,3 +112,27 @@ def test_intervals_of_any_values(spark):
     drawn = generate.marginal_sampler(d, 3000, seed=4)
     assert drawn.count() == 3000 and {r.x for r in drawn.distinct().collect()} <= set(values)
     assert generate.value_intervals(d.where("x > 1e9"), "x").count() == 0
+
+
+def test_value_sets_of_any_size(spark):
+    from tabfidelity.operators import rules
+
+    d = spark.range(60_000).select(F.concat(F.lit("customer"), "id").alias("a"), (F.col("id") % 3).alias("b"), F.lit(None).cast("string").alias("c"))
+    got = {r.column: r for r in rules.generate_rules(d, ["a", "b", "c"]).collect()}
+    assert got["a"].allowed == sorted(f"customer{i}" for i in range(60_000)) and got["b"].allowed == ["0", "1", "2"] and got["c"].allowed == [] and got["c"].has_null
+    new = spark.createDataFrame([(1, "customer7", 2), (2, "customerx", 3), (3, None, None), (4, "customer7", 0)], "id long, a string, b long")
+    allowed = rules.allowed_values(d, ["a", "b"])
+    for nulls in (False, True):
+        found = {r.id: (r.categorical_a, r.categorical_b) for r in rules.check_allowed(new, allowed, ["a", "b"], nulls).collect()}
+        assert found == {1: (True, True), 2: (False, False), 3: (nulls, nulls), 4: (True, True)}
+
+
+def test_summary_with_many_categories(spark):
+    """Values of the population that the synthetic rows have or not, one of them in most rows."""
+    from tabfidelity.plans.roles import Roles
+
+    population = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("k"), (F.col("id") % 10).cast("double").alias("x"))
+    synthetic = spark.range(3000).select(F.when(F.col("id") % 10 < 9, "k0").otherwise(F.concat(F.lit("k"), F.col("id") * 3)).alias("k"), (F.col("id") % 12).cast("double").alias("x"))
+    row = membership.validation_summary(Roles(population, population.limit(0), population, synthetic), membership.Spec(("k",), ("x",))).first()
+    passing = sum(1 for i in range(3000) if i % 12 < 10 and (i % 10 < 9 or i * 3 < 5000))
+    assert (row.synthetic_total_count, row.plausible_total_count, row.training_unique_count) == (3000, passing, 0)
