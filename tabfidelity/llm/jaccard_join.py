@@ -10,17 +10,19 @@ Two documents link when their sets of distinct 4-word shingles have a Jaccard si
    its classes are pre-aggregated there, and groups that hot signatures join are one.
 3. T-occurrence search in each group's inverted lists: of a query's lists, T - 1 of the longest are set aside, T being
    the least overlap of any partner; the short ones are merged with a heap (with counters, where they are long as well),
-   and what they hold is looked up in the long ones by bisection as long as it can still reach its overlap.
-   Classes that are already in one component with the asking one are left out, so that a group of near copies costs few probes.
-4. Groups of more than a block of shingles: first the blocks; then some of each component found, together; then what is
-   outside the group's largest component and has enough shingles in common with others, against every block.
-   Each pair of classes that is in two components is thus searched.
+   and what they hold is looked up in the long ones by bisection as long as it can still reach its overlap. Long lists
+   that are shorter than the lookups they would take (those of a group of near copies) are counted as they are.
+   Every pair that links is found, in one place: in the first of the groups that both are in.
+4. Groups of more than a block of shingles: classes most of whose shingles occur nowhere else in the group go, the others
+   are dealt by level (linked sets are at most one apart) and into blocks, and each block meets each.
 
-Only spanning links leave a task, never all pairs. No partner, candidate or bucket is capped.
+A task hands on links that span the components of what it saw, and of all links their number for each class; so what
+is shuffled is linear in the classes. No partner, candidate or bucket is capped.
 
 Defined results: null, empty and wordless texts have the empty set, link with nothing and are their own
 component; fewer than four words are one shingle; a null doc_id takes part and carries the smallest id
-of its component, null if there is none; rows that repeat a doc_id are each judged by their own text.
+of its component, null if there is none; rows that repeat a doc_id are each judged by their own text. n_class_links counts the
+other classes that a row's class links with, n_links the other rows (copies of its own set included).
 one_of_each() keeps one row of each component: that of the smallest doc_id (nulls last), of its texts the one with the
 smallest digest, and of equal rows any one; rows without words all stay. Extra columns are ignored.
 """
@@ -57,8 +59,10 @@ class JoinParams:
     hot: int = 32
     #: Entries of short lists that go through a heap; more are counted in an array.
     heap_entries: int = 2_000
-    #: Of each component of a block, so many classes meet those of other blocks first.
-    probes: int = 64
+    #: Long lists that candidates are looked up in before those that cannot reach their overlap go.
+    probes: int = 32
+    #: A lookup costs as much as counting so many entries of a list.
+    lookup_entries: int = 16
     #: Classes with more than this share of all rows are broadcast where rows meet their classes.
     hot_share: float = 1 / 2000
 
@@ -212,7 +216,6 @@ class _Labels:
         self.of = np.unique(labels, return_inverse=True)[1]
         order = np.argsort(self.of, kind="stable")
         self.members = np.split(order, np.cumsum(np.bincount(self.of))[:-1])
-        self.left = len(self.members)
 
     def join(self, a: int, b: int) -> None:
         a, b = self.of[a], self.of[b]
@@ -220,11 +223,19 @@ class _Labels:
             a, b = b, a
         self.of[self.members[b]] = a
         self.members[a], self.members[b] = np.concatenate([self.members[a], self.members[b]]), self.members[b][:0]
-        self.left -= 1
 
+    def span(self, a: int, others: np.ndarray) -> list[tuple[int, int]]:
+        """Joins a with others; the links that joined two components."""
+        links = []
+        for b in others[self.of[others] != self.of[a]].tolist():
+            if self.of[b] != self.of[a]:
+                links.append((a, b))
+                self.join(a, b)
+        return links
 
-def search(sets: list[np.ndarray], labels: np.ndarray, asking: np.ndarray, p: JoinParams) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """(links between sets of different labels, at least one of which asks; the labels that follow). Links that join components suffice."""
+
+def partners(sets: list[np.ndarray], asking: np.ndarray, p: JoinParams, each_other: bool = True) -> Iterator[tuple[int, np.ndarray]]:
+    """(an asking set, all sets that link with it). A pair that both ask comes once, with the first one, and only if they ask each_other."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     owner = np.repeat(np.arange(n), sizes)
@@ -235,17 +246,13 @@ def search(sets: list[np.ndarray], labels: np.ndarray, asking: np.ndarray, p: Jo
     grams, tails = flat[heads], np.concatenate([heads[1:], [len(flat)]])
     # The inverted lists end to end, as one sorted array of (list, owner).
     entries = np.repeat(np.arange(len(grams)), tails - heads) * n + owner
-    found, links = _Labels(labels), []
-    ratio = p.num / (p.num + p.den)
     for q in np.flatnonzero(asking):
-        if found.left == 1:
-            break
         at = np.searchsorted(grams, sets[q])
         length = tails[at] - heads[at]
         by_length = np.argsort(length, kind="stable")
         at, length = at[by_length], length[by_length]
         # The least overlap of any partner: with fewer lists set aside, a partner is in a short one.
-        least = max(1, int(np.ceil(p.num * sizes[q] / p.den - 1e-9)))
+        least = max(1, -(-p.num * int(sizes[q]) // p.den))
         alone = int(np.searchsorted(length, 1, side="right"))
         if len(at) - alone < least:
             continue  # too few of its shingles occur elsewhere
@@ -258,48 +265,76 @@ def search(sets: list[np.ndarray], labels: np.ndarray, asking: np.ndarray, p: Jo
             counts = np.bincount(np.concatenate(runs), minlength=n)
             others = np.flatnonzero(counts)
             overlap = counts[others]
-        need = np.ceil(ratio * (sizes[others] + sizes[q]) - 1e-9)
-        # Of two sets that both ask, the first one does.
-        able = (overlap + len(long) >= need) & (found.of[others] != found.of[q]) & ((others > q) | ~asking[others])
+        need = -(-p.num * (sizes[others] + sizes[q]) // (p.num + p.den))
+        able = (overlap + len(long) >= need) & (others != q) & (~asking[others] | (each_other & (others > q)))
         others, overlap, need = others[able], overlap[able], need[able]
-        for start in range(0, len(long), 32):
-            if not len(others):
-                break
-            probed = long[start : start + 32]
-            wanted = (probed[:, None] * n + others[None, :]).ravel()
-            place = np.minimum(np.searchsorted(entries, wanted), len(entries) - 1)
-            overlap = overlap + (entries[place] == wanted).reshape(len(probed), -1).sum(axis=0)
-            able = overlap + len(long) - start - len(probed) >= need
+        while len(others) and len(long):
+            probed, long = long[: p.probes], long[p.probes :]
+            if len(others) * len(probed) * p.lookup_entries > (tails[probed] - heads[probed]).sum():
+                overlap = overlap + np.bincount(np.concatenate([owner[heads[x] : tails[x]] for x in probed]), minlength=n)[others]
+            else:
+                wanted = (probed[:, None] * n + others[None, :]).ravel()
+                place = np.minimum(np.searchsorted(entries, wanted), len(entries) - 1)
+                overlap = overlap + (entries[place] == wanted).reshape(len(probed), -1).sum(axis=0)
+            able = overlap + len(long) >= need
             others, overlap, need = others[able], overlap[able], need[able]
-        for c in others[p.den * overlap >= p.num * (sizes[others] + sizes[q] - overlap)]:
-            if found.of[c] != found.of[q]:
-                links.append((int(q), int(c)))
-                found.join(int(q), int(c))
+        if len(found := others[overlap >= need]):
+            yield int(q), found
+
+
+def search(sets: list[np.ndarray], labels: np.ndarray, asking: np.ndarray, p: JoinParams) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(links that join sets of different labels, enough to span all that link; the labels that follow)."""
+    found, links = _Labels(labels), []
+    for q, others in partners(sets, asking, p):
+        links += found.span(q, others)
     return links, found.of
 
 
-FOUND = "group long, a long, b long, link boolean"
+def _members(lists: list[np.ndarray]) -> dict[int, np.ndarray]:
+    """value -> the numbers of the lists that hold it."""
+    values, whose = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    if not len(values):
+        return {}
+    order = np.argsort(values, kind="stable")
+    known, heads = np.unique(values[order], return_index=True)
+    return dict(zip(known.tolist(), np.split(whose[order], heads[1:]), strict=True))
+
+
+#: Links (a, b) that span components, and rows without b: in how many links a class is, with how many rows.
+FOUND = "a long, b long, links long, rows long"
 
 
 def _search_group(p: JoinParams):
-    """applyInArrow: group, class, shingles, label, asking, wide -> links between classes; of wide groups also the label of each class."""
+    """applyInArrow: class, rows, earlier, asking, block, part, shingles -> FOUND, of all links of classes that share none of their earlier groups."""
 
-    def run(rows: pa.Table) -> pa.Table:
-        lists = rows["shingles"].combine_chunks()
+    def column(rows: pa.Table, name: str) -> list[np.ndarray]:
+        lists = rows[name].combine_chunks()
         bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-        classes, labels, asking = (rows[c].to_numpy() for c in ("class", "label", "asking"))
-        # Each class once; where it asks and is asked, it asks.
-        order = np.lexsort((~asking, classes))
-        order = order[np.concatenate([[True], classes[order][1:] != classes[order][:-1]])]
-        classes, labels = classes[order], labels[order]
-        links, of = search([flat[bounds[i] : bounds[i + 1]] for i in order], labels, asking[order], p)
-        out = [(classes[i], classes[j], True) for i, j in links]
-        if rows["wide"][0].as_py():
-            least = np.full(len(of), np.iinfo(np.int64).max)
-            np.minimum.at(least, of, labels)
-            out += [(c, x, False) for c, x in zip(classes, least[of], strict=True)]
-        a, b, link = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"group": pa.array([rows["group"][0].as_py()] * len(out), pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "link": pa.array(link, pa.bool_())})
+        return [flat[bounds[i] : bounds[i + 1]] for i in range(len(lists))]
+
+    def run(rows: pa.Table) -> pa.Table:
+        # Each class once, also where rows repeat a doc_id and its text.
+        classes, first = np.unique(rows["class"].to_numpy(), return_index=True)
+        copies, asking = (rows[c].to_numpy()[first] for c in ("rows", "asking"))
+        sets, earlier = ([x[i] for i in first] for x in (column(rows, "shingles"), column(rows, "earlier")))
+        met, seen = _members(earlier), np.zeros(len(classes), dtype=bool)
+        found, links = _Labels(np.arange(len(classes))), []
+        n_links, n_rows = np.zeros((2, len(classes)), dtype=np.int64)
+        for q, others in partners(sets, asking, p, rows["block"][0] == rows["part"][0]):
+            if len(earlier[q]):
+                there = np.concatenate([met[g] for g in earlier[q].tolist()])
+                seen[there] = True
+                others, seen[there] = others[~seen[others]], False
+            n_links[q] += len(others)
+            n_links[others] += 1
+            n_rows[q] += copies[others].sum()
+            n_rows[others] += copies[q]
+            links += found.span(q, others)
+        linked = np.flatnonzero(n_links)
+        a, b = np.array(links, dtype=np.int64).reshape(-1, 2).T
+        none = [pa.nulls(len(x), pa.int64()) for x in (a, linked)]
+        columns = [(classes[a], classes[linked]), (classes[b], none[1]), (none[0], n_links[linked]), (none[0], n_rows[linked])]
+        return pa.table({name: pa.chunked_array([pa.array(x, pa.int64()) for x in both]) for name, both in zip(("a", "b", "links", "rows"), columns, strict=True)})
 
     return run
 
@@ -326,82 +361,62 @@ def groups(docs: DataFrame, p: JoinParams) -> DataFrame:
 
 
 def class_links(docs: DataFrame, rows: DataFrame, p: JoinParams) -> DataFrame:
-    """Links between classes that span every component: (a, b). rows: classes(docs, p), written."""
-    members = written(groups(docs, p), "groups")
+    """All links between classes, as FOUND: those that span every component, and their numbers by class. rows: classes(docs, p), written."""
+    shared = written(groups(docs, p), "groups").groupBy("class").agg(F.sort_array(F.collect_list("group")).alias("groups"))
     # One row of each class that has company tells its set.
-    reps = rows.where("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "text_digest")).alias("rep"))
-    reps = written(reps.join(members.select("class").distinct(), "class", "left_semi").select(F.col("rep.doc_id").alias("r_id"), F.col("rep.text_digest").alias("r_digest")), "representatives")
-    texts = _keyed(docs).join(sized_broadcast(reps, p.broadcast_rows), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_digest") == F.col("r_digest")), "left_semi")
-    sets = written(texts.select("text").mapInArrow(_sets(p), "class long, n long, shingles array<long>"), "sets")
-
-    sizes = members.join(sets.select("class", "n").distinct(), "class").groupBy("group").agg(F.sum("n").alias("n"))
-    wide = written(sizes.where(F.col("n") > p.block_shingles).select("group", F.ceil(F.col("n") / p.block_shingles).cast("int").alias("blocks")), "wide-groups")
-    members = members.join(sized_broadcast(wide, p.broadcast_rows), "group", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    members = members.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    local = members.join(sets, "class").withColumns({"label": F.col("class"), "asking": F.lit(True), "wide": F.col("blocks") > 1})
-    found = written(local.groupBy("group", "block").applyInArrow(_search_group(p), FOUND), "links")
-    links = found.where("link").select("a", "b")
+    known = rows.where("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "text_digest")).alias("rep"), F.max("n_shingles").alias("n"), F.count("*").alias("rows"))
+    reps = written(known.join(shared, "class").select("class", "n", "rows", "groups", F.col("rep.doc_id").alias("r_id"), F.col("rep.text_digest").alias("r_digest")), "representatives")
+    texts = _keyed(docs).join(sized_broadcast(reps.select("r_id", "r_digest"), p.broadcast_rows), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_digest") == F.col("r_digest")), "left_semi")
+    sets = written(texts.select("text").mapInArrow(_sets(p), "class long, n long, shingles array<long>"), "sets").select("class", "shingles")
+
+    members = reps.select("class", "n", "rows", "groups", F.posexplode("groups").alias("at", "group")).withColumn("earlier", F.slice("groups", F.lit(1), F.col("at"))).drop("groups", "at")
+    wide = written(members.groupBy("group").agg(F.sum("n").alias("total")).where(F.col("total") > p.block_shingles).select("group"), "wide-groups")
+    tasks = members.withColumns({"asking": F.lit(True), "level": F.lit(0), "block": F.lit(0), "part": F.lit(0)})
     if wide.limit(1).count():
-        links = links.unionAll(_links_across(members.where("blocks > 1"), sets, found.where("not link").select("group", F.col("a").alias("class"), F.col("b").alias("label")), p))
-    return links
-
-
-def _links_across(members: DataFrame, sets: DataFrame, local: DataFrame, p: JoinParams) -> DataFrame:
-    """What links the components of different blocks of a group. members: (group, class, block, blocks); local: (group, class, label) in each block."""
-
-    def dealt(df: DataFrame, salt: int) -> DataFrame:
-        """With part: blocks of df's own rows (group, class, n) by group."""
-        total = df.groupBy("group").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / p.block_shingles)).cast("int").alias("parts"))
-        return df.join(sized_broadcast(total, p.broadcast_rows), "group").withColumn("part", F.pmod(F.xxhash64("class", F.lit(salt)), F.col("parts")).cast("int"))
-
-    sized = members.join(sets.select("class", "n").distinct(), "class").join(local, ["group", "class"])
-    rank = F.row_number().over(Window.partitionBy("group", "label").orderBy(F.xxhash64("class", F.lit(3)), "class"))
-    probes = dealt(sized.withColumn("rank", rank).where(F.col("rank") <= p.probes), 1)
-    met = probes.join(sets.select("class", "shingles"), "class").withColumns({"asking": F.lit(True), "wide": F.lit(False)})
-    met = written(met.groupBy("group", "part").applyInArrow(_search_group(p), FOUND), "links").select("group", "a", "b")
-
-    # Labels grow together by those links, group by group: a label is a class, which is in a block of a group once.
-    ends = met
-    for end in "ab":
-        ends = ends.join(local.select("group", F.col("class").alias(end), F.xxhash64("group", "label").alias(f"{end}_at")), ["group", end])
-    named = sized.withColumn("at", F.xxhash64("group", "label"))
-    joined = connected_components(ends, "a_at", "b_at", p.broadcast_rows).select(F.col("node").alias("at"), "component")
-    named = written(named.join(joined, "at", "left").select("group", "class", "block", "blocks", "n", F.coalesce("component", "at").alias("label")), "labels")
-
-    largest = named.groupBy("group", "label").agg(F.count("*").alias("m")).groupBy("group").agg(F.max_by("label", F.struct("m", "label")).alias("largest"), F.count("*").alias("labels"))
-    rest = named.join(sized_broadcast(largest.where("labels > 1"), p.broadcast_rows), "group")
-    shared = rest.join(sets.select("class", "shingles"), "class").select("group", "class", "n", (F.col("label") != F.col("largest")).alias("outside"), F.explode("shingles").alias("shingle"))
-    often = shared.groupBy("group", "shingle").agg(F.count("*").alias("lists")).where("lists > 1")
-    able = shared.where("outside").join(often, ["group", "shingle"], "left_semi").groupBy("group", "class").agg(F.first("n").alias("n"), F.count("*").alias("elsewhere"))
-    able = written(dealt(able.where(p.den * F.col("elsewhere") >= p.num * F.col("n")).select("group", "class", "n"), 2).select("group", "class", "part", "parts"), "asking")
-    rest = rest.select("group", "class", "label", "block", "blocks").join(sets.select("class", "shingles"), "class")
-    each = F.explode(F.sequence(F.lit(0), F.col("most") - 1))
-    asking = rest.join(able, ["group", "class"]).withColumn("most", F.col("blocks")).select("group", "class", "label", "shingles", F.lit(True).alias("asking"), each.alias("block"), "part")
-    parts = sized_broadcast(able.groupBy("group").agg(F.max("parts").alias("most")), p.broadcast_rows)
-    asked = rest.join(parts, "group").select("group", "class", "label", "shingles", F.lit(False).alias("asking"), "block", each.alias("part"))
-    both = asking.unionByName(asked).withColumn("wide", F.lit(False))
-    across = written(both.groupBy("group", "block", "part").applyInArrow(_search_group(p), FOUND), "links")
-    return met.select("a", "b").unionAll(across.select("a", "b"))
+        wide = sized_broadcast(wide, p.broadcast_rows)
+        tasks = tasks.join(wide, "group", "left_anti").unionByName(_blocks(members.join(wide, "group"), sets, p))
+    tasks = tasks.select("group", "level", "block", "part", "class", "rows", "earlier", "asking").join(sets, "class")
+    return written(tasks.groupBy("group", "level", "block", "part").applyInArrow(_search_group(p), FOUND), "links")
+
+
+def _blocks(members: DataFrame, sets: DataFrame, p: JoinParams) -> DataFrame:
+    """Members of wide groups with level, block, part, asking: in a level's task, those of a block ask those of a part."""
+    lists = members.select("group", "class").join(sets, "class").select("group", "class", F.explode("shingles").alias("shingle"))
+    alone = lists.groupBy("group", "shingle").agg(F.first("class").alias("class"), F.count("*").alias("sets")).where("sets = 1").groupBy("group", "class").agg(F.count("*").alias("alone"))
+    able = members.join(alone, ["group", "class"], "left").where(p.den * (F.col("n") - F.coalesce("alone", F.lit(0))) >= p.num * F.col("n")).drop("alone")
+    own = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(p.den / p.num)) + 1e-9).cast("int")
+    # A set asks those of its own level and of the one below.
+    able = able.withColumn("own", own).withColumn("level", F.explode(F.array(F.col("own"), F.col("own") + 1))).withColumn("asking", F.col("own") == F.col("level"))
+    able = written(able, "wide-members")
+    many = able.groupBy("group", "level").agg(F.ceil(F.sum("n") / p.block_shingles).cast("int").alias("blocks"), F.max("asking").alias("asked")).where("asked").drop("asked")
+    able = able.join(sized_broadcast(many, p.broadcast_rows), ["group", "level"]).withColumn("own_block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    last = F.col("blocks") - 1
+    asking = able.where("asking").withColumns({"block": F.col("own_block"), "part": F.explode(F.sequence(F.lit(0), last))})
+    # Of two blocks whose sets both ask, the first one asks.
+    asked = able.withColumn("block", F.explode(F.sequence(F.lit(0), last))).where(~F.col("asking") | (F.col("block") < F.col("own_block")))
+    asked = asked.withColumns({"part": F.col("own_block"), "asking": F.lit(False)})
+    return asking.unionByName(asked).drop("own", "own_block", "blocks")
 
 
 def components(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
-    """A row per row of docs: doc_id, text_digest, n_shingles, component_id, class, component (a class; both null for the empty set), n_class_links (spanning links of its class)."""
+    """A row per row of docs: doc_id, text_digest, n_shingles, component_id, class, component (a class; both null for the empty set), n_class_links, n_links."""
     rows = written(classes(docs, p), "classes")
-    links = class_links(docs, rows, p)
-    degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_class_links"))
-    joined = connected_components(links, broadcast_rows=p.broadcast_rows).select(F.col("node").alias("class"), "component")
+    found = class_links(docs, rows, p)
+    degree = found.where("links is not null").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("n_class_links"), F.sum("rows").alias("elsewhere"))
+    joined = connected_components(found.where("links is null"), broadcast_rows=p.broadcast_rows).select(F.col("node").alias("class"), "component")
     known = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     labelled = known.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = labelled.join(least, "component").join(degree, "class", "left").select("class", "component", "component_id", F.coalesce("n_class_links", F.lit(0)).alias("n_class_links"), "rows")
+    counts = [F.coalesce("n_class_links", F.lit(0)).alias("n_class_links"), (F.coalesce("elsewhere", F.lit(0)) + F.col("rows") - 1).alias("n_links")]
+    named = labelled.join(least, "component").join(degree, "class", "left").select("class", "component", "component_id", *counts, "rows")
     named = written(named, "named-classes")
     # Rows of the commonest classes meet them by a broadcast of bounded size, so no class is a hot key.
     most = p.hot_share * rows.count()
     hot = F.broadcast(named.where(F.col("rows") > most))
     cold = named.where(F.col("rows") <= most)
-    alone = rows.where("class is null").withColumns({"component": F.lit(None).cast("long"), "component_id": F.col("doc_id"), "n_class_links": F.lit(0).cast("long")})
+    alone = rows.where("class is null").withColumns({"component": F.lit(None).cast("long"), "component_id": F.col("doc_id"), "n_class_links": F.lit(0).cast("long"), "n_links": F.lit(0).cast("long")})
     linked = rows.join(hot, "class").unionByName(rows.where("class is not null").join(hot, "class", "left_anti").join(cold, "class")).drop("rows")
-    return linked.unionByName(alone).select("doc_id", "text_digest", "n_shingles", "component_id", "class", "component", "n_class_links")
+    return linked.unionByName(alone).select("doc_id", "text_digest", "n_shingles", "component_id", "class", "component", "n_class_links", "n_links")
 
 
 def one_of_each(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
@@ -421,4 +436,4 @@ def one_of_each(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_class_links")
+    return components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class", "n_class_links", "n_links")

@@ -150,6 +150,34 @@ def test_search_by_dividing_lists():
         assert of[0] == of[1] == of[3] != of[2]
 
 
+def test_partners_are_all_links():
+    sets = [np.arange(i, i + 100) for i in range(12)] + [np.arange(500, 540), np.arange(502, 540)]
+    want = {(i, j) for i in range(12) for j in range(i + 1, min(i + 9, 12))} | {(12, 13)}
+    for heap, entries in ((0, 0), (0, 10**9), (2_000, 16)):
+        p = jaccard_join.JoinParams(heap_entries=heap, lookup_entries=entries, probes=5)
+        got = [(q, c) for q, found in jaccard_join.partners(sets, np.ones(14, bool), p) for c in found.tolist()]
+        assert set(got) == want and len(got) == len(want)
+        some = np.arange(14) % 3 == 0
+        got = {(q, c) for q, found in jaccard_join.partners(sets, some, p, each_other=False) for c in found.tolist()}
+        assert got == {(a, b) for x in want for a, b in (x, x[::-1]) if some[a] and not some[b]}
+
+
+@pytest.mark.parametrize(("block", "broadcast", "hot"), [(1_000_000, 50_000, 32), (1_000_000, 50_000, 2), (300, 2, 2)])
+def test_links_within_a_component_are_counted(spark, block, broadcast, hot):
+    """All edits of a text link with each other, not only along a tree; copies count as rows."""
+    words = [[w if (j * 13 + i) % 37 else f"{i}" for j, w in enumerate(BASE)] for i in range(9)]
+    rows = [(i, " ".join(w[: 120 - 2 * k])) for k in range(4) for i, w in enumerate(words, 100 * k)]
+    rows += [(900 + i, t) for i, t in enumerate(NEAR)] + [(950 + i, t.upper()) for i, t in enumerate(NEAR[:4])] + [(40, None), (41, "one"), (42, "ONE"), (None, NEAR[5]), (900, NEAR[0])]
+    rows += [(1000 + i, " ".join(f"a{i * 3 + j}" for j in range(110))) for i in range(12)]
+    sets = [brute.shingles(t) for _, t in rows]
+    linked = [[100 * len(a & b) >= 85 * len(a | b) and bool(a) for b in sets] for a in sets]
+    want = [(d, len({frozenset(b) for b, x in zip(sets, own, strict=True) if x and b != a}), max(0, sum(own) - 1)) for (d, _), a, own in zip(rows, sets, linked, strict=True)]
+    assert max(x[1] for x in want) > 8
+    p = jaccard_join.JoinParams(block_shingles=block, broadcast_rows=broadcast, hot=hot)
+    got = jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), p)
+    assert pairs(got, "doc_id", "n_class_links", "n_links") == sorted(want, key=repr)
+
+
 # Decontamination
 
 
