@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 
-import numpy as np
-
-#: Words of these letters, with or without closing marks, need no normalising but lower-casing.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: Words of these letters, with or without closing marks, need no normalising but lower-casing; the library cuts between them.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#*$%&]*)")
+_MARKS = b".,;:!?#*$%&"
 
 
 def byte_letters() -> dict[int, str]:
@@ -24,6 +24,10 @@ def file_digest(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class ChunkEncoder(dict):
     """chunk (UTF-8) -> its ids as little-endian unsigned 32-bit numbers.
 
@@ -44,6 +48,16 @@ class ChunkEncoder(dict):
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= self.most:
             self.clear()
+        word = chunk.rstrip(_MARKS)
+        if word.isalpha():  # of A-Z and a-z alone, which stand for themselves
+            low = word.lower()
+            if low == chunk:
+                out = self[chunk] = _packed([t.id for t in self.model.tokenize(low.decode())])
+            elif len(word) == len(chunk):
+                out = self[chunk] = self[low]
+            else:
+                out = self[chunk] = self[low] + self[chunk[len(word) :]]
+            return out
         text = chunk.decode()
         plain = _PLAIN.fullmatch(text)
         if plain is None:
@@ -57,7 +71,7 @@ class ChunkEncoder(dict):
                 out = self[chunk] = self[low]
                 return out
             ids = [t.id for t in self.model.tokenize(low.decode("latin-1").translate(self.letters))]
-        out = self[chunk] = np.array(ids, dtype="<u4").tobytes()
+        out = self[chunk] = _packed(ids)
         return out
 
     def encode(self, text: str | None) -> bytes:

@@ -273,6 +273,16 @@ def test_chunk_ids_are_the_librarys(library, texts):
         assert np.frombuffer(e.encode(t), "<u4").tolist() == library.encode(t or "", add_special_tokens=False).ids
 
 
+def test_marked_words_need_no_whole_library(library):
+    e, text = ChunkEncoder(packing.default_tokenizer()), "plain Word### hetioning*** CIÓN&&& x% ab.*** ###heth: a&b Don't, 12$ naïve#.,; *** ***"
+    want = [library.encode(w, add_special_tokens=False).ids for w in text.split()]
+    marks = {b"*": e[b"*"], b"###": e[b"###"], b"***": e[b"***"], b"&&&": e[b"&&&"], b"%": e[b"%"], b".***": e[b".***"]}
+    assert all(np.frombuffer(x, "<u4").tolist() == library.encode(m.decode(), add_special_tokens=False).ids for m, x in marks.items())
+    assert [np.frombuffer(e.encode(w), "<u4").tolist() for w in text.split()] == want
+    e.library = None
+    assert np.frombuffer(e.encode("hetion*** Other### words% Elección&&& of.***"), "<u4").tolist() == library.encode("hetion*** Other### words% Elección&&& of.***", add_special_tokens=False).ids
+
+
 def check_packing(df, docs, library):
     ids = {d: [*library.encode(t or "", add_special_tokens=False).ids, 1] for d, t in docs}
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
