@@ -10,8 +10,7 @@ lower, the more it resembles the target.
 2. Pairs of very frequent words are counted in a dense table of bounded size, which is broadcast with its losses. What is
    left has a word that is not very frequent in each pair.
 3. Every document's other distinct pairs are dealt once: by pair where both words have numbers, else by the word without
-   one, which meets all its occurrences there. Windows sum a pair's count and such a word's own, right where the rows are,
-   and each row gets its losses. A pair of two words without numbers is dealt to both, and its two halves meet again
+   one, which meets its own count there. A window sums a pair's count right where the rows are, and each row gets its losses. A pair of two words without numbers is dealt to both, and its two halves meet again
    when a document's rows are summed up.
 
 Words travel as 63-bit digests; that no two words of the corpus share one is checked, and another seed is taken
@@ -27,7 +26,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, count
+from itertools import chain, count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import drop_paths, new_path, sized_broadcast, table
+from .common import drop_paths, new_path, sized_broadcast, table, written
 
 _LOW = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Numbers of the boundary before a text and of the most frequent word; the others follow by falling frequency.
@@ -123,7 +122,7 @@ class Numbers:
     def _learn(self, words: set[bytes]) -> None:
         if len(self.of) > self.most:
             self.of.clear()
-        missing = list(words.difference(self.of))
+        missing = list(words)
         digests = np.fromiter((word_digest(w, self.seed) for w in missing), dtype=np.int64, count=len(missing))
         at = np.searchsorted(self.sorted, digests)
         found = np.append(self.sorted, 0)[at] == digests
@@ -133,15 +132,32 @@ class Numbers:
 
     def pairs(self, texts: Iterator[pa.Scalar]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first words, second words of the texts' pairs, one text after another; how many each text has)."""
-        split = [tokens(t.as_py()) for t in texts]
-        words = list(chain.from_iterable(split))
-        self._learn(set(words))
-        second = np.fromiter(map(self.of.__getitem__, words), dtype=np.int64, count=len(words))
-        lengths = np.array([len(x) for x in split], dtype=np.int64)
-        first = np.concatenate([[BOUNDARY], second[:-1]])[: len(second)]
-        starts = np.cumsum(lengths) - lengths
-        first[starts[lengths > 0]] = BOUNDARY
-        return first, second, lengths
+        words, lengths = _split(texts)
+        second = _looked_up(self.of, words, BOUNDARY)
+        new = np.flatnonzero(second == BOUNDARY)  # which is no word's number
+        if len(new):
+            unknown = [words[i] for i in new.tolist()]
+            self._learn(set(unknown))
+            second[new] = np.fromiter(map(self.of.__getitem__, unknown), dtype=np.int64, count=len(unknown))
+        return _before(second, lengths), second, lengths
+
+
+def _split(texts: Iterator[pa.Scalar]) -> tuple[list[bytes], np.ndarray]:
+    """(the words of all texts, how many each text has)."""
+    split = [tokens(t.as_py()) for t in texts]
+    return list(chain.from_iterable(split)), np.array([len(x) for x in split], dtype=np.int64)
+
+
+def _looked_up(of: dict[bytes, int], words: list[bytes], other: int) -> np.ndarray:
+    return np.fromiter(map(of.get, words, repeat(other)), dtype=np.int64, count=len(words))
+
+
+def _before(second: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The word before each word, or the boundary."""
+    first = np.concatenate([[BOUNDARY], second[:-1]])[: len(second)]
+    starts = np.cumsum(lengths) - lengths
+    first[starts[lengths > 0]] = BOUNDARY
+    return first
 
 
 def _dense_cells(first: np.ndarray, second: np.ndarray, dense: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,15 +172,16 @@ def _slices(batches: Iterator[pa.RecordBatch], texts: int = 500) -> Iterator[pa.
             yield b.slice(start, texts)
 
 
-def _count_dense(p: LmParams, vocabulary, seed: int):
-    """mapInArrow: (text, target) -> (cell, n, n_target): a task's own sums."""
+def _count_dense(p: LmParams, frequent: list[str]):
+    """mapInArrow: (text, target) -> (cell, n, n_target): a task's own sums. frequent: the words of the dense table in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, size = Numbers(vocabulary.value, seed, p.most_words), p.dense**2
+        of, size = {w.encode(): i for i, w in enumerate(frequent, FIRST)}, p.dense**2
         sums = np.zeros((2, size), dtype=np.int64)
         for b in _slices(batches):
-            first, second, lengths = numbers.pairs(b.column("text"))
-            there, cells = _dense_cells(first, second, p.dense)
+            words, lengths = _split(b.column("text"))
+            second = _looked_up(of, words, -1)
+            there, cells = _dense_cells(_before(second, lengths), second, p.dense)
             inside = np.repeat(b.column("target").to_numpy(zero_copy_only=False), lengths)[there]
             for side, own in enumerate((cells, cells[inside])):
                 sums[side] += np.bincount(own, minlength=size)
@@ -254,13 +271,17 @@ def score(docs: DataFrame, target_ids: DataFrame, p: LmParams = LmParams()) -> D
     words = counts.where("word != ''")
     n_docs = counts.where("word = ''").agg(*sums).first().asDict()
     totals = words.agg(*sums, F.count("*").alias("words")).first().asDict()
-    top = words.select("n", F.substring("word", 1, 32).alias("begins"), "digest", "n_target").orderBy(F.desc("n"), "begins", "digest").limit(p.numbered).drop("begins").toArrow()
+    order = (F.desc("n"), "begins", "digest")
+    begun = words.withColumn("begins", F.substring("word", 1, 32))
+    top = begun.select("n", "begins", "digest", "n_target").orderBy(*order).limit(p.numbered).drop("begins").toArrow()
+    frequent = begun.select("n", "begins", "digest", "word").orderBy(*order).limit(max(0, min(p.numbered, p.dense - FIRST))).toArrow()["word"].to_pylist()
     vocabulary = sc.broadcast(top["digest"].to_numpy())
     single = {c: np.concatenate([[n_docs[c] or 0], top[c].to_numpy()]).astype(np.int64) for c in ("n", "n_target")}
     n_words, totals = max(1, totals["words"]), {c: totals[c] or 0 for c in single}
+    again = written(words.where("n > 1").select(F.col("digest").alias("own"), F.col("n").alias("all_n"), F.col("n_target").alias("all_n_target")), "words-again")
     drop_paths(spark, path)
 
-    cells = marked.select("text", "target").mapInArrow(_count_dense(p, vocabulary, seed), "cell long, n long, n_target long").groupBy("cell").agg(*sums).toArrow()
+    cells = marked.select("text", "target").mapInArrow(_count_dense(p, frequent), "cell long, n long, n_target long").groupBy("cell").agg(*sums).toArrow()
     dense, tables = p.dense, []
     for c in ("n_target", "n"):
         pair = np.zeros(dense * dense, dtype=np.int64)
@@ -270,12 +291,12 @@ def score(docs: DataFrame, target_ids: DataFrame, p: LmParams = LmParams()) -> D
         tables.append(_losses(p, pair, np.repeat(own, dense), np.tile(own, dense), totals[c], n_words))
     rows = marked.mapInArrow(_rows(p, vocabulary, seed, sc.broadcast(tables)), ROWS)
 
-    # One exchange and one sort serve both windows.
+    # One exchange and one sort serve the window and the join. A word without a row there occurs once in the corpus: here.
     dealt = rows.repartition("key").select("row", "key", "times", "target", "head", "rare.other", "rare.second", "rare.slot").sortWithinPartitions("key", "other", "second")
-    same_key, same_pair = Window.partitionBy("key"), Window.partitionBy("key", "other", "second")
+    same_pair = Window.partitionBy("key", "other", "second")
     times = {"n": F.col("times"), "n_target": F.when(F.col("target"), F.col("times")).otherwise(0)}
-    counted = dealt.withColumns({f"own_{c}": F.sum(F.when(F.col("second"), x)).over(same_key) for c, x in times.items()})
-    counted = counted.withColumns({c: F.sum(x).over(same_pair) for c, x in times.items()})
+    counted = dealt.withColumns({c: F.sum(x).over(same_pair) for c, x in times.items()}).join(again.hint("merge"), F.col("key") == F.col("own"), "left")
+    counted = counted.withColumns({"own_n": F.coalesce("all_n", F.lit(1)), "own_n_target": F.coalesce("all_n_target", F.col("target").cast("long"))}).drop("own", "all_n", "all_n_target")
     numbered = spark.createDataFrame(pa.table({"number": np.arange(len(single["n"])), **single}))
     of_pair = {"first": F.shiftright("key", SHIFT), "second": F.col("key").bitwiseAND((1 << SHIFT) - 1)}
     for side, is_key in (("first", ~F.col("second")), ("second", F.col("second"))):

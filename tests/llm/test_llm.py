@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -592,6 +593,12 @@ def test_lm_scoring_of_odd_and_empty_tables(spark, odd):
         lm_scoring.LmParams(numbered=1 << 24)
 
 
+def test_dense_counts_look_up_frequent_words_alone():
+    batch = pa.RecordBatch.from_pydict({"text": ["a b x a A", None, "", "b y b"], "target": [True, False, True, False]})
+    (got,) = lm_scoring._count_dense(lm_scoring.LmParams(hot_pairs=9), ["a", "b"])(iter([batch]))
+    assert got.to_pylist() == [{"cell": c, "n": 1, "n_target": t} for c, t in ((1, 1), (2, 0), (4, 1), (5, 1))]
+
+
 def test_scores_use_all_words_and_pairs(spark):
     """One-word chains: each pair and word occurs once, more words than have numbers by default."""
     p = lm_scoring.LmParams(most_words=50_000)
