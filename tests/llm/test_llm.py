@@ -599,6 +599,32 @@ def test_dense_counts_look_up_frequent_words_alone():
     assert got.to_pylist() == [{"cell": c, "n": 1, "n_target": t} for c, t in ((1, 1), (2, 0), (4, 1), (5, 1))]
 
 
+def test_pairs_dealt_together_are_listed_once(spark):
+    """300 documents with the same two pairs are two keys, in a row for each part that has one, and a row for the documents."""
+    docs = spark.createDataFrame([(i, "alpha beta" + " gamma delta gamma delta" * (i == 7), i < 100) for i in range(300)], "doc_id long, text string, target boolean").coalesce(1)
+    sc, p = spark.sparkContext, lm_scoring.LmParams(hot_pairs=0)
+    vocabulary = sc.broadcast(lm_scoring.word_digests(pa.array(["alpha", "beta"]), 0))
+    rows = docs.mapInArrow(lm_scoring._deal(p, vocabulary, 0, sc.broadcast([np.zeros(0, np.int64)] * 2), 4), lm_scoring.DEALT).collect()
+    assert len(rows) <= 5 and {(r.size, r.inside) for r in rows} == {(300, 100)}
+    assert sorted((k, h) for r in rows for k, h in zip(r["keys"], r.held)) == [(1, 300), (1 << 24 | 2, 300)]
+    assert sum(len(r.docs) for r in rows) == 600 and sorted(t for r in rows for t in r.rare_times) == [1, 1, 1, 2, 2]
+    assert [len(r.doc_ids) for r in rows if r.doc_ids] == [300]
+
+
+@pytest.mark.parametrize("part_words", [300, 1_000_000])
+def test_scores_of_many_parts(spark, small, part_words):
+    docs = small.unionAll(spark.createDataFrame([(None, "  white\x0bspace\tat both\x1cends \n", "", "", 0), (-1, "odd words odd words Only here odd", "", "", 0)], small.schema)) if len(small.columns) == 5 else small
+    target = small.where("doc_id % 3 = 0").select("doc_id")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    p = lm_scoring.LmParams(numbered=200, hot_pairs=100, most_words=300, part_words=part_words)
+    key = lambda r: (r[0] is not None, r[0])
+    want = zip(rows, lm_losses(rows, {d for d, _ in rows if d is not None and d % 3 == 0 and d >= 0}, p), lm_losses(rows, {d for d, _ in rows}, p), strict=True)
+    want = sorted([(d, len(lm_scoring.tokens(t)), a, b) for (d, t), a, b in want], key=key)
+    got = sorted([tuple(r)[:4] for r in lm_scoring.score(docs, target, p).collect()], key=key)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(g[2:] == (pytest.approx(w[2:], rel=1e-7) if w[2] is not None else w[2:]) for g, w in zip(got, want, strict=True))
+
+
 def test_scores_use_all_words_and_pairs(spark):
     """One-word chains: each pair and word occurs once, more words than have numbers by default."""
     p = lm_scoring.LmParams(most_words=50_000)
