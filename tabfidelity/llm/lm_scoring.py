@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_paths, new_path, sized_broadcast, table
+from .tokens import split_words, text_slices
 
 _LOW = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Numbers of the boundary before a text and of the most frequent word; the others follow by falling frequency.
@@ -87,24 +88,7 @@ def word_digests(words: pa.Array, seed: int) -> np.ndarray:
 
 def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(the words of all texts, as tokens() has them; how many each text has)."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-    words, lengths = split.flatten(), pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    empty = pc.equal(words, "").to_numpy(zero_copy_only=False)  # beside white space at an end
-    if empty.any():
-        lengths -= np.bincount(np.repeat(np.arange(len(lengths)), lengths)[empty], minlength=len(lengths))
-        words = words.filter(pa.array(~empty))
-    return words, lengths
-
-
-def _slices(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Some rows at a time: fewer than 2^DOCS, and about most_bytes of text at most, but for one long text."""
-    for b in batches:
-        sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        part = (np.cumsum(sizes) - sizes) // most_bytes
-        at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else part
-        for start, end in zip(at.tolist(), [*at[1:].tolist(), b.num_rows], strict=False):
-            for begin in range(start, end, 1 << DOCS):
-                yield b.slice(begin, min(end - begin, 1 << DOCS))
+    return split_words(pc.ascii_lower(texts))
 
 
 def _flags(column: pa.Array) -> np.ndarray:
@@ -115,7 +99,7 @@ def _count_words(p: LmParams, seed: int):
     """(text, target) -> (word, digest, n, n_target); the empty word counts the texts that have words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches, 64 * p.most_words):
+        for b in text_slices(batches, 64 * p.most_words, 1 << DOCS):
             words, lengths = _split(b.column("text"))
             coded, target = words.dictionary_encode(), _flags(b.column("target"))
             known, at = pa.concat_arrays([coded.dictionary, pa.array([""], coded.dictionary.type)]), coded.indices.to_numpy()
@@ -168,7 +152,7 @@ def _count_dense(p: LmParams, frequent: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, size = pa.array(frequent, pa.string()), p.dense**2
         sums = np.zeros((2, size), dtype=np.int64)
-        for b in _slices(batches, 12 * p.most_words):
+        for b in text_slices(batches, 12 * p.most_words, 1 << DOCS):
             words, lengths = _split(b.column("text"))
             second = pc.fill_null(pc.index_in(words, value_set=known), -1 - FIRST).to_numpy().astype(np.int64) + FIRST
             there, cells = _dense_cells(_before(second, lengths), second, p.dense)
@@ -233,7 +217,7 @@ def _deal(p: LmParams, vocabulary, seed: int, losses, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, tables = Numbers(vocabulary.value, seed), losses.value
         number = TaskContext.get().partitionId() << 40
-        for b in _slices(batches, 12 * p.most_words):
+        for b in text_slices(batches, 12 * p.most_words, 1 << DOCS):
             b = b.take(pa.array(np.argsort(~_flags(b.column("target")), kind="stable")))
             n = b.num_rows
             first, second, lengths = numbers.pairs(b.column("text"))

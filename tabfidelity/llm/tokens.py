@@ -5,10 +5,16 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words of these letters, with or without closing marks, need no normalising but lower-casing; the library cuts between them.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#*$%&]*)")
 _MARKS = b".,;:!?#*$%&"
+_CUT = "^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,;:!?#*$%&]*)$"
 
 
 def byte_letters() -> dict[int, str]:
@@ -28,6 +34,34 @@ def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the words of all texts between ASCII white space, how many each text has)."""
+    split = pc.ascii_split_whitespace(texts)
+    words, lengths = split.flatten(), pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    empty = pc.equal(words, "").to_numpy(zero_copy_only=False)  # beside white space at an end
+    if empty.any():
+        lengths -= np.bincount(np.repeat(np.arange(len(lengths)), lengths)[empty], minlength=len(lengths))
+        words = words.filter(pa.array(~empty))
+    return words, lengths
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], most_bytes: int, most_rows: int) -> Iterator[pa.RecordBatch]:
+    """Some rows at a time: about most_bytes of text at most, but for one long text."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = (np.cumsum(sizes) - sizes) // most_bytes
+        at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else part
+        for start, end in zip(at.tolist(), [*at[1:].tolist(), b.num_rows], strict=False):
+            for begin in range(start, end, most_rows):
+                yield b.slice(begin, min(end - begin, most_rows))
+
+
+def _gathered(ids: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the pieces of ids numbered by at, one after another; their sizes). sizes: of all pieces, which lie in order."""
+    own = sizes[at]
+    return ids[np.repeat((np.cumsum(sizes) - sizes)[at] - np.cumsum(own) + own, own) + np.arange(own.sum())], own
+
+
 class ChunkEncoder(dict):
     """chunk (UTF-8) -> its ids as little-endian unsigned 32-bit numbers.
 
@@ -44,6 +78,7 @@ class ChunkEncoder(dict):
         self.model = self.library.model
         self.letters = byte_letters()
         self.most = most
+        self.pieces: dict[str, bytes] = {}
 
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= self.most:
@@ -74,6 +109,32 @@ class ChunkEncoder(dict):
         out = self[chunk] = _packed(ids)
         return out
 
+    def _piece(self, piece: str) -> bytes:
+        """For what encode_all() cuts: letters are in lower case."""
+        if piece.isascii() and piece.isalpha():
+            return _packed([t.id for t in self.model.tokenize(piece)])
+        return self[piece.encode()]
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after another; how many each text has). Distinct chunks are looked up once, and plain words without their marks."""
+        words, lengths = split_words(texts)
+        coded = words.dictionary_encode()
+        chunks = coded.dictionary
+        cut = pc.extract_regex(chunks, _CUT)
+        heads = pc.if_else(cut.is_valid(), pc.utf8_lower(pc.struct_field(cut, "word")), chunks).dictionary_encode()
+        marks = pc.if_else(cut.is_valid(), pc.struct_field(cut, "marks"), "").dictionary_encode()
+        if len(self.pieces) >= self.most:
+            self.pieces.clear()
+        names = [x for half in (heads, marks) for x in half.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        self.pieces.update((x, self._piece(x)) for x in names if x not in self.pieces)
+        blobs = list(map(self.pieces.__getitem__, names))
+        ids, sizes = np.frombuffer(b"".join(blobs), dtype="<u4"), np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // 4
+        both = np.stack([heads.indices.to_numpy(), marks.indices.to_numpy() + len(heads.dictionary)], axis=1)
+        ids, sizes = _gathered(ids, sizes, both.ravel())
+        ids, sizes = _gathered(ids, sizes.reshape(-1, 2).sum(axis=1), coded.indices.to_numpy())
+        ends = np.append(0, np.cumsum(sizes))[np.cumsum(lengths)]
+        return ids, np.diff(ends, prepend=0)
+
     def encode(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, (text or "").encode().split()))
 
