@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import row_key, table, written
-from .tokens import encoder
+from .tokens import encoder, text_slices
 
 
 @dataclass(frozen=True)
@@ -155,20 +155,33 @@ def _tokenised(p: Packing):
     """mapInArrow: (doc_id, text_digest, text) -> TOKENISED: a row per document, and one for each batch (ids null) with the terms of its documents and in how many they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(p.tokenizer).encode, np.array([p.separator], dtype="<u4").tobytes()
+        encode_all = encoder(p.tokenizer).encode_all
         for b in batches:
             blobs, keys, tokens, terms = [], [], [], []
-            for t in b.column("text"):
-                ids = np.frombuffer(encode(t.as_py()) + end, dtype="<u4")
-                own, counts = np.unique(ids, return_counts=True)
-                strength = np.sqrt(counts) * (1.0 + own)
-                best = own[np.argsort(-strength, kind="stable")[:3]].tolist()
-                keys.append(best + [-1] * (3 - len(best)))
+            for part in text_slices(iter([b]), 1 << 23, 10_000):
+                ids, sizes = encode_all(part.column("text"))
+                ids = np.insert(ids, np.cumsum(sizes), p.separator)
+                sizes = sizes + 1
+                pair = np.sort(np.repeat(np.arange(len(sizes)), sizes) << 32 | ids)
+                heads = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+                doc, own = pair[heads] >> 32, pair[heads] & 0xFFFFFFFF
+                strength = np.sqrt(np.diff(np.append(heads, len(pair)))) * (1.0 + own)
+                starts = np.searchsorted(doc, np.arange(len(sizes)))
+                best = np.full((len(sizes), 3), -1, dtype=np.int32)
+                for k in range(3):  # the strongest left, the first one of equals
+                    most = np.maximum.reduceat(strength, starts)
+                    at = np.flatnonzero((strength == most[doc]) & (strength > 0))
+                    at = at[np.append(True, doc[at][1:] != doc[at][:-1])] if len(at) else at
+                    best[doc[at], k], strength[at] = own[at], 0
+                keys.append(best)
                 terms.append(own)
-                tokens.append(len(ids))
-                blobs.append((ids.astype("<u2") if own[-1] < 1 << 16 else ids).tobytes())
+                tokens.extend(sizes.tolist())
+                short = np.maximum.reduceat(own, starts) < 1 << 16
+                ends = np.cumsum(sizes).tolist()
+                narrow = ids.astype("<u2")
+                blobs.extend((narrow if s else ids)[end - n : end].tobytes() for end, n, s in zip(ends, sizes.tolist(), short.tolist(), strict=True))
             seen, documents = np.unique(np.concatenate(terms), return_counts=True) if terms else (np.zeros(0, int), np.zeros(0, int))
-            n, key = len(blobs), np.array(keys, dtype=np.int32).reshape(-1, 3)
+            n, key = len(blobs), np.concatenate([np.zeros((0, 3), dtype=np.int32), *keys])
             none = lambda kind: pa.nulls(1, kind)
             columns = [
                 pa.concat_arrays([b.column("doc_id"), none(pa.int64())]), pa.concat_arrays([b.column("text_digest"), none(pa.int64())]),

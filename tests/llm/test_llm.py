@@ -284,6 +284,16 @@ def test_marked_words_need_no_whole_library(library):
     assert np.frombuffer(e.encode("hetion*** Other### words% Elección&&& of.***"), "<u4").tolist() == library.encode("hetion*** Other### words% Elección&&& of.***", add_special_tokens=False).ids
 
 
+def test_ids_of_many_texts_at_once(library, texts):
+    e, many = ChunkEncoder(packing.default_tokenizer(), most=500), [None, "", " \n", *[t for _, t in TEXTS[:5] + TEXTS[6:]], "Word*** word ÉÉ#.,; naïve### x%y% 12$ *** a\x0bb\x1cc ", *texts.values()]
+    for _ in range(2):
+        ids, sizes = e.encode_all(pa.array(many, pa.string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [library.encode(t or "", add_special_tokens=False).ids for t in many]
+    e = ChunkEncoder(packing.default_tokenizer())
+    e.encode_all(pa.array(["Word*** word WORD# word."]))
+    assert set(e.pieces) - {"", "***", "#", "."} == {"word"}  # looked up once
+
+
 def check_packing(df, docs, library):
     ids = {d: [*library.encode(t or "", add_special_tokens=False).ids, 1] for d, t in docs}
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
