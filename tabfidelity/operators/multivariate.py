@@ -214,7 +214,17 @@ def mixed_vectors(df: DataFrame, key: str, numeric: Sequence[str], categorical:
 
 
 def dcr(a: DataFrame, b: DataFrame, exclude_self: bool = False, metric: Metric = "euclidean") -> DataFrame:
-    """(id, distance): to the closest record."""
+    """(id, distance): to the closest record. Where most rows repeat others, distinct ones alone are looked for, among distinct ones."""
+    if not exclude_self:
+        a = stored(a.select("id", "v"), "rows")
+        n, kinds = a.agg(F.count("*"), F.approx_count_distinct(F.xxhash64("v"))).first()
+        m, other_kinds = b.agg(F.count("*"), F.approx_count_distinct(F.xxhash64("v"))).first()
+        if 2 * other_kinds < m:
+            b = b.groupBy("v").agg(F.min("id").alias("id"))
+        if 2 * kinds < n:
+            one = stored(a.groupBy("v").agg(F.min("id").alias("id")), "distinct")
+            found = knn_join(one, b, 1, metric).select(F.col("id").alias("one"), "distance").join(one.withColumnRenamed("id", "one"), "one")
+            return a.join(found, "v").select("id", "distance")
     return knn_join(a, b, 1, metric, exclude_self=exclude_self).select("id", "distance")
 
 

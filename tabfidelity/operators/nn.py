@@ -6,7 +6,11 @@ inequality only searched rows within 2 U + t of the pivot can be among them: the
 are cut into blocks, so a task holds one block of either side, whatever the sizes; blocks' best rows are merged.
 
 What pivots would shuffle and compare is counted first. Where they rule out too little (many dimensions without
-clusters), each row of the asking side meets every block of the searched side once instead; that is work of rows times rows.
+clusters), blocks of rows are packed, and every block of one side meets every block of the other in a Cartesian product: a side is shuffled
+once, without copies, and a task holds some packed blocks of it. That is work of rows times rows.
+
+Within a task, distances come from a matrix product that finds what can be among the nearest, whose distances are then taken exactly;
+in few dimensions, both blocks are cut into boxes first, and boxes too far apart don't meet.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,11 +48,12 @@ def _mixed(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
     for i in range(a.shape[1]):
         x, y = a[:, i, None], b[None, :, i]
         if i < p:
-            gap = np.minimum(np.abs(x - y), 1.0)
-            total += np.where(np.isnan(gap), (np.isnan(x) != np.isnan(y)).astype(float), gap)
+            gap = np.subtract(np.nan_to_num(x, nan=FAR), np.nan_to_num(y, nan=FAR))
+            total += np.minimum(np.abs(gap, out=gap), 1.0, out=gap)
         else:
             total += x != y
-    return total / max(1, a.shape[1])
+    total /= max(1, a.shape[1])
+    return total
 
 
 def _distances(a: np.ndarray, b: np.ndarray, metric: Metric) -> np.ndarray:
@@ -58,26 +64,157 @@ def _distances(a: np.ndarray, b: np.ndarray, metric: Metric) -> np.ndarray:
     return np.sqrt(np.maximum(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2), 0)) if a.size * len(b) < 4_000_000 else _by_product(a, b)
 
 
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances from one matrix product; off by _slack() at most."""
+    one = lambda x: np.ones((len(x), 1))
+    norm = lambda x: (x**2).sum(axis=1)[:, None]
+    return np.concatenate([-2 * a, norm(a), one(a)], axis=1) @ np.concatenate([b, one(b), norm(b)], axis=1).T
+
+
+def _slack(a: np.ndarray, b: np.ndarray) -> float:
+    return 4e-16 * (a.shape[1] + 8) * ((a**2).sum(axis=1).max(initial=0) + (b**2).sum(axis=1).max(initial=0))
+
+
 def _by_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T, 0))
+    return np.sqrt(np.maximum(_squares(a, b), 0))
+
+
+def _exact(a: np.ndarray, b: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Distances of a's rows at from b's rows to, summed dimension by dimension."""
+    out = np.empty(len(at))
+    for i in range(0, len(at), 20_000):
+        gap = a[at[i : i + 20_000]] - b[to[i : i + 20_000]]
+        out[i : i + 20_000] = np.sqrt(np.add.accumulate(gap * gap, axis=1)[:, -1]) if gap.shape[1] else 0.0
+    return out
+
+
+@dataclass
+class Best:
+    """Each asking row's k nearest so far, by distance, then id: (rows, k); places not taken are at infinity."""
+
+    ids: np.ndarray
+    a: np.ndarray
+    k: int
+    metric: Metric
+    exclude_self: bool
+
+    def __post_init__(self):
+        self.distance = np.full((len(self.a), self.k), np.inf)
+        self.other = np.full((len(self.a), self.k), np.iinfo(np.int64).max)
+
+    def meet(self, others: np.ndarray, b: np.ndarray) -> None:
+        if self.metric == "euclidean":  # what isn't finite is near nothing
+            there = np.isfinite(b).all(axis=1)
+            others, b = (others, b) if there.all() else (others[there], b[there])
+        if not len(b) or not len(self.a):
+            return
+        if self.a.shape[1] > MOST_BOXED or min(len(self.a), len(b)) <= 2 * LEAF:
+            return self._meet(np.arange(len(self.a)), others, b)
+        own, far = (_leaves(x, self.metric) for x in (self.a, b))
+        ends = [np.array([f(b[i], axis=0) for i in far]) for f in (np.min, np.max)]
+        sizes = np.array([len(i) for i in far])
+        for rows in own:
+            gap = _box_gaps(self.a[rows].min(axis=0), self.a[rows].max(axis=0), *ends, self.metric)
+            order = np.argsort(gap)
+            first = int(np.searchsorted(np.cumsum(sizes[order]), 2 * (self.k + 1))) + 2
+            near = np.concatenate([far[i] for i in order[:first]])
+            self._meet(rows, others[near], b[near])
+            rest = [far[i] for i in order[first:] if gap[i] <= self.distance[rows, -1].max() * (1 + 1e-12)]
+            if rest:
+                rest = np.concatenate(rest)
+                self._meet(rows, others[rest], b[rest])
+
+    def _meet(self, rows: np.ndarray, others: np.ndarray, b: np.ndarray) -> None:
+        step = max(1, 1_000_000 // len(b))
+        for i in range(0, len(rows), step):
+            self._chunk(rows[i : i + step], others, b)
+
+    def _chunk(self, rows: np.ndarray, others: np.ndarray, b: np.ndarray) -> None:
+        a, ids = self.a[rows], self.ids[rows]
+        slack = _slack(a, b) if self.metric == "euclidean" else 0.0
+        product = self.metric == "euclidean" and np.isfinite(slack)
+        with np.errstate(invalid="ignore", over="ignore"):
+            d = _squares(a, b) if product else _mixed(a, b, self.metric[1]) if isinstance(self.metric, tuple) else _distances(a, b, self.metric)
+        if self.exclude_self and (own := np.isin(ids, others)).any():
+            d[own] = np.where(ids[own, None] == others[None, :], np.inf, d[own])
+        most = self.distance[rows, -1]
+        most = most * most * (1 + 1e-12) if product else most
+        if np.isinf(most).any():  # the k-th least of the least of groups of columns is no nearer than the k-th nearest
+            groups = min(len(b), max(4 * self.k, 32))
+            if groups >= self.k:
+                least = np.minimum.reduceat(d, np.arange(groups) * len(b) // groups, axis=1)
+                most = np.minimum(most, np.partition(least, self.k - 1, axis=1)[:, self.k - 1] + slack)
+        at, to = np.nonzero(d <= most[:, None] + slack)
+        found = _exact(a, b, at, to) if product else d[at, to]
+        if self.exclude_self:
+            found[ids[at] == others[to]] = np.inf
+        kept = np.isfinite(found)
+        at, to, found = at[kept], to[kept], found[kept]
+        if not len(at):
+            return
+        changed = np.unique(at)
+        row = np.concatenate([at, np.repeat(changed, self.k)])
+        distance = np.concatenate([found, self.distance[rows[changed]].ravel()])
+        other = np.concatenate([others[to], self.other[rows[changed]].ravel()])
+        order = np.lexsort((other, distance, row))
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        order, row, place = (x[place < self.k] for x in (order, row, place))
+        self.distance[rows[row], place], self.other[rows[row], place] = distance[order], other[order]
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        there = np.isfinite(self.distance)
+        return np.repeat(self.ids, there.sum(axis=1)), self.other[there], self.distance[there]
+
+
+#: Boxes of so many rows, in so few dimensions.
+LEAF, MOST_BOXED = 64, 8
+
+
+def _leaves(x: np.ndarray, metric: Metric) -> list[np.ndarray]:
+    """Rows by boxes: cut in halves along the widest column."""
+    numbers = metric[1] if isinstance(metric, tuple) else 0 if metric == "hamming" else x.shape[1]
+    todo, out = [np.arange(len(x))], []
+    while todo:
+        rows = todo.pop()
+        own = x[rows]
+        wide = own.max(axis=0) - own.min(axis=0)
+        if metric != "euclidean":
+            wide = np.where(np.arange(x.shape[1]) < numbers, np.minimum(wide, 1.0), wide > 0)
+        if len(rows) <= LEAF or not wide.max(initial=0) > 0:
+            out.append(rows)
+            continue
+        half = len(rows) // 2
+        order = np.argpartition(own[:, wide.argmax()], half)
+        todo += [rows[order[:half]], rows[order[half:]]]
+    return out
+
+
+def _box_gaps(low: np.ndarray, high: np.ndarray, lows: np.ndarray, highs: np.ndarray, metric: Metric) -> np.ndarray:
+    """The least distances that rows of a box and rows of other boxes can have."""
+    gap = np.maximum(np.maximum(lows - high, low - highs), 0)
+    if metric == "euclidean":
+        return np.sqrt((gap**2).sum(axis=1))
+    numbers = metric[1] if isinstance(metric, tuple) else 0
+    return np.where(np.arange(gap.shape[1]) < numbers, np.minimum(gap, 1.0), gap > 0).sum(axis=1) / max(1, gap.shape[1])
+
+
+def _plain(x: np.ndarray, metric: Metric) -> np.ndarray:
+    """NULL among numbers as a number far from all but itself."""
+    return np.nan_to_num(x, nan=FAR) if isinstance(metric, tuple) else x
+
+
+FAR = 1e300
 
 
 def _block_best(k: int, metric: Metric, exclude_self: bool):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"id": [], "neighbour": [], "distance": []}).astype({"id": "int64", "neighbour": "int64", "distance": "float64"})
-        a, b = np.stack(left["v"]).astype(float), np.stack(right["v"]).astype(float)
-        ids, others = left["id"].to_numpy(), right["id"].to_numpy()
-        out = []
-        for i in range(0, len(a), 1000):
-            d = _distances(a[i : i + 1000], b, metric)
-            if exclude_self:
-                d = np.where(ids[i : i + 1000, None] == others[None, :], np.inf, d)
-            order = np.lexsort((np.broadcast_to(others, d.shape), d), axis=1)[:, :k]
-            best = np.take_along_axis(d, order, axis=1)
-            out.append(pd.DataFrame({"id": np.repeat(ids[i : i + 1000], order.shape[1]), "neighbour": others[order].ravel(), "distance": best.ravel()}))
-        found = pd.concat(out)
-        return found[np.isfinite(found["distance"])]
+        a, b = (_plain(np.stack(x["v"]).astype(float), metric) for x in (left, right))
+        best = Best(left["id"].to_numpy(), a, k, metric, exclude_self)
+        best.meet(right["id"].to_numpy(), b)
+        return pd.DataFrame(dict(zip(("id", "neighbour", "distance"), best.found(), strict=True)))
 
     return run
 
@@ -104,6 +241,90 @@ def pair_distances(a: DataFrame, b: DataFrame, block_rows: int = 2000) -> DataFr
     return _dealt(a, b, block_rows).applyInPandas(run, "id long, other long, distance double")
 
 
+#: Packed rows that a task holds of the side that meets all blocks of the other, and those it gets of the other.
+HELD_BYTES, DEALT_BYTES = 1 << 25, 1 << 28
+PACKED = "block long, n int, id binary, v binary, radius binary"
+
+
+def _packing(block_rows: int):
+    """mapInArrow: (id, v[, radius]) -> PACKED, so many rows in each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, made = TaskContext.get().partitionId() << 32, 0
+        for own in _rebatched(batches, block_rows):
+            radius = own.column("radius").to_numpy() if "radius" in own.schema.names else np.zeros(0)
+            parts = [own.column("id").to_numpy().astype(np.int64), _matrix(own).astype(float), radius.astype(float)]
+            yield pa.RecordBatch.from_arrays([pa.array([first + made]), pa.array([own.num_rows], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in parts]], ["block", "n", "id", "v", "radius"])
+            made += 1
+
+    return run
+
+
+def _rebatched(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of so many rows, the last of fewer."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        while n + b.num_rows >= rows:
+            cut = rows - n
+            yield pa.concat_batches([*held, b.slice(0, cut)])
+            held, n, b = [], 0, b.slice(cut)
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _unpacked(b: pa.RecordBatch, row: int, side: str) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(block, ids, vectors, radii)"""
+    n = b.column(f"{side}_n")[row].as_py()
+    ids, v, radius = (np.frombuffer(b.column(f"{side}_{c}")[row].as_buffer(), dtype=t) for c, t in (("id", np.int64), ("v", float), ("radius", float)))
+    return b.column(f"{side}_block")[row].as_py(), ids, v.reshape(n, -1), radius
+
+
+def _met(a: DataFrame, b: DataFrame, block_rows: int, run, schema: str) -> DataFrame:
+    """run over an iterator of (block number, ids, vectors, radii) of a, and an iterator of those of b, as mapInArrow would.
+
+    Every packed block of a meets every one of b in some task; a task's pairs come by blocks of a.
+    """
+    size = F.coalesce(F.max(F.size("v")), F.lit(0)) * F.count("*") * 8
+    (n_a, bytes_a), (n_b, bytes_b) = (df.agg(F.count("*"), size).first() for df in (a, b))
+    up = lambda x, y: max(1, -(-x // y))
+    blocks_a, blocks_b, tasks = up(n_a, block_rows), up(n_b, block_rows), 4 * a.sparkSession.sparkContext.defaultParallelism
+    parts_b = up(bytes_b, HELD_BYTES)
+    parts_a = max(up(bytes_a, DEALT_BYTES), min(blocks_a, up(tasks, parts_b)))
+    parts_b = max(parts_b, min(blocks_b, up(tasks, parts_a)))
+    left, right = (df.mapInArrow(_packing(block_rows), PACKED).repartition(n).select(*[F.col(c).alias(f"{side}_{c}") for c in ("block", "n", "id", "v", "radius")]) for df, n, side in ((a, parts_a, "a"), (b, parts_b, "b")))
+    pairs = left.hint("shuffle_replicate_nl").crossJoin(right)  # packed blocks, not rows
+    return pairs.mapInArrow(run, schema)
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(block of a, block of b), each unpacked; a's is the same object as long as it is the same block."""
+    now, a = None, None
+    for b in batches:
+        for row in range(b.num_rows):
+            if (block := b.column("a_block")[row].as_py()) != now:
+                now, a = block, tuple(x.copy() if isinstance(x, np.ndarray) else x for x in _unpacked(b, row, "a"))
+            yield a, _unpacked(b, row, "b")
+
+
+def _packed_best(k: int, metric: Metric, exclude_self: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, best = None, None
+        for a, (_, others, b, _) in _meeting(batches):
+            if a is not now:
+                if best is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in best.found()], ["id", "neighbour", "distance"])
+                now, best = a, Best(a[1], _plain(a[2], metric), k, metric, exclude_self)
+            best.meet(others, _plain(b, metric))
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in best.found()], ["id", "neighbour", "distance"])
+
+    return run
+
+
 def _matrix(b: pa.RecordBatch) -> np.ndarray:
     return b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
 
@@ -140,7 +361,7 @@ def _nearest_to_pivots(pivots: np.ndarray, metric: Metric, k: int):
         for b in batches:
             for start in range(0, b.num_rows, 2000):
                 d = _distances(_matrix(b.slice(start, 2000)), pivots, metric).T
-                best = np.sort(np.concatenate([best, d], axis=1), axis=1)[:, :k]
+                best = np.partition(np.concatenate([best, d], axis=1), k - 1, axis=1)[:, :k]
         cell, at = np.nonzero(np.isfinite(best))
         yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(best[cell, at])], ["cell", "d"])
 
@@ -249,44 +470,68 @@ def knn_join(a: DataFrame, b: DataFrame, k: int, metric: Metric = "euclidean", e
         right = right.withColumn("bb", part("blocks_b")).withColumn("ba", every("blocks_a")).select("cell", "ba", "bb", "id", "v")
         found = left.groupBy("cell", "ba", "bb").cogroup(right.groupBy("cell", "ba", "bb")).applyInPandas(best, schema)
     else:
-        found = _dealt(a, b, block_rows).applyInPandas(best, schema)
+        found = _met(a, b, block_rows, _packed_best(k, metric, exclude_self), schema)
     w = Window.partitionBy("id").orderBy("distance", "neighbour")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "rank", "neighbour", "distance")
 
 
 def within_radius(a: DataFrame, balls: DataFrame, block_rows: int = 5000) -> DataFrame:
     """(id, inside): for each row of a, how many balls (id, v, radius) it lies in. Rows without any are left out."""
-    def count(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out: Iterator | list = []
-        if len(x) and len(y):
-            p, q, r = np.stack(x["v"]).astype(float), np.stack(y["v"]).astype(float), y["radius"].to_numpy()
-            for i in range(0, len(p), 1000):
-                inside = (_distances(p[i : i + 1000], q, "euclidean") <= r[None, :]).sum(axis=1)
-                out.append(pd.DataFrame({"id": x["id"].to_numpy()[i : i + 1000], "inside": inside}))
-        return pd.concat(out) if out else pd.DataFrame({"id": pd.Series(dtype="int64"), "inside": pd.Series(dtype="int64")})
-
-    part = _dealt(a, balls.select("id", "v", "radius"), block_rows).applyInPandas(count, "id long, inside long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, inside = None, None
+        for a, (_, _, q, radius) in _meeting(batches):
+            if a is not now:
+                if now is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(now[1]), pa.array(inside)], ["id", "inside"])
+                now, inside = a, np.zeros(len(a[1]), dtype=np.int64)
+            inside += _inside(a[2], q, radius)
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(now[1]), pa.array(inside)], ["id", "inside"])
+
+    part = _met(a.select("id", "v"), balls.select("id", "v", F.col("radius").cast("double").alias("radius")), block_rows, run, "id long, inside long")
     return part.groupBy("id").agg(F.sum("inside").alias("inside")).where("inside > 0")
 
 
+def _inside(p: np.ndarray, q: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """How many balls each row of p lies in; distances close to a radius are taken exactly."""
+    out = np.zeros(len(p), dtype=np.int64)
+    finite = np.isfinite(q).all(axis=1)
+    q, radius = (q, radius) if finite.all() else (q[finite], radius[finite])
+    step = max(1, 1_000_000 // max(1, len(q)))
+    for i in range(0, len(p) if len(q) else 0, step):
+        own = p[i : i + step]
+        slack = _slack(own, q)
+        with np.errstate(invalid="ignore", over="ignore"):
+            if np.isfinite(slack):
+                room = slack + 1e-12 * radius * radius
+                d = _squares(own, q) - (radius * radius)[None, :]
+                at, to = np.nonzero(np.abs(d) <= room[None, :])
+                d[at, to] = np.where(_exact(own, q, at, to) <= radius[to], -1.0, 1.0)
+                out[i : i + step] = (d <= 0).sum(axis=1)
+            else:
+                out[i : i + step] = (_distances(own, q, "euclidean") <= radius[None, :]).sum(axis=1)
+    return out
+
+
 def _kernel_sums(gamma: float):
-    """Both blocks' kernel values, summed."""
+    """The kernel's values over both blocks, summed."""
 
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0.0
-        if len(x) and len(y):
-            a, b = np.stack(x["v"]).astype(float), np.stack(y["v"]).astype(float)
-            b2 = (b**2).sum(axis=1)
-            for i in range(0, len(a), 1000):
-                p = a[i : i + 1000]
-                total += float(np.exp(-gamma * np.maximum((p**2).sum(axis=1)[:, None] + b2[None, :] - 2 * p @ b.T, 0)).sum())
-        return pd.DataFrame({"total": [total]})
+        for (_, _, a, _), (_, _, b, _) in _meeting(batches):
+            step = max(1, 1_000_000 // len(b))
+            for i in range(0, len(a), step):
+                d = np.maximum(_squares(a[i : i + step], b), 0)
+                d *= -gamma
+                total += float(np.exp(d, out=d).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([total])], ["total"])
 
     return run
 
 
 def kernel_mean(a: DataFrame, b: DataFrame, gamma: float, name: str, block_rows: int = 5000) -> DataFrame:
-    """One row: the mean of exp(-gamma |x - y|^2) over all rows x of a and y of b (id, v); a number for each pair of blocks leaves the tasks."""
+    """One row: the mean of exp(-gamma |x - y|^2) over all rows x of a and y of b (id, v); a number for each task leaves it."""
     pairs = a.count() * b.count()
-    sums = _dealt(a, b, block_rows).applyInPandas(_kernel_sums(gamma), "total double")
+    sums = _met(a.select("id", "v"), b.select("id", "v"), block_rows, _kernel_sums(gamma), "total double")
     return sums.agg((F.sum("total") / F.lit(pairs or None).cast("double")).alias(name))

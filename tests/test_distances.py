@@ -139,3 +139,26 @@ def test_mixed_vectors_and_baseline(spark):
     drawn = multivariate.random_baseline(real, ["x"], ["kind"], 300)
     got = drawn.agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), F.collect_set("kind").alias("kinds")).first()
     assert got.n == 300 and 0 <= got.low < 1 and 9 < got.high <= 10 and sorted(got.kinds) == ["a", "b", "c"]
+
+
+def test_equal_rows_are_looked_for_once(spark, monkeypatch):
+    """Rows that repeat others meet the searched side as one, and each gets its distance."""
+    met = []
+    join = multivariate.knn_join
+    monkeypatch.setattr(multivariate, "knn_join", lambda a, b, *rest, **more: (met.append((a.count(), b.count())), join(a, b, *rest, **more))[1])
+    a, b = [[i % 7 / 7, float("nan") if i % 2 else 0.5, i % 3] for i in range(420)], [[i % 5 / 5, 0.25, i % 3] for i in range(300)]
+    got = multivariate.dcr(frame(spark, a), frame(spark, b), metric=("mixed", 2))
+    want = [(i, 1, round(min(mixed(p, q) for q in b), 9)) for i, p in enumerate(a)]
+    assert sorted((r.id, 1, round(r.distance, 9)) for r in got.collect()) == want
+    assert met == [(42, 15)]
+
+
+def test_boxes_and_ties_within_a_block(spark):
+    """Blocks of many boxes, equal rows and rows of one id give the nearest by distance, then id."""
+    r = np.random.default_rng(6)
+    for x, y, metric, distance in ((r.random((300, 2)).round(1), r.random((400, 2)).round(1), "euclidean", euclidean), (clusters(300, 5, 3), clusters(400, 5, 3), "euclidean", euclidean)):
+        best = nn.Best(np.arange(300), x, 3, metric, True)
+        for at in (slice(0, 250), slice(250, 400)):
+            best.meet(np.arange(400)[at], y[at])
+        got = [[(round(d, 9), j) for d, j in zip(ds, js, strict=True)] for ds, js in zip(best.distance.tolist(), best.other.tolist(), strict=True)]
+        assert got == [[(round(d, 9), j) for d, j in sorted((distance(p, q), j) for j, q in enumerate(y) if i != j)[:3]] for i, p in enumerate(x)]
