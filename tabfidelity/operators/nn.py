@@ -64,19 +64,19 @@ def _distances(a: np.ndarray, b: np.ndarray, metric: Metric) -> np.ndarray:
     return np.sqrt(np.maximum(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2), 0)) if a.size * len(b) < 4_000_000 else _by_product(a, b)
 
 
-def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances from one matrix product; off by _slack() at most."""
+def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances from one matrix product; off by slack_of() at most."""
     one = lambda x: np.ones((len(x), 1))
     norm = lambda x: (x**2).sum(axis=1)[:, None]
     return np.concatenate([-2 * a, norm(a), one(a)], axis=1) @ np.concatenate([b, one(b), norm(b)], axis=1).T
 
 
-def _slack(a: np.ndarray, b: np.ndarray) -> float:
+def slack_of(a: np.ndarray, b: np.ndarray) -> float:
     return 4e-16 * (a.shape[1] + 8) * ((a**2).sum(axis=1).max(initial=0) + (b**2).sum(axis=1).max(initial=0))
 
 
 def _by_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(_squares(a, b), 0))
+    return np.sqrt(np.maximum(squares(a, b), 0))
 
 
 def _exact(a: np.ndarray, b: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -131,10 +131,10 @@ class Best:
 
     def _chunk(self, rows: np.ndarray, others: np.ndarray, b: np.ndarray) -> None:
         a, ids = self.a[rows], self.ids[rows]
-        slack = _slack(a, b) if self.metric == "euclidean" else 0.0
+        slack = slack_of(a, b) if self.metric == "euclidean" else 0.0
         product = self.metric == "euclidean" and np.isfinite(slack)
         with np.errstate(invalid="ignore", over="ignore"):
-            d = _squares(a, b) if product else _mixed(a, b, self.metric[1]) if isinstance(self.metric, tuple) else _distances(a, b, self.metric)
+            d = squares(a, b) if product else _mixed(a, b, self.metric[1]) if isinstance(self.metric, tuple) else _distances(a, b, self.metric)
         if self.exclude_self and (own := np.isin(ids, others)).any():
             d[own] = np.where(ids[own, None] == others[None, :], np.inf, d[own])
         most = self.distance[rows, -1]
@@ -300,7 +300,18 @@ def _met(a: DataFrame, b: DataFrame, block_rows: int, run, schema: str) -> DataF
     return pairs.mapInArrow(run, schema)
 
 
-def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def meet_all(few: DataFrame, every: DataFrame, few_rows: int, block_rows: int, run, schema: str) -> DataFrame:
+    """As _met(), with a = every and b = few: a task has a block of few_rows rows of few, as a rule, and meets all of every, block by block.
+
+    Every is shuffled once, and read again in each task; nothing of the size of their product is stored.
+    """
+    blocks = max(1, -(-few.count() // few_rows))
+    sides = ((every, 1, "a", block_rows), (few, blocks, "b", few_rows))
+    left, right = (df.mapInArrow(_packing(rows), PACKED).repartition(n).select(*[F.col(c).alias(f"{side}_{c}") for c in ("block", "n", "id", "v", "radius")]) for df, n, side, rows in sides)
+    return left.hint("shuffle_replicate_nl").crossJoin(right).mapInArrow(run, schema)
+
+
+def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """(block of a, block of b), each unpacked; a's is the same object as long as it is the same block."""
     now, a = None, None
     for b in batches:
@@ -313,7 +324,7 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 def _packed_best(k: int, metric: Metric, exclude_self: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, best = None, None
-        for a, (_, others, b, _) in _meeting(batches):
+        for a, (_, others, b, _) in meeting(batches):
             if a is not now:
                 if best is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in best.found()], ["id", "neighbour", "distance"])
@@ -480,7 +491,7 @@ def within_radius(a: DataFrame, balls: DataFrame, block_rows: int = 5000) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, inside = None, None
-        for a, (_, _, q, radius) in _meeting(batches):
+        for a, (_, _, q, radius) in meeting(batches):
             if a is not now:
                 if now is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(now[1]), pa.array(inside)], ["id", "inside"])
@@ -501,11 +512,11 @@ def _inside(p: np.ndarray, q: np.ndarray, radius: np.ndarray) -> np.ndarray:
     step = max(1, 1_000_000 // max(1, len(q)))
     for i in range(0, len(p) if len(q) else 0, step):
         own = p[i : i + step]
-        slack = _slack(own, q)
+        slack = slack_of(own, q)
         with np.errstate(invalid="ignore", over="ignore"):
             if np.isfinite(slack):
                 room = slack + 1e-12 * radius * radius
-                d = _squares(own, q) - (radius * radius)[None, :]
+                d = squares(own, q) - (radius * radius)[None, :]
                 at, to = np.nonzero(np.abs(d) <= room[None, :])
                 d[at, to] = np.where(_exact(own, q, at, to) <= radius[to], -1.0, 1.0)
                 out[i : i + step] = (d <= 0).sum(axis=1)
@@ -519,10 +530,10 @@ def _kernel_sums(gamma: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0.0
-        for (_, _, a, _), (_, _, b, _) in _meeting(batches):
+        for (_, _, a, _), (_, _, b, _) in meeting(batches):
             step = max(1, 1_000_000 // len(b))
             for i in range(0, len(a), step):
-                d = np.maximum(_squares(a[i : i + step], b), 0)
+                d = np.maximum(squares(a[i : i + step], b), 0)
                 d *= -gamma
                 total += float(np.exp(d, out=d).sum())
         yield pa.RecordBatch.from_arrays([pa.array([total])], ["total"])

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,8 +14,10 @@ from pyspark.sql.window import Window
 from ..functions.keys import ratio
 from ..functions.quantiles import exact_quantiles
 from ..functions.ranks import ranked_within
-from .nn import knn_join, pair_distances
+from .nn import knn_join, meet_all, meeting, pair_distances, slack_of, squares
 
+#: Distances that a task holds.
+HELD_PAIRS = 8_000_000
 #: Normal quantiles for two-sided levels.
 Z = {0.90: 1.6448536269514722, 0.95: 1.959963984540054, 0.99: 2.5758293035489004}
 
@@ -37,18 +42,134 @@ def knn_shapley_near(train: DataFrame, test: DataFrame, k: int = 5, epsilon: flo
     return steps.select("id", "test_id", F.sum("step").over(order.rowsBetween(0, Window.unboundedFollowing)).alias("value"))
 
 
-def knn_shapley(train: DataFrame, test: DataFrame, k: int = 5, block_rows: int = 2000, most_test_rows: int = 100_000) -> DataFrame:
+def knn_shapley(train: DataFrame, test: DataFrame, k: int = 5, block_rows: int = 2000, most_test_rows: int = 100_000, held_pairs: int = HELD_PAIRS) -> DataFrame:
     """(id, test_id, value): each training row's share in classifying each test row, exact. Both are (id, v, label).
 
-    For a test side of at most most_test_rows rows, which is checked; knn_shapley_near() is for more. Every test row ranks all training rows, by definition: work is rows times rows. Distances come block by block. With y_i
-    whether the i-th nearest row has the test row's label and c_i = min(k, i) / i, the recursion s_i = s_{i+1} + (y_i - y_{i+1}) c_i / k from the
-    farthest row inwards is s_i = (y_i c_i + sum of y_j (c_j - c_{j-1}) over j > i) / k, a sum that goes by ranges of rows first, so
-    no task holds a test row's whole order. With fewer than k training rows, all are neighbours.
+    For a test side of at most most_test_rows rows, which is checked; knn_shapley_near() is for more. Every test row ranks all training rows, by definition: work is rows times rows.
+    A task holds the distances of some test rows to all training rows (held_pairs at most, as the training rows come by block) and sorts them
+    there, so pairs are neither shuffled nor stored; with more training rows than held_pairs, pairs are ranked by ranges of their distance instead.
+    With y_i whether the i-th nearest row has the test row's label and c_i = min(k, i) / i, values go from the farthest row
+    inwards: s_i = s_{i+1} + (y_i - y_{i+1}) c_i / k. With fewer than k training rows, all are neighbours.
     """
+    n, k = _shapley_sizes(train, test, k, most_test_rows)
+    if n > held_pairs:
+        return _shapley_by_ranges(train, test, k, block_rows)
+    return _shapley_in_tasks(train, test, n, k, block_rows, held_pairs, False)
+
+
+def knn_shapley_uncertainty(train: DataFrame, test: DataFrame, k: int = 5, block_rows: int = 2000, most_test_rows: int = 100_000, held_pairs: int = HELD_PAIRS) -> DataFrame:
+    """valuation_uncertainty(knn_shapley()): tasks sum up each training row's values over their test rows, so a row for each of them leaves a task."""
+    n, k = _shapley_sizes(train, test, k, most_test_rows)
+    if n > held_pairs:
+        return valuation_uncertainty(_shapley_by_ranges(train, test, k, block_rows))
+    part = _shapley_in_tasks(train, test, n, k, block_rows, held_pairs, True)
+    one = part.groupBy("id").agg(F.sum("n").cast("long").alias("m"), F.sum(F.col("n") * F.col("mean")).alias("first"), F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("second"), F.sum("m2").alias("within"))
+    mean = F.col("first") / F.nullif(F.col("m"), F.lit(0))
+    square = F.greatest(F.col("within") + F.greatest(F.col("second") - F.col("first") * mean, F.lit(0.0)), F.lit(0.0))
+    return _with_interval(one.select("id", mean.alias("mean"), "m", F.when(F.col("m") > 1, F.sqrt(square / (F.col("m") - 1))).otherwise(0.0).alias("std")), "id")
+
+
+def _shapley_sizes(train: DataFrame, test: DataFrame, k: int, most_test_rows: int) -> tuple[int, int]:
+    """(training rows, neighbours)"""
     if test.limit(most_test_rows + 1).count() > most_test_rows:
         raise ValueError(f"more than {most_test_rows} test rows: use knn_shapley_near()")
     n = train.count()
-    k = max(1, min(k, n))
+    return n, max(1, min(k, n))
+
+
+def _shapley_in_tasks(train: DataFrame, test: DataFrame, n: int, k: int, block_rows: int, held_pairs: int, summed: bool) -> DataFrame:
+    """(id, test_id, value), or (id, n, mean, m2) for the test rows of a task."""
+    kind = dict(train.dtypes)["label"]
+    digest = F.shiftrightunsigned(F.xxhash64(F.col("label").cast(kind).cast("string")), 11).cast("double")
+    sides = [df.select("id", "v", F.when(F.col("label").isNull(), F.lit(float("nan"))).otherwise(digest).alias("radius")) for df in (test, train)]
+    tasks = 4 * train.sparkSession.sparkContext.defaultParallelism
+    few_rows = max(1, min(held_pairs // max(1, n), -(-test.count() // tasks)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, few, gaps = {}, {}, {}
+        for (block, ids, b, labels), (own, test_ids, a, test_labels) in meeting(batches):
+            every.setdefault(block, (ids, b, labels))
+            if own not in few:
+                few[own] = tuple(x.copy() for x in (test_ids, a, test_labels))
+                gaps[own] = []
+            gaps[own].append(_gaps(a, b))
+        if not every:
+            return
+        ids, b, labels = (np.concatenate(x) for x in zip(*every.values(), strict=True))
+        for own, (test_ids, a, test_labels) in few.items():
+            d = np.concatenate(gaps.pop(own), axis=1)
+            total = None
+            step = max(1, 500_000 // len(ids))
+            for i in range(0, len(a), step):
+                order = _nearest_first(d[i : i + step], a[i : i + step], b, ids)
+                values = _values(labels[order], test_labels[i : i + step], k)
+                if not summed:
+                    for at in range(len(order)):
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[order[at]]), pa.array(np.full(len(ids), test_ids[i + at])), pa.array(values[at], from_pandas=True)], ["id", "test_id", "value"])
+                    continue
+                by_row = np.empty_like(values)
+                np.put_along_axis(by_row, order, values, axis=1)
+                total = _merged(total, by_row)
+            if summed:
+                yield pa.RecordBatch.from_arrays([pa.array(ids), *[pa.array(x) for x in total]], ["id", "n", "mean", "m2"])
+
+    return meet_all(*sides, few_rows, block_rows, run, "id long, n double, mean double, m2 double" if summed else "id long, test_id long, value double")
+
+
+def _gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances, by a product; what isn't finite is farthest."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        d = squares(a, b)
+    d[np.isnan(d)] = np.inf
+    return d
+
+
+def _nearest_first(d: np.ndarray, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The places of b's rows for each of a's, by distance, then id: distances too close for the product's precision are taken exactly."""
+    order = np.argsort(d, axis=1)
+    sorted_d = np.take_along_axis(d, order, axis=1)
+    with np.errstate(invalid="ignore"):
+        slack = 2 * slack_of(a[np.isfinite(a).all(axis=1)], b[np.isfinite(b).all(axis=1)])
+        close = ~(np.diff(sorted_d, axis=1) > slack)
+    for row in np.flatnonzero(close.any(axis=1)):
+        tied = close[row]
+        run = np.concatenate([[0], np.cumsum(~tied)])
+        places = np.flatnonzero(np.concatenate([tied, [False]]) | np.concatenate([[False], tied]))
+        which = order[row, places]
+        with np.errstate(invalid="ignore", over="ignore"):
+            gap = a[row] - b[which]
+            exact = np.add.accumulate(gap * gap, axis=1)[:, -1] if gap.shape[1] else np.zeros(len(which))
+        exact[np.isnan(exact)] = np.inf
+        order[row, places] = which[np.lexsort((ids[which], exact, run[places]))]
+    return order
+
+
+def _values(labels: np.ndarray, test_labels: np.ndarray, k: int) -> np.ndarray:
+    """The recursion from the farthest row inwards; NaN where a label is missing."""
+    known = ~(np.isnan(labels) | np.isnan(test_labels)[:, None])
+    same = (labels == test_labels[:, None]).astype(float)
+    i = np.arange(1, same.shape[1] + 1)
+    step = same / same.shape[1]
+    step[:, :-1] = (same[:, :-1] - same[:, 1:]) / float(k) * np.minimum(k, i[:-1]) / i[:-1]
+    out = np.cumsum(step[:, ::-1], axis=1)[:, ::-1]
+    return out if known.all() else np.where(known, out, np.nan)
+
+
+def _merged(total: tuple | None, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(count, mean, squares about the mean) of each column, with those before."""
+    known = ~np.isnan(values)
+    n = known.sum(axis=0).astype(float)
+    mean = np.where(known, values, 0.0).sum(axis=0) / np.maximum(n, 1)
+    m2 = np.where(known, (values - mean) ** 2, 0.0).sum(axis=0)
+    if total is None:
+        return n, mean, m2
+    n0, mean0, m20 = total
+    both = np.maximum(n0 + n, 1)
+    return n0 + n, mean0 + (mean - mean0) * n / both, m20 + m2 + (mean - mean0) ** 2 * n0 * n / both
+
+
+def _shapley_by_ranges(train: DataFrame, test: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """s_i as (y_i c_i + sum of y_j (c_j - c_{j-1}) over j > i) / k, a sum that goes by ranges of rows first, so no task holds a test row's whole order."""
     labels = [df.select(F.col("id").alias(name), F.col("label").alias(f"{name}_label")) for df, name in ((test, "test_id"), (train, "id"))]
     met = pair_distances(test.select("id", "v"), train.select("id", "v"), block_rows).select(F.col("id").alias("test_id"), F.col("other").alias("id"), "distance")
     rows = met.join(labels[0], "test_id").join(labels[1], "id").select("test_id", "id", "distance", (F.col("id_label") == F.col("test_id_label")).cast("double").alias("same"))
@@ -66,8 +187,11 @@ def knn_shapley(train: DataFrame, test: DataFrame, k: int = 5, block_rows: int =
 
 def valuation_uncertainty(contributions: DataFrame, key: str = "id", value: str = "value") -> DataFrame:
     """(key, value, m, std, se, ci_lower, ci_upper) with the normal 95 % interval; a single contribution has no spread."""
-    out = contributions.groupBy(key).agg(F.avg(value).alias("mean"), F.count(value).alias("m"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"))
-    se = F.col("std") / F.sqrt(F.col("m").cast("double"))
+    return _with_interval(contributions.groupBy(key).agg(F.avg(value).alias("mean"), F.count(value).alias("m"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std")), key)
+
+
+def _with_interval(out: DataFrame, key: str) -> DataFrame:
+    se = F.col("std") / F.sqrt(F.nullif(F.col("m"), F.lit(0)).cast("double"))
     return out.select(key, F.col("mean").alias("value"), "m", "std", se.alias("se"), (F.col("mean") - 1.96 * se).alias("ci_lower"), (F.col("mean") + 1.96 * se).alias("ci_upper"))
 
 

@@ -140,13 +140,13 @@ _RL, _RH = wilson_sql("reliably_negative", "n")
 
 @query(f"SELECT n, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in ('mean', 'std', 'min', 'max', 'mean_se', 'max_se'))}, negative, reliably_negative, round(100.0 * negative / n, 6) AS negative_pct, round({_NL}, 6) AS negative_low, round({_NH}, 6) AS negative_high, round(100.0 * reliably_negative / n, 6) AS reliably_negative_pct, round({_RL}, 6) + 0.0 AS reliably_negative_low, round({_RH}, 6) AS reliably_negative_high FROM (SELECT count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max, avg(se) AS mean_se, max(se) AS max_se, count(*) FILTER (round(value, 9) < 0) AS negative, count(*) FILTER (round(ci_upper, 9) < 0) AS reliably_negative FROM ({VALUES}))")
 def val4_valuation_summary(spark, sf):
-    v = valuation.valuation_uncertainty(shapley(spark, sf)).withColumns({"value": F.round("value", 9), "ci_upper": F.round("ci_upper", 9)})
+    v = valuation.knn_shapley_uncertainty(*embedded(spark, sf)).withColumns({"value": F.round("value", 9), "ci_upper": F.round("ci_upper", 9)})
     return rounded(valuation.valuation_summary(v), "mean", "std", "min", "max", "mean_se", "max_se", "negative_pct", "negative_low", "negative_high", "reliably_negative_pct", "reliably_negative_low", "reliably_negative_high")
 
 
 @query(f"SELECT id, label, value, cast(row_number() OVER (ORDER BY value, id) AS INTEGER) AS rank FROM (SELECT e.vec_id AS id, label, round(avg(s.value), 6) + 0.0 AS value FROM ({SHAPLEY}) s JOIN embeddings e ON e.vec_id = s.id GROUP BY 1, 2)")
 def val5_rank_by_value(spark, sf):
-    v = rounded(valuation.valuation_uncertainty(shapley(spark, sf)), "value")
+    v = rounded(valuation.knn_shapley_uncertainty(*embedded(spark, sf)), "value")
     return valuation.rank_by_value(v, table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label"))
 
 

@@ -162,3 +162,20 @@ def test_boxes_and_ties_within_a_block(spark):
             best.meet(np.arange(400)[at], y[at])
         got = [[(round(d, 9), j) for d, j in zip(ds, js, strict=True)] for ds, js in zip(best.distance.tolist(), best.other.tolist(), strict=True)]
         assert got == [[(round(d, 9), j) for d, j in sorted((distance(p, q), j) for j, q in enumerate(y) if i != j)[:3]] for i, p in enumerate(x)]
+
+
+def test_shapley_values_in_tasks_and_by_ranges(spark):
+    """With equal rows, unknown labels and a vector that isn't finite, both ways give the same, and so do their statistics; in tasks no pair is shuffled."""
+    r = np.random.default_rng(5)
+    points = np.round(r.random((60, 2)) * 9)  # whole numbers: equal distances are equal in both
+    points[7] = np.inf
+    rows = [(i, [float(c) for c in p], None if i in (3, 50) else int(r.integers(0, 3))) for i, p in enumerate(points)]
+    train, test = (spark.createDataFrame(x, "id long, v array<double>, label long") for x in (rows[:40], rows[40:]))
+    for k in (5, 100):
+        got, want = ({(x.test_id, x.id): x.value for x in valuation.knn_shapley(train, test, k, 9, held_pairs=held).collect()} for held in (90, 10))
+        assert got.keys() == want.keys() and len(got) == 800
+        assert all((v is None) == (want[at] is None) and (v is None or abs(v - want[at]) < 1e-12) for at, v in got.items())
+        stats, one = (sorted((x.id, x.m, *(round(v, 9) for v in (x.value or 0, x.std, x.se or 0))) for x in df.collect()) for df in (valuation.knn_shapley_uncertainty(train, test, k, 9, held_pairs=90), valuation.valuation_uncertainty(valuation.knn_shapley(train, test, k, held_pairs=10))))
+        assert stats == one
+    plan = valuation.knn_shapley(train, test)._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "FlatMapCoGroups" not in plan
