@@ -218,3 +218,15 @@ def test_vector_metrics_by_name_and_errors_as_rows(spark):
     assert {r.metric for r in got if r.status == "success"} == set(names[:-1]) and [r.metric for r in got if r.status == "error"] == ["absent"]
     keyless = evaluate(Roles(d, d, d, d), Columns(("c",), ("x", "y")), ["prdc"]).collect()
     assert [r.status for r in keyless] == ["error"]
+
+
+def test_equal_contingency_scores_are_equal(spark):
+    """Shares sum up to different doubles in different orders; names alone decide between pairs of equal quality."""
+    sides = []
+    for counts in ([3, 41, 7, 19, 2, 31, 11, 5, 23, 13, 29], [17, 1, 37, 8, 43, 6, 47, 9, 3, 14, 22]):
+        rows = [(str(k), "abcdefghijk"[k * 7 % 11], f"v{k * k * 31 % 97}", f"{k * 1777 % 101}x", "one") for k, n in enumerate(counts) for _ in range(n)]
+        sides.append(spark.createDataFrame(rows, "u string, v string, w string, x string, z string"))
+    got = association.contingency_similarity(*sides, ["u", "v", "w", "x", "z"]).collect()
+    assert len(got) == 10 and len({r.score for r in got}) == 1
+    nothing = association.contingency_similarity(sides[0].limit(0), sides[1], ["u", "z"]).first()
+    assert nothing.score == 0.5
