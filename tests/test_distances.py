@@ -179,3 +179,22 @@ def test_shapley_values_in_tasks_and_by_ranges(spark):
         assert stats == one
     plan = valuation.knn_shapley(train, test)._jdf.queryExecution().toString()
     assert "CartesianProduct" in plan and "FlatMapCoGroups" not in plan
+
+
+def test_rows_on_a_ball_s_edge_are_inside(spark):
+    """A radius is a distance to some row, which lies on the edge, whatever the precision of a matrix product."""
+    r = np.random.default_rng(8)
+    a, b = r.normal(size=(300, 64)), r.normal(size=(300, 64))
+    radius = [math.sqrt(sum(((p - q) ** 2).tolist())) for p, q in zip(a, b, strict=True)]
+    balls = frame(spark, b).join(spark.createDataFrame([*enumerate(radius)], "id long, radius double"), "id")
+    got = {x.id: x.inside for x in nn.within_radius(frame(spark, a), balls).collect()}
+    assert got == {i: n for i in range(300) if (n := sum(math.sqrt(sum(((a[i] - b[j]) ** 2).tolist())) <= radius[j] for j in range(300)))}
+
+
+def test_blocks_are_shuffled_once(spark):
+    """Where pivots rule nothing out, rows meet in packed blocks: no side is copied for the other's blocks."""
+    r = np.random.default_rng(9)
+    a, b = frame(spark, r.normal(size=(90, 20))), frame(spark, r.normal(size=(80, 20)), 1000)
+    for df in (nn.knn_join(a, b, 2, block_rows=10, by_pivots=False), nn.within_radius(a, b.withColumn("radius", F.lit(1.0)), 10), nn.kernel_mean(a, b, 1.0, "x", 10)):
+        plan = df._jdf.queryExecution().toString()
+        assert "CartesianProduct" in plan and "Generate explode" not in plan
