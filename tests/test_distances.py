@@ -185,10 +185,11 @@ def test_rows_on_a_ball_s_edge_are_inside(spark):
     """A radius is a distance to some row, which lies on the edge, whatever the precision of a matrix product."""
     r = np.random.default_rng(8)
     a, b = r.normal(size=(300, 64)), r.normal(size=(300, 64))
-    radius = [math.sqrt(sum(((p - q) ** 2).tolist())) for p, q in zip(a, b, strict=True)]
+    far = lambda p, q: math.sqrt(np.add.accumulate((p - q) ** 2)[-1])  # noqa: E731 - added one by one
+    radius = [far(p, q) for p, q in zip(a, b, strict=True)]
     balls = frame(spark, b).join(spark.createDataFrame([*enumerate(radius)], "id long, radius double"), "id")
     got = {x.id: x.inside for x in nn.within_radius(frame(spark, a), balls).collect()}
-    assert got == {i: n for i in range(300) if (n := sum(math.sqrt(sum(((a[i] - b[j]) ** 2).tolist())) <= radius[j] for j in range(300)))}
+    assert got == {i: n for i in range(300) if (n := sum(far(a[i], b[j]) <= radius[j] for j in range(300)))}
 
 
 def test_blocks_are_shuffled_once(spark):
