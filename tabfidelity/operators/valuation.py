@@ -17,7 +17,7 @@ from ..functions.ranks import ranked_within
 from .nn import knn_join, meet_all, meeting, pair_distances, slack_of, squares
 
 #: Distances that a task holds.
-HELD_PAIRS = 8_000_000
+HELD_PAIRS = 4_000_000
 #: Normal quantiles for two-sided levels.
 Z = {0.90: 1.6448536269514722, 0.95: 1.959963984540054, 0.99: 2.5758293035489004}
 
